@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.confusion import confusion_counts, decision, mcc, rates
 from sigloom.functions.scalars import clip, ratio
-from sigloom.operators.ordering import exact_quantiles, global_rank, ordered_prefix
+from sigloom.operators.ordering import attach, exact_quantiles, global_rank, ordered_prefix
 
 
 def binary_metrics(df: DataFrame, by: Sequence[str], target: str = "target", prediction: str | None = None) -> DataFrame:
@@ -37,7 +37,7 @@ def ranking_metrics(df: DataFrame, by: Sequence[str], target: str = "target", pr
     by = list(by)
     steps = cumulative_counts(df, by, target, probability)
     totals = steps.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    steps = steps.join(totals, by) if by else steps.crossJoin(F.broadcast(totals))  # one row
+    steps = attach(steps, totals, by)
     tp = (F.col("_p") - F.col("pos_before")).cast("double")
     fp = (F.col("_n") - F.col("neg_before")).cast("double")
     return steps.groupBy(*by).agg(
@@ -103,7 +103,7 @@ def reliability_deciles(
     by = list(by)
     ranked = global_rank(df, by, [reliability, tie])
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))  # one row
+    ranked = attach(ranked, sizes, by)
     span = F.greatest(F.col("_n") - 1, F.lit(1))
     position = F.col("rank") - 1
     decile = F.greatest(F.floor((position * bins + span - 1) / span) - 1, F.lit(0)).cast("int")
@@ -123,14 +123,14 @@ def probability_summary(df: DataFrame, by: Sequence[str], value: str = "probabil
     points = exact_quantiles(
         df, by, value, {"p01": 0.01, "p10": 0.10, "median": 0.5, "p90": 0.90, "p99": 0.99}
     )
-    return basic.join(points, by) if by else basic.crossJoin(points)  # one row each side
+    return attach(basic, points, by)
 
 
 def noise_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Median, 1.4826 * MAD, population std and percentiles of |x - median|."""
     by = list(by)
     centre = exact_quantiles(df, by, value, {"median": 0.5})
-    centred = df.join(centre, by) if by else df.crossJoin(F.broadcast(centre))  # one row
+    centred = attach(df, centre, by)
     spread = exact_quantiles(
         centred.withColumn("_dev", F.abs(F.col(value) - F.col("median"))),
         by,
@@ -138,9 +138,7 @@ def noise_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         {"p01_abs": 0.01, "p50_abs": 0.5, "p90_abs": 0.9, "p99_abs": 0.99},
     ).withColumn("mad_std", F.col("p50_abs") * F.lit(1.4826))
     std = df.groupBy(*by).agg(F.stddev_pop(value).alias("std"))
-    if by:
-        return centre.join(spread, by).join(std, by)
-    return centre.crossJoin(spread).crossJoin(std)  # one row each
+    return attach(attach(centre, spread, by), std, by)
 
 
 def seed_by_method(metrics: DataFrame, methods: Sequence[str], base: str, metric: str = "mcc") -> DataFrame:

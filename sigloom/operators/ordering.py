@@ -56,6 +56,13 @@ def ordered_prefix(
     )
 
 
+def attach(df: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add per-key summary columns: a join on the key, or scalar subqueries when there is none."""
+    if by:
+        return df.join(summary, list(by))
+    return df.withColumns({c: summary.select(c).scalar() for c in summary.columns})
+
+
 def global_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
     """1-based position of every row within ``by``, ascending and unique on ``order``."""
     counted = df.withColumn("_one", F.lit(1).cast("bigint"))
@@ -79,10 +86,7 @@ def exact_quantiles(
     )
     placed = ordered_prefix(counts, by, [value], ["_n"])
     totals = placed.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    if by:
-        located = placed.join(totals, by)
-    else:
-        located = placed.crossJoin(F.broadcast(totals))  # exactly one row on the right
+    located = attach(placed, totals, by)
 
     def value_at(rank):
         hit = (F.col("_n_before") <= rank) & (rank < F.col("_n_before") + F.col("_n"))

@@ -1,6 +1,6 @@
 """Imports every query module so the catalogue is complete."""
 
-from sigloom.plans import metric_queries  # noqa: F401
+from sigloom.plans import contract_queries, metric_queries  # noqa: F401
 from sigloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -135,3 +135,22 @@ samples AS (
   SELECT sample_id, id_measurement, phase, target, split, fold,
     generate_subscripts(vals, 1) - 1 AS i, unnest(vals) AS v FROM signals)
 """
+
+
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signal metadata: three consecutive events form a measurement with phases 0, 1, 2."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return e.select(
+        F.col("event_id").alias("sample_id"),
+        F.floor(F.col("event_id") / 3).cast("bigint").alias("id_measurement"),
+        (F.col("event_id") % 3).cast("string").alias("phase"),
+        (F.col("event_type") == "error").cast("int").alias("target"),
+        F.col("event_type"),
+        F.col("value").alias("x"),
+    )
+
+
+TRIPLES = """
+triples AS (SELECT event_id AS sample_id, event_id // 3 AS id_measurement, CAST(event_id % 3 AS VARCHAR) AS phase,
+  CAST(event_type = 'error' AS INT) AS target, event_type, value AS x FROM events)
+"""
