@@ -14,6 +14,7 @@ DEFAULTS = {
     # Signals can be megabytes per row; small Arrow batches keep Python workers flat.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
