@@ -50,3 +50,31 @@ def zero_crossings(values: ColumnLike, rising: bool) -> Column:
     return F.when(F.size(a) < 2, F.array().cast("array<int>")).otherwise(
         F.filter(F.sequence(F.lit(1), F.greatest(F.size(a) - 1, F.lit(1))), crosses)
     )
+
+
+def central_moments(values: ColumnLike) -> Column:
+    """One-pass struct(n, mean, m2, m3, m4): central power sums updated per element."""
+    a = as_col(values)
+    zero = F.struct(*[F.lit(0.0).alias(name) for name in ("n", "mean", "m2", "m3", "m4")])
+
+    def step(acc: Column, x: Column) -> Column:
+        n0, n = acc["n"], acc["n"] + 1.0
+        d = x.cast("double") - acc["mean"]
+        dn = d / n
+        term = d * dn * n0
+        return F.struct(
+            n.alias("n"),
+            (acc["mean"] + dn).alias("mean"),
+            (acc["m2"] + term).alias("m2"),
+            (acc["m3"] + term * dn * (n - 2.0) - 3.0 * dn * acc["m2"]).alias("m3"),
+            (
+                acc["m4"] + term * dn * dn * (n * n - 3.0 * n + 3.0) + 6.0 * dn * dn * acc["m2"] - 4.0 * dn * acc["m3"]
+            ).alias("m4"),
+        )
+
+    return F.aggregate(a, zero, step)
+
+
+def peak_abs(values: ColumnLike) -> Column:
+    a = as_col(values)
+    return F.greatest(F.abs(F.array_max(a)), F.abs(F.array_min(a)))

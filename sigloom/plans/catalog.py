@@ -1,6 +1,12 @@
 """Imports every query module so the catalogue is complete."""
 
-from sigloom.plans import contract_queries, gate_queries, metric_queries, sweep_queries  # noqa: F401
+from sigloom.plans import (  # noqa: F401
+    contract_queries,
+    gate_queries,
+    metric_queries,
+    signal_queries,
+    sweep_queries,
+)
 from sigloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
