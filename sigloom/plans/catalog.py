@@ -4,6 +4,7 @@ from sigloom.plans import (  # noqa: F401
     contract_queries,
     gate_queries,
     metric_queries,
+    model_queries,
     signal_queries,
     sweep_queries,
 )
