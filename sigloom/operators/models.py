@@ -1,18 +1,19 @@
 """Cross-fitted models.
 
-Small logistic models (calibration, reliability, stacking, gates) are fitted for all folds
-at once: each Newton step is one grouped aggregation of gradient and curvature, and the
-driver solves the few small systems. Wide feature models use MLlib, one fit per fold.
+Logistic models (calibration, reliability, stacking, gates, features) are fitted for all folds
+at once: each Newton step sums gradient and curvature per task and key, then across tasks,
+and the driver solves the few small systems. Tree and neural models use MLlib, one fit per fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from sigloom.functions.confusion import confusion_counts, rates
 from sigloom.functions.fusion import adaptive, conservative, mean_fusion, reliability_features, weighted
 from sigloom.functions.scalars import logit, sigmoid
 from sigloom.operators.metrics import brier, ranking_metrics
-from sigloom.operators.projections import column_medians, finite
+from sigloom.operators.projections import column_medians, finite, union_results
 from sigloom.operators.splits import grouped_folds, stratified_folds
 from sigloom.operators.sweeps import best_row, override_curve, select_delta, select_fixed_weight, select_tau, select_threshold
 from sigloom.session import cut_lineage
@@ -58,7 +59,7 @@ class LogisticModels:
 
 def fit_logistic(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, l2: float = 1.0,
-    balanced: bool = False, scale: bool = False, steps: int = 25, tolerance: float = 1e-8,
+    balanced: bool = False, scale: bool = False, steps: int = 25, tolerance: float = 1e-7,
 ) -> LogisticModels:
     """Penalised logistic regression (sum of losses + l2/2 * |w|^2) for every key.
 
@@ -82,40 +83,21 @@ def fit_logistic(
         table[key] = {"mean": mean, "std": std, "weight": weight, "done": one_class, "beta": np.zeros(d + 1)}
         if one_class:
             table[key]["beta"][0] = 40.0 if pos else -40.0
-    spark, types = df.sparkSession, dict(df.dtypes)
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["_b array<double>", "_mu array<double>", "_sd array<double>", "_w array<double>"])
+    rows = cut_lineage(df.select(*keys, *features, F.col(target).cast("double").alias("_y")))
+    types = dict(rows.dtypes)
+    keyed = "".join(f"{k} {types[k]}, " for k in keys)
     for _ in range(steps):
         active = {k: m for k, m in table.items() if not m["done"]}
         if not active:
             break
-        rows = [
-            (*k, m["beta"].tolist(), m["mean"].tolist(), m["std"].tolist(), [float(w) for w in m["weight"]])
-            for k, m in active.items()
-        ]
-        state = F.broadcast(spark.createDataFrame(rows, schema))  # one row per key being fitted
-        if keys:
-            x = df.join(state, keys)
-        else:
-            lits = {c: F.array(*[F.lit(v) for v in rows[0][i]]) for i, c in enumerate(("_b", "_mu", "_sd", "_w"))}
-            x = df.withColumns(lits)
-        xs = [F.lit(1.0)] + [(F.col(f) - F.get("_mu", F.lit(i))) / F.get("_sd", F.lit(i)) for i, f in enumerate(features)]
-        x = x.select(*keys, F.col(target).alias("_y"), "_b", "_w", *[c.alias(f"_x{i}") for i, c in enumerate(xs)])
-        z = F.lit(0.0)
-        for i in range(d + 1):
-            z = z + F.get("_b", F.lit(i)) * F.col(f"_x{i}")
-        x = x.withColumn("_q", sigmoid(z)).withColumn("_wt", F.get("_w", F.col("_y").cast("int")))
-        x = x.withColumn("_g", F.col("_wt") * (F.col("_q") - F.col("_y"))).withColumn(
-            "_h", F.col("_wt") * F.col("_q") * (1.0 - F.col("_q"))
-        )
-        sums = [F.sum(F.col("_g") * F.col(f"_x{i}")).alias(f"g{i}") for i in range(d + 1)]
-        sums += [
-            F.sum(F.col("_h") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"h{i}_{j}")
-            for i in range(d + 1) for j in range(i, d + 1)
-        ]
-        for r in x.groupBy(*keys).agg(*sums).collect():
-            m = active[tuple(r[k] for k in keys)]
-            grad = np.array([r[f"g{i}"] for i in range(d + 1)])
-            hess = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(d + 1)] for i in range(d + 1)])
+        partial = rows.mapInPandas(_newton_sums(active, keys, features), keyed + "sums array<double>")
+        totals = partial.select(*keys, F.posexplode("sums").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
+        found: dict[tuple, np.ndarray] = {k: np.zeros((d + 1) * (d + 2)) for k in active}
+        for r in totals.collect():  # keys x (d+1)(d+2) numbers
+            found[tuple(r[k] for k in keys)][r["i"]] = r["v"]
+        for key, sums in found.items():
+            m = active[key]
+            grad, hess = sums[: d + 1], sums[d + 1 :].reshape(d + 1, d + 1)
             penalty = np.r_[0.0, np.full(d, l2)]
             move = np.linalg.solve(hess + np.diag(penalty) + 1e-10 * np.eye(d + 1), grad + penalty * m["beta"])
             size = np.abs(move).max()
@@ -127,6 +109,34 @@ def fit_logistic(
     return LogisticModels(tuple(keys), tuple(features), table)
 
 
+def _newton_sums(active: dict[tuple, dict], keys: Sequence[str], features: Sequence[str]):
+    """Per task and key: gradient and curvature of the weighted loss, flattened to one array."""
+    models = {k: (m["beta"], m["mean"], m["std"], np.asarray(m["weight"])) for k, m in active.items()}
+    keys, features, d = list(keys), list(features), len(features)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            groups = batch.groupby(keys, sort=False) if keys else [((), batch)]
+            for key, part in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                if key not in models:
+                    continue
+                beta, mean, std, weight = models[key]
+                y = part["_y"].to_numpy()
+                x = np.column_stack([np.ones(len(part)), (part[features].to_numpy(dtype=float) - mean) / std])
+                q = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -40.0, 40.0)))
+                w = weight[y.astype(int)]
+                curve = (x * (w * q * (1.0 - q))[:, None]).T @ x
+                flat = np.concatenate([x.T @ (w * (q - y)), curve.ravel()])
+                sums[key] = sums.get(key, np.zeros((d + 1) * (d + 2))) + flat
+        if sums:
+            out = pd.DataFrame(list(sums), columns=keys) if keys else pd.DataFrame(index=range(len(sums)))
+            yield out.assign(sums=list(sums.values()))
+
+    return run
+
+
 # Calibration and reliability ------------------------------------------------------------
 
 
@@ -157,13 +167,11 @@ def select_reliability(quality: DataFrame, by: Sequence[str] = (), extended: str
 
 
 def make_estimator(name: str, features: Sequence[str], seed: int, target: str = "target", iterations: int = 50) -> Pipeline:
-    """``logistic`` (balanced through the weight column), ``gbt`` or ``mlp`` behind an assembler."""
+    """``gbt`` or ``mlp`` behind an assembler and a scaler."""
     assemble = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="error")
     scale = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True)
-    if name == "logistic":
-        model = LogisticRegression(featuresCol="_x", labelCol=target, weightCol="_w", maxIter=iterations, regParam=1e-3)
-    elif name == "gbt":
-        model = GBTClassifier(featuresCol="_x", labelCol=target, weightCol="_w", maxIter=min(iterations, 20), maxDepth=4, stepSize=0.1, seed=seed)
+    if name == "gbt":
+        model = GBTClassifier(featuresCol="_x", labelCol=target, maxIter=iterations, maxDepth=4, stepSize=0.1, seed=seed)
     elif name == "mlp":
         model = MultilayerPerceptronClassifier(featuresCol="_x", labelCol=target, layers=[len(features), 16, 8, 2], maxIter=iterations, seed=seed)
     else:
@@ -171,25 +179,19 @@ def make_estimator(name: str, features: Sequence[str], seed: int, target: str =
     return Pipeline(stages=[assemble, scale, model])
 
 
-def class_weights(df: DataFrame, target: str, balanced: bool) -> tuple[dict[int, float], int]:
-    counts = {int(r[0]): r[1] for r in df.groupBy(target).count().collect()}
-    n = sum(counts.values())
-    return {c: n / (2.0 * k) if balanced else 1.0 for c, k in counts.items()}, n
-
-
 def fit_predict(
     fit: DataFrame, apply: DataFrame, features: Sequence[str], name: str, seed: int, target: str = "target",
     iterations: int = 50, output: str = "probability",
 ) -> DataFrame:
     """Fit on ``fit``, score ``apply``; one class in ``fit`` gives that constant."""
-    weights, n = class_weights(fit, target, name == "logistic")
-    if n == 0:
+    if name == "logistic":
+        return fit_logistic(fit, [], features, target, balanced=True, scale=True, steps=iterations).score(apply, output)
+    classes = [int(r[0]) for r in fit.select(target).distinct().collect()]
+    if not classes:
         raise ValueError("no rows to fit")
-    if len(weights) < 2:
-        return apply.withColumn(output, F.lit(float(next(iter(weights)))))
-    weighted_fit = fit.withColumn("_w", F.when(F.col(target) == 1, weights[1]).otherwise(weights[0]))
-    model = make_estimator(name, features, seed, target, iterations).fit(weighted_fit)
-    scored = model.transform(apply.withColumn("_w", F.lit(1.0)))
+    if len(classes) < 2:
+        return apply.withColumn(output, F.lit(float(classes[0])))
+    scored = make_estimator(name, features, seed, target, iterations).fit(fit).transform(apply)
     return scored.withColumn(output, vector_to_array("probability")[1]).select(*apply.columns, output)
 
 
@@ -205,22 +207,29 @@ def cross_fit(
 ) -> DataFrame:
     """Out-of-fold probabilities: every row is scored once, by a model that never saw its fold.
 
-    ``fold_transform(fit_rows, rows)`` refits any preprocessing on the fit rows only. The
-    input is stored once, since each fold reads it.
+    ``fold_transform(fit_rows, rows)`` refits any preprocessing on the fit rows only. Logistic
+    models of all folds are fitted together; others fold by fold on a stored input.
     """
+    if estimator == "logistic" and fold_transform is None:
+        return stacking(df, features, fold, target, iterations)
     base = cut_lineage(df)
     folds = sorted(r[0] for r in base.select(fold).distinct().collect())
     if len(folds) < 2:
         raise ValueError("cross-fitting needs at least two folds")
-    parts = []
+    parts, fits = [], []
     for f in folds:
         fit, held = base.where(F.col(fold) != f), base.where(F.col(fold) == f)
         if fold_transform:
             fit, held = fold_transform(fit, fit), fold_transform(fit, held)
-        parts.append(fit_predict(fit, held, features, estimator, seed, target, iterations))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        if estimator == "logistic":
+            fits.append(fit.withColumn("_model", F.lit(f)))
+            parts.append(held)
+        else:
+            parts.append(fit_predict(fit, held, features, estimator, seed, target, iterations))
+    out = union_results(*parts)
+    if estimator == "logistic":
+        models = fit_logistic(union_results(*fits), ["_model"], features, target, balanced=True, scale=True, steps=iterations)
+        out = models.score(out.withColumn("_model", F.col(fold)), "probability").drop("_model")
     return out
 
 
@@ -289,12 +298,12 @@ def domain_shift(df: DataFrame, features: Sequence[str], seed: int = 42, group:
     return ranking_metrics(oof, []).select("positives", "negatives", "roc_auc")
 
 
-def stacking(df: DataFrame, features: Sequence[str], fold: str = "fold", target: str = "target") -> DataFrame:
-    """Cross-fitted balanced logistic stacking; all folds are fitted in the same passes."""
+def stacking(df: DataFrame, features: Sequence[str], fold: str = "fold", target: str = "target", iterations: int = 50) -> DataFrame:
+    """Cross-fitted balanced logistic model; all folds are fitted in the same passes."""
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     others = F.array(*[F.lit(f) for f in folds])
     fit = df.select("*", F.explode(F.filter(others, lambda f: f != F.col(fold))).alias("_model"))
-    models = fit_logistic(fit, ["_model"], features, target, balanced=True, scale=True)
+    models = fit_logistic(fit, ["_model"], features, target, balanced=True, scale=True, steps=iterations)
     return models.score(df.withColumn("_model", F.col(fold)), "probability").drop("_model")
 
 
@@ -435,8 +444,6 @@ def family_contribution(
     modes: Sequence[str] = ("phase_independent",), folds: int = 5, iterations: int = 50,
 ) -> DataFrame:
     """One metric row per (feature set, mode, seed)."""
-    from sigloom.operators.projections import union_results
-
     rows = []
     for mode in modes:
         for name, cols in sets.items():

@@ -34,7 +34,7 @@ def hashed(by: str, key: str, n: int) -> str:
     join = f"d.{by}=g.{by} AND " if by else ""
     part = f"PARTITION BY {by}" if by else ""
     return f"""g AS (SELECT {comma}id_measurement, row_number() OVER ({part} ORDER BY id_measurement) - 1 AS i, count(*) OVER ({part}) AS gs, {COUNTS8} FROM pair GROUP BY {comma}id_measurement),
-     d AS (SELECT {comma}replicate, ('0x' || substr(md5('42|' || {key} || replicate || '|' || i),1,8))::BIGINT % gs AS i FROM g, range({n}) r(replicate)),
+     d AS (SELECT {comma}replicate, ('0x' || substr(md5('42|' || {key}replicate || '|' || i),1,8))::BIGINT % gs AS i FROM g, range({n}) r(replicate)),
      s AS (SELECT {'d.' + by + ', ' if by else ''}replicate, {SUM8} FROM d JOIN g ON {join}d.i = g.i GROUP BY ALL),
      rep AS (SELECT {comma}replicate, {DELTA} AS delta FROM s)"""
 

@@ -11,8 +11,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Signals can be megabytes per row; small Arrow batches keep Python workers flat.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Signals can be megabytes per row: Arrow batches are cut by bytes, narrow rows stay batched.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
