@@ -32,7 +32,7 @@ def confusion_counts(target: ColumnLike, prediction: ColumnLike) -> list[Column]
 def mcc(tp: ColumnLike = "tp", tn: ColumnLike = "tn", fp: ColumnLike = "fp", fn: ColumnLike = "fn") -> Column:
     """Matthews correlation; 0 when any margin is empty."""
     tp, tn, fp, fn = (as_col(c).cast("double") for c in (tp, tn, fp, fn))
-    denominator = F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)
+    denominator = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
     return ratio(tp * tn - fp * fn, denominator)
 
 

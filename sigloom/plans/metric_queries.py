@@ -10,7 +10,7 @@ from sigloom.plans import inputs as src
 from sigloom.plans.registry import query, rounded
 
 RATES = """
-  round(CASE WHEN (tp+fp)*(tp+fn)*(tn+fp)*(tn+fn) > 0 THEN (tp*tn-fp*fn)/(sqrt(tp+fp)*sqrt(tp+fn)*sqrt(tn+fp)*sqrt(tn+fn)) ELSE 0 END, 6) AS mcc,
+  round(CASE WHEN (tp+fp)*(tp+fn)*(tn+fp)*(tn+fn) > 0 THEN (tp*tn-fp*fn)/(sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn))) ELSE 0 END, 6) AS mcc,
   round((tp+tn)/(tp+tn+fp+fn), 6) AS accuracy,
   round(CASE WHEN tp+fp > 0 THEN tp/(tp+fp) ELSE 0 END, 6) AS precision,
   round(CASE WHEN tp+fn > 0 THEN tp/(tp+fn) ELSE 0 END, 6) AS recall,
@@ -27,7 +27,7 @@ COUNTS = """
 """
 BIG = "CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp"
 BY = ["seed", "split", "method"]
-SQL_MCC = "CASE WHEN ({tp}+{fp})*({tp}+{fn})*({tn}+{fp})*({tn}+{fn}) > 0 THEN ({tp}*{tn}-{fp}*{fn})/(sqrt({tp}+{fp})*sqrt({tp}+{fn})*sqrt({tn}+{fp})*sqrt({tn}+{fn})) ELSE 0 END"
+SQL_MCC = "CASE WHEN ({tp}+{fp})*({tp}+{fn})*({tn}+{fp})*({tn}+{fn}) > 0 THEN ({tp}*{tn}-{fp}*{fn})/(sqrt(({tp}+{fp})*({tp}+{fn})*({tn}+{fp})*({tn}+{fn}))) ELSE 0 END"
 
 
 @query(
