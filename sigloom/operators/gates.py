@@ -182,16 +182,28 @@ def verify_stored(stored: DataFrame, manifest: DataFrame, by: Sequence[str] = ()
     ``reusable`` is true only when ids and labels agree exactly and every probability is a
     finite value in [0,1]; otherwise the caller recomputes.
     """
-    s = stored.select(*by, key, F.col("target").alias("_y"), "probability", "threshold", F.lit(1).alias("_s"))
-    m = manifest.select(*by, key, F.col("target").alias("target"), F.lit(1).alias("_m"))
-    both = s.join(m, [*by, key], "full_outer")
+    none = F.lit(None)
+    s = stored.select(
+        *by, key, F.col("target").alias("_y"), none.cast("int").alias("target"), "probability", "threshold",
+        F.lit(1).alias("_s"), F.lit(0).alias("_m"),
+    )
+    m = manifest.select(
+        *by, key, none.cast("int").alias("_y"), "target", none.cast("double").alias("probability"),
+        none.cast("double").alias("threshold"), F.lit(0).alias("_s"), F.lit(1).alias("_m"),
+    )
+    # One shuffle on the key, folded map-side; a repeated key is a count, not extra rows.
+    per_key = s.unionByName(m).groupBy(*by, key).agg(
+        F.sum("_s").alias("_s"), F.sum("_m").alias("_m"), F.max("_y").alias("_y"), F.max("target").alias("target"),
+        F.max("probability").alias("probability"), F.max("threshold").alias("threshold"),
+        F.count_if((F.col("_s") == 1) & ~(is_finite("probability") & F.col("probability").between(0.0, 1.0))).alias("_bad"),
+    )
     p = F.col("probability")
-    agg = both.groupBy(*by).agg(
-        F.count_if(F.col("_s").isNull()).alias("missing"),
-        F.count_if(F.col("_m").isNull()).alias("unexpected"),
+    agg = per_key.groupBy(*by).agg(
+        F.count_if(F.col("_s") == 0).alias("missing"),
+        F.count_if(F.col("_m") == 0).alias("unexpected"),
         F.count_if(F.col("_y") != F.col("target")).alias("label_mismatch"),
-        F.count_if(F.col("_s").isNotNull() & ~(is_finite("probability") & p.between(0.0, 1.0))).alias("bad_probability"),
-        (F.count(key) - F.count_distinct(key)).alias("repeated"),
+        F.sum("_bad").alias("bad_probability"),
+        F.count_if((F.col("_s") > 1) | (F.col("_m") > 1)).alias("repeated"),
         *confusion_counts("target", (p >= F.col("threshold")).cast("int")),
     )
     ok = F.lit(True)

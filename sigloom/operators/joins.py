@@ -48,17 +48,15 @@ def pair_experts(
     def of(method: str, col: str):
         return F.max(F.when(F.col("method") == method, F.col(col)))
 
-    wide = rows.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in carry],
-        (F.min("target") == F.max("target")).alias("_one_label"),
+    # Carried columns depend on the sample, so they join the grouping key: the aggregation
+    # stays hash-based, and a sample with two labels shows up as two half-filled groups.
+    wide = rows.groupBy(*keys, *carry).agg(
         *[F.count_if(F.col("method") == m).alias(f"_n_{m}") for m in (a, b)],
         *[of(m, "probability").alias(f"probability_{m}") for m in (a, b)],
         *[of(m, "threshold").alias(f"threshold_{m}") for m in (a, b)],
     )
-    ok = (F.col(f"_n_{a}") == 1) & (F.col(f"_n_{b}") == 1) & F.col("_one_label")
-    return require(wide, ok, "sample does not have exactly one row per method and one label").drop(
-        f"_n_{a}", f"_n_{b}", "_one_label"
-    )
+    ok = (F.col(f"_n_{a}") == 1) & (F.col(f"_n_{b}") == 1)
+    return require(wide, ok, "sample does not have exactly one row per method and one label").drop(f"_n_{a}", f"_n_{b}")
 
 
 def keep_groups(df: DataFrame, groups: DataFrame, on: Sequence[str] = ("id_measurement",)) -> DataFrame:

@@ -26,11 +26,15 @@ from sigloom.operators.metrics import brier, ranking_metrics
 from sigloom.operators.projections import column_medians, finite, union_results
 from sigloom.operators.splits import grouped_folds, stratified_folds
 from sigloom.operators.sweeps import best_row, override_curve, select_delta, select_fixed_weight, select_tau, select_threshold
-from sigloom.session import cut_lineage
+from sigloom.session import cut_and_spread, cut_lineage
 
 # Logistic regression for many keys at once ---------------------------------------------
 
 
+# Coefficient tables are held by the driver and broadcast; this bounds their size.
+MAX_MODELS = 10_000
+
+
 @dataclass(frozen=True)
 class LogisticModels:
     """Coefficients per key: intercept first, on features scaled by (mean, std)."""
@@ -59,19 +63,23 @@ class LogisticModels:
 
 def fit_logistic(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, l2: float = 1.0,
-    balanced: bool = False, scale: bool = False, steps: int = 25, tolerance: float = 1e-7,
+    balanced: bool = False, scale: bool = False, steps: int = 25, tolerance: float = 1e-4,
 ) -> LogisticModels:
     """Penalised logistic regression (sum of losses + l2/2 * |w|^2) for every key.
 
+    Newton steps converge quadratically, so a last step below 1e-4 leaves an error near 1e-8.
     A key whose rows are all of one class gets that constant. ``balanced`` weights classes
     inversely to their counts; ``scale`` standardises the features per key first.
     """
     keys, features, d = list(keys), list(features), len(features)
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(target).alias("_pos"),
+    rows = cut_and_spread(df.select(*keys, *features, F.col(target).cast("double").alias("_y")))
+    stats = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"),
         *[F.avg(f).alias(f"_m{i}") for i, f in enumerate(features)],
         *[F.stddev_pop(f).alias(f"_s{i}") for i, f in enumerate(features)],
     ).collect()
+    if len(stats) > MAX_MODELS:
+        raise ValueError(f"{len(stats)} keys: at most {MAX_MODELS} models can be fitted together")
     table: dict[tuple, dict] = {}
     for r in stats:
         key = tuple(r[k] for k in keys)
@@ -83,7 +91,6 @@ def fit_logistic(
         table[key] = {"mean": mean, "std": std, "weight": weight, "done": one_class, "beta": np.zeros(d + 1)}
         if one_class:
             table[key]["beta"][0] = 40.0 if pos else -40.0
-    rows = cut_lineage(df.select(*keys, *features, F.col(target).cast("double").alias("_y")))
     types = dict(rows.dtypes)
     keyed = "".join(f"{k} {types[k]}, " for k in keys)
     for _ in range(steps):
@@ -361,9 +368,18 @@ def _calibrate_and_fuse(rows: DataFrame, fit: Column, target: str) -> tuple[Data
     def training(df: DataFrame) -> DataFrame:
         return df.where(fit)
 
-    platt = {e: fit_platt(training(rows), ["model"], f"raw_{e}", target) for e in ("temporal", "spectral")}
-    for e, m in platt.items():
-        rows = apply_platt(rows, m, f"raw_{e}", e)
+    experts = ("temporal", "spectral")
+
+    def per_expert(df: DataFrame, prefix: str, carry: Sequence[str] = ()) -> DataFrame:
+        """Both experts' rows under one key, so their models are fitted in the same passes."""
+        item = [F.struct(F.lit(e).alias("expert"), F.col(f"{prefix}{e}").alias("_item")) for e in experts]
+        return df.select("model", target, *carry, F.explode(F.array(*item)).alias("_e")).select(
+            "model", target, *carry, "_e.expert", "_e._item"
+        )
+
+    platt = fit_platt(per_expert(training(rows), "raw_"), ["model", "expert"], "_item", target)
+    for e in experts:
+        rows = apply_platt(rows.withColumn("expert", F.lit(e)), platt, f"raw_{e}", e).drop("expert")
     rows = cut_lineage(rows.withColumn("fixed_50", mean_fusion("temporal", "spectral")))
     long = training(rows).unpivot(["model", target], ["temporal", "spectral", "fixed_50"], "method", "probability")
     cuts = select_threshold(long, ["model", "method"], target=target)
@@ -377,12 +393,12 @@ def _calibrate_and_fuse(rows: DataFrame, fit: Column, target: str) -> tuple[Data
     features = reliability_features("temporal", "spectral")
     names = [f"_r_{n}" for n in features]
     rows = rows.withColumns({f"_r_{n}": c for n, c in features.items()})
-    for e in ("temporal", "spectral"):
+    for e in experts:
         right = ((F.col(e) >= F.col(f"{e}_cut")).cast("int") == F.col(target)).cast("int")
         rows = rows.withColumn(f"_ok_{e}", right)
-    reliability = {e: fit_reliability(training(rows), ["model"], names, f"_ok_{e}") for e in ("temporal", "spectral")}
-    for e, m in reliability.items():
-        rows = m.score(rows, f"reliability_{e}")
+    reliability = fit_reliability(per_expert(training(rows), "_ok_", names), ["model", "expert"], names, "_item")
+    for e in experts:
+        rows = reliability.score(rows.withColumn("expert", F.lit(e)), f"reliability_{e}").drop("expert")
     rows = rows.withColumn(
         "adaptive", adaptive("temporal", "spectral", "reliability_temporal", "reliability_spectral")
     ).drop(*names, "_ok_temporal", "_ok_spectral")
@@ -424,7 +440,7 @@ def meta_fusion(
             )
         )
     fit = F.col("_fold").isNotNull() & (F.col("_fold") != F.col("model"))
-    fused, components = _calibrate_and_fuse(cut_lineage(rows), fit, target)
+    fused, components = _calibrate_and_fuse(cut_and_spread(rows), fit, target)
     applied = fused.where((F.col("_fold") == F.col("model")) | (F.col("split") == "validation"))
     cut = F.lit(None).cast("double")
     for m in FUSED:

@@ -22,6 +22,7 @@ from sigloom.session import cut_lineage, parallelism
 
 STATES = [f"s{k}" for k in range(8)]
 PROFILES_PER_BUCKET = 4096
+REPLICATES_PER_ROW = 250
 
 
 def state_delta(prefix: str = "s") -> Column:
@@ -103,22 +104,32 @@ def group_replicates(
             out.append(_generator(seed, key_hash, r).multinomial(int(w.sum()), w / w.sum()))
         return pd.Series(out)
 
-    @F.pandas_udf("array<double>")
-    def draw(profile: pd.Series, draws: pd.Series, replicate: pd.Series, bucket: pd.Series, k: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<array<double>>")
+    def draw(profile: pd.Series, tasks: pd.Series, bucket: pd.Series, k: pd.Series) -> pd.Series:
         out = []
-        for p, m, r, b_id, key_hash in zip(profile, draws, replicate, bucket, k):
+        for p, todo, b_id, key_hash in zip(profile, tasks, bucket, k):
             table = np.stack(p)
-            picked = _generator(seed, key_hash, r, b_id + 1).multinomial(int(m), table[:, 0] / table[:, 0].sum())
-            out.append(picked @ table[:, 1:])
+            odds, states = table[:, 0] / table[:, 0].sum(), table[:, 1:]
+            picked = np.stack(
+                [_generator(seed, key_hash, t["replicate"], b_id + 1).multinomial(int(t["_m"]), odds) for t in todo]
+            )
+            ids = np.array([[float(t["replicate"])] for t in todo])
+            out.append(list(np.hstack([ids, picked @ states])))
         return pd.Series(out)
 
     shares = _spread(weights, n).withColumn("_m", split(F.transform("_s", lambda e: e["w"]), "replicate", "_key"))
     ids = F.transform("_s", lambda e: e["_b"])
     per_bucket = shares.select(*by, "_key", "replicate", F.explode(F.arrays_zip(ids.alias("b"), F.col("_m").alias("m"))).alias("e"))
     per_bucket = per_bucket.select(*by, "_key", "replicate", F.col("e.b").alias("_b"), F.col("e.m").alias("_m")).where("_m > 0")
-    joined = per_bucket.join(packed.select("_key", "_b", "_p"), ["_key", "_b"])
-    drawn = joined.withColumn("_d", draw("_p", "_m", "replicate", "_b", "_key"))
-    summed = drawn.groupBy(*by, "replicate").agg(*[F.sum(F.get("_d", F.lit(k))).alias(s) for k, s in enumerate(STATES)])
+    # A bucket's profiles travel once per few hundred replicates, not once per replicate.
+    tasks = per_bucket.groupBy(*by, "_key", "_b", F.floor(F.col("replicate") / REPLICATES_PER_ROW).alias("_chunk")).agg(
+        F.collect_list(F.struct("replicate", "_m")).alias("_todo")
+    )
+    joined = tasks.join(packed.select("_key", "_b", "_p"), ["_key", "_b"])
+    drawn = joined.select(*by, F.explode(draw("_p", "_todo", "_b", "_key")).alias("_d"))
+    summed = drawn.groupBy(*by, F.get("_d", F.lit(0)).cast("int").alias("replicate")).agg(
+        *[F.sum(F.get("_d", F.lit(k + 1))).alias(s) for k, s in enumerate(STATES)]
+    )
     return summed.select(*by, "replicate", state_delta().alias("delta"))
 
 

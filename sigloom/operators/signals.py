@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import kernels
+from sigloom.functions.batches import signal_udf
 from sigloom.functions.arrays import array_mean, array_sum, central_moments, peak_abs, quantile_of_sorted
 from sigloom.functions.scalars import finite_or, ratio
 from sigloom.operators.checks import assert_empty
@@ -192,7 +193,7 @@ def signal_features(df: DataFrame, values: str = "values") -> DataFrame:
 def spectral_shape(values: str | Column) -> Column:
     """Power centroid, normalised entropy and share above a quarter of the band."""
 
-    @F.pandas_udf("centroid double, entropy double, high_ratio double")
+    @signal_udf("centroid double, entropy double, high_ratio double")
     def run(series: pd.Series) -> pd.DataFrame:
         rows = []
         for v in series:
@@ -275,7 +276,7 @@ def resample(df: DataFrame, n: int, values: str = "values") -> DataFrame:
     if n < 2:
         raise ValueError("output length must be at least 2")
 
-    @F.pandas_udf("array<double>")
+    @signal_udf("array<double>")
     def run(series: pd.Series) -> pd.Series:
         return pd.Series([kernels.fourier_resample(v[None, :], n)[0] for v in series])
 

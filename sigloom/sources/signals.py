@@ -16,28 +16,32 @@ METADATA = "signal_id string, id_measurement string, phase string"
 def read_wide_signals(
     spark: SparkSession, path: str, ids: Sequence[str], chunk: int | None = None, batch: int = 200
 ) -> DataFrame:
-    """Column-per-signal Parquet -> (sample_id, chunk, n, values), in file row order.
+    """Column-per-signal Parquet -> (sample_id, file, chunk, n, values), in row order.
 
-    Only the requested columns are read. Rows are cut into chunks of consecutive samples,
-    so one signal is assembled from many tasks; without ``chunk`` it becomes one array.
-    Column batches bound how far one row is expanded. Chunks are cut per file.
+    Only the requested columns are read. The sample index is the row's position in its file;
+    a table of several files is continued in file-name order. With ``chunk``, each file is
+    cut into arrays of that many consecutive samples, so a signal is assembled by many
+    tasks; without it a signal is one array. Column batches bound how far a row is expanded.
     """
     wide = spark.read.parquet(path)
     missing = sorted(set(ids) - set(wide.columns))
     if missing:
         raise ContractError(f"signals not in the file: {missing}")
-    index = F.col("_metadata.row_index")
+    index, name = F.col("_metadata.row_index"), F.col("_metadata.file_name")
     part = F.floor(index / F.lit(chunk)).cast("bigint") if chunk else F.lit(0).cast("bigint")
     out = None
     for start in range(0, len(ids), batch):
         cols = list(ids[start : start + batch])
-        long = wide.select(index.alias("_i"), part.alias("chunk"), *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot(
-            ["_i", "chunk"], cols, "sample_id", "_v"
+        long = wide.select(
+            index.alias("_i"), name.alias("_f"), part.alias("chunk"), *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]
+        ).unpivot(["_i", "_f", "chunk"], cols, "sample_id", "_v")
+        ordered = F.array_sort(F.collect_list(F.struct("_f", "_i", "_v")))  # one chunk, or one signal
+        keys = ["sample_id", "_f", "chunk"] if chunk else ["sample_id", "chunk"]
+        piece = long.groupBy(*keys).agg(
+            F.transform(ordered, lambda s: s["_v"]).alias("values"), F.min("_f").alias("file")
         )
-        ordered = F.array_sort(F.collect_list(F.struct("_i", "_v")))  # one chunk, or one signal
-        piece = long.groupBy("sample_id", "chunk").agg(F.transform(ordered, lambda s: s["_v"]).alias("values"))
         out = piece if out is None else out.unionByName(piece)
-    return out.select("sample_id", "chunk", F.size("values").alias("n"), "values")
+    return out.select("sample_id", "file", "chunk", F.size("values").alias("n"), "values")
 
 
 def read_metadata(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
