@@ -249,44 +249,74 @@ def impute_transform(features: Sequence[str]) -> Callable[[DataFrame, DataFrame]
     return run
 
 
-def feature_baseline(
-    df: DataFrame, features: Sequence[str], estimator: str = "logistic", seed: int = 42, mode: str = "phase_independent",
-    group: str = "id_measurement", folds: int = 5, iterations: int = 50,
-) -> tuple[DataFrame, DataFrame]:
-    """(validation predictions, one metric row): impute, OOF, threshold on OOF, refit, score.
+BASELINE_MODES = ("phase_independent", "measurement_aware", "measurement_any_positive")
 
-    Modes: one row per signal; the three phases' features side by side; or group level with
-    an any-positive label.
-    """
+
+@dataclass(frozen=True)
+class PreparedBaseline:
+    """Imputed train rows with folds, imputed validation rows, and each feature's columns."""
+
+    train: DataFrame
+    held: DataFrame
+    columns: dict[str, list[str]]
+    mode: str
+    group: str
+
+
+def prepare_baseline(
+    df: DataFrame, features: Sequence[str], seed: int = 42, mode: str = "phase_independent",
+    group: str = "id_measurement", folds: int = 5,
+) -> PreparedBaseline:
+    """Impute with train medians and assign group folds, once for any number of feature sets."""
     from sigloom.operators.audits import three_phase_features, to_group_level
 
-    features = list(features)
+    columns = {f: [f] for f in features}
     if mode == "measurement_aware":
-        df = three_phase_features(df, features, group=group)
-        features = [c for c in df.columns if c.startswith("phase_")]
+        df = three_phase_features(df, list(features), group=group)
+        columns = {f: [c for c in df.columns if c.startswith("phase_") and c.endswith(f"_{f}") and len(c) == len(f) + 8] for f in features}
     elif mode == "measurement_any_positive":
-        df = to_group_level(df, features, group).withColumn("sample_id", F.col(group))
+        df = to_group_level(df, list(features), group).withColumn("sample_id", F.col(group))
     elif mode != "phase_independent":
         raise ValueError(f"unknown mode {mode}")
     train, held = df.where("split = 'train'"), df.where("split = 'validation'")
-    medians = column_medians(train, features)
-    fill = lambda rows: finite_fill(rows, medians)
-    train, held = cut_lineage(fill(train)), fill(held)
-    folded = grouped_folds(train.drop("fold"), folds, seed, group)
-    oof = cut_lineage(cross_fit(folded, features, estimator, seed, iterations=iterations))
+    medians = column_medians(train, [c for cols in columns.values() for c in cols])
+    folded = grouped_folds(finite_fill(train, medians).drop("fold"), folds, seed, group)
+    return PreparedBaseline(cut_and_spread(folded), cut_lineage(finite_fill(held, medians)), columns, mode, group)
+
+
+def evaluate_baseline(
+    prepared: PreparedBaseline, features: Sequence[str], estimator: str = "logistic", seed: int = 42, iterations: int = 50
+) -> tuple[DataFrame, DataFrame]:
+    """(validation predictions, one metric row): OOF scores pick the threshold, a refit on all
+    train rows scores validation."""
+    columns = [c for f in features for c in prepared.columns[f]]
+    oof = cut_lineage(cross_fit(prepared.train, columns, estimator, seed, iterations=iterations).select("target", "probability"))
     cut = select_threshold(oof, [], tie="first").first()["threshold"]
-    scored = fit_predict(train, held, features, estimator, seed, iterations=iterations)
+    scored = fit_predict(prepared.train, prepared.held, columns, estimator, seed, iterations=iterations)
     scored = scored.withColumn("threshold", F.lit(cut)).withColumn(
         "prediction", (F.col("probability") >= F.lit(cut)).cast("int")
     )
-    keep = [c for c in ("sample_id", group, "phase", "target", "probability", "threshold", "prediction") if c in scored.columns]
-    predictions = scored.select(*keep)
+    keep = ("sample_id", prepared.group, "phase", "target", "probability", "threshold", "prediction")
+    predictions = scored.select(*[c for c in keep if c in scored.columns])
     metrics = predictions.agg(*confusion_counts("target", "prediction"), F.max("threshold").alias("threshold")).select(
-        F.lit(mode).alias("mode"), F.lit(estimator).alias("estimator"), F.lit(seed).alias("seed"), "*", *rates()
+        F.lit(prepared.mode).alias("mode"), F.lit(estimator).alias("estimator"), F.lit(seed).alias("seed"), "*", *rates()
     )
     return predictions, metrics
 
 
+def feature_baseline(
+    df: DataFrame, features: Sequence[str], estimator: str = "logistic", seed: int = 42, mode: str = "phase_independent",
+    group: str = "id_measurement", folds: int = 5, iterations: int = 50,
+) -> tuple[DataFrame, DataFrame]:
+    """Impute, cross-fit, choose the threshold on OOF rows, refit, score validation.
+
+    Modes: one row per signal; the three phases' features side by side; or group level with
+    an any-positive label.
+    """
+    prepared = prepare_baseline(df, features, seed, mode, group, folds)
+    return evaluate_baseline(prepared, features, estimator, seed, iterations)
+
+
 def finite_fill(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     from sigloom.functions.scalars import is_finite
 
@@ -460,11 +490,13 @@ def family_contribution(
     modes: Sequence[str] = ("phase_independent",), folds: int = 5, iterations: int = 50,
 ) -> DataFrame:
     """One metric row per (feature set, mode, seed)."""
+    every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
     rows = []
     for mode in modes:
-        for name, cols in sets.items():
-            for seed in seeds:
-                _, metrics = feature_baseline(df, cols, estimator, seed, mode, folds=folds, iterations=iterations)
+        for seed in seeds:
+            prepared = prepare_baseline(df, every, seed, mode, folds=folds)
+            for name, cols in sets.items():
+                _, metrics = evaluate_baseline(prepared, cols, estimator, seed, iterations)
                 rows.append(metrics.withColumn("feature_set", F.lit(name)))
     return union_results(*rows)
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.functions.batches import signal_udf
 from sigloom.functions.scalars import hash32
 from sigloom.operators.metrics import joint_states, mcc_of_states
 from sigloom.operators.ordering import attach, global_rank
@@ -47,7 +48,7 @@ def signal_replicates(
     states = joint_states(pair, by, target, a, b)
     key = F.xxhash64(*by) if by else F.lit(0).cast("bigint")
 
-    @F.pandas_udf("array<double>")
+    @signal_udf("array<double>")
     def draw(counts: pd.Series, replicate: pd.Series, k: pd.Series) -> pd.Series:
         out = []
         for c, r, key_hash in zip(counts, replicate, k):
@@ -96,7 +97,7 @@ def group_replicates(
         F.array_sort(F.collect_list(F.struct("_b", F.col("_w").cast("double").alias("w")))).alias("_s")
     )
 
-    @F.pandas_udf("array<long>")
+    @signal_udf("array<long>")
     def split(shares: pd.Series, replicate: pd.Series, k: pd.Series) -> pd.Series:
         out = []
         for w, r, key_hash in zip(shares, replicate, k):
@@ -104,7 +105,7 @@ def group_replicates(
             out.append(_generator(seed, key_hash, r).multinomial(int(w.sum()), w / w.sum()))
         return pd.Series(out)
 
-    @F.pandas_udf("array<array<double>>")
+    @signal_udf("array<array<double>>")
     def draw(profile: pd.Series, tasks: pd.Series, bucket: pd.Series, k: pd.Series) -> pd.Series:
         out = []
         for p, todo, b_id, key_hash in zip(profile, tasks, bucket, k):

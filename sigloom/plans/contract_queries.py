@@ -422,6 +422,32 @@ def three_phase_features(spark, sf):
     return audits.three_phase_features(whole, ["x"])
 
 
+ALIGN = """al AS (SELECT sample_id, id_measurement, CAST(x > {cut} AS INT) AS a, CAST(x > {cut} / 2 AS INT) AS b, 1 AS c, x AS d FROM triples),
+   g AS (SELECT id_measurement, sum(a) AS h FROM al GROUP BY 1), u AS (SELECT d FROM al UNION ALL SELECT d / 2 FROM al),
+   r AS (SELECT avg(a) AS ra, avg(b) AS rb, avg(c)::DOUBLE AS rc, avg(CAST(a=1 AND b=1 AS INT)) AS re FROM al)"""
+
+
+@query(
+    "alignment_status",
+    f"""WITH {src.TRIPLES}, {ALIGN.format(cut=1.0)}
+    SELECT round(ra,6) AS current_rate, round(rb,6) AS strict_rate, round(rc,6) AS sinusoid_rate, round(re,6) AS all_method_rate,
+      round((SELECT avg(CAST(h = 3 AS INT)) FROM g),6) AS complete_group_rate, round((SELECT median(d) FROM u),6) AS median_disagreement,
+      CASE WHEN ra >= 0.95 AND rb >= 0.95 AND rc >= 0.95 AND (SELECT avg(CAST(h = 3 AS INT)) FROM g) >= 0.95 AND (SELECT median(d) FROM u) <= 20 THEN 'VALID'
+        WHEN ra >= 0.5 AND rb >= 0.5 AND rc >= 0.5 THEN 'PARTIAL/AMBIGUOUS' ELSE 'INVALID' END AS status FROM r""",
+)
+def alignment_status(spark, sf):
+    """Alignment rules over success flags and angles derived from the event values."""
+    t = src.triples(spark, sf)
+    records = t.select(
+        "sample_id", "id_measurement",
+        (F.col("x") > 1.0).cast("int").alias("current_success"),
+        (F.col("x") > 0.5).cast("int").alias("strict_success"),
+        F.lit(1).alias("sinusoid_success"),
+        F.array(F.col("x"), F.col("x") / 2).alias("disagreements"),
+    )
+    return rounded(audits.alignment_summary(records))
+
+
 @query(
     "positive_class_weight",
     f"""WITH {src.SIGNALS} SELECT count(*) FILTER (target=0) AS negatives, count(*) FILTER (target=1) AS positives,

@@ -62,6 +62,16 @@ def hashed_hierarchical_bootstrap(spark, sf):
     return rounded(rs.summarize(rs.hierarchical(reps)))
 
 
+@query(
+    "hashed_signal_bootstrap",
+    f"WITH {src.PAIR}, {hashed('', '', 20).replace('id_measurement', 'sample_id')} SELECT {INTERVAL} FROM rep",
+)
+def hashed_signal_bootstrap(spark, sf):
+    """Resampling single signals is resampling groups of one."""
+    reps = rs.hashed_group_replicates(src.pair(spark, sf), [], "sample_id", "target", "d_temporal", "d_spectral", 20)
+    return rounded(rs.summarize(reps))
+
+
 @query(
     "group_profiles",
     f"""WITH {src.PAIR}, g AS (SELECT id_measurement, {COUNTS8} FROM pair GROUP BY 1)

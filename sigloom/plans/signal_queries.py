@@ -642,6 +642,14 @@ CWT_SQL = """sc AS (SELECT * FROM (VALUES (0,1.5),(1,3.0),(2,6.0),(3,12.0)) t(s,
   cw AS (SELECT sample_id, s, b, power(sum(v*kr),2) + power(sum(v*ki),2) AS p FROM samples, bi JOIN kr ON true WHERE m = (i - t + 64) % 64 GROUP BY ALL)"""
 
 
+def cwt_sql(source: str, ids: str, n: int, bins: int) -> str:
+    """The same transform over a table of (ids, i, v) rows of length n."""
+    h = n // 2
+    return f"""sc AS (SELECT * FROM (VALUES (0,1.5),(1,3.0),(2,6.0),(3,12.0)) t(s, a)), bi AS (SELECT b, CAST(round_even({n - 1}.0*b/{bins - 1}, 0) AS BIGINT) AS t FROM range({bins}) r(b)),
+     kr AS (SELECT s, m, exp(-0.5*power(((m+{h})%{n} - {h})/a,2))/sqrt(a)*cos(6*((m+{h})%{n} - {h})/a) AS kr, exp(-0.5*power(((m+{h})%{n} - {h})/a,2))/sqrt(a)*sin(6*((m+{h})%{n} - {h})/a) AS ki FROM sc, range({n}) r(m)),
+     cw AS (SELECT {ids}, s, b, power(sum(v*kr),2) + power(sum(v*ki),2) AS p FROM {source}, bi JOIN kr ON true WHERE m = (i - t + {n}) % {n} GROUP BY ALL)"""
+
+
 @query(
     "cwt_rows",
     f"WITH {src.SIGNALS}, {CWT_SQL} SELECT sample_id, CAST(s AS INT) AS scale, CAST(b AS INT) AS bin, round(greatest(ln(p+1e-8),-10),6) AS power FROM cw",
@@ -671,13 +679,30 @@ def cwt_summary(spark, sf):
     return rounded(sig(spark, sf).select("sample_id", sx.cwt_summary("values", SCALES, 8).alias("c")).select("sample_id", "c.*"))
 
 
-@query("cwt_features")
+@query(
+    "cwt_features",
+    f"""WITH {src.SIGNALS}, {EVENTS}, {BAG}, tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY amplitude DESC, pos) AS r6 FROM bag) WHERE r6 <= 6),
+      sgm AS (SELECT t.sample_id, t.r6, o + 4 AS i, v FROM tp t, range(-4, 4) r(o) JOIN ro ON true WHERE ro.sample_id = t.sample_id AND ro.i = (t.pos + o + 64) % 64),
+      {cwt_sql('sgm', 'sample_id, r6', 8, 4)}, q AS (SELECT sample_id, r6, s, b, p+1e-8 AS p FROM cw), tt AS (SELECT sample_id, r6, sum(p) AS t FROM q GROUP BY ALL),
+      en AS (SELECT sample_id, r6, s, sum(p) AS e FROM q GROUP BY ALL), ee AS (SELECT sample_id, r6, max(e) FILTER (s=0) AS lo, max(e) FILTER (s=1) AS mi, avg(e) FILTER (s>=2) AS hi, arg_max(s, e)::DOUBLE AS top FROM en GROUP BY ALL),
+      te AS (SELECT sample_id, r6, max(x) AS m FROM (SELECT sample_id, r6, b, sum(p) AS x FROM q GROUP BY ALL) GROUP BY ALL),
+      su AS (SELECT sample_id, r6, max(lo) AS lo, max(mi) AS mi, max(hi) AS hi, avg(ln(p)) AS lm, stddev_pop(ln(p)) AS ls, -sum(p/t*ln(p/t+1e-12)) AS en, max(m)/max(t) AS tc, max(top) AS top
+        FROM q JOIN tt USING (sample_id, r6) JOIN ee USING (sample_id, r6) JOIN te USING (sample_id, r6) GROUP BY ALL)
+    SELECT sample_id, count(*)::DOUBLE AS cwt_event_count, round(avg(lo),6) AS cwt_energy_low, round(avg(mi),6) AS cwt_energy_mid, round(avg(hi),6) AS cwt_energy_high, round(avg(lm),6) AS cwt_log_power_mean,
+      round(avg(ls),6) AS cwt_log_power_std, round(avg(en),6) AS cwt_entropy, round(avg(tc),6) AS cwt_temporal_concentration, round(avg(top),6) AS cwt_scale_of_max FROM su GROUP BY 1""",
+)
 def cwt_features(spark, sf):
     bag = pu.pulse_bag(pu.detect_pulses(sig(spark, sf), POLICY), POLICY)
     return rounded(sx.cwt_features(bag, SCALES, 4, segment="long_segment"))
 
 
-@query("window_bags")
+@query(
+    "window_bags",
+    f"""WITH {src.SIGNALS}, st AS (SELECT row_number() OVER (ORDER BY s) - 1 AS w, s FROM (SELECT DISTINCT least(k*10, 48) AS s FROM range(6) r(k))),
+      wi AS (SELECT sample_id, split, w, samples.i - st.s AS i, v FROM samples JOIN st ON samples.i >= st.s AND samples.i < st.s + 16), {cwt_sql('wi', 'sample_id, split, w', 16, 4)},
+      lp AS (SELECT *, greatest(ln(p+1e-8), -10) AS l FROM cw), mm AS (SELECT s, b, avg(l) AS mean, stddev_pop(l) AS std FROM lp WHERE split='train' GROUP BY ALL)
+    SELECT sample_id, CAST(w AS INT) AS window_index, round(avg((l-mean)/std),6) AS mean, CAST(count(*) AS INT) AS n FROM lp JOIN mm USING (s, b) GROUP BY sample_id, w""",
+)
 def window_bags(spark, sf):
     """Standardized log-power bags per window; moments from training windows only."""
     s = src.signals(spark, sf).select("sample_id", "split", "values")
