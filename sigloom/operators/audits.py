@@ -27,8 +27,9 @@ def audit_metadata(df: DataFrame, group: str = "id_measurement", phase: str = "p
     )
     per_group = per_phase.groupBy(group).agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("phases"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.sum("pos").alias("pos"), F.collect_set(phase).alias("names"),
+        F.sum("pos").alias("pos"),
     )
+    phases = df.select(phase).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     return per_group.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.count(F.lit(1)).alias("groups"),
@@ -37,7 +38,7 @@ def audit_metadata(df: DataFrame, group: str = "id_measurement", phase: str = "p
         F.count_if(F.col("lo") != F.col("hi")).alias("mixed_label_groups"),
         F.sum("pos").alias("positives"),
         (F.sum("n") - F.sum("pos")).alias("negatives"),
-    )
+    ).withColumn("distinct_phases", phases)
 
 
 def value_counts(df: DataFrame, column: str, domain: Sequence) -> DataFrame:

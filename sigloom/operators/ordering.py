@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.session import cut_lineage, parallelism
+from sigloom.session import cut_lineage
 
 SLICE = "_slice"
 
@@ -30,10 +30,10 @@ def ordered_prefix(
     stored by a checkpoint, so totals and details agree even if an executor is lost.
     """
     by, order, sums = list(by), list(order), list(sums)
-    n = slices or parallelism(df.sparkSession)
-    ranged = cut_lineage(
-        df.repartitionByRange(n, *[F.col(c) for c in by + order]).withColumn(SLICE, F.spark_partition_id())
-    )
+    keys = [F.col(c) for c in by + order]
+    # Without a fixed number, adaptive execution merges small neighbouring ranges by size.
+    spread = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
+    ranged = cut_lineage(spread.withColumn(SLICE, F.spark_partition_id()))
     before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*by, SLICE)

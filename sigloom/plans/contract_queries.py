@@ -339,7 +339,8 @@ def regression_check(spark, sf):
         FROM triples GROUP BY 1)
     SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS groups, count(*) FILTER (n<>3) AS groups_without_three_rows,
       count(*) FILTER (p<>3) AS groups_without_three_phases, count(*) FILTER (lo<>hi) AS mixed_label_groups,
-      CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(n)-sum(pos) AS BIGINT) AS negatives FROM g""",
+      CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(n)-sum(pos) AS BIGINT) AS negatives,
+      (SELECT count(DISTINCT phase) FROM triples) AS distinct_phases FROM g""",
 )
 def audit_metadata(spark, sf):
     return audits.audit_metadata(src.triples(spark, sf))
@@ -351,7 +352,8 @@ def audit_metadata(spark, sf):
       g AS (SELECT g, count(*) AS n, count(DISTINCT phase) AS p, min(target) AS lo, max(target) AS hi, sum(target) AS pos FROM m GROUP BY 1)
     SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS groups, count(*) FILTER (n<>3) AS groups_without_three_rows,
       count(*) FILTER (p<>3) AS groups_without_three_phases, count(*) FILTER (lo<>hi) AS mixed_label_groups,
-      CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(n)-sum(pos) AS BIGINT) AS negatives FROM g""",
+      CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(n)-sum(pos) AS BIGINT) AS negatives,
+      (SELECT count(DISTINCT phase) FROM m) AS distinct_phases FROM g""",
 )
 def audit_skewed_groups(spark, sf):
     e = src.table(spark, sf, "events").select(

@@ -10,6 +10,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Drop checkpoint files once nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Signals can be megabytes per row: Arrow batches are cut by bytes, narrow rows stay batched.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",

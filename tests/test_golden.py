@@ -371,3 +371,98 @@ def test_override_gate(spark):
     df = spark.createDataFrame([(1, 0, 1, 0.9), (0, 0, 1, 0.6), (1, 1, 1, 0.1), (0, 0, 0, 0.1)], "y int, a int, b int, s double")
     best = sweeps.select_tau(df, [], "y", "a", "b", "s").first()
     assert best["mcc"] == 1.0 and best["k"] == 121 and best["beneficial"] == 1
+
+
+def test_perceptron_cross_fit(spark):
+    data = [(i, f"g{i // 2}", i % 2, float(i % 2) + (i % 7) / 10.0, float(i % 5)) for i in range(120)]
+    df = splits.grouped_folds(spark.createDataFrame(data, "sample_id int, id_measurement string, target int, x double, z double"), 2, 1)
+    out = mo.cross_fit(df, ["x", "z"], "mlp", iterations=15)
+    assert out.count() == 120 and out.where("probability < 0 OR probability > 1").isEmpty()
+
+
+def test_fold_transform_sees_fit_rows_only(spark):
+    data = [(i, i % 2, i % 2, float("nan") if i % 10 == 0 else float(i % 2) * 100 + i) for i in range(40)]
+    df = spark.createDataFrame(data, "sample_id int, fold int, target int, x double").withColumn("fold", (F.col("sample_id") / 20).cast("int"))
+    seen = []
+
+    def transform(fit, rows):
+        seen.append({r[0] for r in fit.select("fold").distinct().collect()})
+        return mo.impute_transform(["x"])(fit, rows)
+
+    assert mo.cross_fit(df, ["x"], fold_transform=transform).count() == 40
+    assert seen == [{1}, {1}, {0}, {0}]
+
+
+def test_meta_fusion_covers_every_row_and_learns_off_fold(spark):
+    data = [(i, f"g{i // 3}", i % 2, 0.25 + 0.4 * (i % 2) + ((i * 37) % 20) / 60, 0.2 + 0.4 * (i % 2) + ((i * 53) % 24) / 60) for i in range(240)]
+    df = spark.createDataFrame(data, "sample_id int, id_measurement string, target int, p_temporal double, p_spectral double")
+    oof = splits.grouped_folds(df.where("sample_id < 180"), 3, 5)
+    long, components = mo.meta_fusion(oof, df.where("sample_id >= 180"))
+    counts = {(r["split"], r["method"]): r["count"] for r in long.groupBy("split", "method").count().collect()}
+    assert {v for (s, _), v in counts.items() if s == "train_oof"} == {180} and len(counts) == 12
+    assert {v for (s, _), v in counts.items() if s == "validation"} == {60}
+    assert {r[0] for r in components.select("model").collect()} == {-1, 0, 1, 2}
+    assert long.where("probability < 0 OR probability > 1 OR threshold IS NULL").isEmpty()
+    assert {r[0] for r in long.where("split = 'validation'").select("model").distinct().collect()} == {-1}
+
+
+def test_stream_contracts(spark):
+    root = st.work_path(spark, "arrivals")
+    spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "vec_id int, embedding array<double>").write.parquet(root)
+    moments = {tuple(r) for r in st.stream_moments(st.arriving(spark, root, 1), "embedding", 2).collect()}
+    assert moments == {(0, 2, 2.0, 1.0), (1, 2, 3.0, 1.0)}
+    with pytest.raises(PySparkException):
+        st.stream_moments(st.arriving(spark, root), "embedding", 3)
+    with pytest.raises(checks.ContractError):
+        st.store_stream(st.arriving(spark, root), lambda s: s, 3, ["vec_id"])
+
+
+def test_wide_signals_keep_row_order_over_files(spark):
+    from sigloom.sources import signals as sources
+
+    root = st.work_path(spark, "wide")
+    spark.range(10, numPartitions=1).select(F.col("id").cast("int").alias("a"), (F.col("id") * 2).cast("int").alias("b")).write.parquet(root)
+    got = {r["sample_id"]: r["values"] for r in sources.read_wide_signals(spark, root, ["b", "a"], batch=1).collect()}
+    assert got == {"a": [float(v) for v in range(10)], "b": [2.0 * v for v in range(10)]}
+    chunks = {r["chunk"]: r["values"] for r in sources.read_wide_signals(spark, root, ["a"], chunk=4).collect()}
+    assert chunks == {0: [0.0, 1.0, 2.0, 3.0], 1: [4.0, 5.0, 6.0, 7.0], 2: [8.0, 9.0]}
+    with pytest.raises(checks.ContractError):
+        sources.read_wide_signals(spark, root, ["c"])
+
+
+def test_array_signals_reject_bad_samples(spark):
+    from sigloom.sources import signals as sources
+
+    root = st.work_path(spark, "arrays")
+    spark.createDataFrame([(1, [1.0, float("nan")], 0)], "k int, v array<double>, label int").write.parquet(root)
+    with pytest.raises(PySparkException):
+        sources.read_array_signals(spark, root, 2, "k", "v", "train").collect()
+
+
+def test_verdict_order(spark):
+    schema = "checks_ok boolean, temporal double, cwt double, combined double, delta_c_given_t double, positive_seeds int, negative_seeds int"
+    cases = [
+        ((True, 0.65, 0.62, 0.70, 0.02, 3, 0), "TEMPORAL+CWT SUPPORTED"),
+        ((True, 0.65, 0.52, 0.66, 0.006, 2, 1), "CWT COMPLEMENTARY BUT WEAKER"),
+        ((True, 0.65, 0.52, 0.66, 0.001, 2, 1), "CWT REDUNDANT"),
+        ((True, 0.65, 0.40, 0.66, -0.02, 0, 3), "CWT NOT SUPPORTED"),
+        ((False, 0.65, 0.62, 0.70, 0.02, 3, 0), "REPRESENTATION DECOMPOSITION INCONCLUSIVE"),
+    ]
+    got = [r[0] for r in spark.createDataFrame([c for c, _ in cases], schema).coalesce(1).select(gates.modality_verdict()).collect()]
+    assert got == [w for _, w in cases]
+
+
+@pytest.mark.parametrize("slices", [1, 5, None])
+def test_ordered_prefix_over_several_slices(spark, slices):
+    from sigloom.operators.ordering import ordered_prefix
+
+    df = spark.range(500).select(
+        (F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 500).alias("o"), (F.col("id") % 11).alias("x")
+    )
+    got = ordered_prefix(df, ["g"], ["o"], ["x"], slices).collect()
+    rows_ = sorted((r["g"], r["o"], r["x"], r["x_before"]) for r in got)
+    assert len(rows_) == 500
+    seen = {}
+    for g, _, x, before in rows_:
+        assert before == seen.get(g, 0)
+        seen[g] = before + x
