@@ -118,7 +118,7 @@ def log_loss(spark, sf):
     return rounded(m.log_loss(src.predictions(spark, sf), BY))
 
 
-BINS_SQL = """bins AS (SELECT seed, split, method, CAST(least(floor(probability*10), 9) AS INT) AS bin,
+BINS_SQL = """bins AS (SELECT seed, split, method, CAST(least(9, floor(probability*10)) AS INT) AS bin,
    count(*) AS n, avg(probability) AS mp, avg(target) AS obs FROM predictions GROUP BY ALL)"""
 
 

@@ -11,7 +11,7 @@ from sigloom.operators import pulses as pu
 from sigloom.operators import signals as sg
 from sigloom.operators import spectra as sx
 from sigloom.plans import inputs as src
-from sigloom.plans.registry import query, rounded
+from sigloom.plans.registry import query, round_to, rounded
 from sigloom.sources import signals as sources
 
 SPEC = sg.WindowSpec(16, 10)
@@ -49,7 +49,7 @@ WSCORES = f"""{src.SIGNALS}, st AS (SELECT row_number() OVER (ORDER BY s) - 1 AS
 
 def window_scores(spark, sf):
     w = sg.windows(sig(spark, sf), sg.WindowSpec(8, 4))
-    p = F.least(F.greatest(F.round(F.lit(0.5) + ar.array_sum("values"), 6), F.lit(0.0)), F.lit(1.0))
+    p = F.least(F.greatest(round_to(F.lit(0.5) + ar.array_sum("values")), F.lit(0.0)), F.lit(1.0))
     return w.select("sample_id", "window_index", p.alias("probability"))
 
 
@@ -234,7 +234,7 @@ def wide_to_signals(spark, sf):
     s = sources.read_wide_signals(spark, f"{sf}/lineitem.parquet", ["l_quantity", "l_tax"], chunk=512)
     return s.select(
         "sample_id", "chunk", "n", F.round(ar.array_sum("values"), 4).alias("total"),
-        F.round(F.get("values", F.lit(0)), 6).alias("first_value"), F.round(F.get("values", F.col("n") - 1), 6).alias("last_value"),
+        round_to(F.get("values", F.lit(0))).alias("first_value"), round_to(F.get("values", F.col("n") - 1)).alias("last_value"),
     )
 
 
