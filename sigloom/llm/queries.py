@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import lines, mixing
+from sigloom.llm import bpe, langid, lines, mixing, topk
+from sigloom.llm.text import id_bucket
 from sigloom.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +18,45 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", id_bucket(F.col("doc_id"), 4).alias("part"))
+    filters = langid.train(docs.where("part <> 2"))
+    held_out = (F.col("part") == 2).alias("held_out")
+    return langid.predict(docs.select("doc_id", held_out, "text"), filters).drop("text")
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode(documents(spark, sf_dir), ranks, ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut_lineage(mixing.sizes(documents(spark, sf_dir)))
     mixed = mixing.copies(sized, mixing.balance(sized))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+OP8_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(documents(spark, sf_dir), min_chars=40, min_docs=5)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -47,7 +81,10 @@ FROM m GROUP BY doc_id
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_entropy_mix": op7_entropy_mix,
+    "op8_exact_topk": op8_exact_topk,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op10_line_dedup": OP10_SQL.strip()}
+ORACLES: dict[str, str] = {"op8_exact_topk": OP8_SQL.strip(), "op10_line_dedup": OP10_SQL.strip()}
