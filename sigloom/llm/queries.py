@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import bpe, fingerprints, langid, lines, mixing, topk
+from sigloom.llm import bpe, fingerprints, langid, lines, mixing, neardup, topk
 from sigloom.llm.text import id_bucket
 from sigloom.session import cut_lineage
 
@@ -25,6 +25,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out, "text"), filters).drop("text")
 
 
+def op2_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), words=4, threshold=0.8)
+
+
 def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
@@ -86,6 +90,7 @@ FROM m GROUP BY doc_id
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_chosen_path_dedup": op2_chosen_path_dedup,
     "op3_weighted_fingerprints": op3_weighted_fingerprints,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_entropy_mix": op7_entropy_mix,
