@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import bpe, fingerprints, langid, lines, mixing, neardup, topk
+from sigloom.llm import bpe, fingerprints, langid, lines, lm, mixing, neardup, topk
 from sigloom.llm.text import id_bucket
 from sigloom.session import cut_lineage
 
@@ -33,6 +33,12 @@ def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", id_bucket(F.col("doc_id"), 7).alias("part"))
+    model = lm.train(docs.where("part <> 2"), order=2)
+    return lm.score(docs.select("doc_id", (F.col("part") == 2).alias("held_out"), "text"), model)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_chosen_path_dedup": op2_chosen_path_dedup,
     "op3_weighted_fingerprints": op3_weighted_fingerprints,
+    "op4_kneser_ney": op4_kneser_ney,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_entropy_mix": op7_entropy_mix,
     "op8_exact_topk": op8_exact_topk,
