@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import bpe, fingerprints, langid, lines, lm, mixing, neardup, topk
+from sigloom.llm import bpe, fingerprints, langid, lines, lm, mixing, neardup, pii, topk
 from sigloom.llm.text import id_bucket
 from sigloom.session import cut_lineage
 
@@ -46,6 +46,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), ranks, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+#: Of the registered query only; a user passes a secret.
+PII_KEY = "example key"
+
+
+def op6_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir), PII_KEY)
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut_lineage(mixing.sizes(documents(spark, sf_dir)))
     mixed = mixing.copies(sized, mixing.balance(sized))
@@ -100,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op3_weighted_fingerprints": op3_weighted_fingerprints,
     "op4_kneser_ney": op4_kneser_ney,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_feistel_pii": op6_feistel_pii,
     "op7_entropy_mix": op7_entropy_mix,
     "op8_exact_topk": op8_exact_topk,
     "op10_line_dedup": op10_line_dedup,
