@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import bpe, fingerprints, langid, lines, lm, mixing, neardup, pii, topk
+from sigloom.llm import bpe, fingerprints, langid, lines, lm, mixing, neardup, pii, quality, topk
 from sigloom.llm.text import id_bucket
 from sigloom.session import cut_lineage
 
@@ -79,6 +79,11 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_numb
 """
 
 
+def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(documents(spark, sf_dir), min_chars=40, min_docs=5)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -111,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op6_feistel_pii": op6_feistel_pii,
     "op7_entropy_mix": op7_entropy_mix,
     "op8_exact_topk": op8_exact_topk,
+    "op9_weak_quality": op9_weak_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {"op8_exact_topk": OP8_SQL.strip(), "op10_line_dedup": OP10_SQL.strip()}
