@@ -7,14 +7,17 @@ id; the other lines are put together again by position.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm.text import WHITE_CHARS, ascii_lower
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, text (kept lines), n_lines, n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, text (kept lines), n_lines, n_dropped,
+    and the columns named in ``carry``.
 
     A key is a line without white space at both ends and with A-Z in lower case. Keys of at
     least ``min_chars`` code points that are found in at least ``min_docs`` different doc_ids
@@ -31,8 +34,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     rows = docs.select(
         "doc_id",
         F.coalesce("text", F.lit("")).alias("text"),
+        F.struct(F.lit(0).alias("_"), *carry).alias("_carry"),
     ).select(
         "doc_id",
+        "_carry",
         F.xxhash64("text", F.length("text")).alias("row_key"),
         F.split("text", "\n", -1).alias("lines"),
     )
@@ -70,4 +75,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         F.array_join(kept, "\n").alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col(f"_carry.{c}").alias(c) for c in carry],
     )
