@@ -1,0 +1,224 @@
+"""Language ID, language model, quality, mixing, search and pseudonyms against plain Python."""
+
+import collections
+import datetime
+import random
+import zlib
+
+import brute
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from sigloom.llm import langid, lm, mixing, pii, quality, queries, topk
+
+DOCS = "doc_id long, text string"
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").cache()
+
+
+def test_language_of_held_out_documents(spark, documents):
+    out = queries.op1_language_id(spark, DATA).join(documents.select("doc_id", "lang"), "doc_id").toPandas()
+    assert len(out) == documents.count()
+    assert (out.held_out == [zlib.crc32(str(d).encode()) % 4 == 2 for d in out.doc_id]).all()
+    assert (out.lang_pred == out.lang)[out.held_out].mean() > 0.97
+    assert out.score.between(0, 1).all()
+
+
+def test_language_of_odd_rows(spark, documents):
+    filters = langid.train(documents)
+    rows = [(i, t, "x") for i, t in enumerate(brute.EDGES)] + [(None, "the and of", "y"), (None, "the and of", "y")]
+    out = langid.predict(spark.createDataFrame(rows, "doc_id long, text string, score string"), filters).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        letters = any(c.isalpha() for c in r["text"] or "")
+        assert (r["lang_pred"] == "und") == (not letters)
+        assert letters or r["score"] == 0
+    nothing = langid.train(spark.createDataFrame([(1, "a", None), (2, None, "en")], "doc_id long, text string, lang string"))
+    assert nothing.languages == []
+    assert langid.predict(spark.createDataFrame([(1, "abc")], DOCS), nothing).first()["lang_pred"] == "und"
+    assert langid.predict(spark.createDataFrame([], DOCS), filters).collect() == []
+
+
+def test_false_positives_are_taken_off():
+    rng = np.random.default_rng(0)
+    table = (rng.random(1 << 12) < 0.5).astype(np.uint8) | ((rng.random(1 << 12) < 0.1).astype(np.uint8) << 1)
+    filters = langid.Filters(["a", "b"], table, "a", 5, 2)
+    letters = "".join(rng.choice(list("abcdefgh"), 20_000)).encode()
+    counts, total = filters.counts(np.frombuffer(letters, np.uint8), np.array([0, len(letters)]))
+    assert total[0] > 19_000 and (counts[0] / total[0] < 0.02).all()
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_equals_its_definition(spark, documents, order):
+    rows = [(r["doc_id"], r["text"]) for r in documents.where("doc_id < 40").collect()]
+    rows += [(1000 + i, t) for i, t in enumerate(brute.EDGES)] + [(5, "w w w " * 200)]
+    train = [r for r in rows if r[0] % 3]
+    model = lm.train(spark.createDataFrame(train, DOCS).withColumn("score", F.lit("clash")), order)
+    want = brute.KneserNey([t for _, t in train], order)
+    out = lm.score(spark.createDataFrame(rows, DOCS).withColumn("n_known", F.lit("clash")), model).collect()
+    assert len(out) == len(rows)
+    texts = collections.defaultdict(list)
+    for d, t in rows:
+        texts[d].append(t)
+    for r in out:
+        fits = [t for t in texts[r["doc_id"]] if len(brute.words(t)) + 1 == r["n_tokens"]]
+        assert any(abs(want.score(t) - r["score"]) < 1e-5 * max(1, abs(r["score"])) for t in fits)
+        assert any(abs(want.base(t) - r["base_score"]) < 1e-8 * max(1, abs(r["base_score"])) for t in fits)
+        assert r["train_tokens"] == sum(want.raw.values())
+
+
+def test_frequent_contexts_are_spread(spark):
+    rng = random.Random(3)
+    texts = [" ".join(x for _ in range(3000) for x in ("hot", f"w{rng.randrange(20_000)}")) for _ in range(8)]
+    old, lm.SHARD_BYTES = lm.SHARD_BYTES, 20_000
+    try:
+        df = spark.createDataFrame(list(enumerate(texts * 40)), DOCS)
+        model = lm.train(df)
+        assert len(model.hot) and model.shards > 10
+        got = lm.score(spark.createDataFrame([(1, texts[0])], DOCS), model).first()["score"]
+    finally:
+        lm.SHARD_BYTES = old
+    assert got == pytest.approx(brute.KneserNey(texts * 40, 2).score(texts[0]), rel=1e-6)
+
+
+def test_empty_language_model(spark):
+    model = lm.train(spark.createDataFrame([], DOCS))
+    (r,) = lm.score(spark.createDataFrame([(1, "a b")], DOCS), model).collect()
+    assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["score"], r["base_score"]) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_mix_meets_its_targets(spark, documents):
+    sized = mixing.sizes(documents.withColumn("rate", F.lit("clash"))).cache()
+    out = mixing.copies(sized, mixing.balance(sized)).toPandas()
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    assert all(len(brute.words(texts[d])) == s for d, s in zip(out.doc_id, out["size"]))
+    want = brute.targets(out.groupby("source")["size"].sum().to_dict())
+    assert (out.taken <= 2 * out["size"]).all() and out.taken.mod(out["size"].clip(lower=1)).eq(0).all()
+    for source, part in out.groupby("source"):
+        assert part.target.iloc[0] == pytest.approx(want[source])
+        assert part.source_size.iloc[0] == part["size"].sum()
+        assert abs(part.taken.sum() - want[source]) <= max(0.02 * want[source], part["size"].max())
+    again = mixing.copies(sized.repartition(3), mixing.balance(sized.repartition(5))).toPandas()
+    assert out.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
+
+
+def test_mix_of_odd_rows(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (2, None, "x"), (3, "", None), (None, "a b", None), (4, "c", "y"), (5, None, "empty")]
+    sized = mixing.sizes(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    out = mixing.copies(sized, mixing.balance(sized)).toPandas()
+    assert len(out) == len(rows)
+    want = brute.targets({"x": 6, None: 2, "y": 1, "empty": 0})
+    for source, target in zip(out.source, out.target):
+        assert target == pytest.approx(want[None if pd.isna(source) else source])
+    empty = mixing.sizes(spark.createDataFrame([], "doc_id long, text string, source string"))
+    assert mixing.copies(empty, mixing.balance(empty)).collect() == []
+
+
+def test_newton_rates_are_exponentially_tilted(spark):
+    rng = random.Random(5)
+    rows = [(i, "s%d" % (i % 3), rng.randrange(1, 500)) for i in range(3000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long").cache()
+    out = mixing.copies(sized, mixing.balance(sized)).toPandas()
+    for _, part in out.groupby("source"):
+        assert (part["size"] * part.rate).sum() == pytest.approx(part.target.iloc[0], rel=1e-6)
+        free = part[part.rate < 1.999]
+        if len(free) > 2:
+            ratio = np.log(free.rate) / np.sqrt(free["size"])
+            assert ratio.std() < 1e-6 * max(1, abs(ratio.mean()) * 1e3)
+
+
+def test_top_k_matches_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([-1.0, -0.5, 0.0, 0.25, 1.0]) for _ in range(6)]) for i in range(300)]
+    rows += [(300 + i, [0.5] * 6) for i in range(40)] + [(7, [1.0] * 6), (8, [2.0, 1.0])]
+    rows += [(900, None), (901, [None] * 6), (902, [float("nan")] * 6), (903, []), (None, [1.0] * 6), (1000, [float("inf")] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
+    vectors = topk.integer_vectors(df)
+    got = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, shard_rows=64, block_rows=2).collect()
+    ints = [(i, [int(x * 1024 // 1) for x in v]) for i, v in rows if i is not None and v and all(x is not None and abs(x) < 1e9 for x in v)]
+    want = brute.top_k(ints, [(i, v) for i, v in ints if i % 100 == 0], 10)
+    assert sorted(map(tuple, got)) == sorted(want)
+    few = vectors.where("vec_id < 4")
+    assert len(topk.top_k(few, few.where("vec_id = 0"), k=10).collect()) == 3
+    assert topk.top_k(vectors.limit(0), vectors.limit(0)).collect() == []
+
+
+def test_pseudonyms_follow_the_network(spark):
+    rows = [
+        (1, "call +1 (988) 555-2485 or 988.555.2485, ip 42.144.35.254"),
+        (2, "card 4111 1111 1111 1111 4111111111111111 4111111111111112"),
+        (3, "born 1999-02-28 and 28.02.1999 not 1999-02-30 nor 0999-01-01, 1.2.3.400"),
+        (4, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" mail Ann.Lee-7@x.example.com.'),
+        (None, "ann.lee-7@x.example.com"),
+    ] + [(100 + i, t) for i, t in enumerate(brute.EDGES)]
+    df = spark.createDataFrame(rows, DOCS).select("*", F.lit("clash").alias("found"), F.lit(1).alias("n_pii"))
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, "k").collect()}
+    left, right = brute.feistel(988 - 200, 5552485 - 2_000_000, (800, 8_000_000), "k", "phone", 0)
+    phone = f"{left + 200}{right + 2_000_000}"
+    a, b = brute.feistel(42 * 256 + 144, 35 * 256 + 254, (65536, 65536), "k", "ip", 0)
+    assert got[1]["text"] == (
+        f"call +1 ({phone[:3]}) {phone[3:6]}-{phone[6:]} or {phone[:3]}.{phone[3:6]}.{phone[6:]}, "
+        f"ip {a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    )
+    cards = got[2]["text"].split()
+    assert "".join(cards[1:5]) == cards[5] != "4111111111111111" and cards[6] == "4111111111111112" and got[2]["n_card"] == 2
+    assert cards[5][0] == "4" and luhn(cards[5])
+    day = (pd.Timestamp("1999-02-28") - pd.Timestamp("1800-01-01")).days
+    l, r = brute.feistel(day // 773, day % 773, (189, 773), "k", "date", 0)
+    other = datetime.date(1800, 1, 1) + datetime.timedelta(days=l * 773 + r)
+    assert got[3]["text"] == f"born {other:%Y-%m-%d} and {other:%d.%m.%Y} not 1999-02-30 nor 0999-01-01, 1.2.3.400"
+    mail = got[4]["text"].split("mail ")[1].rstrip(".")
+    assert mail == got[None]["text"] and mail.endswith("@x.example.com") and mail != "ann.lee-7@x.example.com"
+    assert mail[3] == "." and mail[7] == "-" and "24be64439e" not in got[4]["text"]
+    assert (got[4]["n_key"], got[4]["n_email"], got[4]["n_pii"]) == (1, 1, 2)
+    assert [got[100 + i]["text"] for i in range(len(brute.EDGES))] == brute.EDGES
+    assert pii.pseudonymise(spark.createDataFrame([], DOCS), "k").collect() == []
+
+
+def luhn(digits):
+    total = sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def test_pseudonyms_are_different_for_different_values(spark):
+    rows = [(i, f"10.0.{i // 250}.{i % 250} 2001-{i % 12 + 1:02d}-{i % 28 + 1:02d} 415-555-{i:04d}") for i in range(800)]
+    out = pii.pseudonymise(spark.createDataFrame(rows, DOCS), "k").collect()
+    for column in (0, 2):
+        assert len({r["text"].split()[column] for r in out}) == 800
+    dates = {(rows[r["doc_id"]][1].split()[1], r["text"].split()[1]) for r in out}
+    assert len(dates) == len({a for a, _ in dates}) == len({b for _, b in dates})
+
+
+def test_quality_agrees_with_labels(spark, documents):
+    out = queries.op9_weak_quality(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").toPandas()
+    assert (out.kept == (out.quality == 1)).mean() > 0.93
+    assert out.kept[out.quality == 1].mean() > 0.97
+
+
+def test_quality_of_odd_rows(spark, documents):
+    scorer = quality.train(documents, fit_docs=100, rounds=1)
+    rows = [(i, t) for i, t in enumerate(brute.EDGES)] + [(None, "the cat sat"), (None, "the cat sat")]
+    out = quality.score(spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit("clash")), scorer).collect()
+    assert len(out) == len(rows)
+    assert all(r["score"] == 0 and not r["kept"] for r in out if r["doc_id"] is not None and not brute.words(brute.EDGES[r["doc_id"]]))
+    empty = quality.train(spark.createDataFrame([], DOCS))
+    assert quality.score(spark.createDataFrame([], DOCS), empty).collect() == []
+
+
+def test_expectation_maximisation_finds_the_accuracies():
+    rng = np.random.default_rng(1)
+    good = rng.random(40_000) < 0.7
+    right = np.array([[0.9, 0.95], [0.7, 0.8], [0.85, 0.6], [0.6, 0.9], [0.8, 0.8], [0.95, 0.7]])
+    v = np.zeros((len(good), 6), int)
+    for i, (bad, fine) in enumerate(right):
+        hit = rng.random(len(good)) < np.where(good, fine, bad)
+        v[:, i] = np.where(rng.random(len(good)) < 0.2, 0, np.where(hit == good, quality.GOOD, quality.BAD))
+    patterns, counts = np.unique(quality.pattern_of(v), return_counts=True)
+    model = quality.fit_labels(patterns, counts)
+    assert abs(model.prior - 0.7) < 0.02 and np.abs(model.right - right).max() < 0.03
