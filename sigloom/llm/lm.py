@@ -242,10 +242,12 @@ def _write_contexts(blobs: DataFrame, model: Model, level: int, d: tuple[float,
     return blobs.groupBy("shard").applyInPandas(work, "contexts long").agg(F.sum("contexts")).first()[0] or 0
 
 
-def frequent_words(docs: DataFrame, shards: int) -> np.ndarray:
-    """Words that make up more than half a shard, estimated on texts drawn by hash. They decide
-    only where n-grams are stored, never what is counted; there are at most 2 * shards."""
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit("hot"), "text"), F.lit(200)) == 0)
+def frequent_words(docs: DataFrame, rows: int, shards: int, look_at: int = 2000) -> np.ndarray:
+    """Words that make up more than half a shard, estimated on about ``look_at`` texts drawn by
+    hash. They decide only where n-grams are stored, never what is counted; there are at most
+    2 * shards."""
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("hot"), "text"), 11).cast("double") / float(1 << 53)
+    drawn = docs.where(draw < look_at / max(1, rows)).distinct()
     word = F.explode(F.regexp_extract_all("text", F.lit(f"({WORD})"))).alias("word")
     counts = drawn.select(word).groupBy(F.translate("word", UPPER, UPPER.lower()).alias("word")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -261,9 +263,9 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     count each. An empty table gives a model that knows nothing: every token is unknown."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    model = Model(shared_path(spark, "lm"), order, shards, frequent_words(texts, shards))
+    model = Model(shared_path(spark, "lm"), order, shards, frequent_words(texts, rows, shards))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number = [], 0
