@@ -111,25 +111,26 @@ def to_group_level(
 def three_phase_features(df: DataFrame, cols: Sequence[str], phases: Sequence[str] = PHASES, group: str = "id_measurement") -> DataFrame:
     """Attach every phase's features to each signal row; the row keeps its own target.
 
-    One shuffle: the per-phase picks are a window over the three-row group. A group without
-    exactly one row per phase fails the query.
+    The features of a group are conditional aggregates, which combine before the shuffle, so a
+    malformed group of any size costs a few numbers per task; they are joined to the rows by
+    group. A group without exactly one row per phase fails the query.
     """
     require_columns(df, ["sample_id", group, "phase", "target", *cols])
     if len(set(phases)) != 3:
         raise ValueError("exactly three distinct phases are required")
-    w = Window.partitionBy(group)
-    out = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumns(
-        {f"_n{p}": F.count_if(F.col("phase") == p).over(w) for p in phases}
-    )
-    out = out.withColumns(
-        {f"phase_{p}_{c}": F.max(F.when(F.col("phase") == p, F.col(c))).over(w) for c in cols for p in phases}
+    of = {p: F.col("phase") == p for p in phases}
+    wide = df.groupBy(F.col(group).alias("_group")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(of[p]).alias(f"_n{p}") for p in phases],
+        *[F.max(F.when(of[p], F.col(c))).alias(f"phase_{p}_{c}") for c in cols for p in phases],
     )
     ok = F.col("_n") == 3
     for p in phases:
         ok = ok & (F.col(f"_n{p}") == 1)
-    checked = require(out, ok, "group does not hold exactly one row per phase")
+    checked = require(wide, ok, "group does not hold exactly one row per phase")
     keep = [c for c in df.columns if c not in cols]
-    return checked.select(*keep, *[f"phase_{p}_{c}" for c in cols for p in phases])
+    joined = df.select(*keep).join(checked, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.select(*keep, *[f"phase_{p}_{c}" for c in cols for p in phases])
 
 
 def positive_class_weight(df: DataFrame, target: str = "target", split: str = "train") -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.confusion import confusion_counts, decision, mcc, rates
 from sigloom.functions.scalars import clip, ratio
 from sigloom.operators.ordering import attach, exact_quantiles, global_rank, ordered_prefix
+from sigloom.session import cut_lineage
 
 
 def binary_metrics(df: DataFrame, by: Sequence[str], target: str = "target", prediction: str | None = None) -> DataFrame:
@@ -34,8 +36,13 @@ def ranking_metrics(df: DataFrame, by: Sequence[str], target: str = "target", pr
 
     Both are sums over distinct scores, so one ordered prefix serves the two.
     """
+    return ranking_of_counts(score_counts(df, by, target, probability), by, probability)
+
+
+def ranking_of_counts(counts: DataFrame, by: Sequence[str], probability: str = "probability") -> DataFrame:
+    """``ranking_metrics`` of positives (pos) and negatives (neg) per distinct score."""
     by = list(by)
-    steps = cumulative_counts(df, by, target, probability)
+    steps = ordered_prefix(counts, by, [probability], ["pos", "neg"])
     totals = steps.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     steps = attach(steps, totals, by)
     tp = (F.col("_p") - F.col("pos_before")).cast("double")
@@ -300,12 +307,39 @@ def shift_summary(pair: DataFrame, by: Sequence[str], target: str, a: str, b: st
     return basic.join(points, list(by))
 
 
-def mcnemar(pair: DataFrame, by: Sequence[str], target: str, a: str, b: str, exact_up_to: int = 100_000) -> DataFrame:
+def _stirling_rest(n: Column) -> Column:
+    """ln n! less Stirling's formula, for whole n >= 1: summed exactly up to 15, a series beyond."""
+    exact = [math.lgamma(k + 1) - ((k + 0.5) * math.log(k) - k + 0.5 * math.log(2 * math.pi)) for k in range(1, 16)]
+    x = n.cast("double")
+    square = x * x
+    series = (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - F.lit(1 / 1680) / square) / square) / square) / x
+    return F.when(n <= 15, F.element_at(F.array(*[F.lit(v) for v in exact]), F.greatest(n, F.lit(1)).cast("int"))).otherwise(series)
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x without cancellation, as a series in (x - mean) / (x + mean)."""
+    v = (x - mean) / (x + mean)
+    series = F.lit(0.0)
+    for j in range(15, 0, -1):
+        series = (series + F.lit(1 / (2 * j + 1))) * v * v
+    near = (x - mean) * v + F.lit(2.0) * x * v * series
+    return F.when(F.abs(v) < 0.1, near).otherwise(x * F.ln(x / mean) + mean - x)
+
+
+def half_binomial(n: Column, k: Column) -> Column:
+    """Probability of k successes in n fair trials, to full precision at any n."""
+    x, y, mean = k.cast("double"), (n - k).cast("double"), n.cast("double") / 2
+    rest = _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k)
+    inner = F.exp(rest - _deviance(x, mean) - _deviance(y, mean)) * F.sqrt(n.cast("double") / (F.lit(2 * math.pi) * x * y))
+    return F.when((k == 0) | (k == n), F.pow(F.lit(0.5), n)).otherwise(inner)
+
+
+def mcnemar(pair: DataFrame, by: Sequence[str], target: str, a: str, b: str) -> DataFrame:
     """Discordant counts, exact two-sided binomial p and continuity-corrected chi-square.
 
-    The exact tail sums log-probabilities with the lgamma-free recurrence over 0..min(b,c);
-    beyond ``exact_up_to`` discordant pairs that tail is replaced by the normal limit,
-    which agrees to more digits than a double p-value of that size carries.
+    The tail is summed from min(b, c) downward by the ratio of neighbouring terms. Below
+    9 * sqrt(n) + 60 terms from there, none adds to a double, so that the work per key grows
+    with the root of its discordant pairs.
     """
     ok_a, ok_b = F.col(a) == F.col(target), F.col(b) == F.col(target)
     counts = pair.groupBy(*by).agg(
@@ -316,50 +350,32 @@ def mcnemar(pair: DataFrame, by: Sequence[str], target: str, a: str, b: str, exa
     gap = F.abs(F.col("a_wrong_b_correct") - F.col("a_correct_b_wrong"))
     chi2 = ratio((gap - 1) * (gap - 1), n)
     counts = counts.withColumn("_n", n).withColumn("_low", low)
-    # Walk k = 0..low carrying (log pmf, running tail): pmf(k+1) = pmf(k) * (n-k)/(k+1).
-    start = F.struct(
-        (F.col("_n") * F.ln(F.lit(0.5))).cast("double").alias("lp"),
-        F.lit(0.0).alias("tail"),
-    )
-    walk = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), F.col("_low")),
-        start,
-        lambda acc, k: F.struct(
-            (acc["lp"] + F.ln(F.greatest(F.col("_n") - k, F.lit(1)).cast("double") / (k + 1))).alias("lp"),
-            (acc["tail"] + F.exp(acc["lp"])).alias("tail"),
+    first = half_binomial(F.col("_n"), F.col("_low"))
+    terms = F.least(F.col("_low"), F.ceil(F.sqrt(F.col("_n").cast("double")) * 9 + 60))
+    tail = F.aggregate(
+        F.sequence(F.lit(0).cast("bigint"), terms),
+        F.struct(first.alias("term"), F.lit(0.0).alias("tail")),
+        lambda acc, i: F.struct(
+            (acc["term"] * (F.col("_low") - i) / (F.col("_n") - F.col("_low") + i + 1)).alias("term"),
+            (acc["tail"] + acc["term"]).alias("tail"),
         ),
         lambda acc: acc["tail"],
     )
-    exact = F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * walk))
-    return counts.select(
-        *by,
-        "a_wrong_b_correct",
-        "a_correct_b_wrong",
-        chi2.alias("chi_square"),
-        F.when(F.col("_n") <= exact_up_to, exact).otherwise(normal_two_sided(F.sqrt(chi2))).alias("p_value"),
-    )
-
-
-def normal_two_sided(z):
-    """2 * (1 - Phi(z)) for z >= 0 by the Abramowitz-Stegun 7.1.26 erfc polynomial."""
-    x = z / F.sqrt(F.lit(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * x)
-    poly = F.lit(0.0)
-    # Published coefficients of the approximation, highest power first.
-    for c in (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592):
-        poly = (poly + F.lit(c)) * t
-    return poly * F.exp(-x * x)
+    exact = F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * tail))
+    return counts.select(*by, "a_wrong_b_correct", "a_correct_b_wrong", chi2.alias("chi_square"), exact.alias("p_value"))
 
 
 def evaluate_methods(predictions: DataFrame, by: Sequence[str] = ("dataset", "seed", "split", "method")) -> DataFrame:
     """Every metric for every (dataset, seed, split, method).
 
-    One pass over the rows folds them to distinct (key, score, threshold) cells; hard
-    metrics, Brier and calibration all come from those cells, ranking from the prefix.
+    One pass over the rows folds them to distinct (key, score, threshold) cells, which are
+    stored; hard metrics, Brier, calibration and ranking all come from those cells.
     """
     by = list(by)
-    cells = predictions.groupBy(*by, "probability", "threshold").agg(
-        F.count_if(F.col("target") == 1).alias("pos"), F.count_if(F.col("target") == 0).alias("neg")
+    cells = cut_lineage(
+        predictions.groupBy(*by, "probability", "threshold").agg(
+            F.count_if(F.col("target") == 1).alias("pos"), F.count_if(F.col("target") == 0).alias("neg")
+        )
     )
     p, up = F.col("probability"), F.col("probability") >= F.col("threshold")
     per_bin = cells.groupBy(*by, probability_bin(10).alias("_bin")).agg(
@@ -379,4 +395,5 @@ def evaluate_methods(predictions: DataFrame, by: Sequence[str] = ("dataset", "se
         (F.sum("_sq") / F.sum("_n")).alias("brier"),
         (F.sum(F.abs(F.col("_psum") - F.col("_ysum"))) / F.sum("_n")).alias("ece"),
     ).select("*", *rates())
-    return flat.join(ranking_metrics(predictions, by).drop("positives", "negatives"), by)
+    scores = cells.groupBy(*by, "probability").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return flat.join(ranking_of_counts(scores, by).drop("positives", "negatives"), by)

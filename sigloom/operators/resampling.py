@@ -22,7 +22,6 @@ from sigloom.operators.ordering import attach, global_rank
 from sigloom.session import cut_lineage, parallelism
 
 STATES = [f"s{k}" for k in range(8)]
-PROFILES_PER_BUCKET = 4096
 REPLICATES_PER_ROW = 250
 
 
@@ -73,26 +72,26 @@ def group_profiles(pair: DataFrame, by: Sequence[str], group: str, target: str,
 
 
 def group_replicates(
-    pair: DataFrame, by: Sequence[str], group: str, target: str, a: str, b: str, n: int, seed: int = 42
+    pair: DataFrame, by: Sequence[str], group: str, target: str, a: str, b: str, n: int, seed: int = 42, buckets: int = 8
 ) -> DataFrame:
     """(by, replicate, delta) when whole groups are resampled.
 
-    Profiles are hashed into buckets of a few thousand. Each replicate first splits its G
-    draws over the buckets, then every bucket draws its share on its own: exact at any
-    number of profiles, and no task holds more than one bucket.
+    Profiles are hashed into ``buckets`` parts. Each replicate first splits its G draws over
+    the buckets, then every bucket draws its share on its own: exact at any number of
+    profiles, and no task holds more than one bucket. The number of buckets is part of the
+    random stream and is fixed by the caller, so a key's interval depends on that key alone;
+    raise it for tables with millions of different profiles.
     """
     by = list(by)
-    profiles = cut_lineage(group_profiles(pair, by, group, target, a, b))
-    most = profiles.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    buckets = max(1, -(-most // PROFILES_PER_BUCKET))
+    profiles = group_profiles(pair, by, group, target, a, b)
     key = F.xxhash64(*by) if by else F.lit(0).cast("bigint")
     placed = profiles.withColumn("_b", F.pmod(F.xxhash64(*STATES), F.lit(buckets)).cast("int")).withColumn("_key", key)
-    packed = placed.groupBy(*by, "_key", "_b").agg(
+    packed = cut_lineage(placed.groupBy(*by, "_key", "_b").agg(
         F.sum("groups").alias("_w"),
         F.sort_array(
             F.collect_list(F.array(F.col("groups").cast("double"), *[F.col(s).cast("double") for s in STATES]))
         ).alias("_p"),
-    )
+    ))
     weights = packed.groupBy(*by, "_key").agg(
         F.array_sort(F.collect_list(F.struct("_b", F.col("_w").cast("double").alias("w")))).alias("_s")
     )

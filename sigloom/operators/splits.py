@@ -20,9 +20,18 @@ def stratified_folds(
     df: DataFrame, k: int, seed: int, strata: Sequence[str] = ("target",), id_col: str = "sample_id", name: str = "fold"
 ) -> DataFrame:
     """Round-robin folds over the hash order within each stratum: sizes differ by at most one."""
-    keyed = df.withColumn("_h", hash32(seed, id_col))
-    ranked = global_rank(keyed, strata, ["_h", id_col], "_r")
-    return ranked.withColumn(name, ((F.col("_r") - 1) % k).cast("int")).drop("_h", "_r")
+    return _with_rank(df, seed, strata, id_col).withColumn(name, ((F.col("_r") - 1) % k).cast("int")).drop("_r")
+
+
+def _with_rank(df: DataFrame, seed: int, strata: Sequence[str], id_col: str) -> DataFrame:
+    """Adds ``_r``, the place in the hash order of the stratum. Only strata and ids are sorted;
+    wide rows are joined to their rank by id."""
+    narrow = [*strata, id_col]
+    ranked = global_rank(df.select(*narrow, hash32(seed, id_col).alias("_h")), strata, ["_h", id_col], "_r")
+    if set(df.columns) <= set(narrow):
+        return ranked.select(*df.columns, "_r")
+    ranks = ranked.select(F.col(id_col).alias("_id"), "_r")
+    return df.join(ranks, F.col(id_col) == F.col("_id")).select(*df.columns, "_r")
 
 
 def group_table(df: DataFrame, group: str = "id_measurement", target: str = "target") -> DataFrame:
@@ -66,12 +75,12 @@ def source_manifest(
 
 def stratified_split(df: DataFrame, fraction: float, seed: int, target: str = "target", id_col: str = "sample_id") -> DataFrame:
     """Signal-level split with round(fraction * n) of each class in train (a leaky diagnostic)."""
-    ranked = global_rank(df.withColumn("_h", hash32(seed, id_col)), [target], ["_h", id_col], "_r")
+    ranked = _with_rank(df, seed, [target], id_col)
     sizes = df.groupBy(target).agg(F.rint(F.lit(fraction) * F.count(F.lit(1))).alias("_cut"))
     placed = attach(ranked, sizes, [target])
     return placed.withColumn(
         "split", F.when(F.col("_r") <= F.col("_cut"), "train").otherwise("validation")
-    ).drop("_h", "_r", "_cut")
+    ).drop("_r", "_cut")
 
 
 def nested_folds(

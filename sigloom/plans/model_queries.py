@@ -322,8 +322,9 @@ def stored_representation(spark, sf):
 
 @query(
     "table_fingerprint",
-    """WITH d AS (SELECT ('0x' || substr(md5(concat_ws(chr(31), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, coalesce(o_orderpriority, '\\N'))),1,8))::BIGINT AS d FROM orders)
-    SELECT count(*) AS rows, bit_xor(d) AS digest_xor, CAST(sum(d % 1000003) AS BIGINT) AS digest_sum FROM d""",
+    f"""WITH d AS (SELECT sha256({' || '.join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))}) AS d FROM orders),
+      w AS (SELECT {', '.join(f"('0x' || substr(d, {16 * k + 1}, 15))::BIGINT AS w{k}" for k in range(4))} FROM d)
+    SELECT count(*) AS rows, {', '.join(f"bit_xor(w{k}) AS xor_{k}, CAST(sum(w{k} % 1000000007) AS BIGINT) AS sum_{k}" for k in range(4))} FROM w""",
 )
 def table_fingerprint(spark, sf):
     return tb.table_fingerprint(src.table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
@@ -360,4 +361,4 @@ def store_stream(spark, sf):
         return sg.windows(named, sg.WindowSpec(16, 10)).select("sample_id", "window_index", array_sum("values").alias("total"))
 
     expected = src.table(spark, sf, "embeddings").count()
-    return rounded(st.store_stream(st.arriving(spark, f"{sf}/embeddings.parquet*"), cut, expected, ["sample_id"]))
+    return rounded(st.store_stream(st.arriving(spark, f"{sf}/embeddings.parquet*"), cut, expected, ["sample_id"], rows_per_key=6))

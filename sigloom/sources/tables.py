@@ -19,11 +19,11 @@ def write_predictions(df: DataFrame, path: str, mode: str = "errorifexists", par
     """Write a wide prediction table; a repeated sample or missing column fails the job.
 
     The uniqueness check is part of the write job, and rows are clustered by the partition
-    columns so each directory gets few files.
+    columns; adaptive execution sizes the files and splits a large partition over tasks.
     """
     require_columns(df, WIDE_KEYS)
     checked = unique_rows(df, [*partition_by, "split", "sample_id"], "sample_id repeats in the prediction table")
-    checked.repartition(*partition_by, F.pmod(F.xxhash64("sample_id"), F.lit(16))).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    checked.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
@@ -71,21 +71,32 @@ def parameter_fingerprint(params: dict) -> str:
     return hashlib.sha256(canonical_json(params).encode()).hexdigest()
 
 
+WORDS = 4
+
+
 def row_digest(cols: Sequence[str]) -> Column:
-    """md5 of the row's values as text, nulls marked; 32 bits of it as an integer."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]
-    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 8), 16, 10).cast("bigint")
+    """sha256 (hex) of the row. Each value is written as its length and its text, a null as a
+    mark of its own, so no two different rows are written alike."""
+    parts = []
+    for c in cols:
+        text = F.col(c).cast("string")
+        parts.append(F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.sha2(F.concat(*parts), 256)
 
 
 def table_fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Order-independent content fingerprint in one row: row count, digest xor and digest sum.
+    """Order-independent content fingerprint in one row: row count, and xor and sum of the four
+    60-bit words at the front of each quarter of the digest.
 
-    A plain aggregation, so it scales with the scan; the sum keeps pairs of equal rows from
-    cancelling as they would in the xor alone.
+    A plain aggregation, so it scales with the scan; the sums keep pairs of equal rows from
+    cancelling as they would in the xors alone.
     """
     d = df.select(row_digest(cols).alias("d"))
-    return d.agg(
-        F.count(F.lit(1)).alias("rows"), F.bit_xor("d").alias("digest_xor"), F.sum(F.col("d") % F.lit(1_000_003)).alias("digest_sum")
+    words = d.select(*[F.conv(F.substring("d", 16 * k + 1, 15), 16, 10).cast("bigint").alias(f"w{k}") for k in range(WORDS)])
+    return words.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.bit_xor(f"w{k}").alias(f"xor_{k}") for k in range(WORDS)],
+        *[F.sum(F.col(f"w{k}") % F.lit(1_000_000_007)).alias(f"sum_{k}") for k in range(WORDS)],
     )
 
 
@@ -143,13 +154,32 @@ def load_representation(spark: SparkSession, root: str, params: dict) -> DataFra
     return data
 
 
+def _sha256_of(path: str, block: int = 1 << 20) -> str:
+    """sha256 of a file of any size, read in blocks."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    digest = hashlib.sha256()
+    with store.open_input_stream(place) as stream:
+        while part := stream.read(block):
+            digest.update(part)
+    return digest.hexdigest()
+
+
 def file_inventory(spark: SparkSession, glob: str, expected: Iterable[str] = ()) -> DataFrame:
     """Name, size and sha256 of each file, and expected files that are absent.
 
-    Contents are hashed by the tasks that read them; only one file is in a task at a time.
+    Spark lists the files without reading them; tasks then hash them in blocks, so a file may
+    have any size and takes one block of memory.
     """
-    files = spark.read.format("binaryFile").load(glob).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+
+    def hashed(batches):
+        for batch in batches:
+            yield batch.assign(sha256=[_sha256_of(p) for p in batch["path"]])
+
+    listed = spark.read.format("binaryFile").load(glob).select("path", "length").repartition("path")
+    files = listed.mapInPandas(hashed, "path string, length bigint, sha256 string").select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "sha256"
     )
     wanted = spark.createDataFrame([(e,) for e in expected], "name string").withColumn("required", F.lit(True))
     return files.join(wanted, "name", "full_outer").select(

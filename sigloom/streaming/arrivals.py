@@ -55,12 +55,13 @@ def stream_moments(stream: DataFrame, values: str, length: int, out: str | None
 
 
 def store_stream(
-    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], expected_rows: int, key: Sequence[str], out: str | None = None
+    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], expected_rows: int, key: Sequence[str], out: str | None = None,
+    rows_per_key: int = 1,
 ) -> DataFrame:
     """Write the transformed stream to Parquet exactly once and check its coverage.
 
-    The checkpoint makes restarts resume after the last finished batch. ``expected_rows``
-    distinct keys must be there at the end.
+    The checkpoint makes restarts resume after the last finished batch. At the end,
+    ``expected_rows`` distinct keys must be there, each with ``rows_per_key`` rows.
     """
     spark = stream.sparkSession
     out = out or work_path(spark, "stored")
@@ -70,7 +71,8 @@ def store_stream(
     )
     query.awaitTermination()
     stored = spark.read.parquet(f"{out}/table")
-    got = stored.select(*key).distinct().count()
-    if got != expected_rows:
-        raise ContractError(f"stored {got} of {expected_rows} expected samples")
+    per_key = stored.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    got = per_key.agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("n") != rows_per_key).alias("odd")).first()
+    if got["keys"] != expected_rows or got["odd"]:
+        raise ContractError(f"stored {got['keys']} of {expected_rows} expected samples, {got['odd']} of them with missing or repeated rows")
     return stored
