@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm.text import WHITE_CHARS, ascii_lower
+from sigloom.session import cut_lineage
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: Sequence[str] = ()) -> DataFrame:
@@ -57,6 +58,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry:
         .where(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    # Written out, so that a line that a third of the documents hold can be split in the join.
+    common = cut_lineage(common)
     dropped = (
         lines.join(common, ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
