@@ -7,9 +7,10 @@ pair at the threshold meets in about one child of each node where it meets. Node
 are compared exhaustively, larger ones branch again. Trees are repeated until the recall is there.
 Candidates that the signatures leave possible are confirmed on the full sets of shingles.
 
-Equal sets are one class and take part once. Inside a node only a maximum spanning forest of the
-possible pairs is confirmed first; what it leaves unconnected is then confirmed pair by pair, so
-a group of near copies costs few pairs, and no pair of unconnected documents is passed over.
+Equal sets are one class and take part once. Of every node, a maximum spanning forest of the
+possible pairs is confirmed first, which connects a group of near copies by few pairs. Then the
+members that may still be linked with another group are compared on their full sets inside their
+nodes, so that no pair of unconnected documents is passed over.
 """
 
 from __future__ import annotations
@@ -196,62 +197,141 @@ def spanning_pairs(sigs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def possible_pairs(sigs: np.ndarray, groups: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """All pairs of different groups with at least ``least`` equal coordinates."""
-    out = []
+def undecided(sigs: np.ndarray, groups: np.ndarray, least: int) -> np.ndarray:
+    """Members that may be linked with a member of another group."""
+    out = np.zeros(len(sigs), bool)
     for i in range(len(sigs) - 1):
-        same = (sigs[i + 1 :] == sigs[i]).sum(axis=1)
-        for j in np.flatnonzero((same >= least) & (groups[i + 1 :] != groups[i])).tolist():
-            out.append((i, i + 1 + j, int(same[j])))
+        near = ((sigs[i + 1 :] == sigs[i]).sum(axis=1) >= least) & (groups[i + 1 :] != groups[i])
+        out[i + 1 :] |= near
+        out[i] |= near.any()
+    return np.flatnonzero(out)
+
+
+def set_links(sets: list[np.ndarray], groups: list[int], percent: int) -> list[tuple[int, int]]:
+    """Pairs whose full sets reach the threshold, as few as connect what links connect. The
+    intersections of all pairs are one product of the members' incidence matrix with itself."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    values, column, number = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(number > 1) - 1  # shingles of one member only meet nobody
+    shared = np.zeros((n, n), np.float32)
+    owner, column = owner[number[column] > 1], place[column[number[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        block = np.zeros((n, 4096), np.float32)
+        block[owner[a:b], column[a:b] - start] = 1
+        shared += block @ block.T
+    size = np.array([len(x) for x in sets], np.float64)
+    good = 100 * shared.astype(np.float64) >= percent * (size[:, None] + size[None, :] - shared)
+    parent = {g: g for g in groups}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(good, 1))):
+        x, y = find(groups[i]), find(groups[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(i), int(j)))
     return out
 
 
-def compare_leaves(rows: DataFrame, least: int, spanning: bool) -> DataFrame:
-    """Distinct candidate pairs (a < b) of the leaves; rows have node, id, sig and group.
+def _leaf_rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, list[list]]]:
+    """Node and column values of each leaf, from batches in node order."""
+    node, held = None, [[] for _ in columns]
+    for batch in batches:
+        nodes = batch.column("node").to_numpy()
+        values = [batch.column(c).to_pylist() for c in columns]
+        cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if nodes[a] != node:
+                if len(held[0]) > 1:
+                    yield node, held
+                node, held = int(nodes[a]), [[] for _ in columns]
+            for h, c in zip(held, values):
+                h.extend(c[a:b])
+    if len(held[0]) > 1:
+        yield node, held
+
+
+def _in_leaves(rows: DataFrame) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node", "id")
 
-    Leaves are streamed in node order; a leaf has a bounded number of rows.
-    """
+
+def _matrix(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), COORDINATES)
+
+
+def forest_pairs(rows: DataFrame, least: int) -> DataFrame:
+    """Distinct candidate pairs (a < b): the spanning forests of all leaves. ``rows``: node, id,
+    sig. Leaves are streamed in node order; a leaf has a bounded number of rows."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(ids, groups, sigs):
-            matrix = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), COORDINATES)
-            if len(set(groups)) < 2:
-                return
-            found = spanning_pairs(matrix, least) if spanning else possible_pairs(matrix, np.array(groups), least)
-            for i, j, _ in found:
+        seen: set[tuple[int, int]] = set()
+        for _, (ids, sigs) in _leaf_rows(batches, ["id", "sig"]):
+            for i, j, _ in spanning_pairs(_matrix(sigs), least):
                 if ids[i] != ids[j]:
                     seen.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            if len(seen) > 100_000:
+                yield _pairs(seen)
+                seen.clear()
+        yield _pairs(seen)
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in seen], kind) for k in (0, 1)], ["a", "b"])
-            seen.clear()
-            return out
+    return _in_leaves(rows.select("node", "id", "sig")).mapInArrow(work, f"a {kind}, b {kind}").distinct()
 
-        seen: set[tuple[int, int]] = set()
-        kind, node, held = pa.int64(), None, ([], [], [])
-        for batch in batches:
-            kind = batch.schema.field("id").type
-            nodes = batch.column("node").to_numpy()
-            columns = [batch.column(c).to_pylist() for c in ("id", "group", "sig")]
-            cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if nodes[a] != node:
-                    if len(held[0]) > 1:
-                        pairs(*held)
-                    node, held = nodes[a], ([], [], [])
-                for h, c in zip(held, columns):
-                    h.extend(c[a:b])
-            if len(seen) > 100_000:
-                yield flush()
-        if len(held[0]) > 1:
-            pairs(*held)
-        yield flush()
 
+def _pairs(pairs) -> pa.RecordBatch:
+    pairs = list(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def leaf_links(rows: DataFrame, texts: DataFrame, least: int, words: int, threshold: float) -> DataFrame:
+    """Links (a, b) between different groups that share a leaf. ``rows``: node, id, sig, group.
+
+    Leaves are compared exhaustively: by signature to find the members that may have a link to
+    another group, then these on their full sets of shingles. Only links leave a leaf, and only
+    as many as connect its groups, so that a family of documents just below the threshold costs
+    comparisons inside its leaves and no rows.
+    """
     kind = rows.schema["id"].dataType.simpleString()
-    ordered = rows.select("node", "id", "group", "sig").repartition("node").sortWithinPartitions("node", "id")
-    return ordered.mapInArrow(work, f"a {kind}, b {kind}").distinct()
+    percent = round(threshold * 100)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for node, (ids, groups, sigs) in _leaf_rows(batches, ["id", "group", "sig"]):
+            if len(set(groups)) > 1:
+                out += [(node, ids[i], groups[i]) for i in undecided(_matrix(sigs), np.array(groups), least)]
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "id", "group"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "id", "group"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sized():
+            for whole in batches:
+                for batch in chunks(whole):
+                    sets = [s.tobytes() for s in shingle_sets(*utf8(batch.column("text")), words)]
+                    columns = [batch.column("node"), batch.column("id"), batch.column("group"), pa.array(sets, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "id", "group", "set"])
+
+        for _, (ids, groups, sets) in _leaf_rows(sized(), ["id", "group", "set"]):
+            if len(set(groups)) > 1:
+                found = set_links([np.frombuffer(s, np.uint64) for s in sets], groups, percent)
+                yield _pairs([(ids[i], ids[j]) for i, j in found])
+
+    marked = _in_leaves(rows.select("node", "id", "group", "sig")).mapInArrow(mark, f"node long, id {kind}, group {kind}")
+    members = stored(marked, "marked").join(texts.hint("merge"), "id")
+    return _in_leaves(members.select("node", "id", "group", "text")).mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -259,7 +339,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) ->
     percent = round(threshold * 100)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a")
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -333,19 +413,17 @@ def near_duplicates(
     rows = leaves(members, threshold, leaf, levels)
     sure = threshold + (1 - threshold) * CHANCE
     least = math.floor(COORDINATES * (sure - slack * math.sqrt(sure * (1 - sure) / COORDINATES)))
-    first = stored(compare_leaves(rows.withColumn("group", F.col("id")), least, True), "pairs")
-    # Texts of all documents that are in any possible pair, once; both rounds read them.
+    first = stored(forest_pairs(rows, least), "pairs")
+    # Texts of all documents that are in any possible pair, once; both rounds read them. They
+    # move by a merge join at every size: the ids on the other side grow with the table.
     involved = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull())
-    texts = stored(texts.join(involved, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
-    judged = stored(confirm(first, texts, words, threshold), "judged")
-    links = judged.where("linked").select("a", "b")
+    texts = stored(texts.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+    links = stored(confirm(first, texts, words, threshold).where("linked").select("a", "b"), "links")
     groups = stored(components(links), "groups")
-    # What the forest left unconnected: every possible pair of different groups.
+    # What the forest left unconnected: every pair of different groups that share a leaf.
     grouped = rows.join(groups, "id", "left").select("node", "id", "sig", F.coalesce("component", "id").alias("group"))
-    refuted = judged.where(~F.col("linked")).select("a", "b")
-    second = compare_leaves(grouped, least, False).join(refuted, ["a", "b"], "left_anti")
-    more = stored(confirm(stored(second, "pairs"), texts, words, threshold).where("linked").select("a", "b"), "judged")
+    more = stored(leaf_links(grouped, texts, least, words, threshold), "links")
     if more.limit(1).count():
         groups = stored(components(links.union(more)), "groups")
     named = stored(classes.join(groups, F.col("rep") == F.col("id"), "left").select(
