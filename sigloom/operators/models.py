@@ -1,8 +1,8 @@
 """Cross-fitted models.
 
 Logistic models (calibration, reliability, stacking, gates, features) are fitted for all folds
-at once: each Newton step sums gradient and curvature per task and key, then across tasks,
-and the driver solves the few small systems. Tree and neural models use MLlib, one fit per fold.
+at once: each Newton step is one aggregation of gradient and curvature per model, and the small
+systems are solved in a table. Tree and neural models use MLlib, one fit per fold.
 """
 
 from __future__ import annotations
@@ -21,127 +21,214 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.confusion import confusion_counts, rates
 from sigloom.functions.fusion import adaptive, conservative, mean_fusion, reliability_features, weighted
-from sigloom.functions.scalars import logit, sigmoid
+from sigloom.functions.scalars import is_finite, logit, sigmoid
+from sigloom.operators.checks import require
 from sigloom.operators.metrics import brier, ranking_metrics
+from sigloom.operators.ordering import attach
 from sigloom.operators.projections import column_medians, finite, union_results
 from sigloom.operators.splits import grouped_folds, stratified_folds
 from sigloom.operators.sweeps import best_row, override_curve, select_delta, select_fixed_weight, select_tau, select_threshold
-from sigloom.session import cut_and_spread, cut_lineage
+from sigloom.session import cut_lineage, spread_and_cut
 
 # Logistic regression for many keys at once ---------------------------------------------
 
 
-# Coefficient tables are held by the driver and broadcast; this bounds their size.
-MAX_MODELS = 10_000
+#: A coefficient table of at most so many rows is joined by broadcast, a larger one by shuffle.
+BROADCAST_MODELS = 1_000
+#: Up to so many features, Newton sums are plain aggregates; beyond, tasks sum matrix blocks.
+NATIVE_FEATURES = 12
+
+
+def _join_models(df: DataFrame, table: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """Columns of the per-key table, added to the rows of its key."""
+    renamed = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    on = [F.col(k) == F.col(f"_k_{k}") for k in keys]
+    return df.join(F.broadcast(renamed) if small else renamed, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 @dataclass(frozen=True)
 class LogisticModels:
-    """Coefficients per key: intercept first, on features scaled by (mean, std)."""
+    """Coefficients of every key: a table of the keys and ``_coef``, intercept first."""
 
     keys: tuple[str, ...]
     features: tuple[str, ...]
-    table: dict[tuple, dict]
-
-    def frame(self, spark, types: dict[str, str]) -> DataFrame:
-        rows = [(*k, [float(v) for v in m["raw"]]) for k, m in self.table.items()]
-        schema = ", ".join(f"{k} {types[k]}" for k in self.keys) + ", _coef array<double>"
-        return spark.createDataFrame(rows, schema)
+    table: DataFrame
+    small: bool
 
     def score(self, df: DataFrame, name: str) -> DataFrame:
-        """Adds P(class 1). The coefficient table has one row per key and is joined by it."""
-        types = dict(df.dtypes)
+        """Adds P(class 1); null for a key without a model."""
         z = F.get("_coef", F.lit(0))
         for i, f in enumerate(self.features):
             z = z + F.get("_coef", F.lit(i + 1)) * F.col(f)
-        if not self.keys:
-            coef = F.array(*[F.lit(float(v)) for v in self.table[()]["raw"]])
-            return df.withColumn("_coef", coef).withColumn(name, sigmoid(z)).drop("_coef")
-        coefs = F.broadcast(self.frame(df.sparkSession, types))  # one row per fitted key
-        return df.join(coefs, list(self.keys), "left").withColumn(name, sigmoid(z)).drop("_coef")
+        if not self.keys:  # one model: features + 1 numbers
+            row = self.table.first()
+            if row is None:
+                raise ValueError("no rows to fit")
+            joined = df.withColumn("_coef", F.array(*[F.lit(float(v)) for v in row["_coef"]]))
+        else:
+            joined = _join_models(df, self.table.select(*self.keys, "_coef"), self.keys, self.small)
+        return joined.withColumn(name, sigmoid(z)).drop("_coef")
 
 
 def fit_logistic(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, l2: float = 1.0,
-    balanced: bool = False, scale: bool = False, steps: int = 25, tolerance: float = 1e-4,
+    balanced: bool = False, scale: bool = False, steps: int = 50, tolerance: float = 1e-4, held_out: str | None = None,
 ) -> LogisticModels:
     """Penalised logistic regression (sum of losses + l2/2 * |w|^2) for every key.
 
-    Newton steps converge quadratically, so a last step below 1e-4 leaves an error near 1e-8.
-    A key whose rows are all of one class gets that constant. ``balanced`` weights classes
-    inversely to their counts; ``scale`` standardises the features per key first.
+    Newton steps converge quadratically, so a last step below 1e-4 leaves an error near 1e-8;
+    models that are not there after ``steps`` raise, and so do non-finite features. A key whose
+    rows are all of one class gets that constant. ``balanced`` weights classes inversely to
+    their counts; ``scale`` penalises the coefficients of standardised features.
+
+    With ``held_out``, the column of that name is one more key, and its model is fitted on the
+    rows of all its *other* values: every row serves those models from where it lies, and no
+    copies are stored.
+
+    Coefficients stay in a table that is joined to the rows for each step; the driver sees the
+    number of keys and of unfinished models. The shift of a feature is absorbed by the
+    intercept, which is not penalised, so features are centred once for all keys.
     """
     keys, features, d = list(keys), list(features), len(features)
-    rows = cut_and_spread(df.select(*keys, *features, F.col(target).cast("double").alias("_y")))
-    stats = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"),
-        *[F.avg(f).alias(f"_m{i}") for i, f in enumerate(features)],
-        *[F.stddev_pop(f).alias(f"_s{i}") for i, f in enumerate(features)],
-    ).collect()
-    if len(stats) > MAX_MODELS:
-        raise ValueError(f"{len(stats)} keys: at most {MAX_MODELS} models can be fitted together")
-    table: dict[tuple, dict] = {}
-    for r in stats:
-        key = tuple(r[k] for k in keys)
-        n, pos = r["_n"], int(r["_pos"])
-        std = np.array([r[f"_s{i}"] if scale and r[f"_s{i}"] > 0 else 1.0 for i in range(d)])
-        mean = np.array([r[f"_m{i}"] if scale else 0.0 for i in range(d)])
-        one_class = pos in (0, n)
-        weight = (n / (2.0 * (n - pos)), n / (2.0 * pos)) if balanced and not one_class else (1.0, 1.0)
-        table[key] = {"mean": mean, "std": std, "weight": weight, "done": one_class, "beta": np.zeros(d + 1)}
-        if one_class:
-            table[key]["beta"][0] = 40.0 if pos else -40.0
-    types = dict(rows.dtypes)
-    keyed = "".join(f"{k} {types[k]}, " for k in keys)
+    named = tuple([*keys, *([held_out] if held_out else [])])
+    if not named:  # one model: a key of one value
+        keys, df = ["_all"], df.withColumn("_all", F.lit(0))
+    every = [*keys, *([held_out] if held_out else [])]
+    sound = F.lit(True)
+    for f in features:
+        sound = sound & F.coalesce(is_finite(f), F.lit(False))
+    checked = require(df, sound, "a feature is null or not finite")
+    whole = checked.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
+    centre = [whole[f"m{i}"] or 0.0 for i in range(d)]
+    spread = [whole[f"s{i}"] or 1.0 for i in range(d)]
+    xs = [((F.col(f) - F.lit(float(m))) / F.lit(float(s))).alias(f"_x{i}") for i, (f, m, s) in enumerate(zip(features, centre, spread))]
+    names = [f"_x{i}" for i in range(d)]
+    rows = spread_and_cut(checked.select(*every, *xs, F.col(target).cast("double").alias("_y")))
+    state = _start(rows, keys, held_out, names, [l2 / s**2 for s in spread], l2 if scale else None, balanced)
+    count = state.count()
+    small = count <= BROADCAST_MODELS
+    sums = _native_sums if d <= NATIVE_FEATURES else _block_sums
     for _ in range(steps):
-        active = {k: m for k, m in table.items() if not m["done"]}
-        if not active:
+        active = state.where(~F.col("_done")).select(*every, "_beta", "_w0", "_w1")
+        served = _serve(rows, active, keys, held_out, small)
+        found = sums(served, every, names)
+        state = cut_lineage(_moved(state, found, every, d, tolerance, small))
+        if not state.where(~F.col("_done")).limit(1).count():
             break
-        partial = rows.mapInPandas(_newton_sums(active, keys, features), keyed + "sums array<double>")
-        totals = partial.select(*keys, F.posexplode("sums").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-        found: dict[tuple, np.ndarray] = {k: np.zeros((d + 1) * (d + 2)) for k in active}
-        for r in totals.collect():  # keys x (d+1)(d+2) numbers
-            found[tuple(r[k] for k in keys)][r["i"]] = r["v"]
-        for key, sums in found.items():
-            m = active[key]
-            grad, hess = sums[: d + 1], sums[d + 1 :].reshape(d + 1, d + 1)
-            penalty = np.r_[0.0, np.full(d, l2)]
-            move = np.linalg.solve(hess + np.diag(penalty) + 1e-10 * np.eye(d + 1), grad + penalty * m["beta"])
-            size = np.abs(move).max()
-            m["beta"] = m["beta"] - (move if size <= 4.0 else move * 4.0 / size)
-            m["done"] = size < tolerance
-    for m in table.values():
-        w = m["beta"][1:] / m["std"]
-        m["raw"] = np.r_[m["beta"][0] - (w * m["mean"]).sum(), w]
-    return LogisticModels(tuple(keys), tuple(features), table)
-
-
-def _newton_sums(active: dict[tuple, dict], keys: Sequence[str], features: Sequence[str]):
-    """Per task and key: gradient and curvature of the weighted loss, flattened to one array."""
-    models = {k: (m["beta"], m["mean"], m["std"], np.asarray(m["weight"])) for k, m in active.items()}
-    keys, features, d = list(keys), list(features), len(features)
+    else:
+        raise RuntimeError(f"logistic models did not converge in {steps} steps")
+    raw = F.transform(F.slice("_beta", 2, max(d, 1)), lambda b, i: b / F.get(F.array(*[F.lit(float(s)) for s in spread]), i))
+    shift = sum((F.get("_beta", F.lit(i + 1)) * F.lit(float(m / s)) for i, (m, s) in enumerate(zip(centre, spread))), F.lit(0.0))
+    table = state.select(*every, F.concat(F.array(F.get("_beta", F.lit(0)) - shift), raw).alias("_coef"))
+    return LogisticModels(named, tuple(features), cut_lineage(table.drop("_all")), small)
+
+
+def _serve(rows: DataFrame, models: DataFrame, keys: Sequence[str], held_out: str | None, small: bool) -> DataFrame:
+    """Each row with every model that it trains: of its key, and of the other held-out values."""
+    side = models.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in models.columns if c not in keys])
+    side = side.withColumnRenamed(held_out, "_held") if held_out else side
+    on = [F.col(k) == F.col(f"_k_{k}") for k in keys] + ([F.col(held_out) != F.col("_held")] if held_out else [])
+    if held_out and not keys and not small:
+        raise ValueError(f"more than {BROADCAST_MODELS} held-out values need a key")
+    joined = rows.join(F.broadcast(side) if small else side, on).drop(*[f"_k_{k}" for k in keys])
+    return joined.drop(held_out).withColumnRenamed("_held", held_out) if held_out else joined
+
+
+def _start(
+    rows: DataFrame, keys: Sequence[str], held_out: str | None, names: Sequence[str], plain: Sequence[float],
+    scaled: float | None, balanced: bool,
+) -> DataFrame:
+    """Class weights, penalties and zero coefficients of every model. What a model with a held-out
+    value sees is the key's total less that value's part. The penalties are ``plain``, or
+    ``scaled`` times the variance of the feature in the model's rows, unless it is constant."""
+    every = [*keys, *([held_out] if held_out else [])]
+    sums = [F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_p")]
+    sums += [F.sum(c).alias(f"_a{i}") for i, c in enumerate(names)] + [F.sum(F.col(c) * F.col(c)).alias(f"_b{i}") for i, c in enumerate(names)]
+    stats = rows.groupBy(*every).agg(*sums)
+    if held_out:
+        columns = [c for c in stats.columns if c not in every]
+        totals = stats.groupBy(*keys).agg(*[F.sum(c).alias(f"_t{c}") for c in columns])
+        stats = attach(stats, totals, keys).select(*every, *[(F.col(f"_t{c}") - F.col(c)).alias(c) for c in columns]).where("_n > 0")
+    n, pos = F.col("_n").cast("double"), F.col("_p")
+    one_class = (pos == 0) | (pos == n)
+    weights = [F.when(one_class | F.lit(not balanced), F.lit(1.0)).otherwise(n / (2.0 * m)) for m in (n - pos, pos)]
+    variance = [F.greatest(F.col(f"_b{i}") / n - F.pow(F.col(f"_a{i}") / n, 2), F.lit(0.0)) for i in range(len(names))]
+    penalty = [F.lit(p) if scaled is None else F.when(v > 1e-24, v * scaled).otherwise(F.lit(p)) for p, v in zip(plain, variance)]
+    first = F.when(pos == 0, F.lit(-40.0)).when(pos == n, F.lit(40.0)).otherwise(F.lit(0.0))
+    return cut_lineage(
+        stats.select(
+            *every,
+            F.concat(F.array(first), F.array_repeat(F.lit(0.0), len(names))).alias("_beta"),
+            F.array(F.lit(0.0), *penalty).alias("_penalty"),
+            weights[0].alias("_w0"), weights[1].alias("_w1"), one_class.alias("_done"),
+        )
+    )
+
+
+def _native_sums(served: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Gradient, then the upper triangle of the curvature, as plain aggregates."""
+    z = F.get("_beta", F.lit(0))
+    for i, c in enumerate(names):
+        z = z + F.get("_beta", F.lit(i + 1)) * F.col(c)
+    q = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))))
+    w = F.when(F.col("_y") == 1, F.col("_w1")).otherwise(F.col("_w0"))
+    terms = served.select(*keys, *names, "_y", w.alias("_w"), q.alias("_q")).select(
+        *keys, *names, (F.col("_w") * (F.col("_q") - F.col("_y"))).alias("_g"), (F.col("_w") * F.col("_q") * (1 - F.col("_q"))).alias("_c")
+    )
+    x = [F.lit(1.0), *[F.col(c) for c in names]]
+    parts = [F.sum(F.col("_g") * v) for v in x] + [F.sum(F.col("_c") * x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))]
+    return terms.groupBy(*keys).agg(F.array(*parts).alias("_sums"))
+
+
+def _block_sums(served: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The same for many features: tasks multiply blocks of rows, and one array for each task and
+    key is added up number by number."""
+    keys, names = list(keys), list(names)
+    upper = np.triu_indices(len(names) + 1)
+    kinds = dict(served.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
+        held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            groups = batch.groupby(keys, sort=False) if keys else [((), batch)]
-            for key, part in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                if key not in models:
-                    continue
-                beta, mean, std, weight = models[key]
-                y = part["_y"].to_numpy()
-                x = np.column_stack([np.ones(len(part)), (part[features].to_numpy(dtype=float) - mean) / std])
+            for key, part in batch.groupby(keys, sort=False):
+                y, beta = part["_y"].to_numpy(), np.asarray(part["_beta"].iloc[0])
+                x = np.column_stack([np.ones(len(part)), part[names].to_numpy(dtype=float)])
                 q = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -40.0, 40.0)))
-                w = weight[y.astype(int)]
-                curve = (x * (w * q * (1.0 - q))[:, None]).T @ x
-                flat = np.concatenate([x.T @ (w * (q - y)), curve.ravel()])
-                sums[key] = sums.get(key, np.zeros((d + 1) * (d + 2))) + flat
-        if sums:
-            out = pd.DataFrame(list(sums), columns=keys) if keys else pd.DataFrame(index=range(len(sums)))
-            yield out.assign(sums=list(sums.values()))
-
-    return run
+                w = np.where(y == 1, part["_w1"].iloc[0], part["_w0"].iloc[0])
+                flat = np.concatenate([x.T @ (w * (q - y)), ((x.T * (w * q * (1 - q))) @ x)[upper]])
+                held[key] = held.get(key, 0.0) + flat
+        if held:
+            yield pd.DataFrame(list(held), columns=keys).assign(sums=list(held.values()))
+
+    keyed = "".join(f"{k} {kinds[k]}, " for k in keys)
+    partial = served.select(*keys, *names, "_y", "_beta", "_w0", "_w1").mapInPandas(run, keyed + "sums array<double>")
+    added = partial.select(*keys, F.posexplode("sums").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("_sums")
+    return added.groupBy(*keys).agg(ordered)
+
+
+def _moved(state: DataFrame, found: DataFrame, keys: Sequence[str], d: int, tolerance: float, small: bool) -> DataFrame:
+    """One Newton step of every unfinished model; a step is cut to 4 in its largest number."""
+    upper = np.triu_indices(d + 1)
+
+    @F.pandas_udf("array<double>")
+    def step(sums: pd.Series, beta: pd.Series, penalty: pd.Series) -> pd.Series:
+        out = []
+        for s, b, p in zip(sums, beta, penalty):
+            if s is None:
+                out.append(b)
+                continue
+            s, b, p = np.asarray(s), np.asarray(b), np.asarray(p)
+            curve = np.zeros((d + 1, d + 1))
+            curve[upper] = s[d + 1 :]
+            curve = curve + np.triu(curve, 1).T + np.diag(p) + 1e-10 * np.eye(d + 1)
+            move = np.linalg.solve(curve, s[: d + 1] + p * b)
+            out.append(b - move * min(1.0, 4.0 / max(np.abs(move).max(), 1e-300)))
+        return pd.Series(out)
+
+    moved = _join_models(state, found, keys, small).withColumn("_next", F.when(F.col("_done"), F.col("_beta")).otherwise(step("_sums", "_beta", "_penalty")))
+    size = F.array_max(F.zip_with("_next", "_beta", lambda a, b: F.abs(a - b)))
+    return moved.select(*keys, F.col("_next").alias("_beta"), "_penalty", "_w0", "_w1", (F.col("_done") | (size < tolerance)).alias("_done"))
 
 
 # Calibration and reliability ------------------------------------------------------------
@@ -281,7 +368,7 @@ def prepare_baseline(
     train, held = df.where("split = 'train'"), df.where("split = 'validation'")
     medians = column_medians(train, [c for cols in columns.values() for c in cols])
     folded = grouped_folds(finite_fill(train, medians).drop("fold"), folds, seed, group)
-    return PreparedBaseline(cut_and_spread(folded), cut_lineage(finite_fill(held, medians)), columns, mode, group)
+    return PreparedBaseline(spread_and_cut(folded), cut_lineage(finite_fill(held, medians)), columns, mode, group)
 
 
 def evaluate_baseline(
@@ -318,15 +405,15 @@ def feature_baseline(
 
 
 def finite_fill(df: DataFrame, medians: dict[str, float]) -> DataFrame:
-    from sigloom.functions.scalars import is_finite
-
     return df.withColumns(
         {c: F.when(is_finite(c), F.col(c).cast("double")).otherwise(F.lit(m)) for c, m in medians.items()}
     )
 
 
 def domain_shift(df: DataFrame, features: Sequence[str], seed: int = 42, group: str = "id_measurement", folds: int = 5) -> DataFrame:
-    """AUC of telling validation rows from train rows, cross-fitted by group (0.5 = no shift)."""
+    """AUC of telling validation rows from train rows, cross-fitted by group (0.5 = no shift).
+    Values that are null or not finite become 0 first."""
+    df = df.withColumns({f: F.when(is_finite(f), F.col(f).cast("double")).otherwise(F.lit(0.0)) for f in features})
     named = df.where(F.col("split").isin("train", "validation")).withColumn(
         "target", (F.col("split") == "validation").cast("int")
     )
@@ -337,11 +424,8 @@ def domain_shift(df: DataFrame, features: Sequence[str], seed: int = 42, group:
 
 def stacking(df: DataFrame, features: Sequence[str], fold: str = "fold", target: str = "target", iterations: int = 50) -> DataFrame:
     """Cross-fitted balanced logistic model; all folds are fitted in the same passes."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    others = F.array(*[F.lit(f) for f in folds])
-    fit = df.select("*", F.explode(F.filter(others, lambda f: f != F.col(fold))).alias("_model"))
-    models = fit_logistic(fit, ["_model"], features, target, balanced=True, scale=True, steps=iterations)
-    return models.score(df.withColumn("_model", F.col(fold)), "probability").drop("_model")
+    models = fit_logistic(df, [], features, target, balanced=True, scale=True, steps=iterations, held_out=fold)
+    return models.score(df, "probability")
 
 
 def gate_features(a: str, b: str) -> dict[str, Column]:
@@ -470,7 +554,7 @@ def meta_fusion(
             )
         )
     fit = F.col("_fold").isNotNull() & (F.col("_fold") != F.col("model"))
-    fused, components = _calibrate_and_fuse(cut_and_spread(rows), fit, target)
+    fused, components = _calibrate_and_fuse(spread_and_cut(rows), fit, target)
     applied = fused.where((F.col("_fold") == F.col("model")) | (F.col("split") == "validation"))
     cut = F.lit(None).cast("double")
     for m in FUSED:

@@ -55,14 +55,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_and_spread(df: DataFrame) -> DataFrame:
-    """Checkpoint for iterative use. A small input read as fewer partitions than there are
-    cores is dealt out again, so that every pass uses them; a large one is left as it lies."""
-    stored = cut_lineage(df)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if stored.rdd.getNumPartitions() >= cores:
-        return stored
-    return cut_lineage(stored.repartition(cores))
+def spread_and_cut(df: DataFrame) -> DataFrame:
+    """Checkpoint for iterative use, dealt out over as many partitions as shuffles have."""
+    return cut_lineage(df.repartition(parallelism(df.sparkSession)))
 
 
 def parallelism(spark: SparkSession) -> int:

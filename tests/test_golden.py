@@ -201,11 +201,11 @@ def test_bootstrap_is_repeatable_and_covers_point(spark):
     assert single["ci_low"] <= single["point_estimate"] <= single["ci_high"]
 
 
-def test_group_bootstrap_buckets_agree_with_one_bucket(spark, monkeypatch):
+def test_group_bootstrap_buckets_agree_with_one_bucket(spark):
     p = pair(spark, 600)
-    whole = rs.bootstrap_delta(p, [], "y", "a", "b", 1500, group="g").first()
-    monkeypatch.setattr(rs, "PROFILES_PER_BUCKET", 2)
-    split = rs.bootstrap_delta(p, [], "y", "a", "b", 1500, group="g").first()
+    whole, split = (
+        rs.summarize(rs.group_replicates(p, [], "g", "y", "a", "b", 1500, buckets=buckets)).first() for buckets in (1, 40)
+    )
     assert abs(whole["bootstrap_mean"] - split["bootstrap_mean"]) < 0.01
     assert abs((whole["ci_high"] - whole["ci_low"]) - (split["ci_high"] - split["ci_low"])) < 0.03
 
@@ -326,7 +326,7 @@ def test_logistic_is_at_its_optimum(spark):
     df = spark.createDataFrame([(int(i % 2), float(a), float(b), int(t)) for i, ((a, b), t) in enumerate(zip(x, y))], "k int, a double, b double, y int")
     m = mo.fit_logistic(df, ["k"], ["a", "b"], "y")
     for key in (0, 1):
-        w = m.table[(key,)]["raw"]
+        w = np.array({r["k"]: r["_coef"] for r in m.table.collect()}[key])
         xi, yi = np.c_[np.ones(200), x[key::2]], y[key::2]
         grad = xi.T @ (1 / (1 + np.exp(-xi @ w)) - yi) + np.r_[0, w[1:]]
         assert np.abs(grad).max() < 1e-5
@@ -466,3 +466,46 @@ def test_ordered_prefix_over_several_slices(spark, slices):
     for g, _, x, before in rows_:
         assert before == seen.get(g, 0)
         seen[g] = before + x
+
+
+def test_held_out_models_equal_models_of_the_other_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 14))
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=300) > 0.2).astype(int)
+    names = [f"x{i}" for i in range(14)]
+    data = [(i % 3, i % 2, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(data, "fold int, g int, " + ", ".join(f"{n} double" for n in names) + ", target int")
+    for width in (3, 14):  # plain aggregates, and blocks
+        every = mo.fit_logistic(df, ["g"], names[:width], "target", balanced=True, scale=True, held_out="fold")
+        found = {(r["g"], r["fold"]): r["_coef"] for r in every.table.collect()}
+        assert set(found) == {(g, f) for g in (0, 1) for f in (0, 1, 2)}
+        for (g, f), coef in found.items():
+            alone = mo.fit_logistic(df.where(f"g = {g} AND fold <> {f}"), [], names[:width], "target", balanced=True, scale=True)
+            assert np.allclose(coef, alone.table.first()["_coef"], atol=1e-6)
+
+
+def test_fits_refuse_bad_features_and_unfinished_models(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.createDataFrame([(float(i % 5), int(i % 3 == 0)) for i in range(30)] + [(float("nan"), 1)], "x double, y int")
+    with pytest.raises(PySparkException):
+        mo.fit_logistic(df, [], ["x"], "y")
+    with pytest.raises(RuntimeError):
+        mo.fit_logistic(df.where("NOT isnan(x)"), [], ["x"], "y", steps=1, tolerance=1e-12)
+
+
+def test_mcnemar_is_exact_for_many_pairs(spark):
+    import math
+
+    def exact(n, k):
+        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(max(0, k - 20_000), k + 1)]
+        return min(1.0, 2 * math.fsum(map(math.exp, logs)))
+
+    cases = [(0, 0), (1, 0), (5, 5), (3, 20), (99_000, 101_000), (98_000, 102_000), (100_000, 100_000), (15, 16), (0, 40)]
+    pairs = spark.createDataFrame([(k, b, c) for k, (b, c) in enumerate(cases)], "k int, b long, c long")
+    one = lambda n, a, b: pairs.select("k", F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int"))).alias("target")).select("k", "target", F.lit(a).alias("a"), F.lit(b).alias("b"))
+    got = {r["k"]: r["p_value"] for r in metrics.mcnemar(one("b", 0, 1).union(one("c", 1, 0)), ["k"], "target", "a", "b").collect()}
+    for k, (b, c) in enumerate(cases[1:], 1):
+        assert got[k] == pytest.approx(exact(b + c, min(b, c)), rel=1e-8), (b, c)
