@@ -467,17 +467,19 @@ def disagreement_gate(
 
 # Cross-fitted meta fusion ---------------------------------------------------------------
 
-FUSED = ("temporal", "spectral", "fixed_50", "best_fixed", "adaptive", "conservative")
+FUSED = ("temporal", "spectral", "best_individual", "fixed_50", "best_fixed", "adaptive", "conservative")
 FINAL = -1
 
 
-def _by_model(models: DataFrame, rows: DataFrame) -> DataFrame:
-    """Join a table of per-model constants (one row per fold) onto the rows."""
-    return rows.join(F.broadcast(models), "model")
+def _by_model(models: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join a stored table of per-model constants (a row per key and fold) onto the rows."""
+    small = models.limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS
+    return rows.join(F.broadcast(models) if small else models, list(keys))
 
 
-def _calibrate_and_fuse(rows: DataFrame, fit: Column, target: str) -> tuple[DataFrame, DataFrame]:
+def _calibrate_and_fuse(rows: DataFrame, fit: Column, target: str, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """All component fits for every model key at once; returns fused rows and the components."""
+    keys = [*by, "model"]
 
     def training(df: DataFrame) -> DataFrame:
         return df.where(fit)
@@ -487,61 +489,75 @@ def _calibrate_and_fuse(rows: DataFrame, fit: Column, target: str) -> tuple[Data
     def per_expert(df: DataFrame, prefix: str, carry: Sequence[str] = ()) -> DataFrame:
         """Both experts' rows under one key, so their models are fitted in the same passes."""
         item = [F.struct(F.lit(e).alias("expert"), F.col(f"{prefix}{e}").alias("_item")) for e in experts]
-        return df.select("model", target, *carry, F.explode(F.array(*item)).alias("_e")).select(
-            "model", target, *carry, "_e.expert", "_e._item"
+        return df.select(*keys, target, *carry, F.explode(F.array(*item)).alias("_e")).select(
+            *keys, target, *carry, "_e.expert", "_e._item"
         )
 
-    platt = fit_platt(per_expert(training(rows), "raw_"), ["model", "expert"], "_item", target)
+    platt = fit_platt(per_expert(training(rows), "raw_"), [*keys, "expert"], "_item", target)
     for e in experts:
         rows = apply_platt(rows.withColumn("expert", F.lit(e)), platt, f"raw_{e}", e).drop("expert")
     rows = cut_lineage(rows.withColumn("fixed_50", mean_fusion("temporal", "spectral")))
-    long = training(rows).unpivot(["model", target], ["temporal", "spectral", "fixed_50"], "method", "probability")
-    cuts = select_threshold(long, ["model", "method"], target=target)
-    cuts = cuts.groupBy("model").pivot("method", ["temporal", "spectral", "fixed_50"]).agg(
+    long = training(rows).unpivot([*keys, target], ["temporal", "spectral", "fixed_50"], "method", "probability")
+    cuts = select_threshold(long, [*keys, "method"], target=target)
+    cuts = cuts.groupBy(*keys).pivot("method", ["temporal", "spectral", "fixed_50"]).agg(
         F.first("threshold").alias("cut"), F.first("mcc").alias("mcc")
     )
-    weight = select_fixed_weight(training(rows), ["model"], "temporal", "spectral", target)
-    table = cuts.join(weight.select("model", "weight", F.col("threshold").alias("best_fixed_cut")), "model")
+    weight = select_fixed_weight(training(rows), keys, "temporal", "spectral", target)
+    table = cuts.join(weight.select(*keys, "weight", F.col("threshold").alias("best_fixed_cut")), keys)
+    best = F.col("temporal_mcc") >= F.col("spectral_mcc")
+    table = table.withColumns(
+        {
+            "best_individual": F.when(best, "temporal").otherwise("spectral"),
+            "best_individual_cut": F.when(best, F.col("temporal_cut")).otherwise(F.col("spectral_cut")),
+        }
+    )
     table = cut_lineage(table)
-    rows = _by_model(table, rows).withColumn("best_fixed", weighted("temporal", "spectral", "weight"))
+    constants = table.withColumnRenamed("best_individual", "_best")
+    rows = _by_model(constants, rows, keys).withColumns(
+        {
+            "best_fixed": weighted("temporal", "spectral", "weight"),
+            "best_individual": F.when(F.col("_best") == "temporal", F.col("temporal")).otherwise(F.col("spectral")),
+        }
+    ).drop("_best")
     features = reliability_features("temporal", "spectral")
     names = [f"_r_{n}" for n in features]
     rows = rows.withColumns({f"_r_{n}": c for n, c in features.items()})
     for e in experts:
         right = ((F.col(e) >= F.col(f"{e}_cut")).cast("int") == F.col(target)).cast("int")
         rows = rows.withColumn(f"_ok_{e}", right)
-    reliability = fit_reliability(per_expert(training(rows), "_ok_", names), ["model", "expert"], names, "_item")
+    reliability = fit_reliability(per_expert(training(rows), "_ok_", names), [*keys, "expert"], names, "_item")
     for e in experts:
         rows = reliability.score(rows.withColumn("expert", F.lit(e)), f"reliability_{e}").drop("expert")
     rows = rows.withColumn(
         "adaptive", adaptive("temporal", "spectral", "reliability_temporal", "reliability_spectral")
     ).drop(*names, "_ok_temporal", "_ok_spectral")
     rows = cut_lineage(rows)
-    adaptive_cut = select_threshold(training(rows), ["model"], "adaptive", target).select(
-        "model", F.col("threshold").alias("adaptive_cut")
+    adaptive_cut = select_threshold(training(rows), keys, "adaptive", target).select(
+        *keys, F.col("threshold").alias("adaptive_cut")
     )
     delta = select_delta(
-        training(rows), ["model"], "best_fixed", "adaptive", "reliability_temporal", "reliability_spectral", target
-    ).select("model", "delta", F.col("threshold").alias("conservative_cut"))
-    more = cut_lineage(adaptive_cut.join(delta, "model"))
-    rows = _by_model(more, rows).withColumn(
+        training(rows), keys, "best_fixed", "adaptive", "reliability_temporal", "reliability_spectral", target
+    ).select(*keys, "delta", F.col("threshold").alias("conservative_cut"))
+    more = cut_lineage(adaptive_cut.join(delta, keys))
+    rows = _by_model(more, rows, keys).withColumn(
         "conservative", conservative("best_fixed", "adaptive", "reliability_temporal", "reliability_spectral", "delta")
     )
-    best = F.when(F.col("temporal_mcc") >= F.col("spectral_mcc"), "temporal").otherwise("spectral")
-    return rows, table.join(more, "model").withColumn("best_individual", best)
+    return rows, table.join(more, keys)
 
 
 def meta_fusion(
     oof: DataFrame, held: DataFrame | None, a: str = "p_temporal", b: str = "p_spectral", target: str = "target",
-    fold: str = "fold", keys: Sequence[str] = ("sample_id",),
+    fold: str = "fold", keys: Sequence[str] = ("sample_id",), by: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """(long predictions, components): cross-fitted fusion with every operating point learned
     off the rows it is applied to.
 
     Model f is fitted on OOF rows outside fold f and applied to fold f; model -1 is fitted on
-    all OOF rows and applied to ``held``. Every component is fitted for all models together,
-    so the number of passes over the data does not grow with the number of folds.
+    all OOF rows and applied to ``held``. ``by`` (dataset, seed) names columns whose values are
+    fused each on its own. Every component is fitted for all models together, so the number of
+    passes over the data does not grow with the number of folds or seeds.
     """
+    keys = [*keys, *by]
     folds = sorted(int(r[0]) for r in oof.select(fold).distinct().collect())
     base = oof.select(*keys, target, F.col(fold).cast("int").alias("_fold"), F.col(a).alias("raw_temporal"), F.col(b).alias("raw_spectral"), F.lit("train_oof").alias("split"))
     models = F.array(*[F.lit(m) for m in [*folds, FINAL]])
@@ -554,7 +570,7 @@ def meta_fusion(
             )
         )
     fit = F.col("_fold").isNotNull() & (F.col("_fold") != F.col("model"))
-    fused, components = _calibrate_and_fuse(spread_and_cut(rows), fit, target)
+    fused, components = _calibrate_and_fuse(spread_and_cut(rows), fit, target, by)
     applied = fused.where((F.col("_fold") == F.col("model")) | (F.col("split") == "validation"))
     cut = F.lit(None).cast("double")
     for m in FUSED:

@@ -88,7 +88,7 @@ def signal_bootstrap(spark, sf):
 
 @query("group_bootstrap")
 def group_bootstrap(spark, sf):
-    return rounded(rs.bootstrap_delta(src.pair(spark, sf), ["seed"], "target", "d_temporal", "d_spectral", 2_000, group="id_measurement"))
+    return rounded(rs.bootstrap_delta(src.pair(spark, sf), ["seed"], "target", "d_temporal", "d_spectral", 10_000, group="id_measurement"))
 
 
 @query("hierarchical_bootstrap")
@@ -98,7 +98,7 @@ def hierarchical_bootstrap(spark, sf):
 
 @query("hierarchical_group_bootstrap")
 def hierarchical_group_bootstrap(spark, sf):
-    return rounded(rs.hierarchical_delta_ci(src.pair(spark, sf), "target", "d_temporal", "d_spectral", 2_000, group="id_measurement"))
+    return rounded(rs.hierarchical_delta_ci(src.pair(spark, sf), "target", "d_temporal", "d_spectral", 10_000, group="id_measurement"))
 
 
 # Models -------------------------------------------------------------------------------
@@ -154,9 +154,9 @@ def meta_fusion(spark, sf):
     from sigloom.operators.metrics import binary_metrics
 
     p = src.pair(spark, sf)
-    oof = sp.grouped_folds(p.where("split = 'train_oof'"), 3, 10042)
-    long, _ = mo.meta_fusion(oof, p.where("split = 'validation'"))
-    return rounded(binary_metrics(long, ["split", "method"]))
+    oof = sp.grouped_folds(p.where("split = 'train_oof'"), 5, 10042)
+    long, _ = mo.meta_fusion(oof, p.where("split = 'validation'"), by=["seed"])
+    return rounded(binary_metrics(long, ["seed", "split", "method"]))
 
 
 def features(spark, sf):
@@ -174,22 +174,22 @@ def features(spark, sf):
 @query("cross_fit")
 def cross_fit(spark, sf):
     df, names = features(spark, sf)
-    folded = sp.grouped_folds(df, 3, 42)
-    out = mo.cross_fit(folded, names, "logistic", fold_transform=mo.impute_transform(names), iterations=10)
+    folded = sp.grouped_folds(df, 5, 42)
+    out = mo.cross_fit(folded, names, "logistic", fold_transform=mo.impute_transform(names))
     return rounded(out.select("sample_id", "fold", "probability"))
 
 
 @query("cross_fit_boosted")
 def cross_fit_boosted(spark, sf):
     df, names = features(spark, sf)
-    out = mo.cross_fit(sp.grouped_folds(df, 2, 42), names, "gbt", iterations=3)
+    out = mo.cross_fit(sp.grouped_folds(df, 5, 42), names, "gbt", iterations=20)
     return rounded(out.select("sample_id", "fold", "probability"))
 
 
 @query("feature_baseline")
 def feature_baseline(spark, sf):
     df, names = features(spark, sf)
-    _, metrics = mo.feature_baseline(df, names, folds=3, iterations=10)
+    _, metrics = mo.feature_baseline(df, names)
     return rounded(metrics)
 
 
@@ -203,7 +203,7 @@ def measurement_aware_baseline(spark, sf):
     whole = keep_groups(df, complete_groups(df)).withColumn("split", group_split)
     rows = []
     for mode in ("measurement_aware", "measurement_any_positive"):
-        _, metrics = mo.feature_baseline(whole, names, mode=mode, folds=2, iterations=10)
+        _, metrics = mo.feature_baseline(whole, names, mode=mode)
         rows.append(metrics)
     return rounded(pr.union_results(*rows))
 
@@ -211,7 +211,7 @@ def measurement_aware_baseline(spark, sf):
 @query("domain_shift")
 def domain_shift(spark, sf):
     df, names = features(spark, sf)
-    return rounded(mo.domain_shift(df, names, folds=2))
+    return rounded(mo.domain_shift(df, names))
 
 
 @query("family_contribution")
@@ -219,7 +219,7 @@ def family_contribution(spark, sf):
     df, names = features(spark, sf)
     inventory = pr.feature_inventory(names)
     sets = {name: pr.feature_set(inventory, name) for name in pr.FEATURE_SETS}
-    metrics = mo.family_contribution(df, sets, [42], folds=2, iterations=5)
+    metrics = mo.family_contribution(df, sets, [42])
     return rounded(mo.contribution_deltas(metrics))
 
 

@@ -399,7 +399,7 @@ def test_meta_fusion_covers_every_row_and_learns_off_fold(spark):
     oof = splits.grouped_folds(df.where("sample_id < 180"), 3, 5)
     long, components = mo.meta_fusion(oof, df.where("sample_id >= 180"))
     counts = {(r["split"], r["method"]): r["count"] for r in long.groupBy("split", "method").count().collect()}
-    assert {v for (s, _), v in counts.items() if s == "train_oof"} == {180} and len(counts) == 12
+    assert {v for (s, _), v in counts.items() if s == "train_oof"} == {180} and len(counts) == 14
     assert {v for (s, _), v in counts.items() if s == "validation"} == {60}
     assert {r[0] for r in components.select("model").collect()} == {-1, 0, 1, 2}
     assert long.where("probability < 0 OR probability > 1 OR threshold IS NULL").isEmpty()
