@@ -72,11 +72,11 @@ class LogisticModels:
 
 def fit_logistic(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, l2: float = 1.0,
-    balanced: bool = False, scale: bool = False, steps: int = 50, tolerance: float = 1e-4, held_out: str | None = None,
+    balanced: bool = False, scale: bool = False, steps: int = 50, tolerance: float = 1e-6, held_out: str | None = None,
 ) -> LogisticModels:
     """Penalised logistic regression (sum of losses + l2/2 * |w|^2) for every key.
 
-    Newton steps converge quadratically, so a last step below 1e-4 leaves an error near 1e-8;
+    Newton steps converge quadratically, so a last step below 1e-6 leaves an error near 1e-12;
     models that are not there after ``steps`` raise, and so do non-finite features. A key whose
     rows are all of one class gets that constant. ``balanced`` weights classes inversely to
     their counts; ``scale`` penalises the coefficients of standardised features.

@@ -105,11 +105,42 @@ def hierarchical_group_bootstrap(spark, sf):
 
 
 def folded_pair(spark, sf):
-    p = src.pair(spark, sf).withColumn("fold", F.pmod(F.xxhash64("id_measurement"), F.lit(5)).cast("int"))
+    p = src.pair(spark, sf).withColumn("fold", F.pmod("id_measurement", F.lit(5)).cast("int"))
     return p
 
 
-@query("platt_calibration")
+def sql_logit(p: str) -> str:
+    c = f"greatest(least({p}, 1-1e-6), 1e-6)"
+    return f"ln({c}/(1-{c}))"
+
+
+# Newton steps as a recursion: one row per model and step, the small systems solved in closed form.
+PLATT_SQL = f"""WITH RECURSIVE {src.PAIR}, z AS (SELECT sample_id, seed, target, {sql_logit('p_temporal')} AS z FROM pair),
+it AS (SELECT 0 AS step, seed, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM (SELECT DISTINCT seed FROM z)
+  UNION ALL
+  SELECT step+1, seed, a - (hbb*ga-hab*gb)/(haa*hbb-hab*hab), b - (haa*gb-hab*ga)/(haa*hbb-hab*hab) FROM (
+    SELECT step, seed, a, b, sum(q-target) AS ga, sum((q-target)*z)+b AS gb, sum(q*(1-q)) AS haa, sum(q*(1-q)*z) AS hab, sum(q*(1-q)*z*z)+1 AS hbb
+    FROM (SELECT it.*, z.target, z.z, 1/(1+exp(-(it.a+it.b*z.z))) AS q FROM it JOIN z ON it.seed=z.seed WHERE it.step<15) GROUP BY step, seed, a, b))
+SELECT sample_id, z.seed, round(1/(1+exp(-(a+b*z))),6) AS calibrated FROM z JOIN it ON it.seed=z.seed AND it.step=15"""
+
+STACK_SQL = f"""WITH RECURSIVE {src.PAIR}, z AS (SELECT sample_id, CAST(id_measurement % 5 AS INT) AS fold, target, {sql_logit('p_temporal')} AS x, {sql_logit('p_spectral')} AS y FROM pair),
+f AS (SELECT DISTINCT fold AS m FROM z),
+s AS (SELECT m, count(*) AS n, sum(target) AS p, var_pop(x) AS vx, var_pop(y) AS vy FROM z JOIN f ON fold <> m GROUP BY m),
+t AS (SELECT m, target, x, y, vx, vy, CASE WHEN target=1 THEN n/(2.0::DOUBLE*p) ELSE n/(2.0::DOUBLE*(n-p)) END AS w FROM z JOIN s ON fold <> m),
+it AS (SELECT 0 AS step, m, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM f
+  UNION ALL
+  SELECT step+1, m, a - (i11*g1+i12*g2+i13*g3)/d, b - (i12*g1+i22*g2+i23*g3)/d, c - (i13*g1+i23*g2+i33*g3)/d FROM (
+    SELECT *, h22*h33-h23*h23 AS i11, h13*h23-h12*h33 AS i12, h12*h23-h13*h22 AS i13, h11*h33-h13*h13 AS i22, h12*h13-h11*h23 AS i23, h11*h22-h12*h12 AS i33,
+      h11*(h22*h33-h23*h23) - h12*(h12*h33-h23*h13) + h13*(h12*h23-h22*h13) AS d FROM (
+      SELECT step, m, a, b, c, sum(r) AS g1, sum(r*x)+max(vx)*b AS g2, sum(r*y)+max(vy)*c AS g3, sum(k) AS h11, sum(k*x) AS h12, sum(k*y) AS h13,
+        sum(k*x*x)+max(vx) AS h22, sum(k*x*y) AS h23, sum(k*y*y)+max(vy) AS h33
+      FROM (SELECT *, w*(q-target) AS r, w*q*(1-q) AS k FROM (
+        SELECT it.step, it.m, it.a, it.b, it.c, t.target, t.x, t.y, t.vx, t.vy, t.w, 1/(1+exp(-(it.a+it.b*t.x+it.c*t.y))) AS q FROM it JOIN t ON it.m=t.m WHERE it.step<15))
+      GROUP BY step, m, a, b, c)))
+SELECT sample_id, fold, round(1/(1+exp(-(a+b*x+c*y))),6) AS probability FROM z JOIN it ON it.m=z.fold AND it.step=15"""
+
+
+@query("platt_calibration", PLATT_SQL)
 def platt_calibration(spark, sf):
     p = src.pair(spark, sf)
     models = mo.fit_platt(p, ["seed"], "p_temporal")
@@ -133,7 +164,7 @@ def reliability_models(spark, sf):
     return rounded(chosen.select("seed", "inputs", "brier", "roc_auc"))
 
 
-@query("stacking")
+@query("stacking", STACK_SQL)
 def stacking(spark, sf):
     p = folded_pair(spark, sf).withColumns({"z_temporal": logit("p_temporal"), "z_spectral": logit("p_spectral")})
     return rounded(mo.stacking(p, ["z_temporal", "z_spectral"]).select("sample_id", "fold", "probability"))
