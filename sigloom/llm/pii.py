@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for personal data, with built-in functions only.
 
-E-mail addresses, telephone and card numbers, IPv4 addresses, dates and hexadecimal keys are found,
+E-mail addresses, telephone and card numbers, IPv4 addresses, dates, passwords and keys are found,
 validated, and replaced by a keyed permutation of all valid values of the same format: a Feistel
 network whose round function is SHA-256 of the key. Equal values get equal pseudonyms in all
 documents, different values different ones, and punctuation stays where it was.
@@ -21,6 +21,8 @@ FORMS = {
     "phone": r"(?<![\w+(])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w)",
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
+    "password": r"(?<![0-9A-Za-z_])(?:password|passwd|pwd|secret|api_key|access_token)[=:][^\s\x22'<>]{6,64}",
+    "access_key": r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "key": r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
@@ -173,7 +175,23 @@ def _key(text: Column, key: str) -> Column:
     return _permute(text, 16, key, "key")
 
 
-KINDS = {"email": _email, "phone": _phone, "date": _date, "ip": _ip, "key": _key, "card": _card}
+def _access_key(text: Column, key: str) -> Column:
+    """The four letters in front stay; the others are permuted over digits and capitals."""
+    return F.concat(F.substring(text, 1, 4), F.upper(_permute(F.lower(F.substring(text, 5, 16)), 36, key, "access_key")))
+
+
+def _password(text: Column, key: str) -> Column:
+    """The name and its sign stay; letters and digits of the value are permuted (case folded)."""
+    name = F.regexp_extract(text, r"^\w+[=:]", 0)
+    value = F.substring(text, F.length(name) + 1, F.lit(64))
+    plain = F.lower(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
+    return F.when(F.length(plain) > 0, F.concat(name, _put_back(value, _permute(plain, 36, key, "password"), "0-9A-Za-z")))
+
+
+KINDS = {
+    "email": _email, "phone": _phone, "date": _date, "ip": _ip, "password": _password, "access_key": _access_key, "key": _key,
+    "card": _card,
+}
 
 
 def _pseudonym(found: Column, key: str) -> Column:
