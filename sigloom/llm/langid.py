@@ -34,7 +34,8 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, n
     """64-bit keys of the byte n-grams of all texts, and the index of each text's first one.
 
     A-Z is folded, everything that is no letter becomes one space, and every text stands between
-    spaces, so word starts and ends are n-grams too. n-grams with a run of spaces are left out.
+    spaces, so word starts and ends are n-grams too. n-grams lie within one word and the spaces
+    around it; a word that is shorter than that is one key with its two spaces.
     """
     folded = _FOLD[data]
     framed = np.full(len(data) + len(offsets), 0x20, np.uint8)  # one space before each text and at the end
@@ -45,21 +46,28 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, n
     keep[1:] = ~(space[1:] & space[:-1])
     keep[offsets + np.arange(len(offsets))] = True  # the frames stay, so that texts stay apart
     kept = np.flatnonzero(keep)
-    line = framed[kept].astype(np.uint64)
+    m = len(kept)
+    line = np.full(m + n, 0x20, np.uint64)
+    line[:m] = framed[kept]
     first = np.searchsorted(kept, offsets + np.arange(len(offsets)))
-    m = len(line) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     keys = line[:m].copy()
     for i in range(1, n):
         keys |= line[i : i + m] << _U(8 * i)
     blank = line == 0x20
-    inner = np.zeros(m, bool)  # a space strictly inside, which only word pairs and frames have
+    use = np.ones(m, bool)
     for i in range(1, n - 1):
-        inner |= blank[i : i + m]
-    use = ~inner
+        use &= ~blank[i : i + m]
+    gaps = np.flatnonzero(blank[:m])
+    lengths = np.diff(gaps) - 1
+    for length in range(1, n - 2):  # such a word starts no n-gram of its own
+        at = gaps[:-1][lengths == length]
+        keys[at] = line[at]
+        for i in range(1, length + 2):
+            keys[at] |= line[at + i] << _U(8 * i)
+        use[at] = True
+    use[first[-1]] = False  # the closing frame
     counted = np.concatenate([[0], np.cumsum(use)])
-    return keys[use], counted[np.minimum(first, m)]
+    return keys[use], counted[first]
 
 
 def positions(keys: np.ndarray, bits: int, hashes: int) -> list[np.ndarray]:
@@ -104,13 +112,15 @@ class Filters:
 
 
 def train(
-    docs: DataFrame, n: int = 5, fit_docs: int = 4000, bits: int = 20, hashes: int = 3, rarest: float = 2e-3
+    docs: DataFrame, n: int = 5, fit_docs: int = 4000, bits: int = 20, hashes: int = 3, rarest: float = 2e-3,
+    least: float = 0.1,
 ) -> Filters:
     """Filters from text and lang of ``docs``; rows without either are left out.
 
     About ``fit_docs`` documents of each language are used, drawn by a hash of the text; a
     language with fewer uses all. An n-gram belongs to a language if at least ``rarest`` of its
-    drawn documents contain it. Equal texts are drawn alike and count once. Without any row
+    drawn documents contain it, and ``least`` as large a part of them as of any other language's,
+    which keeps quoted foreign words out. Equal texts are drawn alike and count once. Without any row
     there are no languages, and every text is unknown. More than 64 languages raise.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
@@ -142,9 +152,13 @@ def train(
 
     grams = drawn.mapInArrow(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     used = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    least = F.create_map(*[F.lit(x) for i in range(len(languages)) for x in (i, max(2.0, rarest * used.get(i, 0)))])
-    usual = grams.where(F.col("n") >= least[F.col("lang")])
-    masks = usual.groupBy("gram").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lang"))).alias("mask"))
+    part = F.create_map(*[F.lit(x) for i in range(len(languages)) for x in (i, 1.0 / max(1, used.get(i, 0)))])
+    rates = grams.where("n > 1").select("gram", "lang", (F.col("n") * part[F.col("lang")]).alias("rate"))
+    each = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("rates"))  # at most 64
+    usual = F.filter("rates", lambda r: (r["rate"] >= rarest) & (r["rate"] >= F.col("top") * least))
+    one = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), r["lang"])
+    mask = F.aggregate(usual, F.lit(0).cast("long"), lambda m, r: m.bitwiseOR(one(r)))
+    masks = each.select("gram", mask.alias("mask")).where("mask <> 0")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
