@@ -19,7 +19,7 @@ from sigloom.session import cut_lineage
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Language ID rejects texts without letters, and those of which the best language's filter
 #: knows less than this part of the n-grams.
-LEAST_COVERAGE = 0.3
+LEAST_COVERAGE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
