@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,10 +81,6 @@ def is_finite(value: ColumnLike) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf))
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda left, right: left & right, conditions, F.lit(True))
-
-
 def hash32(*parts: ColumnLike | int) -> Column:
     """First 32 bits of md5 over '|'-joined parts, as a non-negative bigint.
 
@@ -94,10 +89,3 @@ def hash32(*parts: ColumnLike | int) -> Column:
     """
     cols = [F.lit(str(p)) if isinstance(p, int) else as_col(p).cast("string") for p in parts]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("bigint")
-
-
-def grid(name: str, first: int, last: int, scale: int) -> Column:
-    """Exploded grid ``first/scale … last/scale`` built from integers, free of float drift."""
-    return F.explode(
-        F.transform(F.sequence(F.lit(first), F.lit(last)), lambda k: k.cast("double") / F.lit(float(scale)))
-    ).alias(name)

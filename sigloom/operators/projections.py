@@ -137,10 +137,6 @@ def feature_inventory(cols: Sequence[str], detectors: Sequence[str] = DETECTORS)
     return [(k, c, family_of(c, detectors)) for k, c in enumerate(cols)]
 
 
-def inventory_frame(spark, cols: Sequence[str], detectors: Sequence[str] = DETECTORS) -> DataFrame:
-    return spark.createDataFrame(feature_inventory(cols, detectors), "position int, feature string, family string")
-
-
 def feature_set(inventory: Iterable[tuple[int, str, str]], name: str) -> list[str]:
     if name not in FEATURE_SETS:
         raise ContractError(f"unknown feature set {name!r}")

@@ -7,11 +7,12 @@ task is one Arrow or row batch of signals.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,18 +136,69 @@ def position_moments(long: DataFrame, by: Sequence[str], value: str) -> DataFram
     )
 
 
+def _folded_moments(per_position: bool):
+    """Arrow batches of arrays -> n, mean and sum of squared deviations, per position or in all."""
+
+    def fold(x: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        axis = 0 if per_position else None
+        n = ok.sum(axis=axis)
+        mean = np.where(ok, x, 0.0).sum(axis=axis) / np.maximum(n, 1)
+        return np.array([n, mean, (np.where(ok, x - mean, 0.0) ** 2).sum(axis=axis)], float).reshape(3, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            arrays = batch.column(0).drop_null()
+            flat = arrays.flatten()
+            ok = ~flat.is_null().to_numpy(zero_copy_only=False)
+            x = flat.to_numpy(zero_copy_only=False).astype(float)
+            lengths = arrays.value_lengths().to_numpy()
+            begins = np.cumsum(lengths) - lengths
+            for length in np.unique(lengths[lengths > 0]).tolist():
+                at = begins[lengths == length][:, None] + np.arange(length)
+                new, key = fold(x[at], ok[at]), length if per_position else 0
+                old = held.get(key, np.zeros_like(new))
+                n = old[0] + new[0]
+                shift = new[1] - old[1]
+                share = new[0] / np.maximum(n, 1)
+                held[key] = np.array([n, old[1] + shift * share, old[2] + new[2] + shift**2 * old[0] * share])
+        for sums in held.values():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(sums.shape[1], dtype=np.int32)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
+                ["pos", "n", "mean", "m2"],
+            )
+
+    return run
+
+
+def _merged_moments(df: DataFrame, values: str, per_position: bool, variance_floor: float = 0.0) -> DataFrame:
+    """pos, n, mean and variance: every task hands on one row for each position."""
+    parts = df.select(F.col(values).cast("array<double>").alias("_v")).mapInArrow(
+        _folded_moments(per_position), "pos int, n bigint, mean double, m2 double"
+    )
+    total = F.col("n").cast("double")
+    sums = parts.groupBy("pos").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("_s"),
+        F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("_q"),
+    )
+    mean = F.when(F.col("n") > 0, F.col("_s") / total)
+    spread = F.when(F.col("n") > 0, F.greatest(F.col("_q") / total - mean * mean, F.lit(variance_floor)))
+    return sums.select("pos", "n", mean.alias("mean"), spread.alias("variance"))
+
+
 def fit_standardizer(df: DataFrame, values: str = "values") -> DataFrame:
-    """Moments per array position. Each task folds its signals to one row per position."""
-    return position_moments(df.select(F.posexplode(values).alias("pos", "_v")), ["pos"], "_v")
+    """n, mean and population std per array position; a std below 1e-6 becomes 1. Absent (null)
+    entries do not count. Tasks fold whole arrays, so no row per sample is made."""
+    sd = F.sqrt("variance")
+    return _merged_moments(df, values, True).select("pos", "n", "mean", F.when(sd < 1e-6, F.lit(1.0)).otherwise(sd).alias("std"))
 
 
 def fit_scalar_standardizer(df: DataFrame, values: str = "values", variance_floor: float = 1e-12) -> DataFrame:
     """One mean and std over every value present; the variance is floored."""
-    return df.select(F.explode(values).alias("_v")).agg(
-        F.count("_v").alias("n"),
-        F.avg("_v").alias("mean"),
-        F.sqrt(F.greatest(F.var_pop("_v"), F.lit(variance_floor))).alias("std"),
+    merged = _merged_moments(df, values, False, variance_floor).agg(
+        F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("n"), F.max("mean").alias("mean"), F.sqrt(F.max("variance")).alias("std")
     )
+    return merged
 
 
 def moments_array(moments: DataFrame, field: str) -> Column:

@@ -136,11 +136,16 @@ def temperatures(points: int = 81, low: float = 0.25, high: float = 4.0) -> list
 
 
 def temperature_curve(df: DataFrame, by: Sequence[str], logit: str, target: str = "target", points: int = 81) -> DataFrame:
-    """Mean negative log-likelihood at each temperature of a log-spaced grid."""
-    grid = F.array(*[F.lit(t) for t in temperatures(points)])
-    spread = df.select(*by, target, logit, F.posexplode(grid).alias("step", "temperature"))
-    z = F.col(logit) / F.col("temperature")
-    return spread.groupBy(*by, "step", "temperature").agg(F.avg(softplus(z) - F.col(target) * z).alias("nll"))
+    """Mean negative log-likelihood at each temperature of a log-spaced grid: one average for each
+    temperature in a single aggregation, so rows are not multiplied."""
+    steps = temperatures(points)
+
+    def loss(t: float) -> Column:
+        z = F.col(logit) / F.lit(t)
+        return F.avg(softplus(z) - F.col(target) * z)
+
+    curve = df.groupBy(*by).agg(F.array(*[F.struct(F.lit(t).alias("temperature"), loss(t).alias("nll")) for t in steps]).alias("_c"))
+    return curve.select(*by, F.posexplode("_c").alias("step", "_e")).select(*by, "step", "_e.temperature", "_e.nll")
 
 
 def fit_temperature(df: DataFrame, by: Sequence[str], logit: str, target: str = "target", points: int = 81) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,30 +20,61 @@ def read_wide_signals(
 ) -> DataFrame:
     """Column-per-signal Parquet -> (sample_id, file, chunk, n, values), in row order.
 
-    Only the requested columns are read. The sample index is the row's position in its file;
-    a table of several files is continued in file-name order. With ``chunk``, each file is
-    cut into arrays of that many consecutive samples, so a signal is assembled by many
-    tasks; without it a signal is one array. Column batches bound how far a row is expanded.
+    Only the requested columns are read, ``batch`` of them in one scan. The sample index is the
+    row's position in its file; a table of several files is continued in file-name order. Tasks
+    turn their rows into arrays column by column, so what travels is pieces of signals, not
+    samples. With ``chunk``, each file is cut into arrays of that many consecutive samples, so a
+    signal is assembled by many tasks; without it a signal is one array. Values stay float if
+    all requested columns are, and are double otherwise.
     """
     wide = spark.read.parquet(path)
     missing = sorted(set(ids) - set(wide.columns))
     if missing:
         raise ContractError(f"signals not in the file: {missing}")
+    kinds = dict(wide.dtypes)
+    kind = "float" if all(kinds[c] == "float" for c in ids) else "double"
     index, name = F.col("_metadata.row_index"), F.col("_metadata.file_name")
-    part = F.floor(index / F.lit(chunk)).cast("bigint") if chunk else F.lit(0).cast("bigint")
+    schema = f"sample_id string, file string, chunk bigint, start bigint, piece array<{kind}>"
     out = None
     for start in range(0, len(ids), batch):
         cols = list(ids[start : start + batch])
-        long = wide.select(
-            index.alias("_i"), name.alias("_f"), part.alias("chunk"), *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]
-        ).unpivot(["_i", "_f", "chunk"], cols, "sample_id", "_v")
-        ordered = F.array_sort(F.collect_list(F.struct("_f", "_i", "_v")))  # one chunk, or one signal
-        keys = ["sample_id", "_f", "chunk"] if chunk else ["sample_id", "chunk"]
-        piece = long.groupBy(*keys).agg(
-            F.transform(ordered, lambda s: s["_v"]).alias("values"), F.min("_f").alias("file")
-        )
-        out = piece if out is None else out.unionByName(piece)
-    return out.select("sample_id", "file", "chunk", F.size("values").alias("n"), "values")
+        rows = wide.select(index.alias("_i"), name.alias("_f"), *[F.col(f"`{c}`").cast(kind).alias(c) for c in cols])
+        pieces = rows.mapInArrow(_pieces(cols, chunk), schema)
+        out = pieces if out is None else out.unionByName(pieces)
+    ordered = F.array_sort(F.collect_list(F.struct("file", "start", "piece")))  # of one chunk, or one signal
+    keys = ["sample_id", "file", "chunk"] if chunk else ["sample_id", "chunk"]
+    joined = out.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
+        F.flatten(F.transform(ordered, lambda s: s["piece"])).alias("values"), F.min("file").alias("file")
+    )
+    return joined.select(
+        F.col("_k_sample_id").alias("sample_id"), "file", F.col("_k_chunk").alias("chunk"), F.size("values").alias("n"), "values"
+    )
+
+
+def _pieces(cols: Sequence[str], chunk: int | None):
+    """Arrow batches of rows -> for each column, arrays of consecutive rows of one file and chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, file = batch.column("_i").to_numpy(), batch.column("_f")
+            part = index // chunk if chunk else np.zeros(len(index), np.int64)
+            codes = file.dictionary_encode().indices.to_numpy()
+            breaks = (np.diff(index) != 1) | (np.diff(part) != 0) | (np.diff(codes) != 0)
+            cuts = np.concatenate([[0], np.flatnonzero(breaks) + 1, [len(index)]]).astype(np.int32)
+            if len(index) == 0:
+                continue
+            starts = pa.array(cuts[:-1])
+            for c in cols:
+                values = batch.column(c)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([c] * len(starts)), file.take(starts), pa.array(part[cuts[:-1]]), pa.array(index[cuts[:-1]]),
+                        pa.ListArray.from_arrays(pa.array(cuts), values),
+                    ],
+                    ["sample_id", "file", "chunk", "start", "piece"],
+                )
+
+    return run
 
 
 def read_metadata(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:

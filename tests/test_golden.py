@@ -496,6 +496,30 @@ def test_fits_refuse_bad_features_and_unfinished_models(spark):
         mo.fit_logistic(df.where("NOT isnan(x)"), [], ["x"], "y", steps=1, tolerance=1e-12)
 
 
+def test_unique_keys_are_asserted(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (1, "b")], "k int, v string")
+    checks.assert_unique(df, ["k", "v"])
+    with pytest.raises(checks.ContractError):
+        checks.assert_unique(df, ["k"])
+
+
+def test_wide_signals_of_many_columns_and_files(spark, tmp_path):
+    n = 230
+    for f in range(3):
+        rows = [tuple(float(1000 * f + 10 * r + c % 7) for c in range(n)) for r in range(25)]
+        schema = ", ".join(f"c{c} float" for c in range(n))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "wide"))
+    ids = [f"c{c}" for c in range(n)]
+    whole = {r["sample_id"]: r["values"] for r in sources.read_wide_signals(spark, str(tmp_path / "wide"), ids, batch=100).collect()}
+    assert len(whole) == n and all(len(v) == 75 for v in whole.values())
+    first = whole["c0"]
+    assert sorted(first) == sorted(float(1000 * f + 10 * r) for f in range(3) for r in range(25))
+    assert all(whole[f"c{c}"] == [x + c % 7 for x in first] for c in range(n))
+    df = sources.read_wide_signals(spark, str(tmp_path / "wide"), ids, chunk=10)
+    assert dict(df.dtypes)["values"] == "array<float>" and df.count() == n * 3 * 3
+    assert {r["n"] for r in df.select("n").distinct().collect()} == {10, 5}
+
+
 def test_mcnemar_is_exact_for_many_pairs(spark):
     import math
 
