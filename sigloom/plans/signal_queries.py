@@ -12,6 +12,7 @@ from sigloom.operators import signals as sg
 from sigloom.operators import spectra as sx
 from sigloom.plans import inputs as src
 from sigloom.plans.registry import query, round_to, rounded
+from sigloom.session import cut_lineage
 from sigloom.sources import signals as sources
 
 SPEC = sg.WindowSpec(16, 10)
@@ -314,10 +315,38 @@ def strict_reference(spark, sf):
     return s.select("sample_id", "c.success", "c.origin", "c.opposite")
 
 
-@query("alignment_records")
+def degrees_sql(a: str, b: str) -> str:
+    x = f"(({b} - {a}) / 64.0::DOUBLE * 360 + 180)"
+    return f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN abs({x} - 360 * floor({x} / 360) - 180) END"
+
+
+# The three references of every signal: landmarks of the centred and of the raw curve, and the
+# sinusoid of the frequency with the least error, from its 3x3 normal equations.
+RECORDS = f"""{reference_sql(True)}, {CURRENT},
+  stc AS (WITH {reference_sql(False)} SELECT sample_id, CASE WHEN abs(sep-32) <= 8 THEN o END AS origin FROM al),
+  ph AS (SELECT f, i, sin(2*pi()*f*i/3200) AS u, cos(2*pi()*f*i/3200) AS w FROM (VALUES (50.0::DOUBLE), (60.0::DOUBLE)) t(f), range(64) r(i)),
+  mo AS (SELECT sample_id, f, sum(u*u) AS a, sum(u*w) AS b, sum(u) AS c, sum(w*w) AS d, sum(w) AS e, 64.0::DOUBLE AS n, sum(u*s) AS p, sum(w*s) AS q, sum(s) AS r, sum(s*s) AS yy
+    FROM sm JOIN ph ON ph.i = sm.i GROUP BY sample_id, f),
+  de AS (SELECT *, a*(d*n-e*e) - b*(b*n-c*e) + c*(b*e-c*d) AS det FROM mo),
+  so AS (SELECT sample_id, f, ((d*n-e*e)*p + (c*e-b*n)*q + (b*e-c*d)*r)/det AS x, ((c*e-b*n)*p + (a*n-c*c)*q + (b*c-a*e)*r)/det AS y, ((b*e-c*d)*p + (b*c-a*e)*q + (a*d-b*b)*r)/det AS z, p, q, r, yy FROM de),
+  be AS (SELECT sample_id, arg_min(f, (yy - x*p - y*q - z*r, f)) AS f FROM so GROUP BY 1),
+  wv AS (SELECT so.sample_id, ph.i, x*u + y*w AS v FROM so JOIN be ON be.sample_id = so.sample_id AND be.f = so.f JOIN ph ON ph.f = so.f),
+  cr AS (SELECT sample_id, i, v, lag(v) OVER (PARTITION BY sample_id ORDER BY i) AS b FROM wv),
+  si AS (SELECT sample_id, min(i) - 1 AS origin FROM cr WHERE b <= 0 AND v > 0 GROUP BY 1),
+  og AS (SELECT g.sample_id, g.id_measurement, CASE WHEN cur.success THEN cur.origin END AS o1, stc.origin AS o2, si.origin AS o3
+    FROM signals g LEFT JOIN cur USING (sample_id) LEFT JOIN stc USING (sample_id) LEFT JOIN si USING (sample_id)),
+  rec AS (SELECT sample_id, id_measurement, CAST(o1 IS NOT NULL AS INT) AS s1, CAST(o2 IS NOT NULL AS INT) AS s2, CAST(o3 IS NOT NULL AS INT) AS s3,
+    {degrees_sql('o1', 'o2')} AS d12, {degrees_sql('o1', 'o3')} AS d13, {degrees_sql('o2', 'o3')} AS d23 FROM og)"""
+
+
+@query(
+    "alignment_records",
+    f"""WITH {src.SIGNALS}, {RECORDS} SELECT sample_id, s1 AS current_success, s2 AS strict_success, s3 AS sinusoid_success,
+      round(d12,6) AS current_strict_degrees, round(d13,6) AS current_sinusoid_degrees, round(d23,6) AS strict_sinusoid_degrees FROM rec""",
+)
 def alignment_records(spark, sf):
     a = pu.alignment_records(src.signals(spark, sf).select("sample_id", "id_measurement", "values"), POLICY, step=1)
-    return a.select("sample_id", "current_success", "strict_success", "sinusoid_success", "current_strict_degrees", "current_sinusoid_degrees", "strict_sinusoid_degrees")
+    return rounded(a.select("sample_id", "current_success", "strict_success", "sinusoid_success", "current_strict_degrees", "current_sinusoid_degrees", "strict_sinusoid_degrees"))
 
 
 @query(
@@ -331,12 +360,19 @@ def alignment_disagreement(spark, sf):
     return rounded(s.select("sample_id", pu.degrees_apart(F.col("c"), other, 64).alias("degrees")))
 
 
-@query("alignment_summary")
+@query(
+    "alignment_summary",
+    f"""WITH {src.SIGNALS}, {RECORDS}, g AS (SELECT id_measurement, sum(s1) AS hits FROM rec GROUP BY 1),
+      t AS (SELECT avg(s1) AS r1, avg(s2) AS r2, avg(s3) AS r3, avg(s1*s2*s3) AS r4, (SELECT avg(CAST(hits = 3 AS INT)) FROM g) AS gr,
+        (SELECT median(d) FROM (SELECT unnest([d12, d13, d23]) AS d FROM rec) WHERE d IS NOT NULL) AS md FROM rec)
+    SELECT round(r1,6) AS current_rate, round(r2,6) AS strict_rate, round(r3,6) AS sinusoid_rate, round(r4,6) AS all_method_rate, round(gr,6) AS complete_group_rate, round(md,6) AS median_disagreement,
+      CASE WHEN least(r1, r2, r3, gr) >= 0.95 AND md <= 20 THEN 'VALID' WHEN least(r1, r2, r3) >= 0.5 THEN 'PARTIAL/AMBIGUOUS' ELSE 'INVALID' END AS status FROM t""",
+)
 def alignment_summary(spark, sf):
     from sigloom.operators.audits import alignment_summary as summarize
 
     a = pu.alignment_records(src.signals(spark, sf).select("sample_id", "id_measurement", "values"), POLICY, step=1)
-    return summarize(a)
+    return rounded(summarize(cut_lineage(a)))
 
 
 @query(
@@ -517,6 +553,21 @@ def detect_events(spark, sf):
     return rounded(d.select("sample_id", "detector", "success", "alignment", "noise", "candidates", "boundary", F.size("peaks").alias("n")))
 
 
+@query(
+    "detect_current",
+    f"""WITH {src.SIGNALS}, {EVENTS}, nz AS (SELECT sample_id, greatest(1.4826 * median(abs(x - c)), 1e-6) AS noise FROM fl JOIN (SELECT sample_id, median(x) AS c FROM fl GROUP BY 1) USING (sample_id) GROUP BY 1),
+      pz AS (SELECT sel.sample_id, (pos + origin) % 64 AS p FROM sel JOIN cur USING (sample_id)),
+      ct AS (SELECT sample_id, count(*) AS n, count(*) FILTER (p < 2 OR p >= 62) AS edge FROM pz GROUP BY 1)
+    SELECT cur.sample_id, 'current' AS detector, success, CASE WHEN NOT success THEN NULL WHEN inferred THEN 'INFERRED' ELSE 'VALID' END AS alignment, round(noise,6) AS noise,
+      CAST(CASE WHEN success THEN coalesce(n, 0) END AS INT) AS candidates, CAST(CASE WHEN success THEN coalesce(edge, 0) END AS INT) AS boundary, CAST(coalesce(n, 0) AS INT) AS n
+    FROM cur LEFT JOIN nz USING (sample_id) LEFT JOIN ct USING (sample_id)""",
+)
+def detect_current(spark, sf):
+    """The registered cycle detector alone, outcome by outcome."""
+    d = pu.detect_events(sig(spark, sf), [SHORT[0]], POLICY)
+    return rounded(d.select("sample_id", "detector", "success", "alignment", "noise", "candidates", "boundary", F.size("peaks").alias("n")))
+
+
 QUADS = ", ".join(
     [f"count(*) FILTER (i/64.0 >= {k / 4} AND i/64.0 < {(k + 1) / 4})::DOUBLE AS quadrant_{k:02d}_count" for k in range(4)]
     + [f"count(*) FILTER (i/64.0 >= {k / 20} AND i/64.0 < {(k + 1) / 20})::DOUBLE AS phase_bin_{k:02d}_count" for k in range(20)]
@@ -559,6 +610,25 @@ def match_events(spark, sf):
     return rounded(both.where("a IS NOT NULL AND b IS NOT NULL").select("sample_id", pu.match_events("a", "b", 2).alias("m")).select("sample_id", "m.*"))
 
 
+MATCH_SQL = f"""WITH RECURSIVE {src.SIGNALS}, l AS (SELECT sample_id, i, v, lag(v) OVER w AS a, lead(v) OVER w AS b FROM samples WINDOW w AS (PARTITION BY sample_id ORDER BY i)),
+  up AS (SELECT sample_id, list(i ORDER BY i) AS a FROM l WHERE v > a AND v > b GROUP BY 1), dn AS (SELECT sample_id, list(i ORDER BY i) AS b FROM l WHERE v < a AND v < b GROUP BY 1),
+  st AS (SELECT sample_id, a AS todo, b AS free, CAST([] AS BIGINT[]) AS off, len(a) AS na, len(b) AS nb FROM up JOIN dn USING (sample_id)
+    UNION ALL
+    SELECT sample_id, todo[2:], CASE WHEN pick IS NULL THEN free ELSE list_filter(free, lambda x: x <> pick) END, CASE WHEN pick IS NULL THEN off ELSE list_append(off, pick - todo[1]) END, na, nb
+    FROM (SELECT *, list_sort(list_transform(list_filter(free, lambda x: abs(x - todo[1]) <= 3), lambda x: [abs(x - todo[1]), x]))[1][2] AS pick FROM st WHERE len(todo) > 0))
+  SELECT sample_id, CAST(na AS INT) AS left_count, CAST(nb AS INT) AS right_count, CAST(len(off) AS INT) AS matched, round(len(off)::DOUBLE / greatest(na + nb - len(off), 1),6) AS matched_fraction,
+    round(coalesce(list_median(off), 'nan'::DOUBLE),6) AS median_offset, round(coalesce(list_median(list_transform(off, lambda x: abs(x))), 'nan'::DOUBLE),6) AS median_abs_offset FROM st WHERE len(todo) = 0"""
+
+
+@query("match_peaks", MATCH_SQL)
+def match_peaks(spark, sf):
+    """Maxima matched to minima at most three samples away, one to one, in order of position."""
+    s = sig(spark, sf)
+    found = s.select("sample_id", pu.find_peaks("values").alias("a"), pu.find_peaks(F.transform("values", lambda x: -x)).alias("b"))
+    both = found.where((F.size("a") > 0) & (F.size("b") > 0)).select("sample_id", *[F.transform(c, lambda p: p["pos"]).alias(c) for c in ("a", "b")])
+    return rounded(both.select("sample_id", pu.match_events("a", "b", 3).alias("m")).select("sample_id", "m.*"))
+
+
 @query(
     "match_candidates",
     f"""WITH {src.SIGNALS}, l AS (SELECT sample_id, i, v, lag(v) OVER w AS a, lead(v) OVER w AS b FROM samples WINDOW w AS (PARTITION BY sample_id ORDER BY i)),
