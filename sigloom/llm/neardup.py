@@ -157,15 +157,12 @@ def leaves(members: DataFrame, threshold: float, leaf: int, levels: int) -> Data
 def _deal(large: DataFrame, leaf: int) -> DataFrame:
     """Leaves of nodes that branching does not take apart: hashed parts of bounded size, each with
     the members whose signature agrees most with the node's most frequent values."""
-    cells = large.select("node", "id", "sig", F.explode(F.sequence(F.lit(1), F.lit(32))).alias("c"))
-    cells = cells.select("node", "id", "c", F.col("sig").substr(F.col("c"), F.lit(1)).alias("v"))
-    counts = cells.groupBy("node", "c", "v").agg(F.count(F.lit(1)).alias("n"))
-    typical = counts.groupBy("node", "c").agg(F.max_by("v", F.struct("n", "v")).alias("top"))
-    score = (
-        cells.join(typical, ["node", "c"]).groupBy("node", "id").agg(F.sum((F.col("v") == F.col("top")).cast("int")).alias("score"))
-    )
-    hubs = score.groupBy("node").agg(
-        F.count(F.lit(1)).alias("size"), *[F.max_by("id", F.struct("score", F.xxhash64("id", F.lit(i)))).alias(f"hub{i}") for i in range(4)]
+    bytes_ = [F.col("sig").substr(i, 1) for i in range(1, 17)]
+    typical = large.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *[F.mode(b).alias(f"top{i}") for i, b in enumerate(bytes_)])
+    agree = sum(((b == F.col(f"top{i}")).cast("int") for i, b in enumerate(bytes_)), F.lit(0)).alias("score")
+    scored = large.join(stored(typical, "typical"), "node").select("node", "id", "size", agree)
+    hubs = scored.groupBy("node").agg(
+        F.max("size").alias("size"), *[F.max_by("id", F.struct("score", F.xxhash64("id", F.lit(i)))).alias(f"hub{i}") for i in range(4)]
     )
     hubs = hubs.select("node", F.ceil(F.col("size") / (leaf // 2)).alias("parts"), F.array_distinct(F.array(*[f"hub{i}" for i in range(4)])).alias("hubs"))
     placed = large.join(stored(hubs, "hubs"), "node")
@@ -384,7 +381,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 8, leaf: int = 512, levels: int = 4, slack: float = 4.5
+    docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 8, leaf: int = 1024, levels: int = 2, slack: float = 4.5
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
