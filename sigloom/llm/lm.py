@@ -28,7 +28,7 @@ from sigloom.llm.text import UPPER, WORD, chunks, mix, seeds, utf8, word_hashes
 _U = np.uint64
 START, END = _U(1), _U(2)
 #: Bytes of text for each shard, and tokens that a task counts before it sends them on.
-SHARD_BYTES, FLUSH = 8 << 20, 2_000_000
+SHARD_BYTES, FLUSH = 8 << 20, 1_200_000
 BUCKETS = 256
 _FACTORS = seeds(16, 41)
 
@@ -405,7 +405,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         reader = _readers.setdefault(model.folder, Reader(model))
         low = math.log10(model.train_tokens + model.types + 1)
         for whole in batches:
-            for batch in chunks(whole, limit=6 << 20):
+            for batch in chunks(whole, limit=4 << 20):
                 line, real, firsts = tokens(batch, model.order)
                 p, seen = reader.probabilities(line, real)
                 text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
