@@ -85,8 +85,9 @@ def fit_logistic(
     rows of all its *other* values: every row serves those models from where it lies, and no
     copies are stored.
 
-    Coefficients stay in a table that is joined to the rows for each step; the driver sees the
-    number of keys and of unfinished models. The shift of a feature is absorbed by the
+    Coefficients are a table that is joined to the rows for each step. Of few small models it is
+    held by the driver, which is at most ``BROADCAST_MODELS`` rows of ``NATIVE_FEATURES`` numbers
+    and their products; else it stays in the cluster, and the driver sees two counts. The shift of a feature is absorbed by the
     intercept, which is not penalised, so features are centred once for all keys.
     """
     keys, features, d = list(keys), list(features), len(features)
@@ -108,15 +109,21 @@ def fit_logistic(
     count = state.count()
     small = count <= BROADCAST_MODELS
     sums = _native_sums if d <= NATIVE_FEATURES else _block_sums
-    for _ in range(steps):
+
+    def gathered(state: DataFrame) -> DataFrame:
         active = state.where(~F.col("_done")).select(*every, "_beta", "_w0", "_w1")
-        served = _serve(rows, active, keys, held_out, small)
-        found = sums(served, every, names)
-        state = cut_lineage(_moved(state, found, every, d, tolerance, small))
-        if not state.where(~F.col("_done")).limit(1).count():
-            break
+        return sums(_serve(rows, active, keys, held_out, small), every, names)
+
+    if small and d <= NATIVE_FEATURES:
+        # At most BROADCAST_MODELS * 105 numbers: one job for each step, solved where it ends.
+        state = _solve_few(state, gathered, every, d, steps, tolerance)
     else:
-        raise RuntimeError(f"logistic models did not converge in {steps} steps")
+        for _ in range(steps):
+            state = cut_lineage(_moved(state, gathered(state), every, d, tolerance, small))
+            if not state.where(~F.col("_done")).limit(1).count():
+                break
+        else:
+            raise RuntimeError(f"logistic models did not converge in {steps} steps")
     raw = F.transform(F.slice("_beta", 2, max(d, 1)), lambda b, i: b / F.get(F.array(*[F.lit(float(s)) for s in spread]), i))
     shift = sum((F.get("_beta", F.lit(i + 1)) * F.lit(float(m / s)) for i, (m, s) in enumerate(zip(centre, spread))), F.lit(0.0))
     table = state.select(*every, F.concat(F.array(F.get("_beta", F.lit(0)) - shift), raw).alias("_coef"))
@@ -207,9 +214,42 @@ def _block_sums(served: DataFrame, keys: Sequence[str], names: Sequence[str]) ->
     return added.groupBy(*keys).agg(ordered)
 
 
+def _newton(sums: np.ndarray, beta: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """Coefficients after one step, which is cut to 4 in its largest number."""
+    size = len(beta)
+    curve = np.zeros((size, size))
+    curve[np.triu_indices(size)] = sums[size:]
+    curve = curve + np.triu(curve, 1).T + np.diag(penalty) + 1e-10 * np.eye(size)
+    move = np.linalg.solve(curve, sums[:size] + penalty * beta)
+    return beta - move * min(1.0, 4.0 / max(np.abs(move).max(), 1e-300))
+
+
+def _solve_few(
+    state: DataFrame, gathered: Callable[[DataFrame], DataFrame], keys: Sequence[str], d: int, steps: int, tolerance: float
+) -> DataFrame:
+    spark, schema = state.sparkSession, state.schema
+    models = state.toPandas()
+    for _ in range(steps):
+        if models["_done"].all():
+            return spark.createDataFrame(models, schema) if len(models) else state
+        found = gathered(spark.createDataFrame(models, schema)).collect()
+        by_key = {tuple(r[k] for k in keys): np.asarray(r["_sums"]) for r in found}
+        for i, row in models.iterrows():
+            sums = by_key.get(tuple(row[k] for k in keys))
+            if row["_done"] or sums is None:
+                models.at[i, "_done"] = True
+                continue
+            beta = np.asarray(row["_beta"])
+            fresh = _newton(sums, beta, np.asarray(row["_penalty"]))
+            models.at[i, "_beta"] = fresh
+            models.at[i, "_done"] = bool(np.abs(fresh - beta).max() < tolerance)
+    if not models["_done"].all():
+        raise RuntimeError(f"logistic models did not converge in {steps} steps")
+    return spark.createDataFrame(models, schema) if len(models) else state
+
+
 def _moved(state: DataFrame, found: DataFrame, keys: Sequence[str], d: int, tolerance: float, small: bool) -> DataFrame:
-    """One Newton step of every unfinished model; a step is cut to 4 in its largest number."""
-    upper = np.triu_indices(d + 1)
+    """One Newton step of every unfinished model."""
 
     @F.pandas_udf("array<double>")
     def step(sums: pd.Series, beta: pd.Series, penalty: pd.Series) -> pd.Series:
@@ -218,12 +258,7 @@ def _moved(state: DataFrame, found: DataFrame, keys: Sequence[str], d: int, tole
             if s is None:
                 out.append(b)
                 continue
-            s, b, p = np.asarray(s), np.asarray(b), np.asarray(p)
-            curve = np.zeros((d + 1, d + 1))
-            curve[upper] = s[d + 1 :]
-            curve = curve + np.triu(curve, 1).T + np.diag(p) + 1e-10 * np.eye(d + 1)
-            move = np.linalg.solve(curve, s[: d + 1] + p * b)
-            out.append(b - move * min(1.0, 4.0 / max(np.abs(move).max(), 1e-300)))
+            out.append(_newton(np.asarray(s), np.asarray(b), np.asarray(p)))
         return pd.Series(out)
 
     moved = _join_models(state, found, keys, small).withColumn("_next", F.when(F.col("_done"), F.col("_beta")).otherwise(step("_sums", "_beta", "_penalty")))
