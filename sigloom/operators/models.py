@@ -227,25 +227,25 @@ def _newton(sums: np.ndarray, beta: np.ndarray, penalty: np.ndarray) -> np.ndarr
 def _solve_few(
     state: DataFrame, gathered: Callable[[DataFrame], DataFrame], keys: Sequence[str], d: int, steps: int, tolerance: float
 ) -> DataFrame:
-    spark, schema = state.sparkSession, state.schema
-    models = state.toPandas()
+    schema, models = state.schema, [r.asDict() for r in state.collect()]
+
+    def table() -> DataFrame:
+        return state.sparkSession.createDataFrame([tuple(m[c] for c in schema.names) for m in models], schema)
+
     for _ in range(steps):
-        if models["_done"].all():
-            return spark.createDataFrame(models, schema) if len(models) else state
-        found = gathered(spark.createDataFrame(models, schema)).collect()
-        by_key = {tuple(r[k] for k in keys): np.asarray(r["_sums"]) for r in found}
-        for i, row in models.iterrows():
-            sums = by_key.get(tuple(row[k] for k in keys))
-            if row["_done"] or sums is None:
-                models.at[i, "_done"] = True
+        if all(m["_done"] for m in models):
+            break
+        sums = {tuple(r[k] for k in keys): np.asarray(r["_sums"]) for r in gathered(table()).collect()}
+        for m in models:
+            found = sums.get(tuple(m[k] for k in keys))
+            if m["_done"] or found is None:
                 continue
-            beta = np.asarray(row["_beta"])
-            fresh = _newton(sums, beta, np.asarray(row["_penalty"]))
-            models.at[i, "_beta"] = fresh
-            models.at[i, "_done"] = bool(np.abs(fresh - beta).max() < tolerance)
-    if not models["_done"].all():
+            before = np.asarray(m["_beta"])
+            after = _newton(found, before, np.asarray(m["_penalty"]))
+            m["_beta"], m["_done"] = after.tolist(), bool(np.abs(after - before).max() < tolerance)
+    if not all(m["_done"] for m in models):
         raise RuntimeError(f"logistic models did not converge in {steps} steps")
-    return spark.createDataFrame(models, schema) if len(models) else state
+    return table()
 
 
 def _moved(state: DataFrame, found: DataFrame, keys: Sequence[str], d: int, tolerance: float, small: bool) -> DataFrame:
