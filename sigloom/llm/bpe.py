@@ -41,7 +41,7 @@ WHITE_SPACE = (
 )
 #: Slices up to this length are cached, in a young and an old half; a full young half becomes the
 #: old one, and what is found in the old half moves to the young.
-CACHED_CHARS, CACHE_SIZE = 48, 1 << 18
+CACHED_CHARS, CACHE_SIZE = 48, 1 << 17
 SHORT_BYTES = 128
 
 
