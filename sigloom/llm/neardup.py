@@ -10,7 +10,8 @@ Candidates that the signatures leave possible are confirmed on the full sets of
 Equal sets are one class and take part once. Of every node, a maximum spanning forest of the
 possible pairs is confirmed first, which connects a group of near copies by few pairs. Then the
 members that may still be linked with another group are compared on their full sets inside their
-nodes, so that no pair of unconnected documents is passed over.
+nodes, so that no pair of unconnected documents is passed over; a node too large for one comparison
+is compared part by part, every part with every other.
 """
 
 from __future__ import annotations
@@ -121,13 +122,9 @@ def _split(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
     return sized.where(F.col("size") <= leaf).drop("size"), sized.where(F.col("size") > leaf).drop("size")
 
 
-def leaves(members: DataFrame, threshold: float, leaf: int, levels: int) -> DataFrame:
-    """(node, id, sig) of all nodes to be compared: nodes branch until they have at most ``leaf``
-    members. ``members``: id, sig, nodes.
-
-    A node whose members do not come apart in ``levels`` levels holds near copies; it is dealt
-    into leaves by the hash of more coordinates, with its most typical members in each of them.
-    """
+def leaves(members: DataFrame, threshold: float, leaf: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """(node, id, sig) of the nodes with at most ``leaf`` members, and of the larger ones whose
+    members do not come apart in ``levels`` levels. ``members``: id, sig, nodes."""
     rows = members.select(F.explode("nodes").alias("node"), "id", "sig")
     # Only ids travel until the single nodes, which are most of them, are gone.
     met = rows.select("node", "id").join(_sizes(rows), "node")
@@ -138,7 +135,7 @@ def leaves(members: DataFrame, threshold: float, leaf: int, levels: int) -> Data
     extra = 1 / threshold - 1
     for level in range(levels):
         if not large.limit(1).count():
-            return out
+            break
         # every node selects one coordinate, and a second one in a part of the nodes
         first = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(COORDINATES)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64(F.lit(level + 100), "node"), F.lit(COORDINATES - 1)), F.lit(COORDINATES)).cast("int")
@@ -149,9 +146,7 @@ def leaves(members: DataFrame, threshold: float, leaf: int, levels: int) -> Data
         )
         small, large = _split(children, leaf)
         out = out.unionByName(small)
-    if not large.limit(1).count():
-        return out
-    return out.unionByName(_deal(large, leaf))
+    return out, large
 
 
 def _deal(large: DataFrame, leaf: int) -> DataFrame:
@@ -176,6 +171,32 @@ def _deal(large: DataFrame, leaf: int) -> DataFrame:
     return own.unionByName(everywhere).dropDuplicates(["node", "id"])
 
 
+def _blocks(grouped: DataFrame, leaf: int) -> DataFrame:
+    """Leaves in which every two members of a large node meet, if their groups differ.
+    ``grouped``: node, id, sig, group.
+
+    The members of a node are dealt into parts of about half a leaf, those of a large group into
+    parts of their own; a leaf is two parts, or one. Parts of one and the same group do not meet,
+    so a node whose members are all connected makes no rows.
+    """
+    half = leaf // 2
+    counts = grouped.groupBy("node", "group").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counts.withColumn("own", F.when(F.col("n") > half, F.col("group"))), "counts")
+    sums = counts.groupBy("node", "own").agg(F.ceil(F.sum("n") / half).alias("parts"))
+    sums = stored(sums.select(F.col("node").alias("_node"), F.col("own").alias("_own"), "parts"), "sums")
+    dealt = counts.join(sums, (F.col("node") == F.col("_node")) & F.col("own").eqNullSafe(F.col("_own"))).select("node", "group", "own", "parts")
+    part = F.xxhash64("own", F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts"))).alias("part")
+    placed = stored(grouped.join(stored(dealt, "dealt"), ["node", "group"]).select("node", "id", "sig", "group", "own", part), "placed")
+    parts = stored(placed.select("node", "part", "own").distinct(), "parts")
+    other = parts.select("node", F.col("part").alias("part_b"), F.col("own").alias("own_b"))
+    apart = F.col("own").isNull() | F.col("own_b").isNull() | (F.col("own") != F.col("own_b"))
+    pairs = parts.join(other, "node").where((F.col("part") <= F.col("part_b")) & apart)
+    sides = pairs.select(
+        "node", F.xxhash64("node", "part", "part_b").alias("block"), F.explode(F.array_distinct(F.array("part", "part_b"))).alias("part")
+    )
+    return placed.join(stored(sides, "sides"), ["node", "part"]).select(F.col("block").alias("node"), "id", "sig", "group")
+
+
 def spanning_pairs(sigs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Maximum spanning forest of the pairs with at least ``least`` equal coordinates."""
     n = len(sigs)
@@ -393,7 +414,8 @@ def near_duplicates(
     texts are documents of their own that share the name; equal rows are judged alike.
 
     A pair at the threshold meets in a first-level node with a probability of
-    1 - (1 - threshold) ** ceil(trees / threshold), which is 1 - 1e-7 by default. ``slack`` is
+    1 - (1 - threshold) ** ceil(trees / threshold), which is 1 - 1e-7 by default. Where all nodes
+    that it meets in branch ``levels`` times, that is about 1 - 3e-4. ``slack`` is
     how many standard deviations below the threshold a signature may lie and still be confirmed.
     """
     sketched = stored(sketch(docs, words, trees, threshold), "sketch")
@@ -407,19 +429,24 @@ def near_duplicates(
         .select(F.col("doc_id").alias("id"), "sig", "nodes"),
         "members",
     )
-    rows = leaves(members, threshold, leaf, levels)
+    rows, large = leaves(members, threshold, leaf, levels)
+    deep = large.limit(1).count() > 0
     sure = threshold + (1 - threshold) * CHANCE
     least = math.floor(COORDINATES * (sure - slack * math.sqrt(sure * (1 - sure) / COORDINATES)))
-    first = stored(forest_pairs(rows, least), "pairs")
-    # Texts of all documents that are in any possible pair, once; both rounds read them. They
+    first = stored(forest_pairs(rows.unionByName(_deal(large, leaf)) if deep else rows, least), "pairs")
+    # Texts of all documents that are in any possible pair or large node, once; both rounds read them. They
     # move by a merge join at every size: the ids on the other side grow with the table.
-    involved = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
+    involved = first.select(F.col("a").alias("id")).union(first.select("b"))
+    involved = (involved.union(large.select("id")) if deep else involved).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull())
     texts = stored(texts.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     links = stored(confirm(first, texts, words, threshold).where("linked").select("a", "b"), "links")
     groups = stored(components(links), "groups")
-    # What the forest left unconnected: every pair of different groups that share a leaf.
-    grouped = rows.join(groups, "id", "left").select("node", "id", "sig", F.coalesce("component", "id").alias("group"))
+    # What the forest left unconnected: every pair of different groups that share a node.
+    group = F.coalesce("component", "id").alias("group")
+    grouped = rows.join(groups, "id", "left").select("node", "id", "sig", group)
+    if deep:
+        grouped = grouped.unionByName(_blocks(stored(large.join(groups, "id", "left").select("node", "id", "sig", group), "large"), leaf))
     more = stored(leaf_links(grouped, texts, least, words, threshold), "links")
     if more.limit(1).count():
         groups = stored(components(links.union(more)), "groups")

@@ -85,6 +85,26 @@ def test_near_duplicates_match_all_pairs(spark, leaf, levels):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("levels", [0, 1])
+def test_near_duplicates_inside_a_template_family(spark, levels):
+    """All share a template at a similarity of 0.75; 15 pairs share half of the rest too (0.87)."""
+    words = iter(range(10**6))
+    fresh = lambda n: [f"t{next(words)}" for _ in range(n)]
+    template = fresh(123)
+    texts = []
+    for i in range(120):
+        own = fresh(20)
+        texts.append(template + own)
+        if i % 8 == 0:
+            texts.append(template + own[:10] + fresh(10))
+    random.Random(4).shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = neardup.near_duplicates(table(spark, rows), words=4, leaf=16, levels=levels).collect()
+    want = brute.near_dup(rows, 4)
+    assert len({c for _, c in want.values()}) == 120
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d e"), (None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (2, None), (1, "a b c d e")]
     got = neardup.near_duplicates(table(spark, rows), words=4).collect()
