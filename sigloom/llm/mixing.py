@@ -22,8 +22,10 @@ from sigloom.session import cut_lineage
 
 #: A table of at most so many rows of a few numbers is joined by broadcast; a larger one by shuffle.
 BROADCAST_ROWS = 20_000
-#: Cells into which the rounding draws of a source are counted.
-CELLS = 4096
+#: Cells a unit into which the rounding draws of a source below 2 are counted, and cells a doubling
+#: for those above. NEVER is behind them all, for documents whose rate is whole.
+CELLS, HIGH_CELLS = 4096, 64
+NEVER = 2 * CELLS + 64 * HIGH_CELLS
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def balance(
     )
     rule = cut_lineage(rule)
     # Rounding: whole copies first, then one more for the documents whose draw lies below a
-    # limit, set where the source's words come nearest to its target.
+    # limit, set where the source's words come nearest to its target: before any cell or behind it.
     cell = Window.partitionBy("source").orderBy("cell")
     drawn = _with(sized, rule).select("source", "target", "size", *_draw(cap, tilt))
     counted = drawn.groupBy("source", "cell").agg(
@@ -144,8 +146,13 @@ def balance(
     before = F.coalesce(F.sum("size").over(cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = F.sum("whole").over(Window.partitionBy("source"))
     miss = F.abs(F.col("target") - F.col("whole_all") - F.col("before"))
+    prefix = lambda cell, size: F.struct(cell.alias("cell"), size.alias("before"))
     limits = (
-        counted.select("source", "cell", "target", before.alias("before"), whole.alias("whole_all"))
+        counted.select("source", "cell", "size", "target", before.alias("before"), whole.alias("whole_all"))
+        .where(F.col("cell") < NEVER)
+        .select("source", "target", "whole_all", F.inline(F.array(
+            prefix(F.col("cell"), F.col("before")), prefix(F.col("cell") + 1, F.col("before") + F.col("size"))
+        )))
         .groupBy("source")
         .agg(F.min_by("cell", F.struct(miss, F.col("cell"))).alias("limit"))
     )
@@ -157,7 +164,7 @@ def _draw(cap: int, tilt: float) -> list[Column]:
     """rate, whole copies and the cell of the rounding draw of a row joined with its rule.
 
     The draw is a hash of the row divided by the fractional part of its rate: below 1 with
-    exactly that probability. Draws of 2 and more share the last cell.
+    exactly that probability. Draws of 2 and more, up to 1e12, have cells by their logarithm.
     """
     z = F.pow(F.col("size").cast("double"), F.lit(1.0 - tilt))
     rate = F.exp(F.least(F.col("dual") * z / F.col("scale"), F.lit(math.log(cap))))
@@ -165,7 +172,9 @@ def _draw(cap: int, tilt: float) -> list[Column]:
     whole = F.floor(rate + 1e-12)
     part = rate - whole
     spread = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "source", "size"), 11).cast("double") / float(1 << 53)
-    cell = F.when(part > 1e-12, F.least(F.floor(spread / part * CELLS), F.lit(2 * CELLS))).otherwise(F.lit(2 * CELLS))
+    draw = spread / part
+    high = 2 * CELLS + F.floor(F.log2(F.greatest(draw, F.lit(2.0)) / 2) * HIGH_CELLS)
+    cell = F.when(part > 1e-12, F.when(draw < 2, F.floor(draw * CELLS)).otherwise(high)).otherwise(F.lit(NEVER))
     return [rate.alias("rate"), whole.alias("whole"), cell.cast("long").alias("cell")]
 
 
@@ -177,7 +186,7 @@ def copies(sized: DataFrame, rule: DataFrame, cap: int = 2, tilt: float = 0.5) -
     """
     names = [c for c in sized.columns if c not in ("source_size", "target", "rate", "copies", "taken")]
     drawn = _with(sized.select(*names), rule).select(*names, "source_size", "target", "limit", *_draw(cap, tilt))
-    number = F.col("whole") + F.when(F.col("cell") < F.least("limit", F.lit(2 * CELLS)), 1).otherwise(0)
+    number = F.col("whole") + F.when(F.col("cell") < F.col("limit"), 1).otherwise(0)
     return drawn.select(*names, "source_size", "target", "rate", number.cast("int").alias("copies")).withColumn(
         "taken", F.col("size") * F.col("copies")
     )

@@ -120,6 +120,22 @@ def test_mix_of_odd_rows(spark):
     assert mixing.copies(empty, mixing.balance(empty)).collect() == []
 
 
+def test_mix_takes_the_nearest_prefix_of_small_sources(spark):
+    def taken(rows, share):
+        sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+        out = mixing.copies(sized, mixing.balance(sized, weights=(1,), share=share)).toPandas()
+        return out.groupby("source").copies.sum().tolist()
+
+    assert taken([(1, "x", 10)], 0.9) == [1]
+    assert taken([(1, "x", 10)], 0.4) == [0]
+    assert taken([(1, "x", 10)], 1.8) == [2]
+    assert taken([(1, "x", 10), (2, "x", 10)], 0.95) == [2]
+    pairs = [(2 * i + k, f"s{i:02d}", 10) for i in range(40) for k in (0, 1)]
+    assert taken(pairs, 0.3) == [1] * 40
+    assert taken(pairs, 1.3) == [3] * 40
+    assert taken(pairs, 2.0) == [4] * 40
+
+
 def test_newton_rates_are_exponentially_tilted(spark):
     rng = random.Random(5)
     rows = [(i, "s%d" % (i % 3), rng.randrange(1, 500)) for i in range(3000)]
