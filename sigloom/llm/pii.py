@@ -27,6 +27,8 @@ FORMS = {
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 ANY = "|".join(FORMS.values())
+#: What a text with any form has somewhere.
+HINT = r"[@0-9]|[a-f]{32}|A[KS]IA|(?:password|passwd|pwd|secret|api_key|access_token)[=:]"
 DATE_FORMS = {"-": "yyyy-MM-dd", ".": "dd.MM.yyyy", "/": "MM/dd/yyyy"}
 #: Days of the Gregorian cycle of 400 years, 189 * 773, from the first of 1800.
 FIRST_DAY, DAYS, DAY_RADIX = "1800-01-01", 146_097, 773
@@ -215,7 +217,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     split = docs.select(
         "doc_id",
         "text",
-        F.when(F.col("text").rlike("[@0-9]"), F.regexp_extract_all("text", F.lit(f"({ANY})"))).alias("found"),
+        F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(f"({ANY})"))).alias("found"),
     )
     swapped = split.select(
         "doc_id", "text", "found",
