@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Longest run of symbols that is permuted as one number; a longer one is permuted in pieces.
 PIECE = 24
+#: Characters that are put back into their places together.
+STRIDE = 256
+#: Names of secrets, in any case, with their sign.
+NAMED = r"(?i:password|passwd|pwd|secret|api_key|access_token)[ \t]*+[=:]"
 #: The accepted forms. An address starts where its run of characters does, so that
 #: a long text without spaces is read once.
 FORMS = {
@@ -21,14 +25,14 @@ FORMS = {
     "phone": r"(?<![\w+(])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w)",
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "password": r"(?<![0-9A-Za-z_])(?:password|passwd|pwd|secret|api_key|access_token)[=:][^\s\x22'<>]{6,64}",
+    "password": r"(?<![0-9A-Za-z_])" + NAMED + r"[ \t]*+[^\s\x22'<>]{6,}+",
     "access_key": r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "key": r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "key": r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 ANY = "|".join(FORMS.values())
 #: What a text with any form has somewhere.
-HINT = r"[@0-9]|[a-f]{32}|A[KS]IA|(?:password|passwd|pwd|secret|api_key|access_token)[=:]"
+HINT = r"[@0-9]|[a-f]{32}|A[KS]IA|" + NAMED
 DATE_FORMS = {"-": "yyyy-MM-dd", ".": "dd.MM.yyyy", "/": "MM/dd/yyyy"}
 #: Days of the Gregorian cycle of 400 years, 189 * 773, from the first of 1800.
 FIRST_DAY, DAYS, DAY_RADIX = "1800-01-01", 146_097, 773
@@ -89,13 +93,26 @@ def _permute(symbols: Column, radix: int, key: str, kind: str) -> Column:
 
 def _put_back(layout: Column, symbols: Column, slot: str) -> Column:
     """``layout`` with its characters of class ``slot`` replaced by ``symbols`` in order."""
-    characters = F.filter(F.split(layout, ""), lambda c: c != "")
 
-    def place(c: Column, i: Column) -> Column:
-        before = F.length(F.regexp_replace(F.substring(layout, F.lit(1), i), f"[^{slot}]", ""))
-        return F.when(c.rlike(f"[{slot}]"), F.substring(symbols, before + 1, F.lit(1))).otherwise(c)
+    def cut(both: Column, at: Column) -> Column:
+        before = F.length(F.regexp_replace(F.substring(both["layout"], F.lit(1), at), f"[^{slot}]", ""))
+        return F.struct(
+            F.substring(both["layout"], at + 1, F.lit(STRIDE)).alias("layout"), F.substring(both["symbols"], before + 1, F.lit(STRIDE)).alias("symbols")
+        )
+
+    def fill(both: Column) -> Column:
+        def place(c: Column, i: Column) -> Column:
+            before = F.length(F.regexp_replace(F.substring(both["layout"], F.lit(1), i), f"[^{slot}]", ""))
+            return F.when(c.rlike(f"[{slot}]"), F.substring(both["symbols"], before + 1, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(F.filter(F.split(both["layout"], ""), lambda c: c != ""), place), "")
+
+    def whole(both: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(both["layout"]) - 1, F.lit(0)), F.lit(STRIDE))
+        return F.array_join(F.transform(F.transform(starts, lambda at: cut(both, at)), fill), "")
 
-    return F.array_join(F.transform(characters, place), "")
+    # evaluated once, then read in a lambda over a one-element array
+    return F.element_at(F.transform(F.array(F.struct(layout.alias("layout"), symbols.alias("symbols"))), whole), 1)
 
 
 def _digits(text: Column) -> Column:
@@ -184,8 +201,8 @@ def _access_key(text: Column, key: str) -> Column:
 
 def _password(text: Column, key: str) -> Column:
     """The name and its sign stay; letters and digits of the value are permuted (case folded)."""
-    name = F.regexp_extract(text, r"^\w+[=:]", 0)
-    value = F.substring(text, F.length(name) + 1, F.lit(64))
+    name = F.regexp_extract(text, r"^\w+[ \t]*[=:][ \t]*", 0)
+    value = F.substring(text, F.length(name) + 1, F.length(text))
     plain = F.lower(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
     return F.when(F.length(plain) > 0, F.concat(name, _put_back(value, _permute(plain, 36, key, "password"), "0-9A-Za-z")))
 

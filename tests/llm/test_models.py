@@ -212,6 +212,21 @@ def test_pseudonyms_of_secrets_without_digits(spark):
         assert secret not in got[i]["text"] and got[i]["text"] + " 7" == got[10 + i]["text"]
 
 
+def test_pseudonyms_cover_whole_secrets_of_any_name_form(spark):
+    rng = random.Random(2)
+    long = ".".join("".join(rng.choice("abcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n)) for n in (36, 300, 700))
+    hexes = "".join(rng.choice("0123456789abcdef") for _ in range(200))
+    texts = [f"access_token={long} end", f"key {hexes} end", "Password=tr0ub4dor", "API_KEY=tr0ub4dor", "password: tr0ub4dor", "password = tr0ub4dor"]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), DOCS), "k").orderBy("doc_id").collect()]
+    fresh = got[0].removeprefix("access_token=").removesuffix(" end")
+    assert len(fresh) == len(long) and [len(x) for x in fresh.split(".")] == [36, 300, 700]
+    chunks = lambda t: [t[i : i + 12] for i in range(0, len(t) - 11, 12)]
+    assert not set(chunks(long)) & set(chunks(fresh))
+    assert len(got[1]) == len(texts[1]) and not set(chunks(hexes)) & set(chunks(got[1][4:204]))
+    value = got[2].removeprefix("Password=")
+    assert value != "tr0ub4dor" and got[3:] == [f"API_KEY={value}", f"password: {value}", f"password = {value}"]
+
+
 def luhn(digits):
     total = sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits)))
     return total % 10 == 0
