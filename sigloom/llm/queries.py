@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import bpe, fingerprints, langid, lines, lm, mixing, neardup, pii, quality, topk
+from sigloom.llm import bpe, clusters, fingerprints, langid, lines, lm, mixing, neardup, phrases, pii, quality, token_counts, topk
 from sigloom.llm.text import id_bucket
 from sigloom.session import cut_lineage
 
@@ -107,6 +107,80 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    definition = token_counts.read_definition(public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.token_counts(documents(spark, sf_dir), definition, limit=512)
+
+
+def op12_bit_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = clusters.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return clusters.cluster(vectors, k=40, rounds=5, seed=2)
+
+
+def _op12_sql(rounds: int = 5) -> str:
+    parts = [
+        """e AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS cluster, v AS c FROM e QUALIFY cluster < 40)""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (
+  SELECT row, vec_id, v, cluster, distance FROM (
+    SELECT row, vec_id, v, cluster,
+      CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+    FROM e, c{i})
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)""")
+        if i < rounds:
+            means = ", ".join(f"CAST(floor(sum(v[{k}])::DECIMAL(30, 0) / count(*)) AS BIGINT)" for k in range(1, 65))
+            parts.append(f"""c{i + 1} AS (
+  SELECT cluster, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (SELECT cluster, [{means}] AS c FROM a{i} GROUP BY cluster) m USING (cluster))""")
+    with_ctes = ",\n".join(p.replace(" AS (", " AS MATERIALIZED (", 1) for p in parts)
+    return f"""
+WITH {with_ctes}
+SELECT vec_id, CAST(cluster AS INT) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)
+"""
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), max_words=5, min_count=100, most=2000)
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT lang, unnest(pieces) AS piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]') AS pieces FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM p),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, ws[i : i + k - 1] AS g FROM (
+    SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) AS r(k))),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g HAVING count(*) >= 100),
+cut AS (
+  SELECT c.lang, c.g, c.f AS a, l.k, l.f AS l, r.f AS r, t.n,
+    CAST(1000::HUGEINT * c.f * t.n // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM f c JOIN t USING (lang)
+  JOIN f l ON l.lang = c.lang AND l.k < c.k AND l.g = c.g[1 : l.k]
+  JOIN f r ON r.lang = c.lang AND r.k = c.k - l.k AND r.g = c.g[l.k + 1 : c.k] WHERE c.k > 1),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+named AS (SELECT *, array_to_string(g, ' ') AS phrase FROM best),
+kept AS (
+  SELECT * FROM named c WHERE NOT EXISTS (
+    SELECT 1 FROM named d WHERE d.lang = c.lang AND len(d.g) > len(c.g) AND 100 * d.a >= 100 * c.a
+      AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ')))
+SELECT lang, CAST(row_number() OVER o AS BIGINT) AS rank, phrase, a, l, r, n, score FROM kept
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_chosen_path_dedup": op2_chosen_path_dedup,
@@ -118,5 +192,13 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_weak_quality": op9_weak_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_bit_plane_clusters": op12_bit_plane_clusters,
+    "op13_phrase_collocations": op13_phrase_collocations,
+}
+ORACLES: dict[str, str] = {
+    "op8_exact_topk": OP8_SQL.strip(),
+    "op10_line_dedup": OP10_SQL.strip(),
+    "op12_bit_plane_clusters": _op12_sql().strip(),
+    "op13_phrase_collocations": OP13_SQL.strip(),
 }
-ORACLES: dict[str, str] = {"op8_exact_topk": OP8_SQL.strip(), "op10_line_dedup": OP10_SQL.strip()}
