@@ -1,9 +1,11 @@
-"""Arrow UDFs over signals."""
+"""Arrow UDFs over signals, and over small groups of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,3 +21,31 @@ def signal_udf(returns: str) -> Callable:
         return F.pandas_udf(fn, returns).asNondeterministic()
 
     return wrap
+
+
+def stream_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, work: Callable[[list], Iterable[tuple]]) -> DataFrame:
+    """``work(rows)`` of every group, rows in ``order`` as named tuples, on partitions sorted by key.
+
+    One frame holds many small groups, so a group costs its rows and no conversion of its own. The
+    group in hand is all that a task keeps.
+    """
+    names = [c.strip().split()[0] for c in schema.split(", ")]
+    keys = list(keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now, out = [], None, []
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != now and held:
+                    out += work(held)
+                    held = []
+                now = key
+                held.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if held:
+            yield pd.DataFrame(list(work(held)), columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import kernels
 from sigloom.functions.batches import signal_udf
-from sigloom.functions.arrays import array_mean, array_sum, central_moments, peak_abs, quantile_of_sorted
+from sigloom.functions.arrays import array_mean, array_sum, central_moments
 from sigloom.functions.scalars import finite_or, ratio
 from sigloom.operators.checks import assert_empty
 from sigloom.operators.joins import group_overlap
+from sigloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -176,14 +177,17 @@ def _merged_moments(df: DataFrame, values: str, per_position: bool, variance_flo
     parts = df.select(F.col(values).cast("array<double>").alias("_v")).mapInArrow(
         _folded_moments(per_position), "pos int, n bigint, mean double, m2 double"
     )
-    total = F.col("n").cast("double")
-    sums = parts.groupBy("pos").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("_s"),
-        F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("_q"),
+    parts = cut_lineage(parts)
+    count = F.sum("n")
+    totals = parts.groupBy("pos").agg(count.alias("_n"), F.when(count > 0, F.sum(F.col("n") * F.col("mean")) / count).alias("_mean"))
+    # Squared distances from the common mean, not differences of squares: close values far from
+    # zero keep their digits.
+    apart = F.col("mean") - F.col("_mean")
+    sums = parts.join(totals, "pos").groupBy("pos", F.col("_n").alias("n"), F.col("_mean").alias("mean")).agg(
+        F.sum(F.col("m2") + F.col("n") * apart * apart).alias("_q")
     )
-    mean = F.when(F.col("n") > 0, F.col("_s") / total)
-    spread = F.when(F.col("n") > 0, F.greatest(F.col("_q") / total - mean * mean, F.lit(variance_floor)))
-    return sums.select("pos", "n", mean.alias("mean"), spread.alias("variance"))
+    spread = F.when(F.col("n") > 0, F.greatest(F.col("_q") / F.col("n"), F.lit(variance_floor)))
+    return sums.select("pos", "n", "mean", spread.alias("variance"))
 
 
 def fit_standardizer(df: DataFrame, values: str = "values") -> DataFrame:
@@ -218,28 +222,31 @@ def standardize(df: DataFrame, moments: DataFrame, values: str = "values") -> Da
 # Features -----------------------------------------------------------------------------
 
 
+FEATURES = (
+    "rms", "peak_abs", "energy", "std", "skewness", "kurtosis", "crest_factor",
+    "spectral_centroid", "spectral_entropy", "high_frequency_ratio",
+)
+
+
 def signal_features(df: DataFrame, values: str = "values") -> DataFrame:
-    """Seven time-domain and three spectral descriptors, all finite."""
-    base = df.withColumn("_m", central_moments(values)).withColumn("_s", spectral_shape(values))
-    n = F.col("_m.n")
-    std = F.sqrt(F.col("_m.m2") / n) + F.lit(1e-8)
-    rms = F.sqrt(array_mean(values, lambda x: x * x))
-    peak = peak_abs(values)
+    """Seven time-domain and three spectral descriptors, all finite, from one kernel call a signal."""
+
+    @signal_udf(", ".join(f"{n} double" for n in FEATURES))
+    def run(series: pd.Series) -> pd.DataFrame:
+        rows = []
+        with np.errstate(all="ignore"):
+            for v in series:
+                x = np.asarray(v, float)
+                m2, m3, m4 = kernels.central_powers(x)
+                energy, peak, std = float(np.mean(x * x)), float(np.abs(x).max()), np.sqrt(m2) + 1e-8
+                rms = np.sqrt(energy)
+                rows.append((rms, peak, energy, std, m3 / std**3, m4 / std**4 - 3.0, peak / (rms + 1e-8), *kernels.spectral_shape(x)))
+        return pd.DataFrame(rows, columns=list(FEATURES))
+
     keep = [c for c in df.columns if c != values]
-    features = {
-        "rms": rms,
-        "peak_abs": peak,
-        "energy": array_mean(values, lambda x: x * x),
-        "std": std,
-        "skewness": F.col("_m.m3") / n / (std * std * std),
-        "kurtosis": F.col("_m.m4") / n / (std * std * std * std) - F.lit(3.0),
-        "crest_factor": peak / (rms + F.lit(1e-8)),
-        "spectral_centroid": F.col("_s.centroid"),
-        "spectral_entropy": F.col("_s.entropy"),
-        "high_frequency_ratio": F.col("_s.high_ratio"),
-    }
-    clean = {k: finite_or(v, F.lit(0.0), F.lit(1e6), F.lit(-1e6)).alias(k) for k, v in features.items()}
-    return base.select(*keep, *clean.values())
+    found = df.select(*keep, run(values).alias("_f"))
+    clean = [finite_or(F.col(f"_f.{n}"), F.lit(0.0), F.lit(1e6), F.lit(-1e6)).alias(n) for n in FEATURES]
+    return found.select(*keep, *clean)
 
 
 def spectral_shape(values: str | Column) -> Column:
@@ -247,48 +254,37 @@ def spectral_shape(values: str | Column) -> Column:
 
     @signal_udf("centroid double, entropy double, high_ratio double")
     def run(series: pd.Series) -> pd.DataFrame:
-        rows = []
-        for v in series:
-            power = (np.abs(np.fft.rfft(v)) + 1e-12) ** 2
-            share = power / power.sum()
-            axis = np.arange(len(power)) / max(len(power) - 1, 1)
-            high = share[int(0.25 * len(power)) :].sum()
-            rows.append((share @ axis, -(share @ np.log(share)) / np.log(len(power)), high))
-        return pd.DataFrame(rows, columns=["centroid", "entropy", "high_ratio"])
+        return pd.DataFrame([kernels.spectral_shape(np.asarray(v, float)) for v in series], columns=["centroid", "entropy", "high_ratio"])
 
     return run(values)
 
 
+QUALITY = ("rms", "peak", "peak_to_peak", "crest", "energy", "std", "kurtosis", "skewness", "robust_noise")
+
+
 def signal_quality(df: DataFrame, values: str = "values") -> DataFrame:
     """rms, peak, peak-to-peak, crest, energy, std, unbiased kurtosis and skewness, and the
-    robust noise of first differences."""
-    n = F.size(values)
-    diffs = F.zip_with(
-        F.slice(values, F.lit(2), n - 1), F.slice(values, F.lit(1), n - 1), lambda b, a: b - a
-    )
-    base = (
-        df.withColumn("_m", central_moments(values))
-        .withColumn("_d", F.sort_array(diffs))
-        .withColumn("_c", quantile_of_sorted("_d", 0.5))
-        .withColumn("_a", F.sort_array(F.transform("_d", lambda x: F.abs(x - F.col("_c")))))
-    )
-    k = F.col("_m.n")
-    m2, m3, m4 = (F.col(f"_m.m{j}") / k for j in (2, 3, 4))
-    g1, g2 = m3 / F.pow(m2, F.lit(1.5)), m4 / (m2 * m2) - F.lit(3.0)
-    rms = F.sqrt(array_mean(values, lambda x: x * x) + F.lit(1e-12))
+    robust noise of first differences, from one kernel call a signal. Values that are not defined (of
+    short or constant signals) are null."""
+
+    @signal_udf(", ".join(f"{n} double" for n in QUALITY))
+    def run(series: pd.Series) -> pd.DataFrame:
+        rows = []
+        with np.errstate(all="ignore"):
+            for v in series:
+                x = np.asarray(v, float)
+                k, (m2, m3, m4) = float(len(x)), map(np.float64, kernels.central_powers(x))
+                rms, peak = np.sqrt(np.mean(x * x) + 1e-12), np.abs(x).max()
+                kurtosis = (k - 1) / (np.float64(k - 2) * (k - 3)) * ((k + 1) * (m4 / (m2 * m2) - 3.0) + 6.0)
+                skewness = np.sqrt(k * (k - 1)) / np.float64(k - 2) * (m3 / m2**1.5)
+                noise = kernels.mad(np.diff(x)) / np.sqrt(2.0)
+                rows.append((rms, peak, x.max() - x.min(), peak / max(rms, 1e-8), (x * x).sum(), np.sqrt(m2), kurtosis, skewness, noise))
+        frame = pd.DataFrame(rows, columns=list(QUALITY))
+        return frame.replace([np.inf, -np.inf], np.nan)
+
     keep = [c for c in df.columns if c != values]
-    return base.select(
-        *keep,
-        rms.alias("rms"),
-        peak_abs(values).alias("peak"),
-        (F.array_max(values) - F.array_min(values)).alias("peak_to_peak"),
-        (peak_abs(values) / F.greatest(rms, F.lit(1e-8))).alias("crest"),
-        array_sum(values, lambda x: x * x).alias("energy"),
-        F.sqrt(m2).alias("std"),
-        ((k - 1) / ((k - 2) * (k - 3)) * ((k + 1) * g2 + 6.0)).alias("kurtosis"),
-        (F.sqrt(k * (k - 1)) / (k - 2) * g1).alias("skewness"),
-        (quantile_of_sorted("_a", 0.5) * F.lit(1.4826) / F.sqrt(F.lit(2.0))).alias("robust_noise"),
-    )
+    found = df.select(*keep, run(values).alias("_q"))
+    return found.select(*keep, *[F.nanvl(F.col(f"_q.{n}"), F.lit(None).cast("double")).alias(n) for n in QUALITY])
 
 
 def block_embedding(df: DataFrame, blocks: int = 20, values: str = "values", name: str = "embedding") -> DataFrame:

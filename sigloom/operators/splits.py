@@ -121,3 +121,30 @@ def validate_manifest(df: DataFrame, group: str = "id_measurement", id_col: str
         .withColumn("duplicate_errors", ids.scalar())
         .withColumn("overlap_errors", overlap.scalar())
     )
+
+
+def stop_sets(
+    df: DataFrame, fold: str = "fold", share: float = 0.1, seed: int = 42, group: str | None = None,
+    target: str = "target", id_col: str = "sample_id",
+) -> DataFrame:
+    """For every outer fold, a stratified ``share`` of the rows outside it (of whole groups when
+    given), on which a fit decides when to stop: outer_fold, id, stop.
+
+    A row of fold f is never in the stop set of f. Each stratum gives round(share * n) of its rows.
+    """
+    key, strata = (group, ["_stratum"]) if group else (id_col, [target])
+    unit = df.groupBy(group, fold).agg(F.count_if(F.col(target) == 1).alias("_stratum")) if group else df.select(id_col, target, fold)
+    folds = sorted(r[0] for r in unit.select(fold).distinct().collect())
+    others = F.filter(F.array(*[F.lit(f) for f in folds]), lambda f: f != F.col(fold))
+    fit = unit.select(key, *strata, F.explode(others).alias("outer_fold"))
+    ranked = _with_rank(fit, seed, ["outer_fold", *strata], key)
+    sizes = fit.groupBy("outer_fold", *strata).agg(F.rint(F.lit(share) * F.count(F.lit(1))).alias("_cut"))
+    placed = attach(ranked, sizes, ["outer_fold", *strata])
+    return placed.select("outer_fold", key, (F.col("_r") <= F.col("_cut")).alias("stop"))
+
+
+def with_stop_sets(df: DataFrame, sets: DataFrame, key: str = "sample_id", name: str = "stop_in") -> DataFrame:
+    """Adds the array of outer folds for which a row is in the stop set."""
+    held = sets.where("stop").groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_set("outer_fold")).alias(name))
+    none = F.array().cast(held.schema[name].dataType)
+    return df.join(held, F.col(key) == F.col("_key"), "left").drop("_key").withColumn(name, F.coalesce(name, none))

@@ -210,13 +210,6 @@ def cross_fit(spark, sf):
     return rounded(out.select("sample_id", "fold", "probability"))
 
 
-@query("cross_fit_boosted")
-def cross_fit_boosted(spark, sf):
-    df, names = features(spark, sf)
-    out = mo.cross_fit(sp.grouped_folds(df, 5, 42), names, "gbt", iterations=20)
-    return rounded(out.select("sample_id", "fold", "probability"))
-
-
 @query("feature_baseline")
 def feature_baseline(spark, sf):
     df, names = features(spark, sf)
@@ -245,15 +238,6 @@ def domain_shift(spark, sf):
     return rounded(mo.domain_shift(df, names))
 
 
-@query("family_contribution")
-def family_contribution(spark, sf):
-    df, names = features(spark, sf)
-    inventory = pr.feature_inventory(names)
-    sets = {name: pr.feature_set(inventory, name) for name in pr.FEATURE_SETS}
-    metrics = mo.family_contribution(df, sets, [42])
-    return rounded(mo.contribution_deltas(metrics))
-
-
 @query("morphology")
 def morphology(spark, sf):
     s = src.signals(spark, sf)
