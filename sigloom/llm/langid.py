@@ -120,7 +120,8 @@ def train(
     About ``fit_docs`` documents of each language are used, drawn by a hash of the text; a
     language with fewer uses all. An n-gram belongs to a language if at least ``rarest`` of its
     drawn documents contain it, and ``least`` as large a part of them as of any other language's,
-    which keeps quoted foreign words out. Equal texts are drawn alike and count once. Without any row
+    which keeps quoted foreign words out. An n-gram of a single text counts only where that is the
+    language's only drawn text. Equal texts are drawn alike and count once. Without any row
     there are no languages, and every text is unknown. More than 64 languages raise.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
@@ -153,7 +154,8 @@ def train(
     grams = drawn.mapInArrow(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     used = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = F.create_map(*[F.lit(x) for i in range(len(languages)) for x in (i, 1.0 / max(1, used.get(i, 0)))])
-    rates = grams.where("n > 1").select("gram", "lang", (F.col("n") * part[F.col("lang")]).alias("rate"))
+    alone = F.create_map(*[F.lit(x) for i in range(len(languages)) for x in (i, used.get(i, 0) == 1)])
+    rates = grams.where((F.col("n") > 1) | alone[F.col("lang")]).select("gram", "lang", (F.col("n") * part[F.col("lang")]).alias("rate"))
     each = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("rates"))  # at most 64
     usual = F.filter("rates", lambda r: (r["rate"] >= rarest) & (r["rate"] >= F.col("top") * least))
     one = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), r["lang"])
