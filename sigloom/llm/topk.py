@@ -71,16 +71,23 @@ class BallTree:
 def search(queries, query_ids, floors, points, ids, k: int):
     """Best k candidates of each query in one shard, by descending score, then ascending id.
 
-    ``floors``: a score that k candidates are known to reach somewhere; lower ones are left out.
-    Scores are exact, since products of the integers stay far below 2**53.
+    ``queries`` and ``points`` are integers, ``floors`` a score that k candidates are known to reach
+    somewhere; lower ones are left out. Scores are exact: products that stay below 2**53 are taken in
+    doubles, others in 64-bit integers, and components whose products may pass 64 bits raise.
     """
     n = len(queries)
+    most = queries.shape[1] * int(max(abs(int(queries.max())), abs(int(queries.min())))) * int(max(abs(int(points.max())), abs(int(points.min()))))
+    if most >= 1 << 62:
+        raise ValueError("inner products of these components may not fit 64 bits")
+    whole, wide = points, queries.astype(np.float64)
+    points = points.astype(np.float64)
     tree = BallTree(points)
-    bounds = queries @ tree.centers.T + np.linalg.norm(queries, axis=1)[:, None] * tree.radii[None, :]
-    bounds += 1e-6 * (1.0 + np.abs(bounds))
+    size = np.linalg.norm(wide, axis=1)[:, None]
+    bounds = wide @ tree.centers.T + size * tree.radii[None, :]
+    bounds += 1e-9 * size * (np.linalg.norm(tree.centers, axis=1) + tree.radii)[None, :] + 1e-6
     best = np.full((n, k), NONE, np.int64)
     who = np.full((n, k), np.iinfo(np.int64).max, np.int64)
-    floors = floors.astype(np.float64).copy()
+    floors = floors.astype(np.int64)
     frontier = [(0.0, 0, np.arange(n))]
     while frontier:  # the node with the largest bound over the queries that reach it comes next
         _, node, rows = heapq.heappop(frontier)
@@ -94,7 +101,10 @@ def search(queries, query_ids, floors, points, ids, k: int):
             continue
         inside = tree.order[a:b]
         own = ids[inside]
-        scores = (queries[rows] @ points[inside].T).astype(np.int64)
+        if most < 1 << 53:
+            scores = (wide[rows] @ points[inside].T).astype(np.int64)
+        else:
+            scores = queries[rows] @ whole[inside].T
         scores[query_ids[rows][:, None] == own[None, :]] = NONE
         for r, line in zip(rows.tolist(), scores):
             near = np.flatnonzero(line >= max(floors[r], NONE + 1))
@@ -137,8 +147,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
             if not len(p) or not len(q):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
             found = search(
-                np.stack(q["vec"].to_numpy()).astype(np.float64), q["vec_id"].to_numpy(), q["floor"].to_numpy(),
-                np.stack(p["vec"].to_numpy()).astype(np.float64), p["vec_id"].to_numpy(), k,
+                np.stack(q["vec"].to_numpy()), q["vec_id"].to_numpy(), q["floor"].to_numpy(),
+                np.stack(p["vec"].to_numpy()), p["vec_id"].to_numpy(), k,
             )
             return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
