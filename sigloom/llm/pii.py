@@ -12,12 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Longest run of symbols that is permuted as one number; a longer one is permuted in pieces.
-PIECE = 24
+#: Longest run of symbols that is permuted as one number, by the size of their alphabet; a longer one
+#: is permuted in pieces. Half a piece stays below the 52 bits that a round draws.
+PIECES = {10: 24, 16: 24, 36: 20, 62: 16}
+#: Fixed value: the symbols in the order of their numbers.
+ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Characters that are put back into their places together.
 STRIDE = 256
-#: Names of secrets, in any case, with their sign.
-NAMED = r"(?i:password|passwd|pwd|secret|api_key|access_token)[ \t]*+[=:]"
+#: Names of secrets, in any case and perhaps quoted.
+NAME = r"(?i:password|passwd|pwd|secret|api[_-]?key|access_token)[\x22']?+[ \t]*+"
+NAMED = NAME + "[=:]"
+VALUE = r"[^\s\x22'<>]{6,}+"
+#: What follows a colon without a quote is taken for a secret only if it does not look like prose.
+UNLIKE_PROSE = r"(?=[^\s\x22'<>]*(?:[0-9!@#$%^&*_+=~|/\\]|[a-z][A-Z]))"
 #: The accepted forms. An address starts where its run of characters does, so that
 #: a long text without spaces is read once.
 FORMS = {
@@ -25,7 +32,7 @@ FORMS = {
     "phone": r"(?<![\w+(])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w)",
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "password": r"(?<![0-9A-Za-z_])" + NAMED + r"[ \t]*+[^\s\x22'<>]{6,}+",
+    "password": r"(?<![0-9A-Za-z_])" + NAME + r"(?:=[ \t]*+[\x22']?+|:[ \t]*+(?:[\x22']|" + UNLIKE_PROSE + "))" + VALUE,
     "access_key": r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "key": r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
@@ -56,28 +63,41 @@ def _feistel(left: Column, right: Column, left_size: Column, right_size: Column,
 
 
 def _number(symbols: Column, radix: int) -> Column:
-    return F.when(F.length(symbols) > 0, F.conv(symbols, radix, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+    if radix <= 36:
+        return F.when(F.length(symbols) > 0, F.conv(symbols, radix, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+    each = F.filter(F.split(symbols, ""), lambda c: c != "")
+    return F.aggregate(each, F.lit(0).cast("long"), lambda n, c: n * radix + F.position(c, F.lit(ALPHABET)) - 1)
 
 
 def _symbols(number: Column, length: Column, radix: int) -> Column:
-    text = F.lower(F.conv(number.cast("string"), 10, radix))
-    return F.when(length > 0, F.lpad(text, length, "0")).otherwise(F.lit(""))
+    if radix <= 36:
+        text = F.lower(F.conv(number.cast("string"), 10, radix))
+        return F.when(length > 0, F.lpad(text, length, "0")).otherwise(F.lit(""))
+    places = F.filter(F.sequence(length - 1, F.lit(-1), F.lit(-1)), lambda i: i >= 0)
+    at = lambda i: (F.floor(_over(number, _power(radix, i))) % radix).cast("int") + 1
+    return F.array_join(F.transform(places, lambda i: F.substring(F.lit(ALPHABET), at(i), F.lit(1))), "")
+
+
+def _over(number: Column, by: Column) -> Column:
+    """Whole quotient of longs, without doubles."""
+    return F.call_function("div", number, by)
 
 
 def _power(radix: int, exponent: Column) -> Column:
-    """radix ** exponent, exact, for an exponent of up to 12 (18 for digits)."""
-    powers = F.array(*[F.lit(radix**i).cast("long") for i in range(13)])
+    """radix ** exponent, exact, for an exponent of up to half a piece."""
+    powers = F.array(*[F.lit(radix**i).cast("long") for i in range(PIECES[radix] // 2 + 1)])
     return F.element_at(powers, exponent + 1)
 
 
 def _permute(symbols: Column, radix: int, key: str, kind: str) -> Column:
-    """Permute strings of any length over 0-9a-z (the first ``radix`` of them)."""
+    """Permute strings of any length over the first ``radix`` symbols of ``ALPHABET``."""
+    width = PIECES[radix]
 
     def piece(i: Column) -> Column:
-        part = F.substring(symbols, i * PIECE + 1, F.lit(PIECE))
+        part = F.substring(symbols, i * width + 1, F.lit(width))
         size = F.length(part)
         split = F.floor(size / 2).cast("int")
-        left, right = F.substring(part, F.lit(1), split), F.substring(part, split + 1, F.lit(PIECE))
+        left, right = F.substring(part, F.lit(1), split), F.substring(part, split + 1, F.lit(width))
         both = _feistel(
             _number(left, radix), _number(right, radix), _power(radix, split), _power(radix, size - split), key, kind,
             F.concat_ws(",", i.cast("string"), F.length(symbols).cast("string")),
@@ -87,7 +107,7 @@ def _permute(symbols: Column, radix: int, key: str, kind: str) -> Column:
             F.transform(F.array(both), lambda b: F.concat(_symbols(b["l"], split, radix), _symbols(b["r"], size - split, radix))), 1
         )
 
-    last = F.floor((F.length(symbols) - 1) / PIECE).cast("int")
+    last = F.floor((F.length(symbols) - 1) / width).cast("int")
     return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), piece), "")
 
 
@@ -200,11 +220,12 @@ def _access_key(text: Column, key: str) -> Column:
 
 
 def _password(text: Column, key: str) -> Column:
-    """The name and its sign stay; letters and digits of the value are permuted (case folded)."""
-    name = F.regexp_extract(text, r"^\w+[ \t]*[=:][ \t]*", 0)
+    """The name, its sign and a quote stay; letters and digits of the value are permuted, so values that
+    differ in case only stay different. Other characters, those beyond ASCII too, stay."""
+    name = F.regexp_extract(text, r"^[\w-]+[\x22']?[ \t]*[=:][ \t]*[\x22']?", 0)
     value = F.substring(text, F.length(name) + 1, F.length(text))
-    plain = F.lower(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
-    return F.when(F.length(plain) > 0, F.concat(name, _put_back(value, _permute(plain, 36, key, "password"), "0-9A-Za-z")))
+    plain = F.regexp_replace(value, "[^0-9A-Za-z]", "")
+    return F.when(F.length(plain) > 0, F.concat(name, _put_back(value, _permute(plain, 62, key, "password"), "0-9A-Za-z")))
 
 
 KINDS = {
@@ -226,7 +247,9 @@ def _pseudonym(found: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with pseudonyms, n_pii and the number of each kind (n_email, ...).
 
-    Values that fail their check (Luhn, octets, calendar) stay as they are and are not counted.
+    Values that fail their check (Luhn, octets, calendar) stay as they are and are not counted. So do
+    passwords of fewer than six characters, and what follows a colon without quotes and looks like
+    prose (letters of one case). E-mail names are told apart without regard to case.
     A null text stays null with zero counts; an empty one stays empty. Rows are independent of
     each other: repeated rows and equal values give equal results. Columns other than doc_id and
     text are not looked at.
