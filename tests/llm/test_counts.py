@@ -220,3 +220,68 @@ def test_collocations_of_small_tables(spark):
     long = spark.createDataFrame([("en", "big cat " * 300_000, 1)], schema)
     got = phrases.collocations(long, 2).collect()
     assert [(r["phrase"], r["a"], r["n"]) for r in got] == [("big cat", 300_000, 600_000), ("cat big", 299_999, 600_000)]
+
+
+# Found wrong earlier: one-text languages, large integers, quoted secrets.
+
+
+def test_a_language_with_one_text_is_found(spark):
+    from sigloom.llm import langid
+
+    english = [("en", f"the cat number {i} sat on the mat and the dog was there with it") for i in range(31)]
+    polish = "wszystkie dzieci lubia jesc slodkie jablka oraz gruszki"
+    table = spark.createDataFrame([*english, ("pl", polish)], "lang string, text string")
+    got = langid.predict(spark.createDataFrame([(1, polish), (2, english[3][1])], DOCS), langid.train(table)).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["pl", "en"] and got[0]["score"] > 0.5
+
+
+@pytest.mark.parametrize("size", [10, 10**5, 2 * 10**8, 7 * 10**8])
+def test_search_scores_are_exact_for_large_components(spark, size):
+    from sigloom.llm import topk
+
+    rng = np.random.default_rng(size)
+    data = rng.integers(-size, size, (300, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, vec array<long>")
+    got = topk.top_k(vectors, vectors.where("vec_id % 30 = 0"), k=5, shard_rows=64, block_rows=4)
+    best = {}
+    for r in got.collect():
+        best.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 300, 30):
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(data[q], data[i])), i) for i in range(300) if i != q)[:5]
+        assert sorted(best[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+
+
+def test_search_refuses_products_beyond_64_bits(spark):
+    from sigloom.llm import topk
+
+    vectors = spark.createDataFrame([(i, [10**15 + i] * 8) for i in range(4)], "vec_id long, vec array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(vectors, vectors, k=2).collect()
+
+
+def test_quoted_secrets_go_and_prose_stays(spark):
+    from sigloom.llm import pii
+
+    hidden = [
+        'password="hunter2hunter2"', "'api_key': 'abcdef123456'", '{"API-KEY": "abcdef123456"}', "pwd = correcthorse", "secret: aB3dddd",
+        "password=" + "a" * 40, 'passwd : "only letters"',
+    ]
+    kept = ["here is the secret: information about fish", "secret: well-known facts", "the password: (see below)", "pwd='abc'", "password:", "secret = "]
+    rows = list(enumerate([*hidden[:-1], *kept]))
+    got = pii.pseudonymise(spark.createDataFrame(rows, DOCS), "k").orderBy("doc_id").collect()
+    for (i, text), r in zip(rows, got):
+        if i < len(hidden) - 1:
+            assert r["n_pii"] == 1 and r["text"] != text and len(r["text"]) == len(text)
+            same = [a for a, b in zip(text, r["text"]) if a == b]
+            assert text[: text.index("=" if "=" in text else ":")] == r["text"][: len(text[: text.index("=" if "=" in text else ":")])] and same
+        else:
+            assert (r["n_pii"], r["text"]) == (0, text)
+
+
+def test_secrets_that_differ_stay_different(spark):
+    from sigloom.llm import pii
+
+    values = ["Abcdefg1", "abcdefg1", "ABCDEFG1", "abcdefg2", "a" * 40, "a" * 39 + "b", "A" * 40, "zZ9" * 12]
+    docs = spark.createDataFrame([(i, f"password={v}") for i, v in enumerate(values * 2)], DOCS)
+    got = [r["text"] for r in pii.pseudonymise(docs, "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(values) and got[: len(values)] == got[len(values) :]
