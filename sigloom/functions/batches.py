@@ -23,11 +23,13 @@ def signal_udf(returns: str) -> Callable:
     return wrap
 
 
-def stream_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, work: Callable[[list], Iterable[tuple]]) -> DataFrame:
+def stream_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, work: Callable[[list], Iterable[tuple]], parts: int | None = None
+) -> DataFrame:
     """``work(rows)`` of every group, rows in ``order`` as named tuples, on partitions sorted by key.
 
     One frame holds many small groups, so a group costs its rows and no conversion of its own. The
-    group in hand is all that a task keeps.
+    group in hand is all that a task keeps. ``parts``: of how many partitions, where there are few groups.
     """
     names = [c.strip().split()[0] for c in schema.split(", ")]
     keys = list(keys)
@@ -48,4 +50,5 @@ def stream_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], sche
         if held:
             yield pd.DataFrame(list(work(held)), columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    placed = df.repartition(parts, *keys) if parts else df.repartition(*keys)
+    return placed.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

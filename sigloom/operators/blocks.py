@@ -8,7 +8,7 @@ key and sorted inside a block, so blocks, sums and models do not depend on how t
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from sigloom.functions.batches import stream_groups
 from sigloom.functions.scalars import is_finite
 from sigloom.operators.checks import require
 from sigloom.session import cut_lineage
@@ -51,6 +52,8 @@ class Blocks:
     table: DataFrame
     shape: Shape
     kept: StructType
+    #: partitions of the table
+    parts: int = 1
 
 
 def to_blocks(df: DataFrame, key: str, target: str, fits: Sequence[Fit], block_rows: int = BLOCK_ROWS) -> Blocks:
@@ -104,7 +107,7 @@ def to_blocks(df: DataFrame, key: str, target: str, fits: Sequence[Fit], block_r
 
     table = cut_lineage(placed.select("part", "kept", "x", "y", "train", "stop").mapInArrow(pack, SCHEMA))
     columns = tuple(tuple(features.index(f) for f in fit.features) for fit in fits)
-    return Blocks(table, Shape(features, len(fits), columns), df.schema)
+    return Blocks(table, Shape(features, len(fits), columns), df.schema, parts)
 
 
 def numbers(row: dict, name: str, kind: type, width: int | None = None) -> np.ndarray:
@@ -113,6 +116,11 @@ def numbers(row: dict, name: str, kind: type, width: int | None = None) -> np.nd
     return flat if width is None else flat.reshape(-1, width)
 
 
+def reducers(models: int) -> int:
+    """Partitions in which the sums of so many models are added up."""
+    return max(1, -(-models // 32))
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         yield from batch.to_pylist()
@@ -151,6 +159,44 @@ def model_moments(blocks: Blocks) -> list:
     return parts.groupBy("model").applyInPandas(merge, f"model int, n long, p long, {arrays}").collect()  # one row per model
 
 
+def sum_over_blocks(blocks: Blocks, columns: Sequence[str], work: Callable[[dict], Iterable[tuple[int, np.ndarray]]], keys: int) -> dict[int, np.ndarray]:
+    """Arrays of numbers that ``work`` gives for integer keys (models), added up over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        part = 0
+        for r in rows_of(batches):
+            part = r["part"]
+            for k, sums in work(r):
+                total[k] = total[k] + sums if k in total else sums
+        if total:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.int32()), pa.array([part] * len(total), pa.int32()), pa.array([np.asarray(s, float).tobytes() for s in total.values()], pa.binary())],
+                ["key", "part", "sums"],
+            )
+
+    return gather(blocks.table.select("part", *columns).mapInArrow(run, "key int, part int, sums binary"), blocks.parts, keys)
+
+
+#: Arrays that the driver adds up itself: so many partitions times keys. More are added by key in the
+#: cluster first, and one array for each key comes to the driver.
+DIRECT = 512
+
+
+def gather(partial: DataFrame, parts: int, keys: int) -> dict[int, np.ndarray]:
+    """Sums of the arrays in ``partial`` (key, part, sums) by key, in the order of the parts."""
+
+    def add(rows: list) -> Iterator[tuple]:
+        yield rows[0].key, sum(np.frombuffer(r.sums) for r in rows).tobytes()
+
+    if parts * keys > DIRECT:
+        partial = stream_groups(partial, ["key"], ["part"], "key int, sums binary", add, reducers(keys)).withColumn("part", F.lit(0))
+    out: dict[int, np.ndarray] = {}
+    for r in sorted(partial.collect(), key=lambda r: (r["key"], r["part"])):
+        out[r["key"]] = out[r["key"]] + np.frombuffer(r["sums"]) if r["key"] in out else np.frombuffer(r["sums"])
+    return out
+
+
 def unpack(df: DataFrame, blocks: Blocks, name: str = "scores") -> DataFrame:
     """The original rows with ``name``: the numbers of every model in the binary column ``score``."""
     models = blocks.shape.models

@@ -1,8 +1,8 @@
 """Histogram boosting of many models in the same passes.
 
 Features are cut into bins once. A pass makes one level of the trees of all models: tasks add up
-gradient, curvature and number of rows by (model, node, feature, bin), these sums are added by
-(model, node), and only the best split of each node comes back. The trees of all models stay on the
+gradient, curvature and number of rows by (model, node, feature, bin), and these sums are added by
+(model, node) and searched for the best split. The trees of all models stay on the
 driver: at most 2 * leaves nodes each. Every row keeps its running score for every model, also for
 those that it does not train, so held-out scores are there when the last tree is.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.batches import stream_groups
-from sigloom.operators.blocks import Fit, Shape, numbers, rows_of, to_blocks, unpack
+from sigloom.operators.blocks import Fit, Shape, numbers, reducers, rows_of, to_blocks, unpack
 from sigloom.session import cut_lineage
 
 
@@ -34,7 +35,7 @@ class BoostSpec:
     min_rows: int = 20
     min_curvature: float = 1e-3
     #: Trees after which the scores are written and the lineage is cut.
-    checkpoint: int = 20
+    checkpoint: int = 5
 
     def __post_init__(self) -> None:
         if not (2 <= self.bins <= 256 and self.leaves >= 2 and self.trees >= 1 and self.min_rows >= 1):
@@ -106,6 +107,9 @@ def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndar
     return [np.unique(np.array(found[f"q{i}"] or [], float)) for i in range(len(features))]
 
 
+#: Histograms of single features that the driver adds up itself, 1.5 kB each with 64 bins; more are added
+#: and searched by (model, node) in the cluster, and only the best split of each node comes back.
+DIRECT_COLUMNS = 2048
 _BEST = "model int, node int, gain double, feature int, bin int, g double, h double, n double, left_g double, left_h double, left_n double"
 
 
@@ -176,7 +180,7 @@ def fit_boosted(
     state = coded.mapInArrow(begin, fields).persist()
     for number in range(spec.trees):
         trees = Trees.empty(models, depth)
-        _grow(state, trees, shape, spec)
+        _grow(state, trees, shape, spec, blocks.parts)
         model.trees.append(trees)
 
         def add(batches: Iterator[pa.RecordBatch], trees: Trees = trees) -> Iterator[pa.RecordBatch]:
@@ -218,10 +222,11 @@ def _start(coded: DataFrame, models: int) -> np.ndarray:
     return start
 
 
-def _grow(state: DataFrame, trees: Trees, shape: Shape, spec: BoostSpec) -> None:
+def _grow(state: DataFrame, trees: Trees, shape: Shape, spec: BoostSpec, partitions: int) -> None:
     """Fill ``trees``, one pass for each level."""
     open_nodes = {m: [0] for m in range(shape.models)}
     leaves = dict.fromkeys(open_nodes, 1)
+    names = [c.split()[0] for c in _BEST.split(", ")]
     for level in range(spec.depth):
         now = {m: list(n) for m, n in open_nodes.items()}
 
@@ -250,7 +255,12 @@ def _grow(state: DataFrame, trees: Trees, shape: Shape, spec: BoostSpec) -> None
 
         needed = state.select("part", "y", "train", "codes", "score")
         parts = needed.mapInArrow(histograms, "model int, node int, part int, sums binary")
-        found = stream_groups(parts, ["model", "node"], ["part"], _BEST, best).collect()  # a row per open node
+        if partitions * sum(len(n) * len(shape.columns[m]) for m, n in now.items()) <= DIRECT_COLUMNS:
+            rows = sorted(parts.collect(), key=lambda r: (r.model, r.node, r.part))
+            split = [best(list(g)) for _, g in groupby(rows, key=lambda r: (r.model, r.node))]
+            found = [dict(zip(names, s)) for one in split for s in one]
+        else:
+            found = stream_groups(parts, ["model", "node"], ["part"], _BEST, best, reducers(shape.models)).collect()  # a row per open node
         open_nodes = {}
         by_model: dict[int, list] = {}
         for r in found:

@@ -1,7 +1,8 @@
 """What families of features contribute: every feature set, classifier, mode and seed together.
 
-A mode prepares its table once, with one fold column for each seed. The models of all sets, seeds and
-folds, and the final ones, are fitted by each classifier in the same passes; thresholds come from the
+A mode prepares its table once, with one fold column for each seed, and the tables of all modes stand
+in one. The models of all modes, sets, seeds and folds, and the final ones, are fitted by each
+classifier in the same passes; thresholds come from the
 out-of-fold scores of their own (classifier, mode, set, seed).
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.operators.blocks import Fit
@@ -39,6 +40,30 @@ def mode_columns(df: DataFrame, features: Sequence[str], mode: str, group: str)
     return wide, ends
 
 
+def stacked_modes(frames: dict[str, DataFrame], every: Sequence[str], seeds: Sequence[int], folds: int, group: str):
+    """(rows of all modes in one table, columns of each mode and feature). A row carries its mode, its
+    fold for every seed, and 0 in the columns of other modes, whose models it never meets."""
+    out, places = None, {}
+    for i, (mode, frame) in enumerate(frames.items()):
+        df, columns = mode_columns(frame, every, mode, group)
+        df = df.where(F.col("split").isin("train", "validation"))
+        train = df.where("split = 'train'")
+        flat = [c for cols in columns.values() for c in cols]
+        medians = column_medians(train, flat)
+        units = group_table(train, group)
+        for s in seeds:
+            units = stratified_folds(units, folds, s, ["_stratum"], group, f"_fold_{s}")
+        units = units.select(F.col(group).alias("_group"), *[f"_fold_{s}" for s in seeds])
+        filled = finite_fill(df, medians).join(units, F.col(group) == F.col("_group"), "left")
+        places |= {(mode, f): [f"_m{i}_{c}" for c in cols] for f, cols in columns.items()}
+        named = filled.select(
+            "sample_id", group, "phase", "split", "target", F.lit(mode).alias("mode"), F.concat_ws("|", F.lit(mode), F.col("sample_id").cast("string")).alias("_row"),
+            *[f"_fold_{s}" for s in seeds], *[F.col(c).alias(f"_m{i}_{c}") for c in flat],
+        )
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    return cut_lineage(out.na.fill(0.0, [c for cols in places.values() for c in cols])), places
+
+
 def family_predictions(
     frames: dict[str, DataFrame], sets: dict[str, Sequence[str]], seeds: Sequence[int], classifiers: Sequence[str] = CLASSIFIERS,
     folds: int = 5, group: str = "id_measurement", boost: BoostSpec = BoostSpec(), linear: LinearSpec = LinearSpec(),
@@ -51,45 +76,37 @@ def family_predictions(
     model fitted on all train rows. Missing values become the medians of the train rows.
     """
     every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
-    parts = []
-    for mode, frame in frames.items():
-        df, columns = mode_columns(frame, every, mode, group)
-        train = df.where("split = 'train'")
-        medians = column_medians(train, [c for cols in columns.values() for c in cols])
-        units = group_table(train, group)
-        for s in seeds:
-            units = stratified_folds(units, folds, s, ["_stratum"], group, f"_fold_{s}")
-        names = [f"_fold_{s}" for s in seeds]
-        kept = df.where(F.col("split").isin("train", "validation"))
-        kept = finite_fill(kept, medians).join(units.select(F.col(group).alias("_group"), *names), F.col(group) == F.col("_group"), "left").drop("_group")
-        of_train = F.col("split") == "train"
-        fits, places = [], {}
+    rows, places = stacked_modes(frames, every, seeds, folds, group)
+    fits, first = [], {}
+    for mode in frames:
+        mine = (F.col("mode") == mode) & (F.col("split") == "train")
         for label, cols in sets.items():
-            used = tuple(c for f in cols for c in columns[f])
+            used = tuple(c for f in cols for c in places[mode, f])
             for s in seeds:
-                places[label, s] = len(fits)
-                fits += [Fit(used, of_train & (F.col(f"_fold_{s}") != f)) for f in range(folds)]
-            places[label, None] = len(fits)
-            fits.append(Fit(used, of_train))
-        kept = cut_lineage(kept)
-        for classifier in classifiers:
-            if classifier == "boosted":
-                scored, _ = fit_boosted(kept, "sample_id", "target", fits, boost)
-            elif classifier == "logistic":
-                scored, _ = fit_linear(kept, "sample_id", "target", fits, linear)
-            else:
-                raise ValueError(f"unknown classifier {classifier}")
-            runs = F.array(
-                *[
-                    F.struct(
-                        F.lit(classifier).alias("classifier"), F.lit(mode).alias("mode"), F.lit(label).alias("feature_set"), F.lit(s).alias("seed"),
-                        F.when(of_train, held_out_score(f"_fold_{s}", range(folds), offset=places[label, s]))
-                        .otherwise(F.get("scores", F.lit(places[label, None]))).alias("probability"),
-                    )
-                    for label in sets for s in seeds
-                ]
-            )
-            parts.append(scored.select("sample_id", group, "phase", "split", "target", F.explode(runs).alias("r")).select("*", "r.*").drop("r"))
+                first[mode, label, s] = len(fits)
+                fits += [Fit(used, mine & (F.col(f"_fold_{s}") != f)) for f in range(folds)]
+            first[mode, label, None] = len(fits)
+            fits.append(Fit(used, mine))
+
+    def runs(mode: str, classifier: str) -> Column:
+        of_train = F.col("split") == "train"
+        one = lambda label, s: F.struct(
+            F.lit(classifier).alias("classifier"), F.lit(label).alias("feature_set"), F.lit(s).alias("seed"),
+            F.when(of_train, held_out_score(f"_fold_{s}", range(folds), offset=first[mode, label, s]))
+            .otherwise(F.get("scores", F.lit(first[mode, label, None]))).alias("probability"),
+        )
+        return F.array(*[one(label, s) for label in sets for s in seeds])
+
+    fitters = {"boosted": lambda: fit_boosted(rows, "_row", "target", fits, boost), "logistic": lambda: fit_linear(rows, "_row", "target", fits, linear)}
+    parts = []
+    for classifier in classifiers:
+        if classifier not in fitters:
+            raise ValueError(f"unknown classifier {classifier}")
+        scored, _ = fitters[classifier]()
+        own = None
+        for mode in frames:
+            own = F.when(F.col("mode") == mode, runs(mode, classifier)).otherwise(own) if own is not None else F.when(F.col("mode") == mode, runs(mode, classifier))
+        parts.append(scored.select("sample_id", group, "phase", "split", "target", "mode", F.explode(own).alias("r")).select("*", "r.*").drop("r"))
     long = cut_lineage(union_results(*parts))
     cuts = select_threshold(long.where("split = 'train'"), list(RUN), tie="first").select(*RUN, "threshold")
     return long.join(F.broadcast(cut_lineage(cuts)), list(RUN)).withColumn(  # one row per run

@@ -14,8 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sigloom.functions.batches import stream_groups
-from sigloom.operators.blocks import Blocks, Fit, model_moments, numbers, rows_of, to_blocks, unpack
+from sigloom.operators.blocks import Blocks, Fit, model_moments, numbers, sum_over_blocks, to_blocks, unpack
 from sigloom.operators.models import _newton
 
 
@@ -86,34 +85,21 @@ def fit_linear(
     return unpack(scored, blocks, name), fit
 
 
+def newton_sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray, weights: Sequence[float]) -> np.ndarray:
+    """Gradient, then the upper triangle of the curvature; ``weights`` of class 0 and 1."""
+    q = 1 / (1 + np.exp(-np.clip(x @ beta, -40.0, 40.0)))
+    w = np.asarray(weights)[(y == 1).astype(int)]
+    return np.concatenate([x.T @ (w * (q - y)), ((x.T * (w * q * (1 - q))) @ x)[np.triu_indices(x.shape[1])]])
+
+
 def _pass(blocks: Blocks, fit: Linear, weights: np.ndarray, todo: set[int]) -> dict[int, np.ndarray]:
-    """Gradient, then the upper triangle of the curvature, of every model that is not there yet."""
+    """Newton sums of every model that is not there yet."""
     d, models, active = len(blocks.shape.features), blocks.shape.models, sorted(todo)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        part = 0
-        for r in rows_of(batches):
-            part = r["part"]
-            x, y = numbers(r, "x", np.float64, d), numbers(r, "y", np.float64)
-            train = numbers(r, "train", np.uint8, models).astype(bool)
-            for m in active:
-                rows = train[:, m]
-                z, t = fit.inputs(x[rows], m), y[rows]
-                q = 1 / (1 + np.exp(-np.clip(z @ fit.beta[m], -40.0, 40.0)))
-                w = weights[m][(t == 1).astype(int)]
-                upper = np.triu_indices(z.shape[1])
-                sums = np.concatenate([z.T @ (w * (q - t)), ((z.T * (w * q * (1 - q))) @ z)[upper]])
-                total[m] = total[m] + sums if m in total else sums
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int32()), pa.array([part] * len(total), pa.int32()), pa.array([s.tobytes() for s in total.values()], pa.binary())],
-                ["model", "part", "sums"],
-            )
-
-    def add(rows: list) -> Iterator[tuple]:
-        yield rows[0].model, sum(np.frombuffer(r.sums) for r in rows).tobytes()
-
-    parts = blocks.table.select("part", "x", "y", "train").mapInArrow(work, "model int, part int, sums binary")
-    rows = stream_groups(parts, ["model"], ["part"], "model int, sums binary", add).collect()  # one row per model
-    return {r["model"]: np.frombuffer(r["sums"]) for r in rows}
+    def work(r: dict) -> Iterator[tuple[int, np.ndarray]]:
+        x, y = numbers(r, "x", np.float64, d), numbers(r, "y", np.float64)
+        train = numbers(r, "train", np.uint8, models).astype(bool)
+        for m in active:
+            yield m, newton_sums(fit.inputs(x[train[:, m]], m), y[train[:, m]], fit.beta[m], weights[m])
+
+    return sum_over_blocks(blocks, ["x", "y", "train"], work, len(active))

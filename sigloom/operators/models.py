@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.confusion import confusion_counts, rates
-from sigloom.functions.fusion import adaptive, conservative, mean_fusion, reliability_features, weighted
+from sigloom.functions.fusion import reliability_features
 from sigloom.functions.scalars import is_finite, logit, sigmoid
 from sigloom.operators.checks import require
 from sigloom.operators.metrics import brier, ranking_metrics
 from sigloom.operators.ordering import attach
 from sigloom.operators.projections import column_medians, finite, union_results
-from sigloom.operators.splits import grouped_folds, stratified_folds
-from sigloom.operators.sweeps import best_row, override_curve, select_delta, select_fixed_weight, select_tau, select_threshold
+from sigloom.operators.splits import grouped_folds
+from sigloom.operators.sweeps import best_row, override_curve, select_tau, select_threshold
 from sigloom.session import cut_lineage, spread_and_cut
 
 # Logistic regression for many keys at once ---------------------------------------------
@@ -502,147 +502,12 @@ def disagreement_gate(
 
 # Cross-fitted meta fusion ---------------------------------------------------------------
 
+#: The methods of a meta fusion, and the name of the model that is applied to validation rows.
 FUSED = ("temporal", "spectral", "best_individual", "fixed_50", "best_fixed", "adaptive", "conservative")
 FINAL = -1
 
 
-def _by_model(models: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join a stored table of per-model constants (a row per key and fold) onto the rows."""
-    small = models.limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS
-    return rows.join(F.broadcast(models) if small else models, list(keys))
-
-
-def _calibrate_and_fuse(rows: DataFrame, fit: Column, target: str, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """All component fits for every model key at once; returns fused rows and the components."""
-    keys = [*by, "model"]
-
-    def training(df: DataFrame) -> DataFrame:
-        return df.where(fit)
-
-    experts = ("temporal", "spectral")
-
-    def per_expert(df: DataFrame, prefix: str, carry: Sequence[str] = ()) -> DataFrame:
-        """Both experts' rows under one key, so their models are fitted in the same passes."""
-        item = [F.struct(F.lit(e).alias("expert"), F.col(f"{prefix}{e}").alias("_item")) for e in experts]
-        return df.select(*keys, target, *carry, F.explode(F.array(*item)).alias("_e")).select(
-            *keys, target, *carry, "_e.expert", "_e._item"
-        )
-
-    platt = fit_platt(per_expert(training(rows), "raw_"), [*keys, "expert"], "_item", target)
-    for e in experts:
-        rows = apply_platt(rows.withColumn("expert", F.lit(e)), platt, f"raw_{e}", e).drop("expert")
-    rows = cut_lineage(rows.withColumn("fixed_50", mean_fusion("temporal", "spectral")))
-    long = training(rows).unpivot([*keys, target], ["temporal", "spectral", "fixed_50"], "method", "probability")
-    cuts = select_threshold(long, [*keys, "method"], target=target)
-    cuts = cuts.groupBy(*keys).pivot("method", ["temporal", "spectral", "fixed_50"]).agg(
-        F.first("threshold").alias("cut"), F.first("mcc").alias("mcc")
-    )
-    weight = select_fixed_weight(training(rows), keys, "temporal", "spectral", target)
-    table = cuts.join(weight.select(*keys, "weight", F.col("threshold").alias("best_fixed_cut")), keys)
-    best = F.col("temporal_mcc") >= F.col("spectral_mcc")
-    table = table.withColumns(
-        {
-            "best_individual": F.when(best, "temporal").otherwise("spectral"),
-            "best_individual_cut": F.when(best, F.col("temporal_cut")).otherwise(F.col("spectral_cut")),
-        }
-    )
-    table = cut_lineage(table)
-    constants = table.withColumnRenamed("best_individual", "_best")
-    rows = _by_model(constants, rows, keys).withColumns(
-        {
-            "best_fixed": weighted("temporal", "spectral", "weight"),
-            "best_individual": F.when(F.col("_best") == "temporal", F.col("temporal")).otherwise(F.col("spectral")),
-        }
-    ).drop("_best")
-    features = reliability_features("temporal", "spectral")
-    names = [f"_r_{n}" for n in features]
-    rows = rows.withColumns({f"_r_{n}": c for n, c in features.items()})
-    for e in experts:
-        right = ((F.col(e) >= F.col(f"{e}_cut")).cast("int") == F.col(target)).cast("int")
-        rows = rows.withColumn(f"_ok_{e}", right)
-    reliability = fit_reliability(per_expert(training(rows), "_ok_", names), [*keys, "expert"], names, "_item")
-    for e in experts:
-        rows = reliability.score(rows.withColumn("expert", F.lit(e)), f"reliability_{e}").drop("expert")
-    rows = rows.withColumn(
-        "adaptive", adaptive("temporal", "spectral", "reliability_temporal", "reliability_spectral")
-    ).drop(*names, "_ok_temporal", "_ok_spectral")
-    rows = cut_lineage(rows)
-    adaptive_cut = select_threshold(training(rows), keys, "adaptive", target).select(
-        *keys, F.col("threshold").alias("adaptive_cut")
-    )
-    delta = select_delta(
-        training(rows), keys, "best_fixed", "adaptive", "reliability_temporal", "reliability_spectral", target
-    ).select(*keys, "delta", F.col("threshold").alias("conservative_cut"))
-    more = cut_lineage(adaptive_cut.join(delta, keys))
-    rows = _by_model(more, rows, keys).withColumn(
-        "conservative", conservative("best_fixed", "adaptive", "reliability_temporal", "reliability_spectral", "delta")
-    )
-    return rows, table.join(more, keys)
-
-
-def meta_fusion(
-    oof: DataFrame, held: DataFrame | None, a: str = "p_temporal", b: str = "p_spectral", target: str = "target",
-    fold: str = "fold", keys: Sequence[str] = ("sample_id",), by: Sequence[str] = (),
-) -> tuple[DataFrame, DataFrame]:
-    """(long predictions, components): cross-fitted fusion with every operating point learned
-    off the rows it is applied to.
-
-    Model f is fitted on OOF rows outside fold f and applied to fold f; model -1 is fitted on
-    all OOF rows and applied to ``held``. ``by`` (dataset, seed) names columns whose values are
-    fused each on its own. Every component is fitted for all models together, so the number of
-    passes over the data does not grow with the number of folds or seeds.
-    """
-    keys = [*keys, *by]
-    folds = sorted(int(r[0]) for r in oof.select(fold).distinct().collect())
-    base = oof.select(*keys, target, F.col(fold).cast("int").alias("_fold"), F.col(a).alias("raw_temporal"), F.col(b).alias("raw_spectral"), F.lit("train_oof").alias("split"))
-    models = F.array(*[F.lit(m) for m in [*folds, FINAL]])
-    rows = base.select("*", F.explode(models).alias("model"))
-    if held is not None:
-        rows = rows.unionByName(
-            held.select(
-                *keys, target, F.lit(None).cast("int").alias("_fold"), F.col(a).alias("raw_temporal"),
-                F.col(b).alias("raw_spectral"), F.lit("validation").alias("split"), F.lit(FINAL).alias("model"),
-            )
-        )
-    fit = F.col("_fold").isNotNull() & (F.col("_fold") != F.col("model"))
-    fused, components = _calibrate_and_fuse(spread_and_cut(rows), fit, target, by)
-    applied = fused.where((F.col("_fold") == F.col("model")) | (F.col("split") == "validation"))
-    cut = F.lit(None).cast("double")
-    for m in FUSED:
-        cut = F.when(F.col("method") == m, F.col(f"{m}_cut")).otherwise(cut)
-    cuts = [f"{m}_cut" for m in FUSED]
-    out = applied.select(*keys, target, "split", "model", *cuts, *FUSED).unpivot(
-        [*keys, target, "split", "model", *cuts], list(FUSED), "method", "probability"
-    )
-    return out.select(*keys, target, "split", "model", "method", "probability", cut.alias("threshold")), components
-
-
-# Feature-family contribution ------------------------------------------------------------
-
-
-def family_contribution(
-    df: DataFrame, sets: dict[str, Sequence[str]], seeds: Sequence[int], estimator: str = "logistic",
-    modes: Sequence[str] = ("phase_independent",), folds: int = 5, iterations: int = 50,
-) -> DataFrame:
-    """One metric row per (feature set, mode, seed)."""
-    every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
-    rows = []
-    for mode in modes:
-        for seed in seeds:
-            prepared = prepare_baseline(df, every, seed, mode, folds=folds)
-            for name, cols in sets.items():
-                _, metrics = evaluate_baseline(prepared, cols, estimator, seed, iterations)
-                rows.append(metrics.withColumn("feature_set", F.lit(name)))
-    return union_results(*rows)
-
-
-def contribution_deltas(metrics: DataFrame) -> DataFrame:
-    """Per (mode, seed): gain of T, of C, of C given T and of T given C in MCC."""
-    wide = metrics.groupBy("mode", "seed").pivot("feature_set", ["S", "S+T", "S+C", "S+T+C"]).agg(F.first("mcc"))
-    s, st, sc, stc = (F.col(f"`{c}`") for c in ("S", "S+T", "S+C", "S+T+C"))
-    return wide.select(
-        "mode", "seed", (st - s).alias("delta_t"), (sc - s).alias("delta_c"), (stc - st).alias("delta_c_given_t"), (stc - sc).alias("delta_t_given_c")
-    )
+# Morphology ----------------------------------------------------------------------------
 
 
 def morphology(segments: DataFrame, keys: Sequence[str], segment: str, length: int, components: int = 10, clusters: int = 12, seed: int = 42) -> DataFrame:

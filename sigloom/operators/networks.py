@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.functions.batches import stream_groups
-from sigloom.operators.blocks import Blocks, Fit, model_moments, numbers, rows_of, to_blocks, unpack
+from sigloom.operators.blocks import Blocks, Fit, model_moments, numbers, sum_over_blocks, to_blocks, unpack
 from sigloom.operators.boosting import held_out_score
 
 GROW, SHRINK, SMALLEST, LARGEST = 1.2, 0.5, 1e-6, 1.0
@@ -182,45 +181,26 @@ def fit_networks(
     return unpack(scored, blocks, name), nets
 
 
-_SUMS = "model int, part int, slope binary, loss double, stop_loss double, stop_n long"
-
-
 def _pass(blocks: Blocks, nets: Networks) -> dict[int, tuple[np.ndarray, float, float, int]]:
     """Gradient, loss, loss of the stop rows and their number, for every model that is not done."""
     shape, spec = blocks.shape, nets.spec
     d, models = len(shape.features), shape.models
     weights = {m: t.weights for m, t in enumerate(nets.models) if not t.done}
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
-        part = 0
-        for r in rows_of(batches):
-            part = r["part"]
-            x, y = numbers(r, "x", np.float64, d), numbers(r, "y", np.float64)
-            train, stop = (numbers(r, c, np.uint8, models).astype(bool) for c in ("train", "stop"))
-            for m, w in weights.items():
-                c = list(shape.columns[m])
-                z = (x[:, c] - nets.centre[m, c]) / nets.spread[m, c]
-                shapes = spec.shapes(len(c))
-                slope, loss = gradient(z[train[:, m]], y[train[:, m]], w, shapes)
-                held = stop[:, m]
-                stop_loss = float(losses(forward(z[held], w, shapes)[-1][:, 0], y[held]).sum()) if held.any() else 0.0
-                new = [slope, loss, stop_loss, int(held.sum())]
-                total[m] = [a + b for a, b in zip(total[m], new)] if m in total else new
-        if total:
-            slopes, *rest = zip(*total.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int32()), pa.array([part] * len(total), pa.int32()), pa.array([s.tobytes() for s in slopes], pa.binary()), *[pa.array(r) for r in rest]],
-                [c.split()[0] for c in _SUMS.split(", ")],
-            )
-
-    def add(rows: list) -> Iterator[tuple]:
-        slope = sum(np.frombuffer(r.slope) for r in rows)
-        yield rows[0].model, 0, slope.tobytes(), sum(r.loss for r in rows), sum(r.stop_loss for r in rows), sum(r.stop_n for r in rows)
-
-    parts = blocks.table.select("part", "x", "y", "train", "stop").mapInArrow(work, _SUMS)
-    rows = stream_groups(parts, ["model"], ["part"], _SUMS, add).collect()  # one row per model
-    return {r["model"]: (np.frombuffer(r["slope"]), r["loss"], r["stop_loss"], r["stop_n"]) for r in rows}
+    def work(r: dict) -> Iterator[tuple[int, np.ndarray]]:
+        x, y = numbers(r, "x", np.float64, d), numbers(r, "y", np.float64)
+        train, stop = (numbers(r, c, np.uint8, models).astype(bool) for c in ("train", "stop"))
+        for m, w in weights.items():
+            c = list(shape.columns[m])
+            z = (x[:, c] - nets.centre[m, c]) / nets.spread[m, c]
+            shapes = spec.shapes(len(c))
+            slope, loss = gradient(z[train[:, m]], y[train[:, m]], w, shapes)
+            held = stop[:, m]
+            stop_loss = float(losses(forward(z[held], w, shapes)[-1][:, 0], y[held]).sum()) if held.any() else 0.0
+            yield m, np.append(slope, [loss, stop_loss, held.sum()])
+
+    found = sum_over_blocks(blocks, ["x", "y", "train", "stop"], work, len(weights))
+    return {m: (s[:-3], float(s[-3]), float(s[-2]), int(s[-1])) for m, s in found.items()}
 
 
 def cross_fit_networks(

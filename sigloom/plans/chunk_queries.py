@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sigloom.operators import chunks as ch
+from sigloom.operators import pulses as pu
+from sigloom.operators import streams as st
 from sigloom.plans import inputs as src
 from sigloom.plans.registry import query, rounded
-from sigloom.plans.signal_queries import CURRENT, POLICY, ROLLED, reference_sql, sig, smooth_sql
+from sigloom.plans.signal_queries import CURRENT, MATCH_SQL, PEAKS_SQL, POLICY, ROLLED, reference_sql, sig, smooth_sql
 
 SIZES = (7, 64)
 EACH_SIZE = f"(VALUES {', '.join(f'({s})' for s in SIZES)}) z(size)"
@@ -136,3 +138,33 @@ HIGHPASS_EVENTS = f"""{highpass_sql()},
 )
 def chunked_highpass_events(spark, sf):
     return each_size(spark, sf, lambda c, size: ch.highpass_events(c, size, RATE, ORDER, CUTOFF, DISTANCE, MAD, KEEP))
+
+
+# Streams of samples and events ----------------------------------------------------------
+
+
+def _mad(chunks):
+    """key, noise: 1.4826 times the median distance from the median."""
+    middle = ch.exact_medians(chunks)
+    apart = chunks.join(middle, "sample_id").withColumn("values", F.transform("values", lambda x: F.abs(x - F.col("median")))).drop("median")
+    return ch.exact_medians(apart).select("sample_id", (F.col("median") * 1.4826).alias("noise"))
+
+
+@query("stream_peaks", f"WITH RECURSIVE fp AS ({PEAKS_SQL}) SELECT fp.*, kind FROM fp, (VALUES ('samples'), ('chunks')) k(kind)")
+def stream_peaks(spark, sf):
+    """``find_peaks`` from rows of single samples and from rows of chunks."""
+    chunks = ch.cut_signals(sig(spark, sf), 7)
+    noise = _mad(chunks)
+    single = st.stream_peaks(ch.samples(chunks, 7), "pos", "value", noise, 5, 1.0).withColumn("kind", F.lit("samples"))
+    pieces = st.stream_peaks(chunks, "chunk", "values", noise, 5, 1.0).withColumn("kind", F.lit("chunks"))
+    return rounded(single.unionByName(pieces))
+
+
+@query("match_event_tables", MATCH_SQL)
+def match_event_tables(spark, sf):
+    """Maxima matched to minima by rounds of joins, as ``match_peaks`` matches their arrays."""
+    s = sig(spark, sf)
+    up = s.select("sample_id", F.explode(pu.find_peaks("values")).alias("p")).select("sample_id", "p.pos")
+    down = s.select("sample_id", F.explode(pu.find_peaks(F.transform("values", lambda x: -x))).alias("p")).select("sample_id", "p.pos")
+    pairs, _ = st.match_event_tables(up, down, 3)
+    return rounded(st.match_summary(up, down, pairs))

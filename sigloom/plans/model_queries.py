@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import fusion as fz
 from sigloom.functions.scalars import confidence, logit
+from sigloom.operators import meta as me
 from sigloom.operators import models as mo
 from sigloom.operators import projections as pr
 from sigloom.operators import resampling as rs
@@ -186,10 +187,44 @@ def meta_fusion(spark, sf):
 
     p = src.pair(spark, sf)
     oof = sp.grouped_folds(p.where("split = 'train_oof'"), 5, 10042)
-    long, _ = mo.meta_fusion(oof, p.where("split = 'validation'"), by=["seed"])
+    long, _ = me.meta_fusion(oof, p.where("split = 'validation'"), by=["seed"])
     return rounded(binary_metrics(long, ["seed", "split", "method"]))
 
 
+# Calibration by Newton steps for every (seed, model, expert), then counts by cell of the threshold
+# grid for the experts, their mean and every weight; model m never sees fold m, model -1 sees all.
+COMPONENTS_SQL = f"""WITH RECURSIVE {src.PAIR},
+o AS (SELECT sample_id, seed, target, CAST(id_measurement % 5 AS INT) AS fold, p_temporal, p_spectral FROM pair WHERE split = 'train_oof'),
+x AS (SELECT sample_id, seed, fold, target, 0 AS e, {sql_logit('p_temporal')} AS z FROM o UNION ALL SELECT sample_id, seed, fold, target, 1, {sql_logit('p_spectral')} FROM o),
+t AS MATERIALIZED (SELECT x.*, m FROM x, range(-1, 5) r(m) WHERE fold <> m),
+it AS (SELECT 0 AS step, seed, m, e, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM (SELECT DISTINCT seed, m, e FROM t)
+  UNION ALL
+  SELECT step+1, seed, m, e, a - (hbb*ga-hab*gb)/(haa*hbb-hab*hab), b - (haa*gb-hab*ga)/(haa*hbb-hab*hab) FROM (
+    SELECT step, seed, m, e, a, b, sum(q-target) AS ga, sum((q-target)*z)+b AS gb, sum(q*(1-q)) AS haa, sum(q*(1-q)*z) AS hab, sum(q*(1-q)*z*z)+1 AS hbb
+    FROM (SELECT it.*, t.target, t.z, 1/(1+exp(-(it.a+it.b*t.z))) AS q FROM it JOIN t ON it.seed=t.seed AND it.m=t.m AND it.e=t.e WHERE it.step<12) GROUP BY step, seed, m, e, a, b)),
+c AS (SELECT t.seed, t.m, t.sample_id, any_value(t.target) AS y, max(1/(1+exp(-(a+b*z)))) FILTER (t.e=0) AS p, max(1/(1+exp(-(a+b*z)))) FILTER (t.e=1) AS q
+  FROM t JOIN it ON it.seed=t.seed AND it.m=t.m AND it.e=t.e AND it.step=12 GROUP BY t.seed, t.m, t.sample_id),
+v AS (SELECT seed, m, y, w, CASE WHEN w = -1 THEN p WHEN w = -2 THEN q WHEN w = -3 THEN (p+q)/2 ELSE (w/20.0::DOUBLE)*p + (1-w/20.0::DOUBLE)*q END AS r FROM c, range(-3, 21) s(w)),
+k AS (SELECT seed, m, w, y, greatest(least(CASE WHEN r < f/200.0::DOUBLE THEN f-1 WHEN r >= (f+1)/200.0::DOUBLE THEN f+1 ELSE f END, 190), 9) AS cell FROM (SELECT *, floor(r*200) AS f FROM v)),
+h AS (SELECT seed, m, w, cell, count(*) FILTER (y=1) AS p, count(*) FILTER (y=0) AS n FROM k GROUP BY ALL),
+g AS (SELECT h.seed, h.m, h.w, s.k, coalesce(sum(p) FILTER (cell >= s.k), 0) AS tp, coalesce(sum(n) FILTER (cell >= s.k), 0) AS fp, sum(p) AS pp, sum(n) AS nn FROM h, range(10, 191) s(k) GROUP BY ALL),
+d AS (SELECT seed, m, w, k, tp::DOUBLE AS tp, fp::DOUBLE AS fp, (nn-fp)::DOUBLE AS tn, (pp-tp)::DOUBLE AS fn FROM g),
+u AS (SELECT seed, m, w, k, coalesce((tp*tn-fp*fn)/nullif(sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)),0), 0) AS mcc FROM d),
+b1 AS (SELECT seed, m, w, k, mcc FROM (SELECT *, max(mcc) OVER (PARTITION BY seed, m, w) AS top FROM u) WHERE abs(mcc-top) <= 1e-8 + 1e-5*abs(top) QUALIFY row_number() OVER (PARTITION BY seed, m, w ORDER BY abs(k-100), k) = 1),
+bw AS (SELECT * FROM b1 WHERE w >= 0 QUALIFY row_number() OVER (PARTITION BY seed, m ORDER BY mcc DESC, abs(2*w-20), w) = 1)
+SELECT a.seed, CAST(a.m AS INT) AS model, a.k/200.0::DOUBLE AS temporal_cut, s.k/200.0::DOUBLE AS spectral_cut, f.k/200.0::DOUBLE AS fixed_50_cut, round(a.mcc,6) AS temporal_mcc, round(s.mcc,6) AS spectral_mcc,
+  CASE WHEN a.mcc >= s.mcc THEN 'temporal' ELSE 'spectral' END AS best_individual, bw.w/20.0::DOUBLE AS weight, bw.k/200.0::DOUBLE AS best_fixed_cut
+FROM b1 a JOIN b1 s ON s.seed=a.seed AND s.m=a.m AND s.w=-2 JOIN b1 f ON f.seed=a.seed AND f.m=a.m AND f.w=-3 JOIN bw ON bw.seed=a.seed AND bw.m=a.m WHERE a.w=-1"""
+
+
+@query("meta_fusion_components", COMPONENTS_SQL)
+def meta_fusion_components(spark, sf):
+    """The cut-offs and weights of every seed and model of a meta fusion."""
+    _, components = me.meta_fusion(folded_pair(spark, sf).where("split = 'train_oof'"), None, by=["seed"])
+    keep = ("temporal_cut", "spectral_cut", "fixed_50_cut", "temporal_mcc", "spectral_mcc", "best_individual", "weight", "best_fixed_cut")
+    return rounded(components.select("seed", "model", *keep))
+
+
 def features(spark, sf):
     """Block means and stds of each signal, named so that families can be told apart."""
     s = src.signals(spark, sf)

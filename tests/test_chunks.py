@@ -5,6 +5,7 @@ import pytest
 
 from sigloom.functions import kernels
 from sigloom.operators import chunks as ch
+from sigloom.operators import streams as st
 from sigloom.operators.pulses import DetectorSpec, PulsePolicy, locate_cycle, run_detector
 
 POLICY = PulsePolicy(length=400, rate_hz=20_000.0, smoothing=31, alpha=10.0, beta=1.0)
@@ -126,3 +127,41 @@ def test_no_chunks_no_rows(spark):
     assert ch.cycle_reference(nothing, 7, POLICY).collect() == []
     assert ch.local_maxima(nothing, 7).collect() == []
     assert ch.samples(nothing, 7).collect() == []
+
+
+# Streams ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_peak_stream_equals_whole_signals(size):
+    rng = np.random.default_rng(size)
+    for x in [*made().values(), np.repeat(rng.integers(0, 5, 60), rng.integers(1, 9, 60)).astype(float), np.array([1.0, 2.0]), np.array([3.0])]:
+        stream = st.PeakStream()
+        for a in range(0, len(x), size):
+            stream.add(x[a : a + size])
+        tops = kernels.local_maxima(x)
+        assert stream.pos == tops.tolist()
+        for distance, least in ((1, 0.0), (5, 0.7)):
+            kept = tops[kernels.spaced_peaks(tops, x[tops], distance)]
+            kept = kept[kernels.prominences(x, kept) >= least] if least else kept
+            assert [p for p, _ in stream.peaks(distance, least)] == kept.tolist()
+
+
+def test_event_tables_match_like_arrays(spark):
+    rng = np.random.default_rng(2)
+    arrays = {i: (np.unique(rng.integers(0, 80, 25)), np.unique(rng.integers(0, 80, 25))) for i in range(12)}
+    arrays[20] = (np.arange(0, 60), np.arange(1, 61))  # one long chain
+    arrays[21] = (np.array([5]), np.array([50]))
+    sides = [
+        spark.createDataFrame([(k, int(p)) for k, v in arrays.items() for p in v[side]], "sample_id long, pos int") for side in (0, 1)
+    ]
+    pairs, rounds = st.match_event_tables(*sides, 4)
+    got = {}
+    for r in pairs.collect():
+        got.setdefault(r["sample_id"], []).append((r["left_pos"], r["right_pos"] - r["left_pos"]))
+    for k, (a, b) in arrays.items():
+        assert [o for _, o in sorted(got.get(k, []))] == kernels.match_offsets(a, b, 4)
+    assert rounds >= 1
+    summary = {r["sample_id"]: r for r in st.match_summary(*sides, pairs).collect()}
+    assert summary[21]["matched"] == 0 and np.isnan(summary[21]["median_offset"]) and summary[20]["matched"] == 60
+    assert st.match_event_tables(sides[0].limit(0), sides[1], 4)[0].collect() == []

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import arrays as ar
 from sigloom.functions import fusion as fz
-from sigloom.operators import audits, checks, gates, joins, metrics, splits, sweeps
+from sigloom.operators import audits, checks, gates, joins, meta, metrics, splits, sweeps
 from sigloom.operators import models as mo
 from sigloom.operators import projections as pr
 from sigloom.operators import pulses as pu
@@ -397,7 +397,7 @@ def test_meta_fusion_covers_every_row_and_learns_off_fold(spark):
     data = [(i, f"g{i // 3}", i % 2, 0.25 + 0.4 * (i % 2) + ((i * 37) % 20) / 60, 0.2 + 0.4 * (i % 2) + ((i * 53) % 24) / 60) for i in range(240)]
     df = spark.createDataFrame(data, "sample_id int, id_measurement string, target int, p_temporal double, p_spectral double")
     oof = splits.grouped_folds(df.where("sample_id < 180"), 3, 5)
-    long, components = mo.meta_fusion(oof, df.where("sample_id >= 180"))
+    long, components = meta.meta_fusion(oof, df.where("sample_id >= 180"))
     counts = {(r["split"], r["method"]): r["count"] for r in long.groupBy("split", "method").count().collect()}
     assert {v for (s, _), v in counts.items() if s == "train_oof"} == {180} and len(counts) == 14
     assert {v for (s, _), v in counts.items() if s == "validation"} == {60}
