@@ -35,7 +35,7 @@ def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", id_bucket(F.col("doc_id"), 7).alias("part"))
-    model = lm.train(docs.where("part <> 2"), order=2)
+    model = lm.train(docs.where("part <> 2"), order=3)
     return lm.score(docs.select("doc_id", (F.col("part") == 2).alias("held_out"), "text"), model)
 
 
