@@ -140,6 +140,20 @@ def chunked_highpass_events(spark, sf):
     return each_size(spark, sf, lambda c, size: ch.highpass_events(c, size, RATE, ORDER, CUTOFF, DISTANCE, MAD, KEEP))
 
 
+@query(
+    "detect_highpass",
+    f"""WITH RECURSIVE {src.SIGNALS}, {HIGHPASS_EVENTS}
+    SELECT ok.sample_id, round(noise,6) AS noise, CAST(candidates AS INT) AS candidates, CAST(rank AS INT) AS rank, CAST(p AS INT) AS pos, round(ok.h,6) AS score, CAST(sign(x) AS INT) AS sign
+    FROM ok JOIN ce ON ce.sample_id = ok.sample_id AND ce.i = ok.p WHERE rank <= {KEEP}""",
+)
+def detect_highpass(spark, sf):
+    """The registered high-pass detector on whole signals, with the events of each."""
+    spec = pu.DetectorSpec("highpass", "highpass", DISTANCE, prominence_mad=MAD, keep=KEEP, cutoff_hz=CUTOFF, order=ORDER)
+    found = pu.detect_events(sig(spark, sf), [spec], POLICY)
+    events = found.select("sample_id", "noise", "candidates", F.posexplode("peaks").alias("rank", "p"))
+    return rounded(events.select("sample_id", "noise", "candidates", (F.col("rank") + 1).alias("rank"), "p.pos", "p.score", "p.sign"))
+
+
 # Streams of samples and events ----------------------------------------------------------
 
 

@@ -210,3 +210,17 @@ def test_linear_models_equal_those_of_keys(spark):
         assert scores[fold] == pytest.approx(r["probability"], abs=1e-9) and scores[4] > 0.999
     one = mo.fit_predict(df, df, ["b"], "logistic", 0)
     assert all(got[r["sample_id"]][0][3] == pytest.approx(r["probability"], abs=1e-9) for r in one.collect())
+
+
+def test_moments_keep_their_digits_far_from_zero(spark):
+    from sigloom.operators import signals as sg
+
+    rng = np.random.default_rng(6)
+    x = 1e6 + rng.normal(0, 1e-3, (100, 3))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "values array<double>").repartition(7)
+    got = {r["pos"]: r for r in sg._merged_moments(df, "values", True).collect()}
+    for i in range(3):
+        assert got[i]["n"] == 100
+        assert math.sqrt(got[i]["variance"]) == pytest.approx(x[:, i].std(), abs=1e-9)
+    whole = sg.fit_scalar_standardizer(df).first()
+    assert whole["std"] == pytest.approx(x.std(), abs=1e-9) and whole["n"] == 300
