@@ -117,7 +117,7 @@ def chunked_highpass(spark, sf):
     return each_size(spark, sf, lambda c, size: ch.samples(ch.butterworth_highpass(c, size, ORDER, CUTOFF, RATE), size))
 
 
-HIGHPASS_EVENTS = f"""{highpass_sql()},
+EVENTS_SQL = f"""
   md AS (SELECT sample_id, median(v) AS c, stddev_pop(v) AS sd FROM hp GROUP BY 1),
   ce AS (SELECT sample_id, i, v - c AS x, abs(v - c) AS h, sd FROM hp JOIN md USING (sample_id)),
   nz AS (SELECT sample_id, greatest(1.4826*median(h), 0.05*max(sd), 1e-6) AS noise FROM ce GROUP BY 1),
@@ -128,6 +128,7 @@ HIGHPASS_EVENTS = f"""{highpass_sql()},
   ed AS (SELECT k.sample_id, p, k.h, coalesce(max(i) FILTER (i < p AND s.h > k.h), -1) AS lo, coalesce(min(i) FILTER (i > p AND s.h > k.h), 1000000) AS hi FROM kp k JOIN ce s ON s.sample_id = k.sample_id GROUP BY k.sample_id, p, k.h),
   pr AS (SELECT e.sample_id, p, e.h, e.h - greatest(min(s.h) FILTER (i > lo AND i <= p), min(s.h) FILTER (i < hi AND i >= p)) AS prominence FROM ed e JOIN ce s ON s.sample_id = e.sample_id GROUP BY e.sample_id, p, e.h),
   ok AS (SELECT pr.*, noise, count(*) OVER (PARTITION BY sample_id) AS candidates, row_number() OVER (PARTITION BY sample_id ORDER BY h DESC, p) AS rank FROM pr JOIN nz USING (sample_id) WHERE prominence >= {MAD} * noise)"""
+HIGHPASS_EVENTS = f"{highpass_sql()}, {EVENTS_SQL}"
 
 
 @query(
@@ -154,6 +155,51 @@ def detect_highpass(spark, sf):
     return rounded(events.select("sample_id", "noise", "candidates", (F.col("rank") + 1).alias("rank"), "p.pos", "p.score", "p.sign"))
 
 
+WINDOW, DEGREE = 9, 3
+
+
+def _hat() -> str:
+    """What each sample of a window weighs in the polynomial's value at each of its places."""
+    basis = np.vander(np.arange(WINDOW) - WINDOW // 2, DEGREE + 1, increasing=True).astype(float)
+    q, _ = np.linalg.qr(basis)
+    return ", ".join(f"({r}, {j}, {c!r}::DOUBLE)" for r, row in enumerate((q @ q.T).tolist()) for j, c in enumerate(row))
+
+
+@query(
+    "detect_polynomial",
+    f"""WITH RECURSIVE {src.SIGNALS}, hat AS (SELECT * FROM (VALUES {_hat()}) t(r, j, c)),
+    pl AS (SELECT sample_id, i, v, least(greatest(i - {WINDOW // 2}, 0), 64 - {WINDOW}) AS s FROM samples),
+    hp AS (SELECT a.sample_id, a.i, a.v - sum(hat.c * b.v) AS v FROM pl a JOIN hat ON hat.r = a.i - a.s JOIN samples b ON b.sample_id = a.sample_id AND b.i = a.s + hat.j GROUP BY a.sample_id, a.i, a.v),
+    {EVENTS_SQL}
+    SELECT ok.sample_id, round(noise,6) AS noise, CAST(candidates AS INT) AS candidates, CAST(rank AS INT) AS rank, CAST(p AS INT) AS pos, round(ok.h,6) AS score, CAST(sign(x) AS INT) AS sign
+    FROM ok JOIN ce ON ce.sample_id = ok.sample_id AND ce.i = ok.p WHERE rank <= {KEEP}""",
+)
+def detect_polynomial(spark, sf):
+    """The registered detector over a sliding polynomial, with the events of each signal."""
+    spec = pu.DetectorSpec("polynomial", "polynomial", DISTANCE, prominence_mad=MAD, keep=KEEP, window=WINDOW, degree=DEGREE)
+    found = pu.detect_events(sig(spark, sf), [spec], POLICY)
+    events = found.select("sample_id", "noise", "candidates", F.posexplode("peaks").alias("rank", "p"))
+    return rounded(events.select("sample_id", "noise", "candidates", (F.col("rank") + 1).alias("rank"), "p.pos", "p.score", "p.sign"))
+
+
+@query(
+    "detect_strict",
+    f"""WITH {src.SIGNALS}, {reference_sql(False)}, st AS (SELECT sample_id, o AS origin FROM al WHERE abs(sep-32) <= 8),
+    ro AS (SELECT s.sample_id, (i - origin + 64) % 64 AS i, v, origin FROM samples s JOIN st USING (sample_id)),
+    fl AS (SELECT a.sample_id, a.i, a.v, a.origin, a.v - sum(0.1*power(0.9, a.i-b.i)*b.v) AS x FROM ro a JOIN ro b ON a.sample_id=b.sample_id AND b.i <= a.i GROUP BY a.sample_id, a.i, a.v, a.origin),
+    md AS (SELECT sample_id, median(x) AS c FROM fl GROUP BY 1), nz AS (SELECT sample_id, greatest(1.4826*median(abs(x-c)), 1e-6) AS noise FROM fl JOIN md USING (sample_id) GROUP BY 1),
+    pk AS (SELECT * FROM (SELECT *, lag(abs(x)) OVER w AS b, lead(abs(x)) OVER w AS n FROM fl WINDOW w AS (PARTITION BY sample_id ORDER BY i)) WHERE abs(x) > b AND abs(x) > n),
+    rk AS (SELECT *, count(*) OVER (PARTITION BY sample_id) AS candidates, row_number() OVER (PARTITION BY sample_id, i // 32 ORDER BY abs(x) DESC, i) AS r FROM pk)
+    SELECT sample_id, round(noise,6) AS noise, CAST(candidates AS INT) AS candidates, CAST((i + origin) % 64 AS INT) AS pos, round(abs(x),6) AS score, CAST(sign(v) AS INT) AS sign
+    FROM rk JOIN nz USING (sample_id) WHERE r <= 4""",
+)
+def detect_strict(spark, sf):
+    """The registered strict-cycle detector, with the events of each signal whose cycle is found."""
+    found = pu.detect_events(sig(spark, sf), [pu.DetectorSpec("strict", "strict", 1, keep=4)], POLICY).where("success")
+    events = found.select("sample_id", "noise", "candidates", F.explode("peaks").alias("p"))
+    return rounded(events.select("sample_id", "noise", "candidates", "p.pos", "p.score", "p.sign"))
+
+
 # Streams of samples and events ----------------------------------------------------------
 
 
