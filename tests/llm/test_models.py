@@ -268,3 +268,36 @@ def test_expectation_maximisation_finds_the_accuracies():
     patterns, counts = np.unique(quality.pattern_of(v), return_counts=True)
     model = quality.fit_labels(patterns, counts)
     assert abs(model.prior - 0.7) < 0.02 and np.abs(model.right - right).max() < 0.03
+
+
+def test_top_k_searches_only_cells_within_reach(spark):
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(40, 16)) * 400
+    points = np.rint(middles[rng.integers(0, 40, 20_000)] + rng.normal(size=(20_000, 16)) * 8).astype(np.int64)
+    points[:6000] = points[0]  # one vector holds a third of the rows
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "vec": list(points)}))
+    asked = df.where("vec_id % 100 = 0")
+    got = topk.top_k(df, asked, k=10, shard_rows=512, block_rows=64).toPandas().sort_values(["query_id", "rank"])
+    for i, part in got.groupby("query_id"):
+        scores = points @ points[i]
+        scores[i] = topk.NONE
+        order = np.lexsort((np.arange(20_000), -scores))[:10]
+        assert part["vec_id"].tolist() == order.tolist() and part["score"].tolist() == scores[order].tolist()
+    assert got["query_id"].nunique() == 200
+    wide = df.withColumn("dim", F.size("vec"))
+    centers = topk._centers(wide, 20_000, 512)
+    placed = topk._placed(wide, centers)
+    sizes = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).cache()
+    floors = got[got["rank"] == 10][["query_id", "score"]].rename(columns={"query_id": "vec_id", "score": "floor"})
+    within = topk.Balls(centers, sizes, 10).reached()
+    reached = asked.join(spark.createDataFrame(floors), "vec_id").select(F.size(within("vec", "floor")).alias("n")).agg(F.sum("n")).first()[0]
+    assert 200 <= reached < 0.2 * 200 * sizes.count()
+
+
+def test_top_k_of_a_shard_with_many_queries_and_mixed_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PART_BLOCKS", 2)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-50, 50, 3 if i % 3 else 5).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<long>")
+    got = topk.top_k(df, df, k=4, shard_rows=100, block_rows=8).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.top_k(rows, rows, 4))
