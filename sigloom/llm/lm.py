@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm.store import map_shared, shared_path, stored, write_shared
-from sigloom.llm.text import UPPER, WORD, chunks, mix, seeds, utf8, word_hashes
+from sigloom.llm.text import chunks, mix, seeds, utf8, word_hashes
 
 _U = np.uint64
 START, END = _U(1), _U(2)
 #: Bytes of text for each shard, and tokens that a task counts before it sends them on.
-SHARD_BYTES, FLUSH = 8 << 20, 1_200_000
+SHARD_BYTES, FLUSH = 16 << 20, 1_200_000
 BUCKETS = 256
+#: Array files that a worker keeps mapped; a process may have some 65,000 maps.
+MAPS = 16_384
 _FACTORS = seeds(16, 41)
 
 
@@ -71,14 +73,26 @@ def shard_of(words: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
     return (place % _U(shards)).astype(np.int64)
 
 
-def add_up(words: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted distinct rows with the sums of their counts."""
-    if not len(words):
-        return words, *counts
-    order = np.lexsort(words.T[::-1])
-    words = words[order]
-    first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)]))
-    return words[first], *[np.add.reduceat(c[order].astype(np.int64), first) for c in counts]
+def context_shard(context: np.ndarray, shards: int) -> np.ndarray:
+    return (fold(context[:, None]) % _U(shards)).astype(np.int64)
+
+
+def add_up(known: np.ndarray, code: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct rows of ``code``, indices into the sorted words ``known``, with the sums of their counts."""
+    width, bits = code.shape[1], max(1, int(len(known) - 1).bit_length())
+    if not len(code):
+        return code, *counts
+    if width * bits < 64:
+        key = np.zeros(len(code), np.uint64)
+        for i in range(width):
+            key = (key << _U(bits)) | code[:, i].astype(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    else:
+        order = np.lexsort(code.T[::-1])
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(code[order], axis=0) != 0).any(axis=1)]))
+    return code[order[first]], *[np.add.reduceat(c[order].astype(np.int64), first) for c in counts]
 
 
 def _pack48(values: np.ndarray) -> bytes:
@@ -91,39 +105,59 @@ def _unpack48(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def pack_rows(words: np.ndarray, *counts: np.ndarray) -> bytes:
-    """Sorted rows of words with counts; equal beginnings of neighbouring rows are stored once."""
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:, :-1] != words[:-1, :-1]).any(axis=1)
-    small = [c.astype(np.uint32 if c.max(initial=0) < 1 << 32 else np.uint64) for c in counts]
-    parts = [np.packbits(new).tobytes(), _pack48(words[new, :-1].ravel()), _pack48(words[:, -1]), *[c.tobytes() for c in small]]
-    head = np.array([len(words), words.shape[1], len(counts), *[len(p) for p in parts]], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(parts))
+def _planes(values: np.ndarray, size: int) -> bytes:
+    """Lowest bytes of all values first, then the next ones: planes of zeros cost nothing when compressed."""
+    return np.ascontiguousarray(values.astype(f"<u{size}")).view(np.uint8).reshape(-1, size).T.tobytes()
+
+
+def _from_planes(data: bytes, rows: int, size: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, rows).T).view(f"<u{size}").ravel().astype(np.int64)
+
+
+def pack_rows(known: np.ndarray, code: np.ndarray, *counts: np.ndarray) -> bytes:
+    """Sorted rows with counts: the words that occur once each, and their places in that list."""
+    if code.size * 8 < len(known):
+        used, small = np.unique(code, return_inverse=True)
+        small = small.reshape(code.shape)
+    else:
+        there = np.bincount(code.ravel(), minlength=len(known)) > 0
+        used, small = np.flatnonzero(there), (np.cumsum(there) - 1)[code]
+    columns = [np.diff(small[:, 0], prepend=0), *small.T[1:]]
+    parts = [_pack48(known[used]), *[_planes(c, 4) for c in columns], *[_planes(c, 8) for c in counts]]
+    head = np.array([len(code), code.shape[1], len(counts), *[len(p) for p in parts]], np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(parts))
 
 
 def unpack_rows(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Words, rows of places in them, and counts."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     rows, width, kinds = np.frombuffer(raw, np.int64, 3).tolist()
-    sizes = np.frombuffer(raw, np.int64, 3 + kinds, 24).tolist()
+    sizes = np.frombuffer(raw, np.int64, 1 + width + kinds, 24).tolist()
     parts, at = [], 24 + 8 * len(sizes)
     for size in sizes:
         parts.append(raw[at : at + size])
         at += size
-    new = np.unpackbits(np.frombuffer(parts[0], np.uint8), count=rows).astype(bool)
-    words = np.empty((rows, width), np.uint64)
-    words[:, :-1] = _unpack48(parts[1]).reshape(-1, width - 1)[np.cumsum(new) - 1] if width > 1 else 0
-    words[:, -1] = _unpack48(parts[2])
-    return words, *[np.frombuffer(p, np.uint32 if len(p) == 4 * rows else np.uint64).astype(np.int64) for p in parts[3:]]
+    code = np.stack([_from_planes(p, rows, 4) for p in parts[1 : 1 + width]], axis=1)
+    code[:, 0] = np.cumsum(code[:, 0])
+    return _unpack48(parts[0]), code, *[_from_planes(p, rows, 8) for p in parts[1 + width :]]
+
 
+def merged_rows(blobs) -> tuple[np.ndarray, ...]:
+    """Words of all blobs, and their distinct rows with the sums of their counts."""
+    parts = [unpack_rows(b) for b in blobs]
+    known = np.unique(np.concatenate([p[0] for p in parts]))
+    code = np.concatenate([np.searchsorted(known, words)[rows] for words, rows, *_ in parts])
+    counts = [np.concatenate(c) for c in zip(*[p[2:] for p in parts])]
+    del parts
+    return known, *add_up(known, code, *counts)
 
-def _by_shard(words: np.ndarray, counts: tuple[np.ndarray, ...], shards: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    shard = shard_of(words, shards, hot)
+
+def _by_shard(known: np.ndarray, code: np.ndarray, counts: tuple[np.ndarray, ...], shard: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        rows = order[cuts[s] : cuts[s + 1]]
-        if len(rows):
-            yield s, pack_rows(words[rows], *[c[rows] for c in counts])
+    cuts = [*np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist(), len(order)]
+    for a, b in zip(cuts, cuts[1:]):
+        rows = order[a:b]
+        yield int(shard[rows[0]]), pack_rows(known, code[rows], *[c[rows] for c in counts])
 
 
 def _array_file(*arrays: np.ndarray) -> bytes:
@@ -141,21 +175,50 @@ def _arrays(data: np.ndarray, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-def gram_file(words: np.ndarray, counts: np.ndarray) -> bytes:
-    """40-bit keys, sorted: offsets of 256 buckets and the lower 32 bits; counts in a byte, those of
-    255 and more apart."""
-    key = gram_key(words)
+def _keyed(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the 40-bit keys of 48-bit codes, offsets of their 256 buckets, and their lower 32 bits."""
+    key = gram_key(code)
     order = np.argsort(key)
-    key, counts = key[order], counts[order]
-    offsets = np.searchsorted(key >> _U(32), np.arange(BUCKETS + 1)).astype(np.int64)
+    key = key[order]
+    return order, np.searchsorted(key >> _U(32), np.arange(BUCKETS + 1)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.uint32)
+
+
+def gram_file(code: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys of n-grams; counts in a byte, those of 255 and more apart."""
+    order, offsets, low = _keyed(code)
+    counts = counts[order]
     large = np.flatnonzero(counts >= 255)
-    return _array_file(
-        offsets, (key & _U(0xFFFFFFFF)).astype(np.uint32), np.minimum(counts, 255).astype(np.uint8), large, counts[large].astype(np.int64)
-    )
+    return _array_file(offsets, low, np.minimum(counts, 255).astype(np.uint8), large, counts[large].astype(np.int64))
+
+
+def context_file(code: np.ndarray, total: np.ndarray, rest: np.ndarray) -> bytes:
+    """Sorted keys of contexts; each names its (total, weight of the lower order), of which there are few."""
+    order, offsets, low = _keyed(code)
+    kinds, which = np.unique(total + 1j * rest.astype(np.float32), return_inverse=True)
+    which = which[order]
+    above = (which >> 16).astype(np.uint8) if len(kinds) > 1 << 16 else np.zeros(0, np.uint8)
+    return _array_file(offsets, low, (which & 0xFFFF).astype(np.uint16), above, kinds.real.copy(), kinds.imag.copy())
+
+
+GRAMS = (np.int64, np.uint32, np.uint8, np.int64, np.int64)
+CONTEXTS = (np.int64, np.uint32, np.uint16, np.uint8, np.float64, np.float64)
 
 
-def gram_key(words: np.ndarray) -> np.ndarray:
-    return mix(fold(words) + _U(0x5851F42D4C957F2D)) >> _U(24)
+def gram_key(code: np.ndarray) -> np.ndarray:
+    return mix(code + _U(0x5851F42D4C957F2D)) >> _U(24)
+
+
+def find(offsets: np.ndarray, low: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each of the sorted keys in an array file, -1 where it is absent."""
+    out = np.full(len(wanted), -1, np.int64)
+    cuts = np.searchsorted(wanted >> _U(32), np.arange(BUCKETS + 1))
+    rest = (wanted & _U(0xFFFFFFFF)).astype(np.uint32)
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        here, asked = low[offsets[b] : offsets[b + 1]], rest[cuts[b] : cuts[b + 1]]
+        if len(here):
+            at = np.minimum(np.searchsorted(here, asked), len(here) - 1)
+            out[cuts[b] : cuts[b + 1]] = np.where(here[at] == asked, offsets[b] + at, -1)
+    return out
 
 
 @dataclass
@@ -199,86 +262,98 @@ def _merge_level(blobs: DataFrame, model: Model, level: int) -> DataFrame:
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
-        rows = [unpack_rows(b) for b in pdf["blob"]]
-        words, seen, raw = add_up(*[np.concatenate(c) for c in zip(*rows)])
-        del rows
+        known, code, seen, raw = merged_rows(pdf["blob"])
         of = [int((seen == i).sum()) for i in (1, 2, 3, 4)]
-        out = [("stat", 0, None, *of, len(words), int(seen.sum()), int(raw.sum()))]
+        out = [("stat", 0, None, *of, len(code), int(seen.sum()), int(raw.sum()))]
         if level == 1:
-            order = np.argsort(words[:, 0])
-            write_shared(model.path("w", shard), _array_file(words[order, 0], seen[order].astype(np.int64), raw[order].astype(np.int64)))
+            write_shared(model.path("w", shard), _array_file(known[code[:, 0]], seen.astype(np.int64), raw.astype(np.int64)))
         else:
-            write_shared(model.path(f"g{level}", shard), gram_file(words, seen))
+            write_shared(model.path(f"g{level}", shard), gram_file(fold(known[code]), seen))
             # contexts: rows are sorted, so those of a context stand together
-            first = np.flatnonzero(np.concatenate([[True], (words[1:, :-1] != words[:-1, :-1]).any(axis=1)]))
+            first = np.flatnonzero(np.concatenate([[True], (code[1:, :-1] != code[:-1, :-1]).any(axis=1)]))
             sums = [np.add.reduceat(x, first) for x in (seen, (seen == 1).astype(np.int64), (seen == 2).astype(np.int64), (seen > 2).astype(np.int64))]
-            context = fold(words[first, :-1])
-            out += [("context", s, b, *[0] * 7) for s, b in _by_shard(*_sorted(context[:, None], sums), model.shards, np.zeros(0, np.uint64))]
+            context = code[first, :-1]
+            out += [("context", s, b, *[0] * 7) for s, b in _by_shard(known, context, sums, context_shard(fold(known[context]), model.shards))]
             # a lower-order n-gram counts its different words to the left; at a text's start, itself
-            once = np.where(words[:, 1] == START, seen, 1)
-            lower = add_up(words[:, 1:], once, raw)
-            out += [("gram", s, b, *[0] * 7) for s, b in _by_shard(lower[0], lower[1:], model.shards, model.hot)]
+            once = np.where(known[code[:, 1]] == START, seen, 1)
+            lower, *sums = add_up(known, code[:, 1:], once, raw)
+            out += [("gram", s, b, *[0] * 7) for s, b in _by_shard(known, lower, sums, shard_of(known[lower], model.shards, model.hot))]
         return pd.DataFrame(out, columns=[c.split()[0] for c in _LEVEL.split(", ")])
 
     return blobs.groupBy("shard").applyInPandas(work, _LEVEL)
 
 
-def _sorted(words: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    order = np.argsort(words[:, 0])
-    return words[order], tuple(c[order] for c in counts)
-
-
 def _write_contexts(blobs: DataFrame, model: Model, level: int, d: tuple[float, float, float]) -> int:
     """Write (context, total, weight of the lower order) arrays; return the number of contexts."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [unpack_rows(b) for b in pdf["blob"]]
-        words, total, *ones = add_up(*[np.concatenate(c) for c in zip(*rows)])
+        known, code, total, *ones = merged_rows(pdf["blob"])
         rest = sum(x * y for x, y in zip(ones, d)) / total
-        shard = int(pdf["shard"].iloc[0])
-        write_shared(model.path(f"c{level}", shard), _array_file(words[:, 0], total, rest.astype(np.float32)))
-        return pd.DataFrame({"contexts": [len(words)]})
+        write_shared(model.path(f"c{level}", int(pdf["shard"].iloc[0])), context_file(fold(known[code]), total, rest))
+        return pd.DataFrame({"contexts": [len(code)]})
 
     return blobs.groupBy("shard").applyInPandas(work, "contexts long").agg(F.sum("contexts")).first()[0] or 0
 
 
-def frequent_words(docs: DataFrame, rows: int, shards: int, look_at: int = 2000) -> np.ndarray:
-    """Words that make up more than half a shard, estimated on about ``look_at`` texts drawn by
-    hash. They decide only where n-grams are stored, never what is counted; there are at most
-    2 * shards."""
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("hot"), "text"), 11).cast("double") / float(1 << 53)
-    drawn = docs.where(draw < look_at / max(1, rows)).distinct()
-    word = F.explode(F.regexp_extract_all("text", F.lit(f"({WORD})"))).alias("word")
-    counts = drawn.select(word).groupBy(F.translate("word", UPPER, UPPER.lower()).alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") > max(50, total / (2 * shards))).select("word").collect()
-    if not rows:
+def frequent_words(docs: DataFrame, shards: int) -> np.ndarray:
+    """START and all words that make up more than half a shard's share of the tokens, none below a quarter.
+
+    Counted on all rows: of every lot of tokens, a task names those words that make up a quarter of a
+    shard's share there. What it leaves out of a word is less than that share in all. They decide only
+    where n-grams are stored, never what is counted; there are at most 4 * shards.
+    """
+    if shards == 1:
         return np.zeros(0, np.uint64)
-    hashes, _ = word_hashes(*utf8(pa.array([r["word"] for r in rows])))
-    return np.unique(np.maximum(hashes >> _U(16), _U(3)))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = [], 0
+
+        def send():
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            many = n * 4 * shards >= number
+            words, n = np.append(words[many], _U(0)), np.append(n[many], number)
+            return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+        for whole in batches:
+            for batch in chunks(whole):
+                hashes, _ = word_hashes(*utf8(batch.column("text")))
+                held.append(np.maximum(hashes >> _U(16), _U(3)))
+                number += len(hashes)
+                if number >= FLUSH:
+                    yield send()
+                    held, number = [], 0
+        if number:
+            yield send()
 
-def train(docs: DataFrame, order: int = 2) -> Model:
+    counts = stored(docs.mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    total = counts.where("word = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = counts.where((F.col("word") > 0) & (F.col("n") * F.lit(4 * shards) > total)).select("word").collect()
+    return np.unique(np.array([int(START), *[r["word"] for r in rows]], np.uint64))
+
+
+def train(docs: DataFrame, order: int = 3) -> Model:
     """Count the model on all rows of ``docs`` (text); a null text counts as empty. Repeated rows
     count each. An empty table gives a model that knows nothing: every token is unknown."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    size, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    model = Model(shared_path(spark, "lm"), order, shards, frequent_words(texts, rows, shards))
+    model = Model(shared_path(spark, "lm"), order, shards, frequent_words(texts, shards))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number = [], 0
 
         def send():
-            words, seen = add_up(np.concatenate(held), np.ones(number, np.int64))
-            for s, blob in _by_shard(words, (seen, seen), model.shards, model.hot):
+            known, line = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            starts = np.cumsum([0, *[len(h) for h, _ in held]])
+            code, seen = add_up(known, grams(line, np.concatenate([r + a for a, (_, r) in zip(starts, held)]), order), np.ones(number, np.int64))
+            for s, blob in _by_shard(known, code, (seen, seen), shard_of(known[code], model.shards, model.hot)):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
 
         for whole in batches:
             for batch in chunks(whole):
                 line, real, _ = tokens(batch, order)
-                held.append(grams(line, real, order))
+                held.append((line, real))
                 number += len(real)
                 if number >= FLUSH:
                     yield from send()
@@ -311,64 +386,58 @@ class Reader:
     def _open(self, kind: str, shard: int, kinds: tuple) -> list[np.ndarray] | None:
         path = self.model.path(kind, shard)
         if path not in self.files:
+            if len(self.files) >= MAPS:  # the oldest map is closed
+                del self.files[next(iter(self.files))]
             data = map_shared(path)
             self.files[path] = None if data is None else _arrays(data, kinds)
         return self.files[path]
 
-    def _each(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _each(self, kind: str, kinds: tuple, shard: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """Arrays of each shard that is there, and the rows that ask for it."""
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            yield int(shard[order[a]]), order[a:b]
-
-    def table(self, kind: str, keys: np.ndarray, shard: np.ndarray, kinds: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """Two values of each key, 0 where it is absent; ``keys`` are sorted."""
-        out = np.zeros(len(keys)), np.zeros(len(keys))
-        for s, rows in self._each(shard):
-            if (file := self._open(kind, s, kinds)) is None:
-                continue
-            at = np.searchsorted(file[0], keys[rows])
-            at[at == len(file[0])] = 0
-            hit = file[0][at] == keys[rows]
-            for o, values in zip(out, file[1:]):
-                o[rows[hit]] = values[at[hit]]
-        return out
+            if (file := self._open(kind, int(shard[order[a]]), kinds)) is not None:
+                yield file, order[a:b]
+
+    def words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lowest-order and raw counts of sorted words, 0 where they are absent."""
+        seen, raw = np.zeros(len(words)), np.zeros(len(words))
+        for (known, n, m), rows in self._each("w", (np.uint64, np.int64, np.int64), context_shard(words, self.model.shards)):
+            at = np.minimum(np.searchsorted(known, words[rows]), len(known) - 1)
+            hit = known[at] == words[rows]
+            seen[rows[hit]], raw[rows[hit]] = n[at[hit]], m[at[hit]]
+        return seen, raw
+
+    def contexts(self, level: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Total and weight of the lower order of contexts, 0 where they are absent."""
+        total, rest = np.zeros(len(code)), np.zeros(len(code))
+        key = gram_key(code)
+        for (offsets, low, which, above, totals, rests), rows in self._each(f"c{level}", CONTEXTS, context_shard(code, self.model.shards)):
+            rows = rows[np.argsort(key[rows])]
+            at = find(offsets, low, key[rows])
+            rows, at = rows[at >= 0], at[at >= 0]
+            kind = which[at].astype(np.int64) + ((above[at].astype(np.int64) << 16) if len(above) else 0)
+            total[rows], rest[rows] = totals[kind], rests[kind]
+        return total, rest
 
     def gram_counts(self, level: int, words: np.ndarray) -> np.ndarray:
         out = np.zeros(len(words), np.int64)
-        key = gram_key(words)
-        for s, rows in self._each(shard_of(words, self.model.shards, self.model.hot)):
-            file = self._open(f"g{level}", s, (np.int64, np.uint32, np.uint8, np.int64, np.int64))
-            if file is None:
-                continue
-            offsets, low, small, large, counts = file
+        key = gram_key(fold(words))
+        for (offsets, low, small, large, counts), rows in self._each(f"g{level}", GRAMS, shard_of(words, self.model.shards, self.model.hot)):
             rows = rows[np.argsort(key[rows])]
-            wanted = key[rows]
-            cuts = np.searchsorted(wanted >> _U(32), np.arange(BUCKETS + 1))
-            rest = (wanted & _U(0xFFFFFFFF)).astype(np.uint32)
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                here = low[offsets[b] : offsets[b + 1]]
-                if not len(here):
-                    continue
-                at = np.searchsorted(here, rest[cuts[b] : cuts[b + 1]])
-                at[at == len(here)] = 0
-                hit = here[at] == rest[cuts[b] : cuts[b + 1]]
-                out[rows[cuts[b] : cuts[b + 1]][hit]] = small[offsets[b] + at[hit]]
-            full = np.flatnonzero(out[rows] == 255)
-            if len(full):
-                place = offsets[:-1][(wanted[full] >> _U(32)).astype(np.int64)]
-                for i, p in zip(full, place):
-                    b = int(wanted[i] >> _U(32))
-                    exact = p + np.searchsorted(low[p : offsets[b + 1]], rest[i])
-                    out[rows[i]] = counts[np.searchsorted(large, exact)]
+            at = find(offsets, low, key[rows])
+            rows, at = rows[at >= 0], at[at >= 0]
+            out[rows] = small[at]
+            full = small[at] == 255
+            out[rows[full]] = counts[np.searchsorted(large, at[full])]
         return out
 
     def probabilities(self, line: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of every real token and its count in the training texts."""
         m = self.model
         vocabulary, which = np.unique(line[real], return_inverse=True)
-        hashed = (fold(vocabulary[:, None]) % _U(m.shards)).astype(np.int64)
-        seen, raw = self.table("w", vocabulary, hashed, (np.uint64, np.int64, np.int64))
+        seen, raw = self.words(vocabulary)
         d = m.discounts[1]
         base = np.maximum(seen - discount(seen.astype(np.int64), d), 0) / max(1, m.unigram_total) + m.unigram_rest / (m.types + 1)
         p = base[which]
@@ -379,8 +448,7 @@ class Reader:
             distinct = rows[first]
             counts = self.gram_counts(level, distinct)
             context, back = np.unique(fold(distinct[:, :-1]), return_inverse=True)
-            place = (fold(context[:, None]) % _U(m.shards)).astype(np.int64)
-            total, rest = self.table(f"c{level}", context, place, (np.uint64, np.int64, np.float32))
+            total, rest = self.contexts(level, context)
             total, rest = total[back], rest[back]
             high = np.where(total > 0, np.maximum(counts - discount(counts, m.discounts[level]), 0) / np.maximum(total, 1), 0.0)
             p = high[inverse] + np.where(total > 0, rest, 1.0)[inverse] * p

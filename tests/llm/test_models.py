@@ -73,18 +73,19 @@ def test_language_model_equals_its_definition(spark, documents, order):
         assert r["train_tokens"] == sum(want.raw.values())
 
 
-def test_frequent_contexts_are_spread(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_frequent_contexts_are_spread(spark, order):
     rng = random.Random(3)
     texts = [" ".join(x for _ in range(3000) for x in ("hot", f"w{rng.randrange(20_000)}")) for _ in range(8)]
     old, lm.SHARD_BYTES = lm.SHARD_BYTES, 20_000
     try:
         df = spark.createDataFrame(list(enumerate(texts * 40)), DOCS)
-        model = lm.train(df)
+        model = lm.train(df, order)
         assert len(model.hot) and model.shards > 10
         got = lm.score(spark.createDataFrame([(1, texts[0])], DOCS), model).first()["score"]
     finally:
         lm.SHARD_BYTES = old
-    assert got == pytest.approx(brute.KneserNey(texts * 40, 2).score(texts[0]), rel=1e-6)
+    assert got == pytest.approx(brute.KneserNey(texts * 40, order).score(texts[0]), rel=1e-6)
 
 
 def test_empty_language_model(spark):
@@ -270,6 +271,33 @@ def test_expectation_maximisation_finds_the_accuracies():
     assert abs(model.prior - 0.7) < 0.02 and np.abs(model.right - right).max() < 0.03
 
 
+def test_many_first_words_are_spread_and_maps_are_closed(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 2_000)
+    monkeypatch.setattr(lm, "MAPS", 3)
+    texts = [f"f{i} b c d{i % 7}" for i in range(3000)]
+    model = lm.train(spark.createDataFrame(list(enumerate(texts)), DOCS), 3)
+    assert int(lm.START) in model.hot.tolist() and model.shards > 10
+    first = np.array([[1, 1, 1000 + i] for i in range(2000)], np.uint64)
+    assert len(set(lm.shard_of(first, model.shards, model.hot).tolist())) == model.shards
+    ask = ["f1 b c d1", "f2 c", "", "unknown b c"]
+    got = lm.score(spark.createDataFrame(list(enumerate(ask)), DOCS), model).orderBy("doc_id").toPandas()["score"].tolist()
+    known = brute.KneserNey(texts, 3)
+    assert got == pytest.approx([known.score(t) for t in ask], rel=1e-6)
+
+
+def test_rows_of_words_survive_packing():
+    rng = np.random.default_rng(0)
+    known = np.unique(rng.integers(3, 1 << 48, 5000).astype(np.uint64))
+    code = rng.integers(0, len(known), (4000, 3))
+    rows, counts = lm.add_up(known, code, rng.integers(1, 1 << 40, 4000))
+    for part in (slice(0, 4000), slice(5, 9)):  # most words, and few of them
+        used, small, back = lm.unpack_rows(lm.pack_rows(known, rows[part], counts[part]))
+        assert (used[small] == known[rows[part]]).all() and (back == counts[part]).all()
+    wide = np.arange(1 << 22, dtype=np.uint64)  # too many words for one 64-bit key
+    doubled = lm.add_up(wide, np.concatenate([code + (1 << 21), code + (1 << 21)]), np.ones(8000, np.int64))
+    assert (doubled[0] == np.unique(code, axis=0) + (1 << 21)).all() and doubled[1].sum() == 8000
+
+
 def test_top_k_searches_only_cells_within_reach(spark):
     rng = np.random.default_rng(4)
     middles = rng.normal(size=(40, 16)) * 400
