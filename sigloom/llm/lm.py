@@ -5,8 +5,9 @@ compressed, to shards; a shard adds them up, writes its n-grams as a sorted hash
 into the shared folder, and passes on what the next lower order and the contexts need. Workers
 map these files and look n-grams up by binary search; the driver keeps only a few totals.
 
-A shard holds the n-grams of the contexts in its hash range. The n-grams of very frequent contexts
-are spread over all shards by their own hash, so a frequent word does not make one shard large.
+A shard holds the n-grams of the contexts in its hash range, and what each of these contexts sums up to.
+The n-grams of contexts that consist of very frequent words only are spread over all shards by their own
+hash, so a frequent word does not make one shard large; only the sums of these few contexts travel.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from sigloom.llm.text import chunks, mix, seeds, utf8, word_hashes
 _U = np.uint64
 START, END = _U(1), _U(2)
 #: Bytes of text for each shard, and tokens that a task counts before it sends them on.
-SHARD_BYTES, FLUSH = 16 << 20, 1_200_000
+SHARD_BYTES, FLUSH = 8 << 20, 1_200_000
 BUCKETS = 256
 #: Array files that a worker keeps mapped; a process may have some 65,000 maps.
 MAPS = 16_384
@@ -64,17 +65,22 @@ def fold(words: np.ndarray) -> np.ndarray:
 
 
 def shard_of(words: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
-    """Shard of each n-gram: by its context, or by itself if the context is frequent."""
-    context = fold(words[:, :-1]) if words.shape[1] > 1 else fold(words)
-    place = context.copy()
-    if len(hot) and words.shape[1] > 1:
-        spread = np.isin(words[:, -2], hot)
-        place[spread] = fold(words[spread])
-    return (place % _U(shards)).astype(np.int64)
+    """Shard of each n-gram: by its context, or by itself if the context may be frequent."""
+    if words.shape[1] == 1:
+        return code_shard(fold(words), shards)
+    place = fold(words[:, :-1])
+    spread = frequent(words[:, :-1], hot)
+    place[spread] = fold(words[spread])
+    return code_shard(place, shards)
 
 
-def context_shard(context: np.ndarray, shards: int) -> np.ndarray:
-    return (fold(context[:, None]) % _U(shards)).astype(np.int64)
+def frequent(contexts: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Contexts of frequent words only: no other can be frequent."""
+    return np.isin(contexts, hot).all(axis=1)
+
+
+def code_shard(code: np.ndarray, shards: int) -> np.ndarray:
+    return (code % _U(shards)).astype(np.int64)
 
 
 def add_up(known: np.ndarray, code: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -95,16 +101,6 @@ def add_up(known: np.ndarray, code: np.ndarray, *counts: np.ndarray) -> tuple[np
     return code[order[first]], *[np.add.reduceat(c[order].astype(np.int64), first) for c in counts]
 
 
-def _pack48(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack48(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def _planes(values: np.ndarray, size: int) -> bytes:
     """Lowest bytes of all values first, then the next ones: planes of zeros cost nothing when compressed."""
     return np.ascontiguousarray(values.astype(f"<u{size}")).view(np.uint8).reshape(-1, size).T.tobytes()
@@ -123,7 +119,7 @@ def pack_rows(known: np.ndarray, code: np.ndarray, *counts: np.ndarray) -> bytes
         there = np.bincount(code.ravel(), minlength=len(known)) > 0
         used, small = np.flatnonzero(there), (np.cumsum(there) - 1)[code]
     columns = [np.diff(small[:, 0], prepend=0), *small.T[1:]]
-    parts = [_pack48(known[used]), *[_planes(c, 4) for c in columns], *[_planes(c, 8) for c in counts]]
+    parts = [_planes(np.diff(known[used], prepend=_U(0)), 8), *[_planes(c, 4) for c in columns], *[_planes(c, 8) for c in counts]]
     head = np.array([len(code), code.shape[1], len(counts), *[len(p) for p in parts]], np.int64)
     return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(parts))
 
@@ -137,16 +133,17 @@ def unpack_rows(blob: bytes) -> tuple[np.ndarray, ...]:
     for size in sizes:
         parts.append(raw[at : at + size])
         at += size
-    code = np.stack([_from_planes(p, rows, 4) for p in parts[1 : 1 + width]], axis=1)
-    code[:, 0] = np.cumsum(code[:, 0])
-    return _unpack48(parts[0]), code, *[_from_planes(p, rows, 8) for p in parts[1 + width :]]
+    code = np.stack([_from_planes(p, rows, 4).astype(np.uint32) for p in parts[1 : 1 + width]], axis=1)
+    code[:, 0] = np.cumsum(code[:, 0], dtype=np.uint32)
+    known = np.cumsum(_from_planes(parts[0], len(parts[0]) // 8, 8)).astype(np.uint64)
+    return known, code, *[_from_planes(p, rows, 8) for p in parts[1 + width :]]
 
 
 def merged_rows(blobs) -> tuple[np.ndarray, ...]:
     """Words of all blobs, and their distinct rows with the sums of their counts."""
     parts = [unpack_rows(b) for b in blobs]
     known = np.unique(np.concatenate([p[0] for p in parts]))
-    code = np.concatenate([np.searchsorted(known, words)[rows] for words, rows, *_ in parts])
+    code = np.concatenate([np.searchsorted(known, words).astype(np.uint32)[rows] for words, rows, *_ in parts])
     counts = [np.concatenate(c) for c in zip(*[p[2:] for p in parts])]
     del parts
     return known, *add_up(known, code, *counts)
@@ -154,7 +151,7 @@ def merged_rows(blobs) -> tuple[np.ndarray, ...]:
 
 def _by_shard(known: np.ndarray, code: np.ndarray, counts: tuple[np.ndarray, ...], shard: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(shard, kind="stable")
-    cuts = [*np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist(), len(order)]
+    cuts = [*np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist(), len(order)] if len(order) else []
     for a, b in zip(cuts, cuts[1:]):
         rows = order[a:b]
         yield int(shard[rows[0]]), pack_rows(known, code[rows], *[c[rows] for c in counts])
@@ -191,17 +188,37 @@ def gram_file(code: np.ndarray, counts: np.ndarray) -> bytes:
     return _array_file(offsets, low, np.minimum(counts, 255).astype(np.uint8), large, counts[large].astype(np.int64))
 
 
-def context_file(code: np.ndarray, total: np.ndarray, rest: np.ndarray) -> bytes:
-    """Sorted keys of contexts; each names its (total, weight of the lower order), of which there are few."""
+def _kinds(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The few different rows of some columns of counts, and which of them each row is, in 16 bits and 8 more."""
+    which = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        values, code = np.unique(c, return_inverse=True)
+        which = np.unique(which * len(values) + code, return_inverse=True)[1]
+    first = np.zeros(which.max(initial=-1) + 1, np.int64)
+    first[which] = np.arange(len(which))
+    above = (which >> 16).astype(np.uint8) if len(first) > 1 << 16 else np.zeros(0, np.uint8)
+    return (which & 0xFFFF).astype(np.uint16), above, [c[first].astype(np.int64) for c in columns]
+
+
+def _kind(at: np.ndarray, which: np.ndarray, above: np.ndarray) -> np.ndarray:
+    return which[at].astype(np.int64) + ((above[at].astype(np.int64) << 16) if len(above) else 0)
+
+
+def context_file(code: np.ndarray, sums: list[np.ndarray]) -> bytes:
+    """Sorted keys of contexts; each names its sums: the total, and the n-grams that count 1, 2, and more."""
     order, offsets, low = _keyed(code)
-    kinds, which = np.unique(total + 1j * rest.astype(np.float32), return_inverse=True)
-    which = which[order]
-    above = (which >> 16).astype(np.uint8) if len(kinds) > 1 << 16 else np.zeros(0, np.uint8)
-    return _array_file(offsets, low, (which & 0xFFFF).astype(np.uint16), above, kinds.real.copy(), kinds.imag.copy())
+    which, above, kinds = _kinds(*[x[order] for x in sums])
+    return _array_file(offsets, low, which, above, *kinds)
 
 
 GRAMS = (np.int64, np.uint32, np.uint8, np.int64, np.int64)
-CONTEXTS = (np.int64, np.uint32, np.uint16, np.uint8, np.float64, np.float64)
+CONTEXTS = (np.int64, np.uint32, np.uint16, np.uint8, np.int64, np.int64, np.int64, np.int64)
+WORDS = (np.uint64, np.uint16, np.uint8, np.int64, np.int64)
+
+
+def _word_file(words: np.ndarray, seen: np.ndarray, raw: np.ndarray) -> bytes:
+    which, above, kinds = _kinds(seen, raw)
+    return _array_file(words, which, above, *kinds)
 
 
 def gram_key(code: np.ndarray) -> np.ndarray:
@@ -266,14 +283,18 @@ def _merge_level(blobs: DataFrame, model: Model, level: int) -> DataFrame:
         of = [int((seen == i).sum()) for i in (1, 2, 3, 4)]
         out = [("stat", 0, None, *of, len(code), int(seen.sum()), int(raw.sum()))]
         if level == 1:
-            write_shared(model.path("w", shard), _array_file(known[code[:, 0]], seen.astype(np.int64), raw.astype(np.int64)))
+            write_shared(model.path("w", shard), _word_file(known[code[:, 0]], seen, raw))
         else:
             write_shared(model.path(f"g{level}", shard), gram_file(fold(known[code]), seen))
             # contexts: rows are sorted, so those of a context stand together
             first = np.flatnonzero(np.concatenate([[True], (code[1:, :-1] != code[:-1, :-1]).any(axis=1)]))
             sums = [np.add.reduceat(x, first) for x in (seen, (seen == 1).astype(np.int64), (seen == 2).astype(np.int64), (seen > 2).astype(np.int64))]
             context = code[first, :-1]
-            out += [("context", s, b, *[0] * 7) for s, b in _by_shard(known, context, sums, context_shard(fold(known[context]), model.shards))]
+            place = fold(known[context])
+            apart = frequent(known[context], model.hot)
+            write_shared(model.path(f"c{level}", shard), context_file(place[~apart], [x[~apart] for x in sums]))
+            far = _by_shard(known, context[apart], [x[apart] for x in sums], code_shard(place[apart], model.shards))
+            out += [("context", s, b, *[0] * 7) for s, b in far]
             # a lower-order n-gram counts its different words to the left; at a text's start, itself
             once = np.where(known[code[:, 1]] == START, seen, 1)
             lower, *sums = add_up(known, code[:, 1:], once, raw)
@@ -283,13 +304,12 @@ def _merge_level(blobs: DataFrame, model: Model, level: int) -> DataFrame:
     return blobs.groupBy("shard").applyInPandas(work, _LEVEL)
 
 
-def _write_contexts(blobs: DataFrame, model: Model, level: int, d: tuple[float, float, float]) -> int:
-    """Write (context, total, weight of the lower order) arrays; return the number of contexts."""
+def _write_contexts(blobs: DataFrame, model: Model, level: int) -> int:
+    """Write the sums of the contexts whose n-grams are spread; return the number of contexts."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        known, code, total, *ones = merged_rows(pdf["blob"])
-        rest = sum(x * y for x, y in zip(ones, d)) / total
-        write_shared(model.path(f"c{level}", int(pdf["shard"].iloc[0])), context_file(fold(known[code]), total, rest))
+        known, code, *sums = merged_rows(pdf["blob"])
+        write_shared(model.path(f"h{level}", int(pdf["shard"].iloc[0])), context_file(fold(known[code]), sums))
         return pd.DataFrame({"contexts": [len(code)]})
 
     return blobs.groupBy("shard").applyInPandas(work, "contexts long").agg(F.sum("contexts")).first()[0] or 0
@@ -345,6 +365,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
 
         def send():
             known, line = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            line = line.astype(np.uint32)
             starts = np.cumsum([0, *[len(h) for h, _ in held]])
             code, seen = add_up(known, grams(line, np.concatenate([r + a for a, (_, r) in zip(starts, held)]), order), np.ones(number, np.int64))
             for s, blob in _by_shard(known, code, (seen, seen), shard_of(known[code], model.shards, model.hot)):
@@ -367,7 +388,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
         s = merged.where("kind = 'stat'").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "types", "total", "tokens")]).first()
         d = model.discounts[level] = discounts(s["n1"], s["n2"], s["n3"], s["n4"])
         if level > 1:
-            _write_contexts(merged.where("kind = 'context'").select("shard", "blob"), model, level, d)
+            _write_contexts(merged.where("kind = 'context'").select("shard", "blob"), model, level)
             blobs = merged.where("kind = 'gram'").select("shard", "blob")
         elif s["total"]:
             more = s["types"] - s["n1"] - s["n2"]
@@ -395,7 +416,7 @@ class Reader:
     def _each(self, kind: str, kinds: tuple, shard: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         """Arrays of each shard that is there, and the rows that ask for it."""
         order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
             if (file := self._open(kind, int(shard[order[a]]), kinds)) is not None:
                 yield file, order[a:b]
@@ -403,22 +424,27 @@ class Reader:
     def words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lowest-order and raw counts of sorted words, 0 where they are absent."""
         seen, raw = np.zeros(len(words)), np.zeros(len(words))
-        for (known, n, m), rows in self._each("w", (np.uint64, np.int64, np.int64), context_shard(words, self.model.shards)):
+        for (known, which, above, n, m), rows in self._each("w", WORDS, code_shard(fold(words[:, None]), self.model.shards)):
             at = np.minimum(np.searchsorted(known, words[rows]), len(known) - 1)
             hit = known[at] == words[rows]
-            seen[rows[hit]], raw[rows[hit]] = n[at[hit]], m[at[hit]]
+            kind = _kind(at[hit], which, above)
+            seen[rows[hit]], raw[rows[hit]] = n[kind], m[kind]
         return seen, raw
 
-    def contexts(self, level: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Total and weight of the lower order of contexts, 0 where they are absent."""
+    def contexts(self, level: int, words: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Total and weight of the lower order of contexts (with their codes), 0 where they are absent."""
         total, rest = np.zeros(len(code)), np.zeros(len(code))
-        key = gram_key(code)
-        for (offsets, low, which, above, totals, rests), rows in self._each(f"c{level}", CONTEXTS, context_shard(code, self.model.shards)):
-            rows = rows[np.argsort(key[rows])]
-            at = find(offsets, low, key[rows])
-            rows, at = rows[at >= 0], at[at >= 0]
-            kind = which[at].astype(np.int64) + ((above[at].astype(np.int64) << 16) if len(above) else 0)
-            total[rows], rest[rows] = totals[kind], rests[kind]
+        key, shard, apart = gram_key(code), code_shard(code, self.model.shards), frequent(words, self.model.hot)
+        d = self.model.discounts[level]
+        for name, some in ((f"c{level}", np.flatnonzero(~apart)), (f"h{level}", np.flatnonzero(apart))):
+            for (offsets, low, which, above, totals, *ones), rows in self._each(name, CONTEXTS, shard[some]):
+                rows = some[rows]
+                rows = rows[np.argsort(key[rows])]
+                at = find(offsets, low, key[rows])
+                rows, at = rows[at >= 0], at[at >= 0]
+                kind = _kind(at, which, above)
+                total[rows] = totals[kind]
+                rest[rows] = sum(n[kind] * x for n, x in zip(ones, d)) / totals[kind]
         return total, rest
 
     def gram_counts(self, level: int, words: np.ndarray) -> np.ndarray:
@@ -447,8 +473,8 @@ class Reader:
             _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
             distinct = rows[first]
             counts = self.gram_counts(level, distinct)
-            context, back = np.unique(fold(distinct[:, :-1]), return_inverse=True)
-            total, rest = self.contexts(level, context)
+            context, first, back = np.unique(fold(distinct[:, :-1]), return_index=True, return_inverse=True)
+            total, rest = self.contexts(level, distinct[first, :-1], context)
             total, rest = total[back], rest[back]
             high = np.where(total > 0, np.maximum(counts - discount(counts, m.discounts[level]), 0) / np.maximum(total, 1), 0.0)
             p = high[inverse] + np.where(total > 0, rest, 1.0)[inverse] * p
