@@ -76,7 +76,12 @@ def shard_of(words: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
 
 def frequent(contexts: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Contexts of frequent words only: no other can be frequent."""
-    return np.isin(contexts, hot).all(axis=1)
+    out = np.full(len(contexts), len(hot) > 0)
+    for i in range(contexts.shape[1] if len(hot) else 0):
+        rows = np.flatnonzero(out)
+        words = contexts[rows, i]
+        out[rows] = hot[np.minimum(np.searchsorted(hot, words), len(hot) - 1)] == words
+    return out
 
 
 def code_shard(code: np.ndarray, shards: int) -> np.ndarray:
@@ -226,16 +231,22 @@ def gram_key(code: np.ndarray) -> np.ndarray:
 
 
 def find(offsets: np.ndarray, low: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each of the sorted keys in an array file, -1 where it is absent."""
-    out = np.full(len(wanted), -1, np.int64)
-    cuts = np.searchsorted(wanted >> _U(32), np.arange(BUCKETS + 1))
+    """Place of each of the sorted keys in an array file, -1 where it is absent: all keys halve the
+    range of their bucket together."""
+    bucket = (wanted >> _U(32)).astype(np.int64)
     rest = (wanted & _U(0xFFFFFFFF)).astype(np.uint32)
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        here, asked = low[offsets[b] : offsets[b + 1]], rest[cuts[b] : cuts[b + 1]]
-        if len(here):
-            at = np.minimum(np.searchsorted(here, asked), len(here) - 1)
-            out[cuts[b] : cuts[b + 1]] = np.where(here[at] == asked, offsets[b] + at, -1)
-    return out
+    if not len(low) or not len(wanted):
+        return np.full(len(wanted), -1, np.int64)
+    start, left = offsets[bucket], np.diff(offsets)[bucket]
+    end = start + left
+    for _ in range(int(left.max()).bit_length()):
+        half = left >> 1
+        below = low[np.minimum(start + half, len(low) - 1)] < rest
+        below &= left > 0
+        start = np.where(below, start + half + 1, start)
+        left = np.where(below, left - half - 1, half)
+    there = np.minimum(start, len(low) - 1)
+    return np.where((start < end) & (low[there] == rest), start, -1)
 
 
 @dataclass
