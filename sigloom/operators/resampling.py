@@ -23,6 +23,8 @@ from sigloom.session import cut_lineage, parallelism
 
 STATES = [f"s{k}" for k in range(8)]
 REPLICATES_PER_ROW = 250
+#: Draws that one task makes and looks up in the md5 bootstraps.
+DRAWS_PER_TASK = 2_000_000
 
 
 def state_delta(prefix: str = "s") -> Column:
@@ -140,16 +142,20 @@ def hashed_group_replicates(
 
     Draw j of replicate r takes group number hash(seed|key|r|j) mod G. It makes n x G rows,
     built from the group table where it lies; use ``group_replicates`` for large tables.
+    Groups are dealt out by number, as many tasks as ``DRAWS_PER_TASK`` asks for; a task makes
+    the draws of its groups, and each draw is sent once, to the task that holds the group it took.
     """
     by = list(by)
     per_group = cut_lineage(global_rank(joint_states(pair, [*by, group], target, a, b), by, [group], "_rank"))
     sizes = per_group.groupBy(*by).agg(F.count(F.lit(1)).alias("_g"))
+    parts = max(parallelism(pair.sparkSession), -(-per_group.count() * n // DRAWS_PER_TASK))
     numbered = attach(per_group.withColumn("_i", F.col("_rank") - 1), sizes, by)
-    draws = numbered.select(*by, "_g", F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
+    dealt = numbered.select(*by, "_g", "_i", *STATES).repartition(parts, *by, "_i")
+    draws = dealt.select(*by, "_g", F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
     picks = draws.select(*by, "replicate", F.pmod(hash32(seed, *by, "replicate", "_j"), F.col("_g")).alias("_i"))
-    weights = picks.groupBy(*by, "replicate", "_i").agg(F.count(F.lit(1)).alias("_w"))
-    joined = weights.join(numbered.select(*by, "_i", *STATES), [*by, "_i"])
-    summed = joined.groupBy(*by, "replicate").agg(*[F.sum(F.col("_w") * F.col(s)).alias(s) for s in STATES])
+    # The hint keeps the group table from being sent whole, through the driver, to every task.
+    joined = picks.repartition(parts, *by, "_i").join(dealt.drop("_g").hint("shuffle_hash"), [*by, "_i"])
+    summed = joined.groupBy(*by, "replicate").agg(*[F.sum(s).alias(s) for s in STATES])
     return summed.select(*by, "replicate", state_delta().alias("delta"))
 
 

@@ -535,3 +535,26 @@ def test_mcnemar_is_exact_for_many_pairs(spark):
     got = {r["k"]: r["p_value"] for r in metrics.mcnemar(one("b", 0, 1).union(one("c", 1, 0)), ["k"], "target", "a", "b").collect()}
     for k, (b, c) in enumerate(cases[1:], 1):
         assert got[k] == pytest.approx(exact(b + c, min(b, c)), rel=1e-8), (b, c)
+
+
+def test_md5_draws_are_looked_up_where_the_groups_lie(spark):
+    """The group table is neither sent whole to every task nor gathered in one, and the draws are those of the rule."""
+    import hashlib
+
+    n, count = 5, 4000
+    df = spark.range(count).selectExpr("id AS g", "cast(id % 2 AS int) AS y", "cast(id % 3 = 0 AS int) AS a", "cast(id % 5 = 0 AS int) AS b")
+    got = rs.hashed_group_replicates(df.coalesce(1), [], "g", "y", "a", "b", n)
+    deltas = [r["delta"] for r in got.orderBy("replicate").collect()]
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+
+    def mcc(rows, k):
+        tp, tn = sum(r[0] == r[k] == 1 for r in rows), sum(r[0] == r[k] == 0 for r in rows)
+        fp, fn = sum(r[0] < r[k] for r in rows), sum(r[0] > r[k] for r in rows)
+        return (tp * tn - fp * fn) / math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+
+    for r in range(n):
+        took = [int(hashlib.md5(f"42|{r}|{j}".encode()).hexdigest()[:8], 16) % count for j in range(count)]
+        drawn = [(i % 2, int(i % 3 == 0), int(i % 5 == 0)) for i in took]
+        assert deltas[r] == pytest.approx(mcc(drawn, 1) - mcc(drawn, 2), abs=1e-12)
