@@ -431,6 +431,10 @@ EVENTS = f"""{ROLLED}, ab AS (SELECT sample_id, i, abs(x) AS h, v, lag(abs(x)) O
   g2 AS (SELECT *, abs(CASE WHEN rank=1 THEN lead(g) OVER q - g WHEN rank=n THEN g - lag(g) OVER q ELSE (lead(g) OVER q - lag(g) OVER q)/2 END) AS b FROM g1 WINDOW q AS (PARTITION BY sample_id, half ORDER BY rank)),
   kn AS (SELECT sample_id, half, max(n) AS n, CASE WHEN max(n) < 3 THEN max(n) ELSE least(max(n), greatest(3, arg_min(rank, (-b, rank)) + 1)) END AS k FROM g2 GROUP BY ALL),
   sel AS (SELECT ev.* FROM ev JOIN kn USING (sample_id, half) WHERE rank <= k)"""
+# The same with the tie rule: of bends that are equal up to rounding (``kernels.BEND_TIE``) the first rank counts.
+TIED_EVENTS = EVENTS.replace("arg_min(rank, (-b, rank)) + 1", "min(rank) FILTER (b >= top - 1e-12) + 1").replace(
+    "FROM g2 GROUP BY ALL", "FROM (SELECT *, max(b) OVER (PARTITION BY sample_id, half) AS top FROM g2) GROUP BY ALL"
+)
 
 
 def candidates(spark, sf):
@@ -457,7 +461,7 @@ def top_events(spark, sf):
     return pu.top_events(e, 6, ["user_id"], "value", "event_id").select("event_id", "user_id", "rank")
 
 
-@query("knee_counts", f"WITH {src.SIGNALS}, {EVENTS} SELECT sample_id, half, n AS candidates, CAST(k AS BIGINT) AS selected FROM kn")
+@query("knee_counts", f"WITH {src.SIGNALS}, {TIED_EVENTS} SELECT sample_id, half, n AS candidates, CAST(k AS BIGINT) AS selected FROM kn")
 def knee_counts(spark, sf):
     return pu.knee_counts(candidates(spark, sf), 9, 3)
 
@@ -472,7 +476,7 @@ def detect_pulses(spark, sf):
 
 @query(
     "event_spacing",
-    f"""WITH {src.SIGNALS}, {EVENTS}, g AS (SELECT sample_id, pos - lag(pos) OVER (PARTITION BY sample_id ORDER BY pos) AS d FROM sel)
+    f"""WITH {src.SIGNALS}, {TIED_EVENTS}, g AS (SELECT sample_id, pos - lag(pos) OVER (PARTITION BY sample_id ORDER BY pos) AS d FROM sel)
     SELECT sample_id, count(*) AS events, round(coalesce(median(d),0),6) AS spacing_median, round(coalesce(quantile_cont(d,0.1),0),6) AS spacing_p10 FROM g GROUP BY 1""",
 )
 def event_spacing(spark, sf):
@@ -481,7 +485,7 @@ def event_spacing(spark, sf):
 
 @query(
     "coverage",
-    f"""WITH {src.SIGNALS}, {EVENTS}, c AS (SELECT g.sample_id, count(pos) FILTER (half=0) AS a, count(pos) FILTER (half=1) AS b FROM signals g LEFT JOIN sel USING (sample_id) GROUP BY 1)
+    f"""WITH {src.SIGNALS}, {TIED_EVENTS}, c AS (SELECT g.sample_id, count(pos) FILTER (half=0) AS a, count(pos) FILTER (half=1) AS b FROM signals g LEFT JOIN sel USING (sample_id) GROUP BY 1)
     SELECT count(*) AS n_signals, 6 AS capacity, count(*) FILTER (least(a,b)>0) AS signals_with_both_halves, count(*) FILTER (least(a,b)>=8) AS signals_with_eight_each_half,
       round(avg((a+b)/2),6) AS mean_per_half, min(least(a,b)) AS minimum_per_half, count(*) FILTER (least(a,b)=0) = 0 AS coverage_ok FROM c""",
 )
@@ -492,7 +496,7 @@ def coverage(spark, sf):
 
 @query(
     "event_localization",
-    f"""WITH {src.SIGNALS}, {EVENTS} SELECT sample_id, count(*) FILTER (half=0) AS first_half, count(*) FILTER (half=1) AS second_half, CAST(min(pos) AS INT) AS first_pos, CAST(max(pos) AS INT) AS last_pos FROM sel GROUP BY 1""",
+    f"""WITH {src.SIGNALS}, {TIED_EVENTS} SELECT sample_id, count(*) FILTER (half=0) AS first_half, count(*) FILTER (half=1) AS second_half, CAST(min(pos) AS INT) AS first_pos, CAST(max(pos) AS INT) AS last_pos FROM sel GROUP BY 1""",
 )
 def event_localization(spark, sf):
     return pu.event_localization(pu.pulse_events(pu.detect_pulses(sig(spark, sf), POLICY)))
@@ -503,7 +507,7 @@ BAG = """bag AS (SELECT * FROM sel WHERE rank <= 6)"""
 
 @query(
     "pulse_bag",
-    f"""WITH {src.SIGNALS}, {EVENTS}, {BAG}, sg AS (SELECT b.sample_id, b.half, b.rank, b.pos, o, (b.pos + o + 64) % 64 AS j FROM bag b, range(-4, 4) r(o))
+    f"""WITH {src.SIGNALS}, {TIED_EVENTS}, {BAG}, sg AS (SELECT b.sample_id, b.half, b.rank, b.pos, o, (b.pos + o + 64) % 64 AS j FROM bag b, range(-4, 4) r(o))
     SELECT sg.sample_id, sg.half, CAST(sg.rank AS INT) AS rank, CAST(sg.pos AS INT) AS pos, round(sum(v) FILTER (o >= -2 AND o < 2),6) AS short_total, round(sum(v*(o+5)),6) AS long_weighted
     FROM sg JOIN ro ON ro.sample_id = sg.sample_id AND ro.i = sg.j GROUP BY ALL""",
 )
@@ -555,7 +559,7 @@ def detect_events(spark, sf):
 
 @query(
     "detect_current",
-    f"""WITH {src.SIGNALS}, {EVENTS}, nz AS (SELECT sample_id, greatest(1.4826 * median(abs(x - c)), 1e-6) AS noise FROM fl JOIN (SELECT sample_id, median(x) AS c FROM fl GROUP BY 1) USING (sample_id) GROUP BY 1),
+    f"""WITH {src.SIGNALS}, {TIED_EVENTS}, nz AS (SELECT sample_id, greatest(1.4826 * median(abs(x - c)), 1e-6) AS noise FROM fl JOIN (SELECT sample_id, median(x) AS c FROM fl GROUP BY 1) USING (sample_id) GROUP BY 1),
       pz AS (SELECT sel.sample_id, (pos + origin) % 64 AS p FROM sel JOIN cur USING (sample_id)),
       ct AS (SELECT sample_id, count(*) AS n, count(*) FILTER (p < 2 OR p >= 62) AS edge FROM pz GROUP BY 1)
     SELECT cur.sample_id, 'current' AS detector, success, CASE WHEN NOT success THEN NULL WHEN inferred THEN 'INFERRED' ELSE 'VALID' END AS alignment, round(noise,6) AS noise,
@@ -761,7 +765,7 @@ def cwt_summary(spark, sf):
 
 @query(
     "cwt_features",
-    f"""WITH {src.SIGNALS}, {EVENTS}, {BAG}, tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY amplitude DESC, pos) AS r6 FROM bag) WHERE r6 <= 6),
+    f"""WITH {src.SIGNALS}, {TIED_EVENTS}, {BAG}, tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY amplitude DESC, pos) AS r6 FROM bag) WHERE r6 <= 6),
       sgm AS (SELECT t.sample_id, t.r6, o + 4 AS i, v FROM tp t, range(-4, 4) r(o) JOIN ro ON true WHERE ro.sample_id = t.sample_id AND ro.i = (t.pos + o + 64) % 64),
       {cwt_sql('sgm', 'sample_id, r6', 8, 4)}, q AS (SELECT sample_id, r6, s, b, p+1e-8 AS p FROM cw), tt AS (SELECT sample_id, r6, sum(p) AS t FROM q GROUP BY ALL),
       en AS (SELECT sample_id, r6, s, sum(p) AS e FROM q GROUP BY ALL), ee AS (SELECT sample_id, r6, max(e) FILTER (s=0) AS lo, max(e) FILTER (s=1) AS mi, avg(e) FILTER (s>=2) AS hi, arg_max(s, e)::DOUBLE AS top FROM en GROUP BY ALL),
