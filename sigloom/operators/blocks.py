@@ -59,13 +59,9 @@ class Blocks:
 def to_blocks(df: DataFrame, key: str, target: str, fits: Sequence[Fit], block_rows: int = BLOCK_ROWS) -> Blocks:
     """Store ``df`` as blocks. Features that are null or not finite raise."""
     features = tuple(dict.fromkeys(f for fit in fits for f in fit.features))
-    sound = F.lit(True)
-    for f in features:
-        sound = sound & F.coalesce(is_finite(f), F.lit(False))
-    checked = require(df, sound, "a feature is null or not finite")
     no = F.lit(False)
     flags = lambda cs: F.array(*[F.coalesce(c, no).cast("tinyint") for c in cs])
-    wide = checked.select(
+    wide = df.select(
         F.struct(*df.columns).alias("kept"),
         F.col(key).alias("_key"),
         F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
@@ -75,7 +71,9 @@ def to_blocks(df: DataFrame, key: str, target: str, fits: Sequence[Fit], block_r
     )
     wide = cut_lineage(wide)
     parts = max(1, -(-wide.count() // block_rows))
-    placed = wide.repartition(parts, "_key").withColumn("part", F.spark_partition_id()).sortWithinPartitions("_key")
+    # Checked on stored numbers: pushed below the columns, the check would compute each feature many times.
+    sound = F.forall("x", lambda v: F.coalesce(is_finite(v), no))
+    placed = require(wide, sound, "a feature is null or not finite").repartition(parts, "_key").withColumn("part", F.spark_partition_id()).sortWithinPartitions("_key")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number, block = [], 0, 0

@@ -1,10 +1,12 @@
 """Histogram boosting of many models in the same passes.
 
-Features are cut into bins once. A pass makes one level of the trees of all models: tasks add up
-gradient, curvature and number of rows by (model, node, feature, bin), and these sums are added by
-(model, node) and searched for the best split. The trees of all models stay on the
-driver: at most 2 * leaves nodes each. Every row keeps its running score for every model, also for
-those that it does not train, so held-out scores are there when the last tree is.
+Features are cut into bins once. Rows with equal bins and target have equal scores from the first tree
+to the last, so they are folded to one cell with the number of rows that train each model. A pass makes
+one level of the trees of all models: tasks add up gradient, curvature and number of rows by (model,
+node, feature, bin), and these sums are added by (model, node) and searched for the best split. The trees
+of all models stay on the driver: at most 2 * leaves nodes each. Every cell keeps its running score for
+every model, also for those that it does not train, so held-out scores are there when the last tree is;
+rows take them from their cell.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sigloom.functions.batches import stream_groups
-from sigloom.operators.blocks import Fit, Shape, numbers, reducers, rows_of, to_blocks, unpack
+from sigloom.operators.blocks import Blocks, Fit, Shape, numbers, reducers, rows_of, to_blocks
 from sigloom.session import cut_lineage
 
 
@@ -128,22 +131,21 @@ def best_split(sums: np.ndarray, spec: BoostSpec) -> tuple:
 
 
 def _sums(row: dict, codes: np.ndarray, score: np.ndarray, trees: Trees, level: int, open_nodes: dict, shape: Shape, bins: int):
-    """(model, node) -> sums of the rows of a block that train the model and lie in the node."""
+    """(model, node) -> sums of the cells of a block that train the model and lie in the node."""
     models = shape.models
-    y, train = numbers(row, "y", np.float64), numbers(row, "train", np.uint8, models).astype(bool)
+    y, train = numbers(row, "y", np.float64), numbers(row, "train", np.float64, models)
     p = 1 / (1 + np.exp(-score))
-    g, h = p - y[:, None], p * (1 - p)
+    g, h = (p - y[:, None]) * train, p * (1 - p) * train
     node = trees.node_of(codes, level)
     for m, nodes in open_nodes.items():
         place = np.full((2 << level) - 1, -1)
         place[nodes] = np.arange(len(nodes))
-        rows = np.flatnonzero(train[:, m] & (place[node[:, m]] >= 0))
+        rows = np.flatnonzero((train[:, m] > 0) & (place[node[:, m]] >= 0))
         columns = np.array(shape.columns[m])
         at = place[node[rows, m]][:, None] * len(columns) + np.arange(len(columns))
         at = (at * bins + codes[np.ix_(rows, columns)]).ravel()
         cells, size = (len(nodes), len(columns), bins), len(nodes) * len(columns) * bins
-        parts = [np.bincount(at, np.repeat(w[rows, m], len(columns)), size).reshape(cells) for w in (g, h)]
-        parts.append(np.bincount(at, minlength=size).astype(float).reshape(cells))
+        parts = [np.bincount(at, np.repeat(w[rows, m], len(columns)), size).reshape(cells) for w in (g, h, train)]
         for i, number in enumerate(nodes):
             yield (m, number), np.stack([part[i] for part in parts])
 
@@ -169,18 +171,19 @@ def fit_boosted(
 
     fields = "part int, block int, rows int, kept binary, y binary, train binary, stop binary, codes binary"
     coded = cut_lineage(blocks.table.mapInArrow(encode, fields))
-    start = model.start = _start(coded, models)
+    cells, parts = _cells(coded, len(edges), models)
+    start = model.start = _start(cells, models)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [np.tile(start, (n, 1)).tobytes() for n in batch.column("rows").to_pylist()]
             yield batch.append_column("score", pa.array(scores, pa.binary()))
 
-    fields += ", score binary"
-    state = coded.mapInArrow(begin, fields).persist()
+    fields = CELLS + ", score binary"
+    state = cells.mapInArrow(begin, fields).persist()
     for number in range(spec.trees):
         trees = Trees.empty(models, depth)
-        _grow(state, trees, shape, spec, blocks.parts)
+        _grow(state, trees, shape, spec, parts)
         model.trees.append(trees)
 
         def add(batches: Iterator[pa.RecordBatch], trees: Trees = trees) -> Iterator[pa.RecordBatch]:
@@ -199,19 +202,78 @@ def fit_boosted(
             state = moved
         else:
             state = moved.persist()
-    out = unpack(state, blocks, name)
+    out = _of_rows(coded, state, blocks, len(edges), name)
     return out.withColumn(name, F.transform(name, lambda s: 1 / (1 + F.exp(-s)))), model
 
 
+#: Cells of one block, and blocks of cells: bins and target of each cell, and how many rows train each model.
+CELL_ROWS = 4096
+CELLS = "part int, rows int, codes binary, y binary, train binary"
+
+
+def fixed(flat: bytes | np.ndarray, width: int) -> pa.Array:
+    """Bytes as binary values of ``width`` bytes each."""
+    data = pa.py_buffer(flat)
+    offsets = pa.array(np.arange(0, data.size + 1, width), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, offsets.buffers()[1], data])
+
+
+def _cells(coded: DataFrame, features: int, models: int) -> tuple[DataFrame, int]:
+    """The cells of all rows as ``CELLS``, and the partitions of that table."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            columns = [fixed(r["codes"], features), pa.array(numbers(r, "y", np.float64)), fixed(r["train"], models)]
+            yield pa.RecordBatch.from_arrays(columns, ["codes", "y", "train"])
+
+    single = coded.select("codes", "y", "train").mapInArrow(rows, "codes binary, y double, train binary")
+    folded = cut_lineage(single.groupBy("codes", "y", "train").agg(F.count(F.lit(1)).alias("n")))
+    parts = max(1, -(-folded.select("codes", "y").distinct().count() // CELL_ROWS))
+    placed = folded.repartition(parts, "codes").sortWithinPartitions("codes", "y", "train").withColumn("part", F.spark_partition_id())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # a cell on the border of two batches becomes two, with the same sums
+            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, features)
+            y, n = batch.column("y").to_numpy(), batch.column("n").to_numpy()
+            train = np.frombuffer(b"".join(batch.column("train").to_pylist()), np.uint8).reshape(-1, models)
+            first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]).any(axis=1) | (y[1:] != y[:-1])))
+            counts = np.add.reduceat(train * n[:, None].astype(float), first, axis=0)
+            values = [batch.column("part")[0].as_py(), len(first), codes[first].tobytes(), y[first].tobytes(), counts.tobytes()]
+            kinds = [pa.int32()] * 2 + [pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [c.split()[0] for c in CELLS.split(", ")])
+
+    return cut_lineage(placed.mapInArrow(pack, CELLS)), parts
+
+
+def _of_rows(coded: DataFrame, state: DataFrame, blocks: Blocks, features: int, name: str) -> DataFrame:
+    """The original rows with ``name``: the score of their cell by every model."""
+    models = blocks.shape.models
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            for kept in pa.ipc.open_stream(r["kept"]).read_all().combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([*kept.columns, fixed(r["codes"], features)], [*kept.schema.names, "_codes"])
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            offsets = pa.array(np.arange(0, (r["rows"] + 1) * models, models)[: r["rows"] + 1], pa.int32())
+            values = pa.ListArray.from_arrays(offsets, pa.array(numbers(r, "score", np.float64)))
+            yield pa.RecordBatch.from_arrays([fixed(r["codes"], features), values], ["_codes", name])
+
+    found = state.select("rows", "codes", "score").mapInArrow(scores, f"_codes binary, {name} array<double>").dropDuplicates(["_codes"])
+    single = coded.select("kept", "codes").mapInArrow(rows, StructType([*blocks.kept.fields, StructField("_codes", BinaryType())]))
+    return single.join(found, "_codes").select(*blocks.kept.names, name)
+
+
 def _start(coded: DataFrame, models: int) -> np.ndarray:
     """Log odds of each model's rows; 40 or -40 for rows of one class."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, positive = np.zeros(models, np.int64), np.zeros(models, np.int64)
         for r in rows_of(batches):
-            train, y = numbers(r, "train", np.uint8, models).astype(bool), numbers(r, "y", np.float64)
+            train, y = numbers(r, "train", np.float64, models).astype(np.int64), numbers(r, "y", np.float64)
             n += train.sum(axis=0)
-            positive += (train & (y[:, None] == 1)).sum(axis=0)
+            positive += train[y == 1].sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(models), pa.int32()), pa.array(n), pa.array(positive)], ["model", "n", "p"])
 
     rows = coded.select("train", "y").mapInArrow(count, "model int, n long, p long").groupBy("model").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
