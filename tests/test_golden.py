@@ -558,3 +558,11 @@ def test_md5_draws_are_looked_up_where_the_groups_lie(spark):
         took = [int(hashlib.md5(f"42|{r}|{j}".encode()).hexdigest()[:8], 16) % count for j in range(count)]
         drawn = [(i % 2, int(i % 3 == 0), int(i % 5 == 0)) for i in took]
         assert deltas[r] == pytest.approx(mcc(drawn, 1) - mcc(drawn, 2), abs=1e-12)
+
+
+def test_missing_values_takes_all_orders(spark, tmp_path):
+    from sigloom.plans import catalog
+
+    spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "P"), (2, "O")], "o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(catalog.QUERIES["missing_values"](spark, str(tmp_path)), "k") == [(3,)]
