@@ -566,3 +566,14 @@ def test_missing_values_takes_all_orders(spark, tmp_path):
     spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(1, "P"), (2, "O")], "o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     assert rows(catalog.QUERIES["missing_values"](spark, str(tmp_path)), "k") == [(3,)]
+
+
+def test_select_candidate_asks_for_the_gate(spark, tmp_path):
+    """Candidate 1 has the higher mean but a seed at the limit of 0.6; 2 passes."""
+    from sigloom.plans import catalog
+
+    lines = [(1, 0, 40.0, 0.05), (1, 1, 40.0, 0.05), (1, 2, 20.0, 0.03), (2, 0, 27.0, 0.05), (2, 1, 27.0, 0.05), (2, 2, 27.0, 0.05)]
+    table = spark.createDataFrame(lines, "l_suppkey long, l_orderkey long, l_quantity double, l_tax double")
+    table.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["select_candidate"](spark, str(tmp_path)).collect()
+    assert [r["candidate"] for r in got] == [2]
