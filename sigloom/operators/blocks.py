@@ -24,6 +24,9 @@ from sigloom.operators.checks import require
 from sigloom.session import cut_lineage
 
 BLOCK_ROWS = 8192
+#: A task has one block up to so many blocks, then up to ``TASK_BLOCKS``: a pass over many rows is long
+#: enough for a task, and its own time must not grow with a task for every block.
+LONE_BLOCKS, TASK_BLOCKS = 64, 8
 SCHEMA = "part int, block int, rows int, kept binary, x binary, y binary, train binary, stop binary"
 
 
@@ -70,7 +73,7 @@ def to_blocks(df: DataFrame, key: str, target: str, fits: Sequence[Fit], block_r
         flags([no if fit.stop is None else fit.stop for fit in fits]).alias("stop"),
     )
     wide = cut_lineage(wide)
-    parts = max(1, -(-wide.count() // block_rows))
+    parts = partitions(wide.count(), block_rows)
     # Checked on stored numbers: pushed below the columns, the check would compute each feature many times.
     sound = F.forall("x", lambda v: F.coalesce(is_finite(v), no))
     placed = require(wide, sound, "a feature is null or not finite").repartition(parts, "_key").withColumn("part", F.spark_partition_id()).sortWithinPartitions("_key")
@@ -108,6 +111,12 @@ def to_blocks(df: DataFrame, key: str, target: str, fits: Sequence[Fit], block_r
     return Blocks(table, Shape(features, len(fits), columns), df.schema, parts)
 
 
+def partitions(rows: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Partitions of the table of blocks, by its rows alone: sums do not depend on the cluster."""
+    blocks = max(1, -(-rows // block_rows))
+    return max(min(blocks, LONE_BLOCKS), -(-blocks // TASK_BLOCKS))
+
+
 def numbers(row: dict, name: str, kind: type, width: int | None = None) -> np.ndarray:
     """An array of a block; ``width``: numbers of each row."""
     flat = np.frombuffer(row[name], kind)
@@ -121,7 +130,8 @@ def reducers(models: int) -> int:
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        yield from batch.to_pylist()
+        for i in range(batch.num_rows):  # one block at a time as Python bytes
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def model_moments(blocks: Blocks) -> list:

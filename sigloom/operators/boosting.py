@@ -166,7 +166,7 @@ def fit_boosted(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [codes_of(numbers(r, "x", np.float64, len(edges)), edges).tobytes() for r in batch.to_pylist()]
+            codes = [codes_of(numbers(r, "x", np.float64, len(edges)), edges).tobytes() for r in rows_of([batch])]
             yield batch.drop_columns(["x"]).append_column("codes", pa.array(codes, pa.binary()))
 
     fields = "part int, block int, rows int, kept binary, y binary, train binary, stop binary, codes binary"

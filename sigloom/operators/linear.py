@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sigloom.operators.blocks import Blocks, Fit, model_moments, numbers, sum_over_blocks, to_blocks, unpack
+from sigloom.operators.blocks import Blocks, Fit, model_moments, numbers, rows_of, sum_over_blocks, to_blocks, unpack
 from sigloom.operators.models import _newton
 
 
@@ -78,7 +78,7 @@ def fit_linear(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [fit.probabilities(numbers(r, "x", np.float64, d)).tobytes() for r in batch.to_pylist()]
+            scores = [fit.probabilities(numbers(r, "x", np.float64, d)).tobytes() for r in rows_of([batch])]
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(scores, pa.binary())], ["kept", "score"])
 
     scored = blocks.table.select("kept", "x").mapInArrow(score, "kept binary, score binary")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.operators.blocks import Blocks, Fit, Shape, numbers, sum_over_blocks, to_blocks, unpack
+from sigloom.operators.blocks import Blocks, Fit, Shape, numbers, rows_of, sum_over_blocks, to_blocks, unpack
 from sigloom.operators.linear import newton_sums
 from sigloom.operators.models import FINAL, FUSED, _newton
 from sigloom.operators.sweeps import DELTAS, FIRST, LAST, STEPS
@@ -305,7 +305,7 @@ def meta_fusion(
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = []
-            for r in batch.to_pylist():
+            for r in rows_of([batch]):
                 x = numbers(r, "x", np.float64, 3)
                 out = np.empty((len(x), len(FUSED)))
                 for m in np.unique(x[:, 2]).astype(int).tolist():

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.operators.blocks import Blocks, Fit, model_moments, numbers, sum_over_blocks, to_blocks, unpack
+from sigloom.operators.blocks import Blocks, Fit, model_moments, numbers, rows_of, sum_over_blocks, to_blocks, unpack
 from sigloom.operators.boosting import held_out_score
 
 GROW, SHRINK, SMALLEST, LARGEST = 1.2, 0.5, 1e-6, 1.0
@@ -174,7 +174,7 @@ def fit_networks(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [nets.probabilities(numbers(r, "x", np.float64, d)).tobytes() for r in batch.to_pylist()]
+            scores = [nets.probabilities(numbers(r, "x", np.float64, d)).tobytes() for r in rows_of([batch])]
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(scores, pa.binary())], ["kept", "score"])
 
     scored = blocks.table.select("kept", "x").mapInArrow(score, "kept binary, score binary")

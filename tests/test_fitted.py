@@ -237,3 +237,14 @@ def test_boosting_folds_rows_of_equal_bins(spark, monkeypatch):
     got, plain = ({r["id"]: r["s"] for r in t.select("id", F.col(n).alias("s")).collect()} for t, n in ((scored, "scores"), (model.score(df, "again"), "again")))
     assert len(got) == 3000 and scored.columns == ["id", "x", "y", "scores"]
     assert all(abs(a - b) < 1e-12 for k in got for a, b in zip(got[k], plain[k]))
+
+
+def test_tasks_hold_several_blocks_of_a_large_table(spark):
+    from sigloom.operators.blocks import model_moments, partitions
+
+    assert [partitions(n) for n in (0, 8192, 8193, 600_000, 6_000_000)] == [1, 1, 2, 64, 92]
+    df = spark.range(3000).selectExpr("id", "cast(id AS double) AS x", "cast(id % 2 AS int) AS y")
+    blocks = to_blocks(df, "id", "y", [Fit(("x",), F.col("id") % 3 == 0)], block_rows=4)
+    assert blocks.parts == 94 and blocks.table.agg(F.sum("rows")).first()[0] == 3000
+    got = model_moments(blocks)[0]
+    assert (got["n"], got["p"], got["mean"][0]) == (1000, 500, pytest.approx(1498.5))
