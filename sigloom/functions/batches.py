@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,17 @@ def signal_udf(returns: str) -> Callable:
     return wrap
 
 
+def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of lists, and where each row's begin in them (one more than rows)."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def lists(values: np.ndarray, begins: np.ndarray) -> pa.ListArray:
+    """The other way round."""
+    return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(values))
+
+
 def stream_groups(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, work: Callable[[list], Iterable[tuple]], parts: int | None = None
 ) -> DataFrame:

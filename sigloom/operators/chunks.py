@@ -20,11 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import kernels
-from sigloom.functions.batches import stream_groups
+from sigloom.functions.batches import flat_lists, stream_groups
 from sigloom.operators.pulses import PulsePolicy
 from sigloom.session import cut_lineage
 
@@ -414,37 +415,34 @@ def local_maxima(chunks: DataFrame, size: int, key: str = "sample_id") -> DataFr
     those of the neighbours in windows over these end runs.
     """
 
-    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, chunk, x in zip(frame[key], frame["chunk"], frame["values"]):
-                x = np.asarray(x)
-                first = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1])
-                end = np.append(first[1:], len(x)) - 1
-                level = x[first]
-                up = np.append(False, level[1:] > level[:-1])
-                down = np.append(level[:-1] > level[1:], False)
-                keep = up & down  # maxima; the runs at both ends are kept in any case
-                keep[[0, -1]] = True
-                at = np.flatnonzero(keep)
-                lows = np.minimum.reduceat(level, np.append(0, at[:-1] + 1)) if len(at) > 1 else level[:1]
-                edge = (at == 0) | (at == len(first) - 1)
-                before = [float(level[i - 1]) if i else None for i in at]
-                after = [float(level[i + 1]) if i + 1 < len(level) else None for i in at]
-                base = chunk * size
-                out.append(
-                    pd.DataFrame(
-                        {
-                            key: [k] * len(at), "start": first[at] + base, "stop": end[at] + base, "height": level[at], "low": lows,
-                            "edge": edge, "before": pd.array(before, "Float64"), "after": pd.array(after, "Float64"),
-                        }
-                    )
-                )
-            if out:
-                yield pd.concat(out, ignore_index=True)
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, begins = flat_lists(batch.column("values"))
+            if not len(x):
+                continue
+            row = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+            opens = np.diff(row, prepend=-1) > 0
+            first = np.flatnonzero(opens | np.append(True, x[1:] != x[:-1]))  # of each run of equal samples of a chunk
+            end = np.append(first[1:], len(x)) - 1
+            level, opens = x[first], opens[first]
+            closes = np.append(opens[1:], True)
+            up = np.append(False, level[1:] > level[:-1])
+            down = np.append(level[:-1] > level[1:], False)
+            # maxima; the runs at both ends of a chunk are kept in any case
+            at = np.flatnonzero((up & down) | opens | closes)
+            lows = np.minimum.reduceat(level, np.append(0, at[:-1] + 1))
+            opens, closes, here = opens[at], closes[at], row[first[at]]
+            base = batch.column("chunk").to_numpy()[here] * size - begins[here]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(key).take(pa.array(here)), pa.array(first[at] + base), pa.array(end[at] + base), pa.array(level[at]),
+                    pa.array(lows), pa.array(opens | closes), pa.array(level[at - 1], mask=opens), pa.array(level[(at + 1) % len(level)], mask=closes),
+                ],
+                names=[key, "start", "stop", "height", "low", "edge", "before", "after"],
+            )
 
     schema = f"{_field(chunks, key)}, start long, stop long, height double, low double, edge boolean, before double, after double"
-    found = chunks.select(key, "chunk", "values").mapInPandas(runs, schema)
+    found = chunks.select(key, "chunk", "values").mapInArrow(runs, schema)
     order = Window.partitionBy(key).orderBy("start")
     # Neighbouring end runs of one level are one run.
     same = F.col("edge") & F.lag("edge").over(order) & F.col("before").isNull() & (F.lag("height").over(order) == F.col("height"))

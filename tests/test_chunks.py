@@ -165,3 +165,18 @@ def test_event_tables_match_like_arrays(spark):
     summary = {r["sample_id"]: r for r in st.match_summary(*sides, pairs).collect()}
     assert summary[21]["matched"] == 0 and np.isnan(summary[21]["median_offset"]) and summary[20]["matched"] == 60
     assert st.match_event_tables(sides[0].limit(0), sides[1], 4)[0].collect() == []
+
+
+# Batches of short chunks ------------------------------------------------------------------
+
+
+def test_maxima_make_no_frame_for_a_chunk(spark, signals, monkeypatch):
+    """A batch of many chunks is one array: what a task does by chunk is no table of its own."""
+    cut = ch.cut_signals(frame(spark, signals), 7)
+    found = []
+    monkeypatch.setattr(type(cut), "mapInArrow", lambda self, f, schema, *a, **k: found.append((f, schema)) or self.sparkSession.createDataFrame([], schema))
+    ch.local_maxima(cut, 7)
+    batch = cut.select("sample_id", "chunk", "values").toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(ch.pd, "DataFrame", None)
+    rows = sum(out.num_rows for out in found[0][0](iter([batch])))
+    assert rows >= 2 * len(signals)
