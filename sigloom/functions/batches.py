@@ -37,6 +37,55 @@ def lists(values: np.ndarray, begins: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(values))
 
 
+def rows_of(begins: np.ndarray) -> np.ndarray:
+    """The row of every number of a column of lists."""
+    return np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+
+
+def changes(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """Whether a row has another key than the one before; true for the first."""
+    out = np.zeros(batch.num_rows, bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= np.diff(pd.factorize(batch.column(k).to_pandas())[0]) != 0
+    return out
+
+
+def key_of(batch: pa.RecordBatch, keys: Sequence[str], row: int) -> tuple:
+    return tuple(batch.column(k)[row].as_py() for k in keys)
+
+
+def whole_groups(
+    df: DataFrame, keys: Sequence[str], schema: str, work: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]
+) -> DataFrame:
+    """``work(batch, begins)`` of many groups at once: batches of whole groups, and where each begins in its
+    batch (one more than groups). A task keeps a batch and the group in hand."""
+    keys = list(keys)
+
+    def ready(parts: list) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return work(whole, np.append(np.flatnonzero(changes(whole, keys)), whole.num_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = changes(batch, keys)
+            new[0] = not held or key_of(held[-1], keys, -1) != key_of(batch, keys, 0)
+            cut = np.flatnonzero(new)
+            if held and len(cut):
+                yield ready([*held, batch.slice(0, cut[-1])])
+                held = []
+            elif len(cut) and cut[-1]:
+                yield ready([batch.slice(0, cut[-1])])
+            held.append(batch.slice(cut[-1]) if len(cut) else batch)
+        if held:
+            yield ready(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def stream_groups(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, work: Callable[[list], Iterable[tuple]], parts: int | None = None
 ) -> DataFrame:

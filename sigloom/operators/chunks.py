@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import kernels
-from sigloom.functions.batches import flat_lists, stream_groups
+from sigloom.functions.batches import changes, flat_lists, key_of, lists, rows_of, stream_groups, whole_groups
 from sigloom.operators.pulses import PulsePolicy
 from sigloom.session import cut_lineage
 
 #: Chunk maps that one task composes, and values by which a chunk bounds its ranks.
 FAN, MARKS = 1024, 64
+#: Samples of a chunk that one product of matrices takes.
+PIECE = 4096
 VALUES = "array<double>"
 
 
@@ -49,6 +51,14 @@ def samples(chunks: DataFrame, size: int, key: str = "sample_id", values: str =
     return rows.select(key, (F.col("chunk") * size + F.col("_i")).alias("pos"), "value")
 
 
+def _equal_lengths(begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one length, and the places of their numbers as a matrix, for every length of a batch."""
+    n = np.diff(begins)
+    for length in np.unique(n):
+        at = np.flatnonzero(n == length)
+        yield at, begins[at][:, None] + np.arange(length)
+
+
 def _field(df: DataFrame, column: str) -> str:
     return f"{column} {df.schema[column].dataType.simpleString()}"
 
@@ -67,18 +77,40 @@ class Recursion:
     residues: tuple[complex, ...]
     steady: bool = False
 
-    def branches(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-        real = not any(np.imag(self.poles)) and not any(np.imag(self.residues)) and not np.imag(state).any()
-        kind = (lambda v: float(np.real(v))) if real else complex
-        return np.stack([kernels.first_order(x, kind(p), kind(r), kind(s)) for p, r, s in zip(self.poles, self.residues, state)])
+    def _real(self, state: np.ndarray) -> bool:
+        return not any(np.imag(self.poles)) and not any(np.imag(self.residues)) and not np.imag(state).any()
 
-    def start(self, first: float) -> np.ndarray:
+    def branches(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Sum of the branches for each row of x, which they enter in that row's state."""
+        real = self._real(state)
+        number, start = (lambda v: float(np.real(v)), np.real(state)) if real else (complex, state)
+        out = np.zeros(x.shape)
+        for p, r, s in zip(self.poles, self.residues, start.T):
+            out += kernels.first_order_rows(x, number(p), number(r), s).real
+        return out
+
+    def ends(self, x: np.ndarray) -> np.ndarray:
+        """State at the end of each row of x that begins at zero."""
+        p, r = np.array(self.poles, complex), np.array(self.residues, complex)
+        state = np.zeros((len(x), len(p)), complex)
+        for a in range(0, x.shape[1], PIECE):
+            part = x[:, a : a + PIECE]
+            n = part.shape[1]
+            state = p**n * state + part @ (r * p ** np.arange(n - 1, -1, -1)[:, None])
+        return state
+
+    def starts(self, first: np.ndarray) -> np.ndarray:
         p, r = np.array(self.poles, complex), np.array(self.residues, complex)
-        return r * first / (1 - p) if self.steady else np.zeros(len(p), complex)
+        return r * first[:, None] / (1 - p) if self.steady else np.zeros((len(first), len(p)), complex)
+
 
+def _states(column: pa.Array, branches: int) -> np.ndarray:
+    return np.ascontiguousarray(flat_lists(column)[0]).view(complex).reshape(-1, branches)
 
-def _flat(state: np.ndarray) -> list[float]:
-    return np.ascontiguousarray(state, complex).view(float).tolist()
+
+def _state_lists(state: np.ndarray) -> pa.ListArray:
+    flat = np.ascontiguousarray(state, complex).view(float)
+    return lists(flat.ravel(), np.arange(len(flat) + 1) * flat.shape[1])
 
 
 def entering_states(maps: DataFrame, recursion: Recursion, key: str, fan: int = FAN) -> DataFrame:
@@ -92,54 +124,74 @@ def entering_states(maps: DataFrame, recursion: Recursion, key: str, fan: int =
     kinds = f"{_field(maps, key)}, step long, state {VALUES}"
     most = maps.agg(F.max("step")).first()[0] or 0
 
-    def compose(rows: list, state: np.ndarray) -> Iterator[np.ndarray]:
-        """State before each map and, last, after all."""
-        for r in rows:
-            yield state
-            state = poles ** int(r.n) * state + np.asarray(r.end).view(complex)
-        yield state
-
-    def walk(rows: list) -> Iterator[tuple]:
-        known = getattr(rows[0], "state", None)
-        state = recursion.start(rows[0].first) if known is None else np.array(known).view(complex)
-        for r, s in zip(rows, compose(rows, state)):
-            yield getattr(r, key), r.step, _flat(s)
+    def walk(groups: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, carry = None, None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                end, n = _states(batch.column("end"), len(poles)), batch.column("n").to_numpy()
+                grow, state = poles ** n[:, None], np.empty_like(end)
+                begins = np.flatnonzero(changes(batch, groups))
+                length = np.diff(begins, append=len(n))
+                if "state" in batch.schema.names:
+                    now = _states(batch.column("state"), len(poles))[begins]
+                else:
+                    now = recursion.starts(batch.column("first").to_numpy()[begins])
+                if held == key_of(batch, groups, 0):  # goes on from the batch before
+                    now[0] = carry
+                longest = np.argsort(-length, kind="stable")
+                for j in range(length.max()):  # a step of all signals that have one more
+                    live = longest[: np.searchsorted(-length[longest], -j)]
+                    at = begins[live] + j
+                    state[at] = now[live]
+                    now[live] = grow[at] * now[live] + end[at]
+                held, carry = key_of(batch, groups, -1), now[-1]
+                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("step"), _state_lists(state)], names=[key, "step", "state"])
+
+        return run
+
+    def in_order(df: DataFrame, groups: list[str]) -> DataFrame:
+        return df.repartition(*groups).sortWithinPartitions(*groups, "step").mapInArrow(walk(groups), kinds)
 
     if most < fan:
-        return stream_groups(maps.select(key, "step", "n", "first", "end"), [key], ["step"], kinds, walk)
+        return in_order(maps.select(key, "step", "n", "first", "end"), [key])
 
     def fold(rows: list) -> Iterator[tuple]:
-        *_, end = compose(rows, np.zeros(len(poles), complex))
-        yield getattr(rows[0], key), rows[0].block, sum(r.n for r in rows), rows[0].first, _flat(end)
+        state = np.zeros(len(poles), complex)
+        for r in rows:
+            state = poles ** int(r.n) * state + np.asarray(r.end).view(complex)
+        yield getattr(rows[0], key), rows[0].block, sum(r.n for r in rows), rows[0].first, state.view(float).tolist()
 
     blocks = maps.withColumn("block", F.expr(f"step div {fan}"))
     folded = stream_groups(blocks, [key, "block"], ["step"], f"{_field(maps, key)}, step long, n long, first double, end {VALUES}", fold)
     above = entering_states(cut_lineage(folded), recursion, key, fan).withColumnRenamed("step", "block")
-    return stream_groups(blocks.join(above, [key, "block"]), [key, "block"], ["step"], kinds, walk)
+    return in_order(blocks.join(above, [key, "block"]), [key, "block"])
 
 
 def apply_recursion(chunks: DataFrame, recursion: Recursion, key: str = "sample_id", last: str | None = None) -> DataFrame:
     """The chunks with filtered ``values``. With ``last`` (a column: the signal's last chunk) the
     recursion runs from the end of each signal to its beginning."""
     step = F.col("chunk") if last is None else F.col(last) - F.col("chunk")
-    turn = (lambda x: x) if last is None else (lambda x: x[::-1])
-    zero = np.zeros(len(recursion.poles), complex)
-
-    @F.pandas_udf(f"n long, first double, end {VALUES}")
-    def ends(series: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in series:
-            x = turn(np.asarray(x))
-            rows.append((len(x), float(x[0]), _flat(recursion.branches(x, zero)[:, -1])))
-        return pd.DataFrame(rows, columns=["n", "first", "end"])
-
-    @F.pandas_udf(VALUES)
-    def run(series: pd.Series, states: pd.Series) -> pd.Series:
-        out = []
-        for x, s in zip(series, states):
-            x = turn(np.asarray(x))
-            out.append(turn(recursion.direct * x + recursion.branches(x, np.array(s).view(complex)).sum(axis=0).real))
-        return pd.Series(out)
+    back = last is not None
+
+    @F.arrow_udf(f"n long, first double, end {VALUES}")
+    def ends(values: pa.Array) -> pa.Array:
+        x, begins = flat_lists(values)
+        state = np.zeros((len(begins) - 1, len(recursion.poles)), complex)
+        for at, place in _equal_lengths(begins):
+            state[at] = recursion.ends(x[place[:, ::-1] if back else place])
+        first = x[begins[1:] - 1] if back else x[begins[:-1]]
+        return pa.StructArray.from_arrays([pa.array(np.diff(begins)), pa.array(first), _state_lists(state)], names=["n", "first", "end"])
+
+    @F.arrow_udf(VALUES)
+    def run(values: pa.Array, states: pa.Array) -> pa.Array:
+        x, begins = flat_lists(values)
+        state, out = _states(states, len(recursion.poles)), recursion.direct * x
+        for at, place in _equal_lengths(begins):
+            place = place[:, ::-1] if back else place
+            out[place] += recursion.branches(x[place], state[at])
+        return lists(out, begins)
 
     maps = chunks.select(key, step.cast("long").alias("step"), ends.asNondeterministic()("values").alias("m")).select(key, "step", "m.*")
     states = entering_states(cut_lineage(maps), recursion, key)
@@ -215,49 +267,78 @@ def exact_medians(chunks: DataFrame, key: str = "sample_id", values: str = "valu
     ``MARKS`` / 2 and each distinct value once.
     """
 
-    @F.pandas_udf("mark array<double>, rank array<long>")
-    def marks(series: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in series:
-            x = np.sort(np.asarray(x, float))
-            at = np.unique(np.linspace(0, len(x) - 1, min(len(x), MARKS + 1)).astype(int))
-            rows.append((x[at], at))
-        return pd.DataFrame(rows, columns=["mark", "rank"])
-
-    def bounds(rows: list) -> Iterator[tuple]:
-        n = sum(r.n for r in rows)
-        mark = np.concatenate([r.mark for r in rows])
-        sure = np.concatenate([np.diff(r.rank, prepend=-1) for r in rows])  # these are at most the mark
-        maybe = np.concatenate([np.append(np.diff(r.rank), 1) for r in rows])  # these may follow it
-        order = np.argsort(mark, kind="stable")
-        mark, sure, maybe = mark[order], np.cumsum(sure[order]), np.cumsum(maybe[order])
-        first, last = np.searchsorted(mark, mark, side="left"), np.searchsorted(mark, mark, side="right") - 1
-        below = np.concatenate([[0], maybe])[first]  # an upper bound of the values under each mark
-        yield getattr(rows[0], key), n, mark[below <= (n - 1) // 2].max(), mark[sure[last] >= n // 2 + 1].min()
+    @F.arrow_udf("mark array<double>, rank array<long>")
+    def marks(column: pa.Array) -> pa.Array:
+        x, begins = flat_lists(column)
+        x = x[np.lexsort((x, rows_of(begins)))]  # each chunk sorted
+        n = np.diff(begins)
+        ranks = {k: np.unique(np.linspace(0, k - 1, min(k, MARKS + 1)).astype(int)) for k in np.unique(n).tolist()}
+        told = np.concatenate([[0], np.cumsum([len(ranks[k]) for k in n.tolist()])]).astype(np.int64)
+        rank = np.concatenate([np.empty(0, np.int64), *[ranks[k] for k in n.tolist()]])
+        return pa.StructArray.from_arrays([lists(x[begins[:-1][rows_of(told)] + rank], told), lists(rank, told)], names=["mark", "rank"])
+
+    def bounds(batch: pa.RecordBatch, begins: np.ndarray) -> pa.RecordBatch:
+        n = np.add.reduceat(batch.column("n").to_numpy(), begins[:-1])
+        mark, told = flat_lists(batch.column("mark"))
+        rank, row = flat_lists(batch.column("rank"))[0], rows_of(told)
+        opens = np.diff(row, prepend=-1) > 0
+        sure = np.where(opens, rank + 1, np.diff(rank, prepend=0))  # these are at most the mark
+        maybe = np.where(np.append(opens[1:], True), 1, np.diff(rank, append=0))  # these may follow it
+        order, group, runs, final = _sorted_runs(mark, rows_of(begins)[row])
+        mark, heads = mark[order], np.searchsorted(group, np.arange(len(n)))
+        sure, maybe = np.cumsum(sure[order]), np.concatenate([[0], np.cumsum(maybe[order])])
+        sure, maybe = sure - np.append(0, sure)[heads][group], maybe[:-1] - maybe[heads][group]
+        below = maybe[runs]  # an upper bound of the values under each mark
+        low = np.maximum.reduceat(np.where(below <= ((n - 1) // 2)[group], mark, -np.inf), heads)
+        high = np.minimum.reduceat(np.where(sure[final] >= (n // 2 + 1)[group], mark, np.inf), heads)
+        keys = batch.column(key).take(pa.array(begins[:-1]))
+        return pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(low), pa.array(high)], names=[key, "n", "low", "high"])
 
     said = chunks.select(key, F.size(values).cast("long").alias("n"), marks.asNondeterministic()(values).alias("m")).select(key, "n", "m.*")
-    found = cut_lineage(stream_groups(said, [key], [], f"{_field(chunks, key)}, n long, low double, high double", bounds))
-
-    @F.pandas_udf("below long, value array<double>, often array<long>")
-    def inside(series: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, a, b in zip(series, low, high):
-            x = np.asarray(x, float)
-            value, often = np.unique(x[(x >= a) & (x <= b)], return_counts=True)
-            rows.append((int((x < a).sum()), value, often))
-        return pd.DataFrame(rows, columns=["below", "value", "often"])
-
-    def middle(rows: list) -> Iterator[tuple]:
-        n, below = rows[0].n, sum(r.below for r in rows)
-        value, often = (np.concatenate([getattr(r, c) for r in rows]) for c in ("value", "often"))
-        order = np.argsort(value)
-        up_to = np.cumsum(often[order])
-        pick = [value[order][np.searchsorted(up_to, k - below, side="right")] for k in ((n - 1) // 2, n // 2)]
-        yield getattr(rows[0], key), (pick[0] + pick[1]) / 2
+    found = cut_lineage(whole_groups(said, [key], f"{_field(chunks, key)}, n long, low double, high double", bounds))
+
+    @F.arrow_udf("below long, value array<double>, often array<long>")
+    def inside(column: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+        x, begins = flat_lists(column)
+        row, rows = rows_of(begins), np.arange(len(begins))
+        a, b = low.to_numpy()[row], high.to_numpy()[row]
+        below = np.bincount(row[x < a], minlength=len(begins) - 1)
+        near = (x >= a) & (x <= b)
+        order, row, runs, _ = _sorted_runs(x[near], row[near])
+        first, often = np.unique(runs, return_counts=True)
+        told = np.searchsorted(row[first], rows)
+        return pa.StructArray.from_arrays(
+            [pa.array(below), lists(x[near][order][first], told), lists(often, told)], names=["below", "value", "often"]
+        )
+
+    def middle(batch: pa.RecordBatch, begins: np.ndarray) -> pa.RecordBatch:
+        n, below = batch.column("n").to_numpy()[begins[:-1]], np.add.reduceat(batch.column("below").to_numpy(), begins[:-1])
+        value, told = flat_lists(batch.column("value"))
+        order, group, _, _ = _sorted_runs(value, rows_of(begins)[rows_of(told)])
+        value, up_to = value[order], np.concatenate([[0], np.cumsum(flat_lists(batch.column("often"))[0][order])])
+        heads = np.searchsorted(group, np.arange(len(n) + 1))
+        pick = []
+        for k in ((n - 1) // 2, n // 2):
+            at = np.searchsorted(up_to[1:], up_to[heads[:-1]] + k - below, side="right")
+            if ((at < heads[:-1]) | (at >= heads[1:])).any():
+                raise ValueError("a median is not a number")
+            pick.append(value[at])
+        keys = batch.column(key).take(pa.array(begins[:-1]))
+        return pa.RecordBatch.from_arrays([keys, pa.array((pick[0] + pick[1]) / 2)], names=[key, "median"])
 
     near = chunks.select(key, F.col(values).alias("_v")).join(found, key)
     near = near.select(key, "n", inside.asNondeterministic()("_v", "low", "high").alias("i")).select(key, "n", "i.*")
-    return stream_groups(near, [key], [], f"{_field(chunks, key)}, median double", middle)
+    return whole_groups(near, [key], f"{_field(chunks, key)}, median double", middle)
+
+
+def _sorted_runs(value: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Order by group and value, the groups in it, and the first and last place of each one's equals."""
+    order = np.lexsort((value, group))
+    value, group = value[order], group[order]
+    same = (value[1:] == value[:-1]) | (np.isnan(value[1:]) & np.isnan(value[:-1]))
+    first = np.flatnonzero(np.append(True, ~same | (group[1:] != group[:-1])))[: len(value)]
+    often = np.diff(first, append=len(value))
+    return order, group, np.repeat(first, often), np.repeat(first + often - 1, often)
 
 
 # Moving average and cycle reference ----------------------------------------------------
@@ -276,36 +357,50 @@ def moving_average(chunks: DataFrame, size: int, width: int, key: str = "sample_
     )
     piece = f"{_field(chunks, key)}, chunk long, upper boolean, at long, part {VALUES}"
 
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums up to sample t are wanted at t - right as the upper and at t + left as the lower one."""
-        for frame in frames:
-            rows = []
-            for k, chunk, running in zip(frame[key], frame["chunk"], frame["values"]):
-                start = chunk * size + 1
-                if chunk == 0:
-                    running, start = np.concatenate([[0.0], running]), 0
-                for upper, shift in ((True, -right), (False, left)):
-                    begin, end = start + shift, start + shift + len(running)
-                    for target in range(max(begin, 0) // size, (end - 1) // size + 1):
-                        a, b = max(begin, target * size, 0), min(end, (target + 1) * size)
-                        if a < b:
-                            rows.append((k, target, upper, a - target * size, running[a - begin : b - begin]))
-            yield pd.DataFrame(rows, columns=[key, "chunk", "upper", "at", "part"])
-
-    def average(rows: list) -> Iterator[tuple]:
-        row = rows[0]
-        start, n = row.chunk * size, row.length
-        here = np.arange(start, min(start + size, n))
-        ends = {True: row.total + (here + right - n) * row.final, False: (here - left) * row.first}
-        for r in rows:
-            part = r.part[: max(0, len(here) - r.at)]  # sums behind the last sample are wanted by none
-            if len(part):
-                ends[r.upper][r.at : r.at + len(part)] = part
-        yield getattr(row, key), row.chunk, (ends[True] - ends[False]) / width
-
-    sent = sums.select(key, "chunk", "values").mapInPandas(send, piece).join(facts, key)
+        for batch in batches:
+            running, begins = flat_lists(batch.column("values"))
+            chunk, row = batch.column("chunk").to_numpy(), rows_of(begins)
+            t = chunk[row] * size + 1 + np.arange(len(row)) - begins[row]
+            heads = np.flatnonzero(chunk == 0)  # the sum of nothing
+            running, row, t = (np.insert(c, begins[heads], v) for c, v in ((running, 0.0), (row, heads), (t, 0)))
+            for upper, shift in ((True, -right), (False, left)):
+                keep = t + shift >= 0
+                yield _pieces(batch, key, row[keep], (t + shift)[keep], running[keep], size, pa.scalar(upper))
+
+    def average(batch: pa.RecordBatch, begins: np.ndarray) -> pa.RecordBatch:
+        of = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        start, n = of("chunk")[begins[:-1]] * size, of("length")[begins[:-1]]
+        out = np.concatenate([[0], np.cumsum(np.minimum(size, n - start))])
+        group, whole = rows_of(out), begins[:-1][rows_of(out)]
+        here = start[group] + np.arange(len(group)) - out[group]
+        ends = {True: of("total")[whole] + (here + right - n[group]) * of("final")[whole], False: (here - left) * of("first")[whole]}
+        part, told = flat_lists(batch.column("part"))
+        row = rows_of(told)
+        place, target = of("at")[row] + np.arange(len(row)) - told[row], rows_of(begins)[row]
+        inner = place < np.diff(out)[target]  # sums behind the last sample are wanted by none
+        for upper, end in ends.items():
+            take = inner & (of("upper")[row] == upper)
+            end[out[target[take]] + place[take]] = part[take]
+        keys = [batch.column(c).take(pa.array(begins[:-1])) for c in (key, "chunk")]
+        return pa.RecordBatch.from_arrays([*keys, lists((ends[True] - ends[False]) / width, out)], names=[key, "chunk", "values"])
+
+    sent = sums.select(key, "chunk", "values").mapInArrow(send, piece).join(facts, key)
     sent = sent.where(F.col("chunk") * size < F.col("length"))
-    return stream_groups(sent, [key, "chunk"], [], f"{_field(chunks, key)}, chunk long, values {VALUES}", average)
+    return whole_groups(sent, [key, "chunk"], f"{_field(chunks, key)}, chunk long, values {VALUES}", average)
+
+
+def _pieces(batch: pa.RecordBatch, key: str, row: np.ndarray, at: np.ndarray, x: np.ndarray, size: int, upper: pa.Scalar | None = None) -> pa.RecordBatch:
+    """Samples of the batch's rows with their new places, as key, chunk, (upper,) at, part: a piece is
+    consecutive samples of one row for one chunk."""
+    target = at // size
+    cut = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(target) != 0) | (np.diff(at) != 1)))[: len(row)]
+    columns = {key: batch.column(key).take(pa.array(row[cut])), "chunk": pa.array(target[cut])}
+    if upper is not None:
+        columns["upper"] = pa.repeat(upper, len(cut))
+    columns |= {"at": pa.array((at - target * size if upper is not None else at)[cut]), "part": lists(x, np.append(cut, len(row)))}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def zero_crossings(chunks: DataFrame, size: int, key: str = "sample_id") -> DataFrame:
@@ -313,15 +408,16 @@ def zero_crossings(chunks: DataFrame, size: int, key: str = "sample_id") -> Data
     edges = chunks.select(key, (F.col("chunk") + 1).alias("chunk"), F.element_at("values", -1).alias("_last"))
     joined = chunks.select(key, "chunk", "values").join(edges, [key, "chunk"], "left")
 
-    @F.pandas_udf("pos array<long>, rising array<boolean>")
-    def cross(series: pd.Series, before: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, b in zip(series, before):
-            x = np.asarray(x) if pd.isna(b) else np.concatenate([[b], x])
-            up, down = kernels.crossings(x)
-            at = np.concatenate([up, down]) - (0 if pd.isna(b) else 1)
-            rows.append((at, np.arange(len(at)) < len(up)))
-        return pd.DataFrame(rows, columns=["pos", "rising"])
+    @F.arrow_udf("pos array<long>, rising array<boolean>")
+    def cross(values: pa.Array, last: pa.Array) -> pa.Array:
+        x, begins = flat_lists(values)
+        row = rows_of(begins)
+        before = np.append(np.nan, x[:-1])[: len(x)]
+        before[begins[:-1]] = last.to_numpy(zero_copy_only=False)  # not a number, thus no crossing, for the first chunk
+        up, down = (before <= 0) & (x > 0), (before >= 0) & (x < 0)
+        at = np.flatnonzero(up | down)
+        told = np.searchsorted(row[at], np.arange(len(begins)))
+        return pa.StructArray.from_arrays([lists(at - begins[row[at]], told), lists(up[at], told)], names=["pos", "rising"])
 
     found = joined.select(key, "chunk", cross.asNondeterministic()("values", "_last").alias("c"))
     rows = found.select(key, "chunk", F.explode(F.arrays_zip("c.pos", "c.rising")).alias("e"))
@@ -387,19 +483,15 @@ def roll(chunks: DataFrame, size: int, origins: DataFrame, length: int, key: str
     A chunk is sent in at most three pieces; signals without an origin are left out."""
     moved = chunks.join(origins.where("origin IS NOT NULL").select(key, F.col("origin").cast("long").alias("_o")), key)
 
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, chunk, origin, x in zip(frame[key], frame["chunk"], frame["_o"], frame["values"]):
-                at = np.arange(chunk * size, chunk * size + len(x)) - origin
-                at[at < 0] += length
-                target = at // size
-                cuts = np.flatnonzero(np.diff(target, prepend=-1) | (np.diff(at, prepend=at[0] - 1) != 1))
-                for a, b in zip(cuts, [*cuts[1:], len(x)]):
-                    rows.append((k, int(target[a]), int(at[a]), x[a:b]))
-            yield pd.DataFrame(rows, columns=[key, "chunk", "at", "part"])
-
-    sent = moved.select(key, "chunk", "_o", "values").mapInPandas(send, f"{_field(chunks, key)}, chunk long, at long, part {VALUES}")
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, begins = flat_lists(batch.column("values"))
+            row = rows_of(begins)
+            at = (batch.column("chunk").to_numpy() * size - batch.column("_o").to_numpy() - begins[:-1])[row] + np.arange(len(row))
+            at[at < 0] += length
+            yield _pieces(batch, key, row, at, x, size)
+
+    sent = moved.select(key, "chunk", "_o", "values").mapInArrow(send, f"{_field(chunks, key)}, chunk long, at long, part {VALUES}")
     pieces = F.array_sort(F.collect_list(F.struct("at", "part")))  # of one chunk
     return sent.groupBy(key, "chunk").agg(F.flatten(F.transform(pieces, lambda p: p["part"])).alias("values"))
 
@@ -420,7 +512,7 @@ def local_maxima(chunks: DataFrame, size: int, key: str = "sample_id") -> DataFr
             x, begins = flat_lists(batch.column("values"))
             if not len(x):
                 continue
-            row = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+            row = rows_of(begins)
             opens = np.diff(row, prepend=-1) > 0
             first = np.flatnonzero(opens | np.append(True, x[1:] != x[:-1]))  # of each run of equal samples of a chunk
             end = np.append(first[1:], len(x)) - 1
@@ -507,9 +599,13 @@ def highpass_events(
     spread = centred.join(exact_medians(centred, key), key).withColumn("values", F.transform("values", lambda x: F.abs(x - F.col("median"))))
     robust = exact_medians(cut_lineage(spread.drop("median")), key)
 
-    @F.pandas_udf("n double, mean double, m2 double")
-    def moments(series: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(float(len(x)), np.mean(x), float(np.var(x) * len(x))) for x in series], columns=["n", "mean", "m2"])
+    @F.arrow_udf("n double, mean double, m2 double")
+    def moments(values: pa.Array) -> pa.Array:
+        x, begins = flat_lists(values)
+        n = np.diff(begins).astype(float)
+        mean = np.add.reduceat(x, begins[:-1]) / n
+        apart = x - mean[rows_of(begins)]
+        return pa.StructArray.from_arrays([pa.array(c) for c in (n, mean, np.add.reduceat(apart * apart, begins[:-1]))], names=["n", "mean", "m2"])
 
     parts = cut_lineage(centred.select(key, moments.asNondeterministic()("values").alias("m")).select(key, "m.*"))
     totals = parts.groupBy(key).agg(F.sum("n").alias("n_all"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))

@@ -1,14 +1,17 @@
-"""Table functions and joins over samples and events that need not fit one array."""
+"""Streams and joins of samples and events that need not fit one array."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from sigloom.functions import kernels
+from sigloom.functions.batches import changes, flat_lists
 from sigloom.operators.chunks import _bases
 from sigloom.operators.pulses import match_candidates
 from sigloom.session import cut_lineage
@@ -66,40 +69,52 @@ class PeakStream:
         yield from zip(pos[alive].tolist(), height[alive].tolist())
 
 
-def peak_function(key_type: str, distance: int, noise_share: float):
-    """A table function (PARTITION BY key, ORDER BY place): rows of key, place, values (one number or an
-    array of consecutive ones) and noise become rows of key, pos, score."""
-
-    @F.udtf(returnType=f"key {key_type}, pos int, score double")
-    class StreamPeaks:
-        def __init__(self) -> None:
-            self.stream, self.key, self.noise = PeakStream(), None, 0.0
-
-        def eval(self, row: Row):
-            self.key, self.noise = row["key"], row["noise"]
-            values = row["values"]
-            self.stream.add(values if isinstance(values, (list, tuple, np.ndarray)) else [values])
-
-        def terminate(self):
-            for pos, score in self.stream.peaks(distance, noise_share * self.noise):
-                yield self.key, pos, score
-
-    return StreamPeaks
-
-
 def stream_peaks(
     rows: DataFrame, place: str, values: str, noise: DataFrame | None = None, distance: int = 1, noise_share: float = 0.0, key: str = "sample_id"
 ) -> DataFrame:
     """key, pos, score: the peaks of every signal (as ``pulses.find_peaks``) from rows of samples or of
     chunks in the order of ``place``. ``noise``: key, noise, of which a peak's prominence is at least
-    ``noise_share`` times. A signal streams through one function call and is never held as an array."""
+    ``noise_share`` times. A signal streams through a task, a batch of rows at a time, and is never held
+    as an array."""
     named = rows.select(F.col(key).alias("key"), F.col(place).alias("place"), F.col(values).alias("values"))
     if noise is None:
         named = named.withColumn("noise", F.lit(0.0))
     else:
         named = named.join(noise.select(F.col(key).alias("key"), "noise"), "key")
-    function = peak_function(rows.schema[key].dataType.simpleString(), distance, noise_share)
-    return function(named.asTable().partitionBy("key").orderBy("place")).withColumnRenamed("key", key)
+    chunked = isinstance(rows.schema[values].dataType, ArrayType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, held, least, found = None, None, 0.0, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column, share = batch.column("values"), batch.column("noise").to_numpy(zero_copy_only=False)
+            x, begins = flat_lists(column) if chunked else (column.to_numpy(zero_copy_only=False), np.arange(len(column) + 1))
+            cuts = np.append(np.flatnonzero(changes(batch, ["key"])), batch.num_rows).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                now = batch.column("key")[a].as_py()
+                if stream is None or now != held:
+                    if stream is not None:
+                        found += [(held, *peak) for peak in stream.peaks(distance, least)]
+                    stream, held = PeakStream(), now
+                stream.add(x[begins[a] : begins[b]])
+                least = noise_share * share[b - 1]
+            if found:
+                yield _peak_rows(found, batch.schema.field("key").type)
+                found = []
+        if stream is not None:
+            found = [(held, *peak) for peak in stream.peaks(distance, least)]
+            if found:
+                yield _peak_rows(found, batch.schema.field("key").type)
+
+    kind = rows.schema[key].dataType.simpleString()
+    placed = named.repartition("key").sortWithinPartitions("key", "place")
+    return placed.mapInArrow(run, f"key {kind}, pos int, score double").withColumnRenamed("key", key)
+
+
+def _peak_rows(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    keys, pos, score = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(pos, pa.int32()), pa.array(score, pa.float64())], names=["key", "pos", "score"])
 
 
 def match_event_tables(

@@ -180,3 +180,18 @@ def test_maxima_make_no_frame_for_a_chunk(spark, signals, monkeypatch):
     monkeypatch.setattr(ch.pd, "DataFrame", None)
     rows = sum(out.num_rows for out in found[0][0](iter([batch])))
     assert rows >= 2 * len(signals)
+
+
+def test_streams_take_a_signal_of_a_batch_at_once(spark, signals, monkeypatch):
+    """Not a call for each sample; a signal goes on in the next batch."""
+    rows = ch.samples(ch.cut_signals(frame(spark, signals), 64), 64)
+    want = {(k, p): s for k, v in signals.items() for p, s in zip(kernels.local_maxima(v).tolist(), v[kernels.local_maxima(v)])}
+    assert {(r[0], r[1]): r[2] for r in st.stream_peaks(rows, "pos", "value").collect()} == want
+    found, calls, add = [], [], st.PeakStream.add
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema, *a, **k: found.append(f) or self.sparkSession.createDataFrame([], schema))
+    monkeypatch.setattr(st.PeakStream, "add", lambda self, x: calls.append(len(x)) or add(self, x))
+    st.stream_peaks(rows, "pos", "value")
+    table = rows.orderBy("sample_id", "pos").selectExpr("sample_id AS key", "pos AS place", "value AS values", "0D AS noise").toArrow()
+    out = [r for b in found[0](iter(table.combine_chunks().to_batches(max_chunksize=150))) for r in b.to_pylist()]
+    assert {(r["key"], r["pos"]): r["score"] for r in out} == want
+    assert sum(calls) == 4000 and len(calls) <= len(signals) + 4000 // 150 + 1
