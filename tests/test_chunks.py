@@ -195,3 +195,16 @@ def test_streams_take_a_signal_of_a_batch_at_once(spark, signals, monkeypatch):
     out = [r for b in found[0](iter(table.combine_chunks().to_batches(max_chunksize=150))) for r in b.to_pylist()]
     assert {(r["key"], r["pos"]): r["score"] for r in out} == want
     assert sum(calls) == 4000 and len(calls) <= len(signals) + 4000 // 150 + 1
+
+
+def test_rows_of_a_batch_go_through_a_recursion_together():
+    rng = np.random.default_rng(4)
+    _, poles, residues = kernels._highpass_branches(3, 900.0, 20_000.0)
+    for recursion in (ch.Recursion(1.0, (0.9,), (0.1,)), ch.Recursion(0.5, poles, residues, steady=True)):
+        for n in (1, 7, 300, ch.PIECE + 5):
+            x = rng.normal(size=(4, n))
+            start = recursion.starts(x[:, 0])
+            each = [[kernels.first_order(row, complex(p), complex(r), s) for p, r, s in zip(recursion.poles, recursion.residues, at)] for row, at in zip(x, start)]
+            np.testing.assert_allclose(recursion.branches(x, start), np.sum(each, axis=1).real, atol=1e-9)
+            ends = [[kernels.first_order(row, complex(p), complex(r))[-1] for p, r in zip(recursion.poles, recursion.residues)] for row in x]
+            np.testing.assert_allclose(recursion.ends(x), ends, atol=1e-9)
