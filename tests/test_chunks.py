@@ -208,3 +208,19 @@ def test_rows_of_a_batch_go_through_a_recursion_together():
             np.testing.assert_allclose(recursion.branches(x, start), np.sum(each, axis=1).real, atol=1e-9)
             ends = [[kernels.first_order(row, complex(p), complex(r))[-1] for p, r in zip(recursion.poles, recursion.residues)] for row in x]
             np.testing.assert_allclose(recursion.ends(x), ends, atol=1e-9)
+
+
+def test_groups_come_many_at_a_time_and_whole(spark, monkeypatch):
+    import pyarrow as pa
+
+    from sigloom.functions import batches
+
+    df, found, calls = spark.createDataFrame([], "k string, v long"), [], []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema, *a, **k: found.append(f) or self)
+    batches.whole_groups(df, ["k"], "k string", lambda b, begins: calls.append((b, begins.tolist())) or b)
+    keys = ["a"] * 3 + [None] * 2 + ["b"] * 9 + [*"cdefg"]
+    table = pa.table({"k": keys, "v": list(range(len(keys)))})
+    got = [r for b in found[0](iter(table.to_batches(max_chunksize=4))) for r in b.to_pylist()]
+    assert [r["v"] for r in got] == list(range(len(keys)))
+    groups = [b.column("k")[a].as_py() for b, begins in calls for a in begins[:-1]]
+    assert groups == ["a", None, "b", *"cdefg"] and len(calls) < len(groups)
