@@ -439,9 +439,8 @@ TIED_EVENTS = EVENTS.replace("arg_min(rank, (-b, rank)) + 1", "min(rank) FILTER
 
 def candidates(spark, sf):
     """Every local maximum of the flattened signal as an event row, unranked."""
-    d = pu.detect_pulses(sig(spark, sf), POLICY).where("cycle.success")
-    rows = d.select("sample_id", F.explode(pu.find_peaks(F.transform("flattened", F.abs))).alias("p"))
-    return rows.select("sample_id", (F.col("p.pos") >= 32).cast("int").alias("half"), F.col("p.pos").alias("pos"), F.col("p.score").alias("amplitude"))
+    rows = pu.pulse_candidates(sig(spark, sf), POLICY)
+    return rows.select("sample_id", (F.col("pos") >= 32).cast("int").alias("half"), "pos", "amplitude")
 
 
 @query(
