@@ -23,14 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.store import map_shared, shared_path, stored, write_shared
+from sigloom.llm.store import drop, map_shared, shared_path, stored, write_shared
 from sigloom.llm.text import chunks, mix, seeds, utf8, word_hashes
 
 _U = np.uint64
 START, END = _U(1), _U(2)
 #: Bytes of text for each shard, and tokens that a task counts before it sends them on.
 SHARD_BYTES, FLUSH = 8 << 20, 1_200_000
-BUCKETS = 256
+#: Least number of buckets of an array file, and keys from which on it has 256 times as many.
+BUCKETS, MANY = 256, 1 << 18
 #: Array files that a worker keeps mapped; a process may have some 65,000 maps.
 MAPS = 16_384
 _FACTORS = seeds(16, 41)
@@ -177,76 +178,112 @@ def _arrays(data: np.ndarray, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-def _keyed(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the 40-bit keys of 48-bit codes, offsets of their 256 buckets, and their lower 32 bits."""
+def _keyed(code: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Order of the 40-bit keys of 48-bit codes, and an index of them: where the buckets begin and what
+    of a key the bucket does not tell, in planes of bytes. Many keys have 2**16 buckets, counted from
+    every 256th on, and 24 bits left; few keys have 256 buckets and 32 bits left."""
     key = gram_key(code)
     order = np.argsort(key)
     key = key[order]
-    return order, np.searchsorted(key >> _U(32), np.arange(BUCKETS + 1)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.uint32)
+    steps = np.searchsorted(key >> _U(32), np.arange(BUCKETS + 1)).astype(np.int64)
+    rest = (key & _U(0xFFFFFFFF)).astype(np.uint32)
+    within, top = np.zeros(0, np.uint16), (rest >> 24).astype(np.uint8)
+    if len(key) >= MANY and np.diff(steps).max() < 1 << 16:
+        begins = np.searchsorted(key >> _U(24), np.arange(BUCKETS * 256 + 1))
+        within, top = (begins - np.repeat(steps, 256)[: len(begins)]).astype(np.uint16), np.zeros(0, np.uint8)
+    return order, [steps, within, (rest & 0xFFFF).astype(np.uint16), (rest >> 16 & 0xFF).astype(np.uint8), top]
 
 
 def gram_file(code: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys of n-grams; counts in a byte, those of 255 and more apart."""
-    order, offsets, low = _keyed(code)
+    """Sorted keys of n-grams; two counts in a byte, those of 15 and more apart."""
+    order, index = _keyed(code)
     counts = counts[order]
-    large = np.flatnonzero(counts >= 255)
-    return _array_file(offsets, low, np.minimum(counts, 255).astype(np.uint8), large, counts[large].astype(np.int64))
+    large = np.flatnonzero(counts >= 15)
+    small = np.append(np.minimum(counts, 15).astype(np.uint8), np.zeros(len(counts) % 2, np.uint8))
+    return _array_file(*index, small[::2] | small[1::2] << 4, large.astype(np.uint32), counts[large].astype(np.int64))
 
 
-def _kinds(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The few different rows of some columns of counts, and which of them each row is, in 16 bits and 8 more."""
+def _kinds(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The few different rows of some columns of counts, and which of them each row is: a byte for the
+    most frequent ones, 255 for the others, whose places and numbers stand apart."""
     which = np.zeros(len(columns[0]), np.int64)
     for c in columns:
         values, code = np.unique(c, return_inverse=True)
         which = np.unique(which * len(values) + code, return_inverse=True)[1]
-    first = np.zeros(which.max(initial=-1) + 1, np.int64)
+    often = np.argsort(-np.bincount(which), kind="stable")
+    which = np.argsort(often)[which]
+    first = np.zeros(len(often), np.int64)
     first[which] = np.arange(len(which))
-    above = (which >> 16).astype(np.uint8) if len(first) > 1 << 16 else np.zeros(0, np.uint8)
-    return (which & 0xFFFF).astype(np.uint16), above, [c[first].astype(np.int64) for c in columns]
+    far = np.flatnonzero(which >= 255)
+    return np.minimum(which, 255).astype(np.uint8), far.astype(np.uint32), which[far].astype(np.uint32), [c[first].astype(np.int64) for c in columns]
 
 
-def _kind(at: np.ndarray, which: np.ndarray, above: np.ndarray) -> np.ndarray:
-    return which[at].astype(np.int64) + ((above[at].astype(np.int64) << 16) if len(above) else 0)
+def _kind(at: np.ndarray, which: np.ndarray, far: np.ndarray, number: np.ndarray) -> np.ndarray:
+    out = which[at].astype(np.int64)
+    apart = np.flatnonzero(out == 255)
+    out[apart] = number[np.searchsorted(far, at[apart].astype(np.uint32))]
+    return out
 
 
 def context_file(code: np.ndarray, sums: list[np.ndarray]) -> bytes:
     """Sorted keys of contexts; each names its sums: the total, and the n-grams that count 1, 2, and more."""
-    order, offsets, low = _keyed(code)
-    which, above, kinds = _kinds(*[x[order] for x in sums])
-    return _array_file(offsets, low, which, above, *kinds)
+    order, index = _keyed(code)
+    *which, kinds = _kinds(*[x[order] for x in sums])
+    return _array_file(*index, *which, *kinds)
 
 
-GRAMS = (np.int64, np.uint32, np.uint8, np.int64, np.int64)
-CONTEXTS = (np.int64, np.uint32, np.uint16, np.uint8, np.int64, np.int64, np.int64, np.int64)
-WORDS = (np.uint64, np.uint16, np.uint8, np.int64, np.int64)
+_INDEX = (np.int64, np.uint16, np.uint16, np.uint8, np.uint8)
+GRAMS = (*_INDEX, np.uint8, np.uint32, np.int64)
+CONTEXTS = (*_INDEX, np.uint8, np.uint32, np.uint32, np.int64, np.int64, np.int64, np.int64)
+WORDS = (np.uint64, np.uint8, np.uint32, np.uint32, np.int64, np.int64)
 
 
 def _word_file(words: np.ndarray, seen: np.ndarray, raw: np.ndarray) -> bytes:
-    which, above, kinds = _kinds(seen, raw)
-    return _array_file(words, which, above, *kinds)
+    *which, kinds = _kinds(seen, raw)
+    return _array_file(words, *which, *kinds)
 
 
 def gram_key(code: np.ndarray) -> np.ndarray:
     return mix(code + _U(0x5851F42D4C957F2D)) >> _U(24)
 
 
-def find(offsets: np.ndarray, low: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def find(index: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
     """Place of each of the sorted keys in an array file, -1 where it is absent: all keys halve the
     range of their bucket together."""
-    bucket = (wanted >> _U(32)).astype(np.int64)
-    rest = (wanted & _U(0xFFFFFFFF)).astype(np.uint32)
+    steps, within, low, middle, top = index
     if not len(low) or not len(wanted):
         return np.full(len(wanted), -1, np.int64)
-    start, left = offsets[bucket], np.diff(offsets)[bucket]
-    end = start + left
+    if len(within):
+        bucket = (wanted >> _U(24)).astype(np.int64)
+        start, end = (steps[b >> 8] + within[b] for b in (bucket, bucket + 1))
+    else:
+        bucket = (wanted >> _U(32)).astype(np.int64)
+        start, end = steps[bucket], steps[bucket + 1]
+    rest = (wanted & _U(0xFFFFFF if len(within) else 0xFFFFFFFF)).astype(np.uint32)
+
+    def key(at: np.ndarray) -> np.ndarray:
+        out = low[at] | middle[at].astype(np.uint32) << np.uint32(16)
+        return out | top[at].astype(np.uint32) << np.uint32(24) if len(top) else out
+
+    left = end - start
     for _ in range(int(left.max()).bit_length()):
         half = left >> 1
-        below = low[np.minimum(start + half, len(low) - 1)] < rest
+        below = key(np.minimum(start + half, len(low) - 1)) < rest
         below &= left > 0
         start = np.where(below, start + half + 1, start)
         left = np.where(below, left - half - 1, half)
     there = np.minimum(start, len(low) - 1)
-    return np.where((start < end) & (low[there] == rest), start, -1)
+    return np.where((start < end) & (key(there) == rest), start, -1)
+
+
+def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each different code, in their order, and the place of each row's code among them."""
+    order = np.argsort(code)
+    ranked = code[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])[: len(code)]
+    back = np.empty(len(code), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
 
 
 @dataclass
@@ -393,9 +430,11 @@ def train(docs: DataFrame, order: int = 3) -> Model:
         if number:
             yield from send()
 
-    blobs = texts.mapInArrow(count, "shard int, blob binary")
+    blobs, merged = texts.mapInArrow(count, "shard int, blob binary"), None
     for level in range(order, 0, -1):
-        merged = stored(_merge_level(blobs, model, level), "lm-level")
+        merged, before = stored(_merge_level(blobs, model, level), "lm-level"), merged
+        if before is not None:
+            drop(before)
         s = merged.where("kind = 'stat'").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "types", "total", "tokens")]).first()
         d = model.discounts[level] = discounts(s["n1"], s["n2"], s["n3"], s["n4"])
         if level > 1:
@@ -424,9 +463,9 @@ class Reader:
             self.files[path] = None if data is None else _arrays(data, kinds)
         return self.files[path]
 
-    def _each(self, kind: str, kinds: tuple, shard: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        """Arrays of each shard that is there, and the rows that ask for it."""
-        order = np.argsort(shard, kind="stable")
+    def _each(self, kind: str, kinds: tuple, shard: np.ndarray, key: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """Arrays of each shard that is there, and the rows that ask for it, by their 40-bit keys."""
+        order = np.argsort((shard.astype(np.uint64) << _U(40)) | key)
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
             if (file := self._open(kind, int(shard[order[a]]), kinds)) is not None:
@@ -435,10 +474,11 @@ class Reader:
     def words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lowest-order and raw counts of sorted words, 0 where they are absent."""
         seen, raw = np.zeros(len(words)), np.zeros(len(words))
-        for (known, which, above, n, m), rows in self._each("w", WORDS, code_shard(fold(words[:, None]), self.model.shards)):
+        shard = code_shard(fold(words[:, None]), self.model.shards)
+        for (known, *which, n, m), rows in self._each("w", WORDS, shard, np.arange(len(words), dtype=np.uint64)):
             at = np.minimum(np.searchsorted(known, words[rows]), len(known) - 1)
             hit = known[at] == words[rows]
-            kind = _kind(at[hit], which, above)
+            kind = _kind(at[hit], *which)
             seen[rows[hit]], raw[rows[hit]] = n[kind], m[kind]
         return seen, raw
 
@@ -448,26 +488,27 @@ class Reader:
         key, shard, apart = gram_key(code), code_shard(code, self.model.shards), frequent(words, self.model.hot)
         d = self.model.discounts[level]
         for name, some in ((f"c{level}", np.flatnonzero(~apart)), (f"h{level}", np.flatnonzero(apart))):
-            for (offsets, low, which, above, totals, *ones), rows in self._each(name, CONTEXTS, shard[some]):
-                rows = some[rows]
-                rows = rows[np.argsort(key[rows])]
-                at = find(offsets, low, key[rows])
+            for file, rows in self._each(name, CONTEXTS, shard[some], key[some]):
+                rows, index, which, (totals, *ones) = some[rows], file[:5], file[5:8], file[8:]
+                at = find(index, key[rows])
                 rows, at = rows[at >= 0], at[at >= 0]
-                kind = _kind(at, which, above)
+                kind = _kind(at, *which)
                 total[rows] = totals[kind]
                 rest[rows] = sum(n[kind] * x for n, x in zip(ones, d)) / totals[kind]
         return total, rest
 
-    def gram_counts(self, level: int, words: np.ndarray) -> np.ndarray:
+    def gram_counts(self, level: int, words: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Counts of n-grams (with their codes), 0 where they are absent."""
         out = np.zeros(len(words), np.int64)
-        key = gram_key(fold(words))
-        for (offsets, low, small, large, counts), rows in self._each(f"g{level}", GRAMS, shard_of(words, self.model.shards, self.model.hot)):
-            rows = rows[np.argsort(key[rows])]
-            at = find(offsets, low, key[rows])
+        key = gram_key(code)
+        for file, rows in self._each(f"g{level}", GRAMS, shard_of(words, self.model.shards, self.model.hot), key):
+            index, (pairs, large, counts) = file[:5], file[5:]
+            at = find(index, key[rows])
             rows, at = rows[at >= 0], at[at >= 0]
-            out[rows] = small[at]
-            full = small[at] == 255
-            out[rows[full]] = counts[np.searchsorted(large, at[full])]
+            small = pairs[at >> 1] >> (4 * (at & 1)).astype(np.uint8) & 15
+            out[rows] = small
+            full = np.flatnonzero(small == 15)
+            out[rows[full]] = counts[np.searchsorted(large, at[full].astype(np.uint32))]
         return out
 
     def probabilities(self, line: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -481,11 +522,12 @@ class Reader:
         for level in range(2, m.order + 1):
             rows = grams(line, real, level)
             code = fold(rows)
-            _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-            distinct = rows[first]
-            counts = self.gram_counts(level, distinct)
-            context, first, back = np.unique(fold(distinct[:, :-1]), return_index=True, return_inverse=True)
-            total, rest = self.contexts(level, distinct[first, :-1], context)
+            first, inverse = distinct(code)
+            words = rows[first]
+            counts = self.gram_counts(level, words, code[first])
+            context = fold(words[:, :-1])
+            first, back = distinct(context)
+            total, rest = self.contexts(level, words[first, :-1], context[first])
             total, rest = total[back], rest[back]
             high = np.where(total > 0, np.maximum(counts - discount(counts, m.discounts[level]), 0) / np.maximum(total, 1), 0.0)
             p = high[inverse] + np.where(total > 0, rest, 1.0)[inverse] * p

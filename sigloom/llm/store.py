@@ -32,6 +32,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that no later step reads."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _local(uri: str) -> str | None:
     """The path of a folder that is mounted on every machine; None for other stores."""
     if uri.startswith("file:"):
@@ -61,7 +69,8 @@ def map_shared(uri: str) -> np.ndarray | None:
     """Bytes of a file of the shared folder, mapped and not read; None if there is none. A file
     that cannot be mapped where it is, is mapped from a copy without a name."""
     if path := _local(uri):
-        return np.memmap(path, np.uint8, "r") if os.path.exists(path) else None
+        # as a plain array: slices and look-ups of a memmap cost several times as much
+        return np.asarray(np.memmap(path, np.uint8, "r")) if os.path.exists(path) else None
     fs, path = pafs.FileSystem.from_uri(uri)
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
         return None

@@ -329,3 +329,38 @@ def test_top_k_of_a_shard_with_many_queries_and_mixed_lengths(spark, monkeypatch
     df = spark.createDataFrame(rows, "vec_id long, vec array<long>")
     got = topk.top_k(df, df, k=4, shard_rows=100, block_rows=8).collect()
     assert sorted(map(tuple, got)) == sorted(brute.top_k(rows, rows, 4))
+
+
+def test_array_files_find_every_key_and_count():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, 300, lm.MANY + 5):  # few keys, and so many that 24 bits of each are left
+        code = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        code = code[np.unique(lm.gram_key(code), return_index=True)[1]]
+        counts = rng.choice([1, 2, 14, 15, 16, 255, 1 << 40], len(code))
+        file = np.frombuffer(lm.gram_file(code, counts), np.uint8)
+        *index, pairs, large, apart = lm._arrays(file, lm.GRAMS)
+        key = lm.gram_key(code)
+        ask = np.sort(np.concatenate([key, key ^ np.uint64(1), rng.integers(0, 1 << 40, 50).astype(np.uint64)]))
+        at = lm.find(index, ask)
+        assert ((at >= 0) == np.isin(ask, key)).all() and (np.sort(key)[at[at >= 0]] == ask[at >= 0]).all()
+        # four bytes of a key and one of its count made five bytes before
+        assert n < lm.MANY or len(lm.gram_file(code, np.ones(len(code), np.int64))) < 4.1 * n
+        ranked = counts[np.argsort(key)]
+        small = pairs[np.arange(len(key)) >> 1] >> (4 * (np.arange(len(key)) & 1)).astype(np.uint8) & 15
+        assert (small == np.minimum(ranked, 15)).all() and (large == np.flatnonzero(ranked >= 15)).all() and (apart == ranked[large]).all()
+
+
+def test_more_kinds_of_sums_than_a_byte_tells():
+    rng = np.random.default_rng(2)
+    a, b = rng.geometric(0.01, 20_000), rng.integers(0, 3, 20_000)
+    *which, (first, second) = lm._kinds(a, b)
+    assert len(first) > 500
+    at = rng.permutation(len(a))
+    kind = lm._kind(at, *which)
+    assert (first[kind] == a[at]).all() and (second[kind] == b[at]).all()
+
+
+def test_only_the_last_level_stays_stored(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr("sigloom.llm.store.shared_folder", lambda spark: str(tmp_path))
+    lm.train(documents.select("doc_id", "text"), 3)
+    assert sum("lm-level" in path.name for path in tmp_path.iterdir()) == 1
