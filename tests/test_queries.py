@@ -29,3 +29,21 @@ def test_query(spark, con, name):
 
     problem = compare(spark, con, DATA.format(SF), name, catalog.QUERIES[name], catalog.ORACLES.get(name))
     assert problem is None, problem
+
+
+@pytest.fixture(scope="module")
+def tied(tmp_path_factory):
+    """Signals of which one (641) has two equal bends in its event curve."""
+    folder = str(tmp_path_factory.mktemp("tied"))
+    connect(DATA.format("0.1")).execute(f"COPY (SELECT * FROM embeddings WHERE vec_id BETWEEN 600 AND 680) TO '{folder}/embeddings.parquet'")
+    return folder
+
+
+@pytest.mark.parametrize("threads", [1, 4])
+@pytest.mark.parametrize("name", ["knee_counts", "detect_current", "event_localization", "event_spacing", "cwt_features"])
+def test_equal_bends_do_not_part_query_and_sql(spark, tied, name, threads):
+    from sigloom.plans import catalog
+
+    con = connect(tied)
+    con.execute(f"SET threads = {threads}")
+    assert compare(spark, con, tied, name, catalog.QUERIES[name], catalog.ORACLES[name]) is None
