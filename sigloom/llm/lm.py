@@ -127,7 +127,12 @@ def pack_rows(known: np.ndarray, code: np.ndarray, *counts: np.ndarray) -> bytes
     columns = [np.diff(small[:, 0], prepend=0), *small.T[1:]]
     parts = [_planes(np.diff(known[used], prepend=_U(0)), 8), *[_planes(c, 4) for c in columns], *[_planes(c, 8) for c in counts]]
     head = np.array([len(code), code.shape[1], len(counts), *[len(p) for p in parts]], np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(parts))
+    stream = zstandard.ZstdCompressor(level=3).compressobj(size=head.nbytes + sum(map(len, parts)))
+    out = [stream.compress(head.tobytes())]
+    for part, n in zip(parts, [8, *[4] * len(columns), *[8] * len(counts)]):  # a block for each plane: random bytes and skewed ones are not coded alike
+        for a in range(0, len(part), max(1, len(part) // n)):
+            out += [stream.compress(part[a : a + len(part) // n]), stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)]
+    return b"".join([*out, stream.flush()])
 
 
 def unpack_rows(blob: bytes) -> tuple[np.ndarray, ...]:
