@@ -1,12 +1,14 @@
 """Histogram boosting of many models in the same passes.
 
 Features are cut into bins once. Rows with equal bins and target have equal scores from the first tree
-to the last, so they are folded to one cell with the number of rows that train each model. A pass makes
-one level of the trees of all models: tasks add up gradient, curvature and number of rows by (model,
-node, feature, bin), and these sums are added by (model, node) and searched for the best split. The trees
-of all models stay on the driver: at most 2 * leaves nodes each. Every cell keeps its running score for
-every model, also for those that it does not train, so held-out scores are there when the last tree is;
-rows take them from their cell.
+to the last, so they are folded to one cell with the number of rows that train each model. The cells that
+train a model are dealt out by model, as tiles of at most about ``TILE_CELLS`` cells with the bins of its
+features only. While a tile holds all cells of its model, the task that has it grows all trees without a
+pass, and the models grow beside each other. With more tiles a pass makes one level of the trees of all
+models: tasks add up gradient, curvature and number of rows by (model, node, feature, bin), and these sums
+are added by (model, node) and searched for the best split. The trees of all models come to the driver: at
+most 2 * leaves nodes each. Then every cell is scored by every model, also by those that it does not
+train; rows take the scores of their cell.
 """
 
 from __future__ import annotations
@@ -62,18 +64,23 @@ class Trees:
         nodes = (2 << depth) - 1
         return cls(np.full((models, nodes), -1, np.int32), np.zeros((models, nodes), np.int32), np.zeros((models, nodes)))
 
-    def node_of(self, codes: np.ndarray, levels: int) -> np.ndarray:
-        """Node of every row in the tree of every model."""
-        rows, model = np.arange(len(codes))[:, None], np.arange(len(self.feature))[None, :]
-        node = np.zeros((len(codes), len(self.feature)), np.int32)
-        for _ in range(levels):
-            f = self.feature[model, node]
-            right = codes[rows, np.maximum(f, 0)] > self.bin[model, node]
-            node = np.where(f >= 0, 2 * node + 1 + right, node)
-        return node
+    def values(self, codes: np.ndarray, m: int) -> np.ndarray | float:
+        """What the tree of a model gives for cells; ``codes``: (features, cells)."""
+        return self.value[m].take(self.leaf_of(codes, m))
 
-    def scores(self, codes: np.ndarray, depth: int) -> np.ndarray:
-        return self.value[np.arange(len(self.feature))[None, :], self.node_of(codes, depth)]
+    def leaf_of(self, codes: np.ndarray, m: int) -> np.ndarray | int:
+        """The node at which every cell ends, or 0 if the root was not split."""
+        feature, bins = self.feature[m].tolist(), self.bin[m].astype(np.uint8)
+        ids = np.arange(len(feature), dtype=np.min_scalar_type(len(feature)))
+
+        def below(node: int) -> np.ndarray | int:
+            if feature[node] < 0:
+                return ids[node]
+            left, right = below(2 * node + 1), below(2 * node + 2)
+            # one of both by its bits: a choice by np.where takes several times as long
+            return left ^ ((codes[feature[node]] > bins[node]).view(np.uint8) * (left ^ right))
+
+        return below(0)
 
 
 def codes_of(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
@@ -91,13 +98,20 @@ class Boosted:
     start: np.ndarray
     trees: list[Trees] = field(default_factory=list)
 
+    def totals(self, codes: np.ndarray) -> np.ndarray:
+        """(cells, models): log odds of class 1 for ``codes`` (cells, features)."""
+        columns, total = np.ascontiguousarray(codes.T), np.repeat(self.start[:, None], len(codes), axis=1)
+        for t in self.trees:
+            for m in range(len(total)):
+                total[m] += t.values(columns, m)
+        return np.ascontiguousarray(total.T)
+
     def score(self, df: DataFrame, name: str = "scores") -> DataFrame:
         """Adds the probability of class 1 by every model, as an array."""
 
         @F.pandas_udf("array<double>")
         def run(xs: pd.Series) -> pd.Series:
-            codes = codes_of(np.stack(xs.to_numpy()), self.edges)
-            total = self.start[None, :] + sum(t.scores(codes, self.spec.depth) for t in self.trees)
+            total = self.totals(codes_of(np.stack(xs.to_numpy()), self.edges))
             return pd.Series(list(1 / (1 + np.exp(-total))))
 
         return df.withColumn(name, run(F.array(*[F.col(f).cast("double") for f in self.features])))
@@ -130,24 +144,35 @@ def best_split(sums: np.ndarray, spec: BoostSpec) -> tuple:
     return (float(gain[f, b]), int(f), int(b), *map(float, total), *map(float, left[:, f, b]))
 
 
-def _sums(row: dict, codes: np.ndarray, score: np.ndarray, trees: Trees, level: int, open_nodes: dict, shape: Shape, bins: int):
-    """(model, node) -> sums of the cells of a block that train the model and lie in the node."""
-    models = shape.models
-    y, train = numbers(row, "y", np.float64), numbers(row, "train", np.float64, models)
-    p = 1 / (1 + np.exp(-score))
-    g, h = (p - y[:, None]) * train, p * (1 - p) * train
-    node = trees.node_of(codes, level)
-    for m, nodes in open_nodes.items():
-        place = np.full((2 << level) - 1, -1)
-        place[nodes] = np.arange(len(nodes))
-        rows = np.flatnonzero((train[:, m] > 0) & (place[node[:, m]] >= 0))
-        columns = np.array(shape.columns[m])
-        at = place[node[rows, m]][:, None] * len(columns) + np.arange(len(columns))
-        at = (at * bins + codes[np.ix_(rows, columns)]).ravel()
-        cells, size = (len(nodes), len(columns), bins), len(nodes) * len(columns) * bins
-        parts = [np.bincount(at, np.repeat(w[rows, m], len(columns)), size).reshape(cells) for w in (g, h, train)]
-        for i, number in enumerate(nodes):
-            yield (m, number), np.stack([part[i] for part in parts])
+@dataclass
+class Tile:
+    """Cells that train one model."""
+
+    codes: np.ndarray  # (features of the model, cells)
+    y: np.ndarray
+    count: np.ndarray
+
+    def slopes(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of every cell."""
+        p = 1 / (1 + np.exp(-score))
+        return (p - self.y) * self.count, p * (1 - p) * self.count
+
+    def sums(self, slopes: tuple[np.ndarray, np.ndarray], tree: Trees, m: int, nodes: list[int], bins: int) -> np.ndarray:
+        """(nodes, 3, features, bins): gradient, curvature and rows of the cells in the open ``nodes``."""
+        size = tree.feature.shape[1]
+        begins = np.full(size, -1)
+        begins[nodes] = np.arange(len(nodes)) * bins
+        codes, weights = self.codes, [*slopes, self.count]
+        at = np.broadcast_to(begins.take(tree.leaf_of(codes, m)), self.y.shape)
+        if at.size and at.min() < 0:
+            inside = np.flatnonzero(at >= 0)
+            at, codes, weights = at[inside], [c.take(inside) for c in codes], [w[inside] for w in weights]
+        out = np.empty((len(nodes), 3, len(codes), bins))
+        for f, c in enumerate(codes):
+            cell = at + c
+            for i, w in enumerate(weights):
+                out[:, i, f] = np.bincount(cell, w, len(nodes) * bins).reshape(len(nodes), bins)
+        return out
 
 
 def fit_boosted(
@@ -162,7 +187,6 @@ def fit_boosted(
     shape = blocks.shape
     edges = bin_edges(df, shape.features, spec.bins)
     model = Boosted(spec, shape.features, edges, np.zeros(shape.models))
-    models, depth = shape.models, spec.depth
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,44 +195,23 @@ def fit_boosted(
 
     fields = "part int, block int, rows int, kept binary, y binary, train binary, stop binary, codes binary"
     coded = cut_lineage(blocks.table.mapInArrow(encode, fields))
-    cells, parts = _cells(coded, len(edges), models)
-    start = model.start = _start(cells, models)
+    cells, parts = _cells(coded, len(edges), shape.models)
+    model.start, sizes = _start(cells, shape.models)
+    _grow(cells, model, shape, parts, sizes)
 
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [np.tile(start, (n, 1)).tobytes() for n in batch.column("rows").to_pylist()]
+            scores = [model.totals(numbers(r, "codes", np.uint8, len(edges))).tobytes() for r in rows_of([batch])]
             yield batch.append_column("score", pa.array(scores, pa.binary()))
 
-    fields = CELLS + ", score binary"
-    state = cells.mapInArrow(begin, fields).persist()
-    for number in range(spec.trees):
-        trees = Trees.empty(models, depth)
-        _grow(state, trees, shape, spec, parts)
-        model.trees.append(trees)
-
-        def add(batches: Iterator[pa.RecordBatch], trees: Trees = trees) -> Iterator[pa.RecordBatch]:
-            at = fields.split(", ").index("score binary")
-            for batch in batches:
-                scores = []
-                for r in batch.select(["codes", "score"]).to_pylist():
-                    codes = numbers(r, "codes", np.uint8, len(edges))
-                    scores.append((numbers(r, "score", np.float64, models) + trees.scores(codes, depth)).tobytes())
-                yield batch.set_column(at, "score", pa.array(scores, pa.binary()))
-
-        moved = state.mapInArrow(add, fields)
-        if (number + 1) % spec.checkpoint == 0 or number + 1 == spec.trees:
-            moved = cut_lineage(moved)
-            state.unpersist()
-            state = moved
-        else:
-            state = moved.persist()
-    out = _of_rows(coded, state, blocks, len(edges), name)
+    scored = cut_lineage(cells.select("rows", "codes").mapInArrow(score, "rows int, codes binary, score binary"))
+    out = _of_rows(coded, scored, blocks, len(edges), name)
     return out.withColumn(name, F.transform(name, lambda s: 1 / (1 + F.exp(-s)))), model
 
 
 #: Cells of one block, and blocks of cells: bins and target of each cell, and how many rows train each model.
 CELL_ROWS = 4096
-CELLS = "part int, rows int, codes binary, y binary, train binary"
+CELLS = "part int, block int, rows int, codes binary, y binary, train binary"
 
 
 def fixed(flat: bytes | np.ndarray, width: int) -> pa.Array:
@@ -232,14 +235,14 @@ def _cells(coded: DataFrame, features: int, models: int) -> tuple[DataFrame, int
     placed = folded.repartition(parts, "codes").sortWithinPartitions("codes", "y", "train").withColumn("part", F.spark_partition_id())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # a cell on the border of two batches becomes two, with the same sums
+        for block, batch in enumerate(batches):  # a cell on the border of two batches becomes two, with the same sums
             codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, features)
             y, n = batch.column("y").to_numpy(), batch.column("n").to_numpy()
             train = np.frombuffer(b"".join(batch.column("train").to_pylist()), np.uint8).reshape(-1, models)
             first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]).any(axis=1) | (y[1:] != y[:-1])))
             counts = np.add.reduceat(train * n[:, None].astype(float), first, axis=0)
-            values = [batch.column("part")[0].as_py(), len(first), codes[first].tobytes(), y[first].tobytes(), counts.tobytes()]
-            kinds = [pa.int32()] * 2 + [pa.binary()] * 3
+            values = [batch.column("part")[0].as_py(), block, len(first), codes[first].tobytes(), y[first].tobytes(), counts.tobytes()]
+            kinds = [pa.int32()] * 3 + [pa.binary()] * 3
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [c.split()[0] for c in CELLS.split(", ")])
 
     return cut_lineage(placed.mapInArrow(pack, CELLS)), parts
@@ -265,85 +268,195 @@ def _of_rows(coded: DataFrame, state: DataFrame, blocks: Blocks, features: int,
     return single.join(found, "_codes").select(*blocks.kept.names, name)
 
 
-def _start(coded: DataFrame, models: int) -> np.ndarray:
-    """Log odds of each model's rows; 40 or -40 for rows of one class."""
+def _start(coded: DataFrame, models: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of each model's rows, 40 or -40 for rows of one class; and the cells that train it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, positive = np.zeros(models, np.int64), np.zeros(models, np.int64)
+        n, positive, cells = (np.zeros(models, np.int64) for _ in range(3))
         for r in rows_of(batches):
             train, y = numbers(r, "train", np.float64, models).astype(np.int64), numbers(r, "y", np.float64)
             n += train.sum(axis=0)
             positive += train[y == 1].sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(models), pa.int32()), pa.array(n), pa.array(positive)], ["model", "n", "p"])
+            cells += (train > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(models), pa.int32()), *map(pa.array, (n, positive, cells))], ["model", "n", "p", "cells"])
 
-    rows = coded.select("train", "y").mapInArrow(count, "model int, n long, p long").groupBy("model").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    start = np.full(models, -40.0)
+    rows = coded.select("train", "y").mapInArrow(count, "model int, n long, p long, cells long").groupBy("model").agg(*[F.sum(c).alias(c) for c in ("n", "p", "cells")])
+    start, sizes = np.full(models, -40.0), np.zeros(models, np.int64)
     for r in rows.collect():  # one row per model
         n, p = r["n"], r["p"]
         start[r["model"]] = -40.0 if not p else 40.0 if p == n else math.log(p / (n - p))
-    return start
+        sizes[r["model"]] = r["cells"]
+    return start, sizes
+
+
+#: Cells of a tile, about: a task has the bins of so many cells and some numbers for each.
+TILE_CELLS = 1 << 20
+TILES = "slot int, model int, codes binary, y binary, count binary"
+
+
+def _tiles(cells: DataFrame, shape: Shape, parts: int, sizes: np.ndarray) -> tuple[DataFrame, int, bool]:
+    """(``TILES``, a partition for each; how many; whether every model has but one). Those that take
+    longest come first."""
+    tiles = np.minimum(-(-sizes // TILE_CELLS), parts)
+    cost = sizes / np.maximum(tiles, 1) * [len(c) for c in shape.columns]
+    order = [(m, i) for m in np.argsort(-cost, kind="stable").tolist() for i in range(tiles[m])]
+    slots, features = {where: slot for slot, where in enumerate(order)}, len(shape.features)
+    names = ["slot", "model", "part", "block", "codes", "y", "count"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            codes, y = numbers(r, "codes", np.uint8, features).T, numbers(r, "y", np.float64)
+            train = np.ascontiguousarray(numbers(r, "train", np.float64, shape.models).T)
+            out = []
+            for m, columns in enumerate(shape.columns):
+                rows = np.flatnonzero(train[m])
+                if len(rows):
+                    slot = slots[m, r["part"] * int(tiles[m]) // parts]
+                    out.append((slot, m, r["part"], r["block"], codes[np.ix_(columns, rows)].tobytes(), y[rows].tobytes(), train[m, rows].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i < 4 else pa.binary()) for i, c in enumerate(zip(*out))], names)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(rows_of(batches))
+        if held:
+            codes = np.concatenate([numbers(r, "codes", np.uint8).reshape(len(shape.columns[r["model"]]), -1) for r in held], axis=1)
+            values = [held[0]["slot"], held[0]["model"], codes.tobytes(), *(b"".join(r[c] for r in held) for c in ("y", "count"))]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if i < 2 else pa.binary()) for i, v in enumerate(values)], [c.split()[0] for c in TILES.split(", ")])
+
+    dealt = cells.mapInArrow(deal, "slot int, model int, part int, block int, codes binary, y binary, count binary")
+    placed = dealt.repartitionById(max(1, len(order)), "slot").sortWithinPartitions("slot", "part", "block")
+    return placed.mapInArrow(join, TILES), len(order), bool((tiles <= 1).all())
+
+
+def _tile(row: dict) -> Tile:
+    y = numbers(row, "y", np.float64)
+    return Tile(numbers(row, "codes", np.uint8).reshape(-1, len(y)), y, numbers(row, "count", np.float64))
+
+
+def _grow(cells: DataFrame, model: Boosted, shape: Shape, parts: int, sizes: np.ndarray) -> None:
+    """Append all trees to ``model``."""
+    tiles, number, whole = _tiles(cells, shape, parts, sizes)
+    grown = _grow_alone(tiles, model, shape) if whole else _grow_by_level(tiles, model, shape, number)
+    for trees in grown:  # places among the features of a model become those among all
+        for m, columns in enumerate(shape.columns):
+            trees.feature[m] = np.where(trees.feature[m] >= 0, np.array(columns)[np.maximum(trees.feature[m], 0)], -1)
+        model.trees.append(trees)
+
+
+def _grow_alone(tiles: DataFrame, model: Boosted, shape: Shape) -> list[Trees]:
+    """All trees of a model in the task that has its tile."""
+    spec, start = model.spec, model.start
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            tile, trees = _tile(r), [Trees.empty(1, spec.depth) for _ in range(spec.trees)]
+            score = np.full(len(tile.y), start[r["model"]])
+            for tree in trees:
+                slopes, nodes, leaves = tile.slopes(score), [0], 1
+                for _ in range(spec.depth):
+                    sums = tile.sums(slopes, tree, 0, nodes, spec.bins)
+                    nodes, leaves = split_nodes(tree, 0, [(n, *best_split(s, spec)) for n, s in zip(nodes, sums)], leaves, spec)
+                    if not nodes:
+                        break
+                score += tree.values(tile.codes, 0)
+            values = [np.stack([getattr(t, c)[0] for t in trees]).tobytes() for c in ("feature", "bin", "value")]
+            yield pa.RecordBatch.from_arrays([pa.array([r["model"]], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], ["model", "feature", "bin", "value"])
+
+    out = [Trees.empty(shape.models, spec.depth) for _ in range(spec.trees)]
+    for r in tiles.mapInArrow(run, "model int, feature binary, bin binary, value binary").collect():  # one row per model
+        for c, kind in (("feature", np.int32), ("bin", np.int32), ("value", np.float64)):
+            for tree, row in zip(out, np.frombuffer(r[c], kind).reshape(spec.trees, -1)):
+                getattr(tree, c)[r["model"]] = row
+    return out
+
+
+def _grow_by_level(tiles: DataFrame, model: Boosted, shape: Shape, number: int) -> Iterator[Trees]:
+    """The trees of all models level by level, a pass over ``number`` tiles for each."""
+    spec, start = model.spec, model.start
+    fields = TILES + ", score binary"
 
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [np.full(len(numbers(r, "y", np.float64)), start[r["model"]]).tobytes() for r in rows_of([batch])]
+            yield batch.append_column("score", pa.array(scores, pa.binary()))
 
-def _grow(state: DataFrame, trees: Trees, shape: Shape, spec: BoostSpec, partitions: int) -> None:
+    state = cut_lineage(tiles.mapInArrow(begin, fields))
+    for tree in range(spec.trees):
+        trees = Trees.empty(shape.models, spec.depth)
+        _levels(state, trees, shape, spec, number)
+
+        def add(batches: Iterator[pa.RecordBatch], trees: Trees = trees) -> Iterator[pa.RecordBatch]:
+            at = fields.split(", ").index("score binary")
+            for batch in batches:
+                scores = [(numbers(r, "score", np.float64) + trees.values(_tile(r).codes, r["model"])).tobytes() for r in rows_of([batch])]
+                yield batch.set_column(at, "score", pa.array(scores, pa.binary()))
+
+        moved = state.mapInArrow(add, fields)
+        if (tree + 1) % spec.checkpoint == 0:
+            moved = cut_lineage(moved)
+            state.unpersist()
+            state = moved
+        else:
+            state = moved.persist()
+        yield trees
+    state.unpersist()
+
+
+def split_nodes(trees: Trees, m: int, found: list[tuple], leaves: int, spec: BoostSpec) -> tuple[list[int], int]:
+    """Split open nodes of a model; ``found``: node, then ``best_split`` of each. (Nodes that are open
+    now, leaves.)"""
+    nodes = []
+    for node, _, _, _, g, h, *_ in found:
+        if node == 0:
+            trees.value[m, 0] = -spec.rate * g / (h + spec.l2 + 1e-300)
+    useful = sorted((r for r in found if r[1] > 1e-12), key=lambda r: (-r[1], r[0]))
+    for node, _, feature, at, g, h, n, left_g, left_h, left_n in useful[: spec.leaves - leaves]:
+        trees.feature[m, node], trees.bin[m, node] = feature, at
+        for child, cg, ch, cn in ((2 * node + 1, left_g, left_h, left_n), (2 * node + 2, g - left_g, h - left_h, n - left_n)):
+            trees.value[m, child] = -spec.rate * cg / (ch + spec.l2 + 1e-300)
+            if cn >= 2 * spec.min_rows:
+                nodes.append(child)
+        leaves += 1
+    return ([] if leaves >= spec.leaves else sorted(nodes)), leaves
+
+
+def _levels(state: DataFrame, trees: Trees, shape: Shape, spec: BoostSpec, tiles: int) -> None:
     """Fill ``trees``, one pass for each level."""
     open_nodes = {m: [0] for m in range(shape.models)}
     leaves = dict.fromkeys(open_nodes, 1)
-    names = [c.split()[0] for c in _BEST.split(", ")]
-    for level in range(spec.depth):
-        now = {m: list(n) for m, n in open_nodes.items()}
+    for _ in range(spec.depth):
 
-        def histograms(batches: Iterator[pa.RecordBatch], level: int = level, now: dict = now) -> Iterator[pa.RecordBatch]:
-            total: dict[tuple[int, int], np.ndarray] = {}
-            part = 0
+        def histograms(batches: Iterator[pa.RecordBatch], now: dict = open_nodes) -> Iterator[pa.RecordBatch]:
             for r in rows_of(batches):
-                part = r["part"]
-                codes, score = numbers(r, "codes", np.uint8, len(shape.features)), numbers(r, "score", np.float64, shape.models)
-                for where, sums in _sums(r, codes, score, trees, level, now, shape, spec.bins):
-                    total[where] = total[where] + sums if where in total else sums
-            if total:
-                model, node = zip(*total)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(model, pa.int32()), pa.array(node, pa.int32()), pa.array([part] * len(total), pa.int32()),
-                        pa.array([s.tobytes() for s in total.values()], pa.binary()),
-                    ],
-                    ["model", "node", "part", "sums"],
-                )
+                m = r["model"]
+                if m in now:
+                    tile = _tile(r)
+                    sums = tile.sums(tile.slopes(numbers(r, "score", np.float64)), trees, m, now[m], spec.bins)
+                    values = [[m] * len(now[m]), now[m], [r["slot"]] * len(now[m])]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(v, pa.int32()) for v in values), pa.array([s.tobytes() for s in sums], pa.binary())], ["model", "node", "part", "sums"]
+                    )
 
         def best(rows: list) -> Iterator[tuple]:
             columns = len(shape.columns[rows[0].model])
             sums = sum(np.frombuffer(r.sums).reshape(3, columns, spec.bins) for r in rows)
             yield rows[0].model, rows[0].node, *best_split(sums, spec)
 
-        needed = state.select("part", "y", "train", "codes", "score")
-        parts = needed.mapInArrow(histograms, "model int, node int, part int, sums binary")
-        if partitions * sum(len(n) * len(shape.columns[m]) for m, n in now.items()) <= DIRECT_COLUMNS:
+        parts = state.mapInArrow(histograms, "model int, node int, part int, sums binary")
+        per_model = -(-tiles // shape.models)
+        if per_model * sum(len(n) * len(shape.columns[m]) for m, n in open_nodes.items()) <= DIRECT_COLUMNS:
             rows = sorted(parts.collect(), key=lambda r: (r.model, r.node, r.part))
-            split = [best(list(g)) for _, g in groupby(rows, key=lambda r: (r.model, r.node))]
-            found = [dict(zip(names, s)) for one in split for s in one]
+            found = [tuple(s) for _, g in groupby(rows, key=lambda r: (r.model, r.node)) for s in best(list(g))]
         else:
             found = stream_groups(parts, ["model", "node"], ["part"], _BEST, best, reducers(shape.models)).collect()  # a row per open node
-        open_nodes = {}
         by_model: dict[int, list] = {}
-        for r in found:
-            by_model.setdefault(r["model"], []).append(r)
+        for m, *split in sorted(tuple(r) for r in found):
+            by_model.setdefault(m, []).append(tuple(split))
+        open_nodes = {}
         for m, rows in by_model.items():
-            for r in rows:
-                if r["node"] == 0:
-                    trees.value[m, 0] = -spec.rate * r["g"] / (r["h"] + spec.l2 + 1e-300)
-            useful = sorted((r for r in rows if r["gain"] > 1e-12), key=lambda r: (-r["gain"], r["node"]))
-            for r in useful[: spec.leaves - leaves[m]]:
-                node = r["node"]
-                trees.feature[m, node], trees.bin[m, node] = shape.columns[m][r["feature"]], r["bin"]
-                for child, g, h in ((2 * node + 1, r["left_g"], r["left_h"]), (2 * node + 2, r["g"] - r["left_g"], r["h"] - r["left_h"])):
-                    trees.value[m, child] = -spec.rate * g / (h + spec.l2 + 1e-300)
-                for child, n in ((2 * node + 1, r["left_n"]), (2 * node + 2, r["n"] - r["left_n"])):
-                    if n >= 2 * spec.min_rows:
-                        open_nodes.setdefault(m, []).append(child)
-                leaves[m] += 1
-            open_nodes[m] = sorted(open_nodes.get(m, []))
-            if not open_nodes[m] or leaves[m] >= spec.leaves:
-                del open_nodes[m]
+            nodes, leaves[m] = split_nodes(trees, m, rows, leaves[m], spec)
+            if nodes:
+                open_nodes[m] = nodes
         if not open_nodes:
             return
 

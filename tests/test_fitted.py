@@ -248,3 +248,27 @@ def test_tasks_hold_several_blocks_of_a_large_table(spark):
     assert blocks.parts == 94 and blocks.table.agg(F.sum("rows")).first()[0] == 3000
     got = model_moments(blocks)[0]
     assert (got["n"], got["p"], got["mean"][0]) == (1000, 500, pytest.approx(1498.5))
+
+
+def test_trees_of_a_model_in_one_tile_take_no_passes(spark, monkeypatch):
+    """More trees start no more jobs; the passes over several tiles give the same scores."""
+    df = frame(spark, rows(400, 4))
+    fits = [Fit(tuple(FEATURES), F.col("fold") != 0), Fit(("c", "a"), F.lit(True)), Fit(("b",), F.col("target") == 1), Fit(("b",), F.lit(False))]
+
+    def run(trees):
+        group = f"trees {trees} {bo.TILE_CELLS}"
+        spark.sparkContext.setJobGroup(group, group)
+        scored, _ = bo.fit_boosted(df, "sample_id", "target", fits, bo.BoostSpec(trees=trees, rate=0.3, leaves=6, bins=16, min_rows=5))
+        got = {r["sample_id"]: r["scores"] for r in scored.collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("", "")
+        return got, jobs
+
+    (_, few), (whole, many) = run(1), run(4)
+    assert few == many > 0
+    monkeypatch.setattr(bo, "TILE_CELLS", 50)
+    monkeypatch.setattr(bo, "CELL_ROWS", 60)
+    split, passes = run(4)
+    assert passes > many + 4
+    for k, scores in whole.items():
+        np.testing.assert_allclose(split[k], scores, atol=1e-12)
