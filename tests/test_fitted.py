@@ -272,3 +272,31 @@ def test_trees_of_a_model_in_one_tile_take_no_passes(spark, monkeypatch):
     assert passes > many + 4
     for k, scores in whole.items():
         np.testing.assert_allclose(split[k], scores, atol=1e-12)
+
+
+def test_networks_fold_rows_of_equal_features(spark, monkeypatch):
+    """3,000 rows of 12 kinds are 12 cells in every pass, with the steps of all rows."""
+    seen = []
+    one = nw._pass
+    monkeypatch.setattr(nw, "_pass", lambda blocks, nets: (seen.append(blocks.table.agg(F.sum("rows")).first()[0]), one(blocks, nets))[1])
+    df = spark.range(3000).selectExpr("id", "cast(id % 6 AS double) AS x", "cast(id % 4 >= 2 AS int) AS y")
+    spec = nw.NetworkSpec(hidden=(3,), steps=4)
+    fits = [Fit(("x",), F.col("id") % 5 != 0), Fit(("x",), F.col("id") % 5 < 3, F.col("id") % 5 == 3)]
+    scored, nets = nw.fit_networks(df, "id", "y", fits, spec)
+    assert len(seen) == 4 and set(seen) == {12}
+    ids = np.arange(3000)
+    x, y, shapes = (ids % 6).astype(float)[:, None], (ids % 4 >= 2).astype(float), spec.shapes(1)
+    got = {r["id"]: r["scores"] for r in scored.collect()}
+    for m, (train, stop) in enumerate([(ids % 5 != 0, None), (ids % 5 < 3, ids % 5 == 3)]):
+        z = (x - x[train].mean()) / x[train].std()
+        start = spec.start(1)
+        plain = nw.Training(start, np.full(len(start), spec.first_step), np.zeros(len(start)), start)
+        while not plain.done:
+            slope, loss = nw.gradient(z[train], y[train], plain.weights, shapes)
+            decay = nw.penalised(plain.weights, shapes) * spec.alpha
+            own = (loss + 0.5 * float(decay @ plain.weights)) / train.sum()
+            held = own if stop is None else nw.losses(nw.forward(z[stop], plain.weights, shapes)[-1][:, 0], y[stop]).mean()
+            plain.move((slope + decay) / train.sum(), float(held), spec)
+        np.testing.assert_allclose(nets.models[m].history, plain.history, atol=1e-12)
+        want = 1 / (1 + np.exp(-nw.forward(z, plain.best, shapes)[-1][:, 0]))
+        np.testing.assert_allclose([got[i][m] for i in range(3000)], want, atol=1e-9)
