@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import hash32
-from sigloom.operators.ordering import attach, global_rank
+from sigloom.operators.ordering import attach, global_rank, ordered_prefix
 
 
 def stratified_folds(
@@ -134,13 +134,19 @@ def stop_sets(
     """
     key, strata = (group, ["_stratum"]) if group else (id_col, [target])
     unit = df.groupBy(group, fold).agg(F.count_if(F.col(target) == 1).alias("_stratum")) if group else df.select(id_col, target, fold)
-    folds = sorted(r[0] for r in unit.select(fold).distinct().collect())
-    others = F.filter(F.array(*[F.lit(f) for f in folds]), lambda f: f != F.col(fold))
-    fit = unit.select(key, *strata, F.explode(others).alias("outer_fold"))
-    ranked = _with_rank(fit, seed, ["outer_fold", *strata], key)
-    sizes = fit.groupBy("outer_fold", *strata).agg(F.rint(F.lit(share) * F.count(F.lit(1))).alias("_cut"))
-    placed = attach(ranked, sizes, ["outer_fold", *strata])
-    return placed.select("outer_fold", key, (F.col("_r") <= F.col("_cut")).alias("stop"))
+    folds = sorted(r[0] for r in unit.select(fold).distinct().collect()) or [0]
+    inside = [F.when(F.col(fold) == F.lit(f), 1).otherwise(0).cast("bigint").alias(f"_n{i}") for i, f in enumerate(folds)]
+    counted = unit.select(key, *strata, fold, hash32(seed, key).alias("_h"), *inside)
+    # One order of all rows serves every outer fold: a place outside it is the sum of those in the other folds.
+    names = [f"_n{i}" for i in range(len(folds))]
+    ordered = ordered_prefix(counted, strata, ["_h", key], names)
+    placed = attach(ordered, counted.groupBy(*strata).agg(*[F.sum(n).alias(f"{n}_all") for n in names]), strata)
+    outside = lambda i, end: sum((F.col(n + end) for n in names if n != names[i]), F.lit(0))
+    sets = F.array(*[
+        F.struct(F.lit(f).alias("outer_fold"), (outside(i, "_before") < F.rint(F.lit(share) * outside(i, "_all"))).alias("stop")) for i, f in enumerate(folds)
+    ])
+    others = placed.select(key, F.explode(F.filter(sets, lambda s: s["outer_fold"] != F.col(fold))).alias("_set"))
+    return others.select("_set.outer_fold", key, "_set.stop")
 
 
 def with_stop_sets(df: DataFrame, sets: DataFrame, key: str = "sample_id", name: str = "stop_in") -> DataFrame:

@@ -300,3 +300,20 @@ def test_networks_fold_rows_of_equal_features(spark, monkeypatch):
         np.testing.assert_allclose(nets.models[m].history, plain.history, atol=1e-12)
         want = 1 / (1 + np.exp(-nw.forward(z, plain.best, shapes)[-1][:, 0]))
         np.testing.assert_allclose([got[i][m] for i in range(3000)], want, atol=1e-9)
+
+
+def test_stop_sets_order_every_row_once(spark, monkeypatch):
+    """One order of 300 rows serves all outer folds, with the ranks of each fold's own order."""
+    ordered = []
+    prefix = sp.ordered_prefix
+    monkeypatch.setattr(sp, "ordered_prefix", lambda df, *rest: (ordered.append(df.count()), prefix(df, *rest))[1])
+    df = frame(spark, rows(300))
+    got = {(r["outer_fold"], r["sample_id"]): r["stop"] for r in sp.stop_sets(df, "fold", 0.2, 42).collect()}
+    assert ordered == [300]
+    data = df.select("sample_id", "fold", "target", sp.hash32(42, "sample_id").alias("h")).collect()
+    for outer in range(3):
+        for target in range(2):
+            members = sorted((r["h"], r["sample_id"]) for r in data if r["fold"] != outer and r["target"] == target)
+            assert [got.pop((outer, k)) for _, k in members] == [i < round(0.2 * len(members)) for i in range(len(members))]
+    assert not got
+    assert sp.stop_sets(df.limit(0), "fold", 0.2, 42).count() == 0
